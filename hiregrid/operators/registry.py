@@ -85,7 +85,7 @@ def search_registry(queries: DataFrame, registry: DataFrame, minimum: int = 35,
     score = F.when(c == F.col("_canon"), 100).otherwise(0) + round_half_up(hits / F.greatest(F.size("_tokens"), F.lit(1)) * 55)
     score += F.when(c.contains(F.col("_canon")) | F.col("_canon").contains(c), 20).otherwise(0) + F.when(F.col("_type") == F.col("government_type"), 15).otherwise(0)
     rows = rows.withColumn("score", score).where(F.col("score") >= minimum)
-    return first_rows(rows, ["query_id"], [F.col("score").desc(), F.col("name").collate("UNICODE"), F.col("id")], n=limit).select("query_id", "query", "id", "name", "score")
+    return first_rows(rows, ["query_id"], [F.col("score").desc(), F.collate(F.col("name"), "UNICODE"), F.col("id")], n=limit).select("query_id", "query", "id", "name", "score")
 
 
 # Words of agency names that identify nothing.

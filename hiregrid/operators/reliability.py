@@ -88,7 +88,7 @@ def independent_pairs(checks: DataFrame, keys: list[str], lineage: Column, seq:
     A group has a row per lineage, so it is small whatever the history's length; pairs with no jobs on either side go.
     """
     one = collapse_lineages(checks, keys, lineage, seq).select(*keys, "source", non_negative(F.col("jobs_found")).alias("jobs"))
-    ordered = F.col("source").collate("UNICODE")
+    ordered = F.collate(F.col("source"), "UNICODE")
     a = one.select(*keys, F.col("source").alias("source_a"), ordered.alias("_a"), F.col("jobs").alias("jobs_a"))
     b = one.select(*keys, F.col("source").alias("source_b"), ordered.alias("_b"), F.col("jobs").alias("jobs_b"))
     return a.join(b, keys).where((F.col("_a") < F.col("_b")) & ((F.col("jobs_a") > 0) | (F.col("jobs_b") > 0))).select(*keys, "source_a", "jobs_a", "source_b", "jobs_b")
