@@ -128,14 +128,14 @@ def signals(texts: pa.StringArray, rules: QualityRules) -> dict[str, np.ndarray]
 def quality_signals(docs: DataFrame, rules: QualityRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: its id, the signals, base_failed, kept, and the first rule that failed."""
     rules = rules or QualityRules()
-    kinds = {np.int64: T.LongType(), np.bool_: T.BooleanType(), np.float64: T.DoubleType(), object: T.StringType()}
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(k, kinds[v]) for k, v in SIGNALS.items())])
+    kinds = {np.int64: (T.LongType(), pa.int64()), np.bool_: (T.BooleanType(), pa.bool_()), np.float64: (T.DoubleType(), pa.float64()), object: (T.StringType(), pa.string())}
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(k, kinds[v][0]) for k, v in SIGNALS.items())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 found = signals(piece.column("text"), rules)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(found[k], from_pandas=True) for k in SIGNALS)], names=["doc_id", *SIGNALS])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(found[k], kinds[v][1], from_pandas=True) for k, v in SIGNALS.items())], names=["doc_id", *SIGNALS])
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(each, schema)
 
