@@ -175,7 +175,8 @@ def classify(found: list[Block], rules: BlockRules) -> None:
             words = _WORD.findall(b.text.lower())
             if marked or sum(w in STOP_WORDS for w in words) >= rules.min_stop_density * max(len(words), 1):
                 b.label = True
-    decided = [(i, b.label) for i, b in enumerate(found) if b.label is not None]
+    # An element that names itself boilerplate says nothing of the text beside it in an article.
+    decided = [(i, b.label) for i, b in enumerate(found) if b.label is not None and not (b.boiler and b.main)]
     before, j = None, 0
     for i, b in enumerate(found):
         while j < len(decided) and decided[j][0] <= i:
