@@ -93,14 +93,15 @@ class CrossParser:
 
     @staticmethod
     def _table(sample: bytes, seen: list[int]) -> np.ndarray:
-        """Entries are (next state * width) * 2 + 1 if a phrase ends before this byte."""
+        """Entries are (next state * width) * 2, and 1 more if a phrase begins with this byte."""
         moves, width = suffix_automaton(sample), len(seen) + 1
         number = {b: i for i, b in enumerate(seen)}
         table = np.full((len(moves), width), -1, np.int64)
         for state, row in enumerate(moves):
             for c, to in row.items():
                 table[state, number[c]] = to * width * 2
-        fresh = np.where(table[0] < 0, 0, table[0]) | 1  # the phrase ends; a new one begins with this byte, if any does
+        # A phrase begins at the root, with a byte that can't go on, and with one that no phrase has, which is a phrase by itself.
+        table[0] = fresh = np.where(table[0] < 0, 0, table[0]) | 1
         return np.where(table < 0, fresh, table).astype(np.int32 if len(moves) * width < 1 << 30 else np.int64).ravel()
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -116,7 +117,7 @@ class CrossParser:
         symbols = self.symbol[data]
         out = np.zeros((len(n), len(self.languages)))
         for i, table in enumerate(self.tables):
-            state, count = np.zeros(len(start), np.int64), np.ones(len(start), np.int64)
+            state, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
             for k in range(STRETCH):
                 m = int(alive[k])
                 if not m:
@@ -172,7 +173,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 2 << 20):
                 langs, score = shared.value.predict(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:2], pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
 
