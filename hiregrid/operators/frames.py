@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,3 +28,11 @@ def latest(df: DataFrame, keys: list[str], values: list[str], by: list[str]) ->
     """The values of each key's row that is last by `by`: combined before the one shuffle."""
     top = F.max_by(F.struct(*values), F.struct(*by)).alias("_top")
     return df.groupBy(*keys).agg(top).select(*keys, "_top.*")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a loop with a reliable checkpoint in the folder that the session names in spark.checkpoint.dir (one of our own only where it names none)."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
