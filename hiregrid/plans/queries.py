@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import benchmark, coverage, dedupe, geo, identity, lifecycle, metrics, quality, registry, reliability, search
+from ..operators import benchmark, coverage, dedupe, geo, identity, lifecycle, metrics, quality, registry, reliability, runs, search
 from ..operators.frames import first_rows, latest
-from ..sources import payloads
+from ..sources import payloads, web
 from . import lens as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -659,3 +659,82 @@ def _grouped_events(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {L.CHECKS} SELECT source, id, jobs_found FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY jobs_found DESC, id) AS rn FROM checks) WHERE rn <= 10")
 def top_checks(spark: SparkSession, d: str) -> DataFrame:
     return _grouped_events(spark, d).select("source", "id", "jobs_found")
+
+
+# --- runs and sources --------------------------------------------------------------------------------------------------
+
+
+@query(f"""{WITH_JOBS}, c AS (SELECT entity_id, source, COUNT(*) AS n FROM jobs GROUP BY 1, 2), u AS (SELECT DISTINCT id AS entity_id, s AS source FROM entities, (SELECT unnest(['1-URGENT', 'never']) AS s))
+SELECT COALESCE(c.entity_id, u.entity_id) AS entity_id, COALESCE(c.source, u.source) AS source, CASE WHEN n > 0 THEN 'success' ELSE 'zero' END AS status, COALESCE(n, 0) AS jobs_found FROM c FULL JOIN u ON c.entity_id = u.entity_id AND c.source = u.source""")
+def check_synthesis(spark: SparkSession, d: str) -> DataFrame:
+    used = L.entities(spark, d).select(F.col("id").alias("entity_id"), F.array(F.lit("1-URGENT"), F.lit("never")).alias("sources"))
+    return runs.synthesise_checks(L.jobs(spark, d), used, "authoritative").select("entity_id", "source", "status", "jobs_found")
+
+
+@query(f"""{WITH_JOBS}, l AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY posted_at DESC, id DESC) AS rn FROM jobs) WHERE rn = 1)
+SELECT e.id, CASE WHEN l.id IS NULL OR l.posted_at < TIMESTAMP '2000-01-01' THEN 'queued' ELSE l.source END AS status, COALESCE(l.id, 0) AS jobs_found FROM entities e LEFT JOIN l ON l.entity_id = e.id""")
+def ingest_status(spark: SparkSession, d: str) -> DataFrame:
+    j, zero = L.jobs(spark, d), F.lit(0).cast("long")
+    logs = j.select("id", "entity_id", F.col("source").alias("status"), "source", F.col("id").alias("jobs_found"), zero.alias("jobs_new"), zero.alias("jobs_closed"), F.lit(None).cast("string").alias("error_message"), F.col("posted_at").alias("ran_at"))
+    return runs.ingest_status(L.entities(spark, d).withColumn("created_at", L.at("2000-01-01 00:00:00")), logs).select("id", "status", "jobs_found")
+
+
+@query(f"""WITH {_ENTITY_ROWS}, {_ASSESSED} SELECT evidence_level, COUNT(*) AS entities, COUNT(DISTINCT portal) AS portals, COUNT(*) FILTER (n_blockers = 0) AS passed FROM judged GROUP BY 1""")
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    return runs.run_summary(_assessed(spark, d))
+
+
+@query(f"{WITH_JOBS}, c AS (SELECT entity_id, COUNT(*) FILTER (source = '1-URGENT') AS authoritative_jobs FROM jobs GROUP BY 1) SELECT * FROM c WHERE authoritative_jobs < 2")
+def discovery_allowed(spark: SparkSession, d: str) -> DataFrame:
+    return runs.discovery_allowed(L.jobs(spark, d).withColumn("is_authoritative", F.col("source") == "1-URGENT"), minimum=2)
+
+
+@query("""SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'greenhouse' WHEN 'MACHINERY' THEN 'ats:icims' ELSE 'career_page' END AS connector, CASE c_mktsegment WHEN 'BUILDING' THEN 'board' || c_custkey WHEN 'MACHINERY' THEN 'site' || c_custkey END AS board FROM customer""")
+def connector_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    s, k = F.col("c_mktsegment"), F.col("c_custkey").cast("string")
+    url = F.when(s == "BUILDING", F.concat(F.lit("https://boards.greenhouse.io/board"), k)).when(s == "MACHINERY", F.concat(F.lit("https://site"), k, F.lit(".icims.com/jobs"))).otherwise("https://example.org/careers")
+    e = L.table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), url.alias("career_page_url"), F.lit(None).cast("string").alias("ats_provider"))
+    e = e.withColumn("ats_board_id", U.ats_board(F.col("career_page_url")))
+    return runs.dispatch(e).select("c_custkey", "connector", F.col("ats_board_id").alias("board"))
+
+
+@query("""WITH n AS (SELECT s_suppkey, ['Ohio', 'Texas', 'Utah', 'Maine', 'Iowa'][s_nationkey % 5 + 1] AS st, s_nationkey FROM supplier) SELECT s_suppkey, CASE WHEN s_nationkey > 20 THEN NULL ELSE CASE st WHEN 'Ohio' THEN 'OH' WHEN 'Texas' THEN 'TX' WHEN 'Utah' THEN 'UT' WHEN 'Maine' THEN 'ME' ELSE 'IA' END END AS state FROM n""")
+def state_inference(spark: SparkSession, d: str) -> DataFrame:
+    name = F.get(F.array(*(F.lit(x) for x in ("Ohio", "Texas", "Utah", "Maine", "Iowa"))), F.pmod("s_nationkey", F.lit(5)))
+    e = L.table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") > 20, "County Works").otherwise(F.concat(F.lit("County of "), name, F.lit(" Works"))).alias("name"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("government_state"), F.lit(None).cast("string").alias("career_page_url"))
+    return e.select("s_suppkey", runs.infer_state(e).alias("state"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 100 WHEN 'click' THEN 97 WHEN 'signup' THEN 96 WHEN 'purchase' THEN 55 ELSE 50 END AS priority FROM events")
+def source_priorities(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("event_type")
+    source = F.when(t == "view", " Lever").when(t == "click", "ats:x").when(t == "signup", "portal:y").when(t == "purchase", "jobapi:z").otherwise(t)
+    return L.table(spark, d, "events").select("event_id", identity.source_priority(source).alias("priority"))
+
+
+@query("""WITH p AS (SELECT conv_id, COUNT(*) AS n, COUNT(DISTINCT text) AS sig, COUNT(DISTINCT role) AS urls FROM conversations GROUP BY 1) SELECT conv_id, CAST(2 AS BIGINT) AS official, urls AS unique_urls, n = sig AND urls >= 2 AS complete FROM p""")
+def pages_complete(spark: SparkSession, d: str) -> DataFrame:
+    rows = L.table(spark, d, "conversations").select("conv_id", F.col("turn").alias("page"), F.coalesce("text", F.lit("")).alias("signature"), F.lit(2).cast("long").alias("total"), F.lit(True).alias("exhausted"), F.array("role").alias("urls"))
+    return benchmark.pages_complete(rows, ["conv_id"])
+
+
+@query("""SELECT source AS entity_id, 'urls' AS kind, COUNT(DISTINCT lang) AS official_job_count FROM documents GROUP BY 1""")
+def truth_promotion(spark: SparkSession, d: str) -> DataFrame:
+    caps = L.table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.lit("complete").alias("status"), F.array("lang").alias("job_urls"), F.lit(None).cast("long").alias("official_count"))
+    return benchmark.promote_truth(caps).select("entity_id", "kind", "official_job_count")
+
+
+@query("""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS nth, href FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages))""")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    rows = L.table(spark, d, "pages").select("page_id", F.posexplode(T.anchors(F.col("html"))).alias("nth", "a"))
+    return rows.select("page_id", "nth", F.col("a.href").alias("href"))
+
+
+@query("SELECT page_id, 'Post ' || page_id AS title, 'https://x.org/jobs/post-' || page_id AS apply_url, 'json_ld' AS parser FROM pages UNION ALL SELECT page_id, 'Link ' || page_id, 'https://x.org/jobs/link-' || page_id, 'strong_job_detail_link' FROM pages")
+def career_pages(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id").cast("string")
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"Post '), k, F.lit('","url":"/jobs/post-'), k, F.lit('"}</script>'))
+    links = F.concat(F.lit('<a href="post-'), k, F.lit('">Link '), k, F.lit('</a><a href="/jobs/link-'), k, F.lit('">Link '), k, F.lit('</a><a href="/jobs">Jobs</a>'))
+    pages = L.table(spark, d, "pages").select("page_id", F.lit("https://x.org/jobs/list").alias("page_url"), F.concat(ld, links).alias("payload"))
+    both = web.json_ld_jobs(pages).select("page_id", "title", "apply_url", F.lit("json_ld").alias("parser")).unionByName(web.linked_jobs(pages).where(~F.col("apply_url").contains("/post-")).select("page_id", "title", "apply_url", F.lit("strong_job_detail_link").alias("parser")))
+    return both

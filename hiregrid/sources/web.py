@@ -33,7 +33,8 @@ def linked_jobs(pages: DataFrame) -> DataFrame:
     """Anchors of career pages (payload, page_url) that lead to one job and read like a title."""
     rows = pages.select(*(c for c in pages.columns if c != "payload"), F.posexplode(anchors(F.col("payload"))).alias("_seq", "_a"))
     title, url = clean_title(F.col("_a.text")), absolute(F.col("_a.href"), F.col("page_url"))
-    rows = rows.select(*(c for c in rows.columns if c != "_a"), title.alias("_title"), url.alias("_url")).where(F.length("_title").between(3, 180) & ~is_generic_title(F.col("_title")) & is_detail_url(F.col("_url")))
+    # A generator's output is computed once; the filter's many patterns would otherwise each hold the whole expression.
+    rows = rows.select(*(c for c in rows.columns if c != "_a"), F.inline(F.array(F.struct(title.alias("_title"), url.alias("_url"))))).where(F.length("_title").between(3, 180) & ~is_generic_title(F.col("_title")) & is_detail_url(F.col("_url")))
     place = F.nullif(F.regexp_extract("_title", r"([A-Z][A-Za-z .'-]+,\s*[A-Z]{2})(?![A-Za-z0-9_])", 1), F.lit(""))
     raw = F.to_json(F.struct(F.lit("strong_job_detail_link").alias("parser"), F.col("page_url").alias("listing_page_url")))
     return _finish(rows, _job("career_page", raw, title=F.col("_title"), location=place, city=city_part(place), state=state_part(place), apply_url=F.col("_url"))).drop("_title", "_url")
