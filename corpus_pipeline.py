@@ -16,6 +16,9 @@ from hiregrid.llm.quality import keep_good
 from hiregrid.llm.queries import TOKENIZER
 from hiregrid.llm.simhash import keep_one
 
+#: Bits of a fingerprint in which near-duplicates may differ.
+NEAR_BITS = 5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -29,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    return keep_one(docs)
+    return keep_one(docs, radius=NEAR_BITS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ leaves a bucket. Connected components come from rounds of large and small stars
 A bucket is never expanded into rows of pairs. Up to PAIRS_MOST members it is compared in blocks in numpy. Beyond, two members are
 linked when they share a value at distance one or less from both, which is the same relation for radius 2 and takes
 time in proportion to the bucket; beyond HELD_MOST that very step is a shuffle on the shared values, of which each has at
-most 65 members. So no cap drops a link.
+most 65 members. For other radii a bucket beyond HELD_MOST is dealt out in blocks, of which each two meet in one group. So no
+cap drops a link.
 
 Defined cases: a null text, an empty one or one without words has fingerprint zero, which links like any other; fewer words than
 a shingle give the shingle of the whole sequence; repeated rows and ids keep a row each; a null doc_id is carried and is
@@ -20,7 +21,9 @@ smallest only if its component has no other; an empty table gives an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -133,9 +136,8 @@ class Pigeonhole:
 
             probes, rows = 0, np.zeros(len(fps))
             for t in range(self.radius + 1):
-                masks = self.flips(part, t)
-                probes += len(masks)
-                rows = rows + sum(near(own ^ m) for m in masks) if t <= 1 else np.maximum(rows, self.within[i][t])
+                probes += comb(len(part), t)
+                rows = rows + sum(near(own ^ m) for m in self.flips(part, t)) if t <= 1 else np.maximum(rows, self.within[i][t])
                 cost[:, i, t + 1] = 4 * probes + rows
         return cost
 
@@ -193,7 +195,7 @@ def bucket_links(group: np.ndarray, fps: np.ndarray, roles: np.ndarray, radius:
     sizes = np.diff(np.append(edges, len(group)))
     probed = np.maximum.reduceat(roles, edges) > 0 if len(edges) else np.zeros(0, bool)
     size_of = np.repeat(np.where(probed, sizes, 0), sizes)
-    rows = np.flatnonzero((size_of > 1) & (size_of <= (PAIRS_MOST if radius == 2 else HELD_MOST)))
+    rows = np.flatnonzero((size_of > 1) & ((size_of <= PAIRS_MOST) | (radius != 2)))
     for k in range(1, int(size_of[rows].max(initial=1))):
         rows = rows[(rows + k < len(fps))]
         rows = rows[group[rows] == group[rows + k]]
@@ -223,7 +225,7 @@ def fingerprint_links(distinct: DataFrame, n: int, radius: int = 2) -> DataFrame
             part, value, fps, roles = index.buckets(batch.column(0).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(value.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(roles)], names=["part", "value", "fp", "role"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch], in_blocks: bool = False) -> Iterator[pa.RecordBatch]:
         names, held, giant = ["a", "b", "hot"], None, None
 
         def out(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
@@ -240,7 +242,8 @@ def fingerprint_links(distinct: DataFrame, n: int, radius: int = 2) -> DataFrame
                 x = np.concatenate([held, x], axis=1)
             if giant is not None:
                 more = int(np.argmin(np.append((x[:2] == giant[:, None]).all(axis=0), False)))
-                yield out(x[2, :more].view(np.uint64), x[2, :more].view(np.uint64), True)
+                if radius == 2:
+                    yield out(x[2, :more], x[2, :more], True)
                 x = x[:, more:]
                 giant = giant if not x.shape[1] else None
             if not x.shape[1]:
@@ -249,18 +252,28 @@ def fingerprint_links(distinct: DataFrame, n: int, radius: int = 2) -> DataFrame
             last = x.shape[1] - int(np.argmin(np.append((x[:2, ::-1] == x[:2, -1:]).all(axis=0), False)))
             yield linked(x[:, :last])
             held = x[:, last:]
-            if radius == 2 and held.shape[1] > HELD_MOST:
+            if held.shape[1] > HELD_MOST and not in_blocks:
                 giant = held[:2, 0].copy()
-                yield out(held[2].view(np.uint64), held[2].view(np.uint64), True)
+                yield out(held[2], held[2], True) if radius == 2 else out(giant[:1], giant[1:], True)
                 held = None
         if held is not None:
             yield linked(held)
 
-    dealt = distinct.mapInArrow(enter, "part int, value long, fp long, role byte").repartition("part", "value").sortWithinPartitions("part", "value", "fp")
-    found = checkpointed(dealt.mapInArrow(verify, "a long, b long, hot boolean"))
+    entered = distinct.mapInArrow(enter, "part int, value long, fp long, role byte")
+    dealt = lambda rows: rows.repartition("part", "value").sortWithinPartitions("part", "value", "fp")
+    found = checkpointed(dealt(entered).mapInArrow(verify, "a long, b long, hot boolean"))
     near = found.where("not hot").select("a", "b")
-    if radius != 2 or not found.where("hot").limit(1).count():
+    if not found.where("hot").limit(1).count():
         return near
+    if radius != 2:
+        # Each two blocks of a bucket too large for a task meet in a group of their own.
+        hot = found.where("hot").select(F.col("a").alias("p"), F.col("b").alias("v"))
+        again = entered.join(hot, (F.col("part") == F.col("p")) & (F.col("value") == F.col("v"))).drop("p", "v")
+        blocks = again.groupBy(F.col("part").alias("p"), F.col("value").alias("v")).agg(F.ceil(F.count(F.lit(1)) / (HELD_MOST // 4)).alias("blocks"))
+        again = again.join(blocks, (F.col("part") == F.col("p")) & (F.col("value") == F.col("v"))).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+        again = again.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        again = again.select("part", F.xxhash64("value", F.least("block", "other"), F.greatest("block", "other")).alias("value"), "fp", "role")
+        return near.unionByName(checkpointed(dealt(again).mapInArrow(partial(verify, in_blocks=True), "a long, b long, hot boolean")).select("a", "b"))
     # Fingerprints of buckets too large for a task: at most 65 share a value at distance one or less.
     keys = found.where("hot").select("a").distinct().select("a", F.explode(F.array(F.col("a"), *(F.col("a").bitwiseXOR(F.lit(int(b.view(np.int64)))) for b in _BITS))).alias("key"))
     shared = keys.select("a", F.min("a").over(W.partitionBy("key")).alias("b")).where("a <> b")

@@ -44,7 +44,7 @@ def test_each_stage_against_its_own_input(spark, tmp_path):
             assert sorted((r[0], r[1]) for r in got) == sorted(want) and all(r[4] == len(r[1]) for r in got)
             assert not any("reserved" in r[1] for r in got)
         elif k == 2:
-            first = {r.component_id for r in near_duplicates(docs).collect()}
+            first = {r.component_id for r in near_duplicates(docs, radius=corpus_pipeline.NEAR_BITS).collect()}
             assert got == sorted(r for r in before if r[0] in first) and len(got) < len(before)
         elif k == 3:
             bad = {r.doc_id for r in contamination(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).where("contaminated").collect()}

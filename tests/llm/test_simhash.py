@@ -39,8 +39,8 @@ def roots(items, linked):
     return {x: find(x) for x in up}
 
 
-def near(a, b):
-    return ((a ^ b) & (1 << 64) - 1).bit_count() <= 2
+def near(a, b, radius=2):
+    return ((a ^ b) & (1 << 64) - 1).bit_count() <= radius
 
 
 def test_fingerprints_equal_brute_force(rows):
@@ -61,18 +61,19 @@ def cloud(rng: random.Random, centres: int, around: int, most: int) -> list[int]
 
 
 @pytest.mark.parametrize("correlated", [False, True])
-def test_thresholds_lose_no_pair(correlated):
+@pytest.mark.parametrize("radius", [2, 5])
+def test_thresholds_lose_no_pair(correlated, radius):
     rng = random.Random(7)
     fps = np.array(cloud(rng, 40, 12, 3), np.uint64)
     if correlated:
         fps = fps | np.uint64(0xFFFF)
     fps = np.unique(fps)
-    index = Pigeonhole(fps, len(fps))
+    index = Pigeonhole(fps, len(fps), radius)
     assert sorted(int(b) for p in index.parts for b in p) == list(range(64))
     limits = index.thresholds(fps)
     assert (limits.sum(axis=1) == index.radius - len(index.parts) + 1).all() and limits.min() >= -1
     for i, j in combinations(range(len(fps)), 2):
-        if near(int(fps[i]), int(fps[j])):
+        if near(int(fps[i]), int(fps[j]), radius):
             apart = [int(np.bitwise_count(Pigeonhole.value(fps[[i]], p) ^ Pigeonhole.value(fps[[j]], p))[0]) for p in index.parts]
             assert any(d <= t for d, t in zip(apart, limits[i], strict=True))
 
@@ -94,9 +95,10 @@ def test_links_and_components_equal_brute_force(spark, monkeypatch, held):
     fps = np.array(cloud(random.Random(11), 12, 25, 4), np.uint64)
     signed = fps.view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3)
-    links = fingerprint_links(df, len(signed))
-    got = {x: x for x in signed} | {r.node: r.root for r in components(links).collect()}
-    assert got == roots(signed, near)
+    for radius in (2, 5):
+        links = fingerprint_links(df, len(signed), radius)
+        got = {x: x for x in signed} | {r.node: r.root for r in components(links).collect()}
+        assert got == roots(signed, lambda a, b, radius=radius: near(a, b, radius))
 
 
 def test_a_long_chain_is_one_component(spark):
