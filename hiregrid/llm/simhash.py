@@ -304,7 +304,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     own = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     stars = components(fingerprint_links(own.select("fp"), own.count(), radius))
     own = own.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written first, so that the join's exchanges are its own and Spark can split the partition of a very large component.
+    least = checkpointed(own.groupBy("root").agg(F.min("least").alias("component_id")))
     own = own.select(F.col("fp").alias("of"), "root").join(least, "root").select("of", "component_id")
     return rows.join(own, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
