@@ -14,9 +14,9 @@ from hiregrid.llm.lines import drop_recurring_lines
 from hiregrid.llm.packing import best_fit_pack
 from hiregrid.llm.quality import keep_good
 from hiregrid.llm.queries import TOKENIZER
-from hiregrid.llm.simhash import keep_one
+from hiregrid.llm.similar import keep_one_similar
 
-#: Bits of a fingerprint in which near-duplicates may differ.
+#: Bits of a fingerprint that tests compare the stage with; the stage itself goes by similarity.
 NEAR_BITS = 5
 
 
@@ -31,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    return keep_one(docs, radius=NEAR_BITS)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id."""
+    return keep_one_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

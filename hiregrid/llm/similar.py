@@ -1,0 +1,237 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+A text is the set of its distinct shingles, as 64-bit hashes. All sets are kept in one order, shingles that a sample finds common last. Two
+sets of n and m shingles whose similarity is at least `share` then have a shingle in common among the first n - ceil(share n) + 1
+of the one and the same of the other. So only these are joined, and no pair is lost, whatever the sample says. Pairs that meet
+on a shingle are dropped where sizes or places rule the similarity out; what is left is verified on the whole sets.
+
+Neighbours by size are linked first, shingle by shingle. Then all pairs of larger groups are tried that aren't connected yet, so
+many copies aren't compared pair by pair. Whole sets are never stored: they are made again from the texts for those that have a
+candidate, which a filter of fixed size finds before the shuffle. A shingle with more than HELD_MOST rows is dealt out in blocks, of which each two meet in
+one group.
+
+Defined cases: a null text, an empty one or one without words has the empty set, and equal sets always link; fewer words than a
+shingle give the shingle of the whole sequence; repeated rows and ids keep a row each; a null doc_id is carried and is smallest
+only if its component has no other; an empty table gives an empty table; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial, reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import NOT_SPACE, RollingHash, checkpointed, flat, mixed, pieces, runs
+from .simhash import _LOWER, HELD_MOST, components
+
+#: Texts, at least, in the sample that finds common shingles, and the largest part of the table's reciprocal.
+SAMPLE, SAMPLE_PART = 4096, 64
+#: Common shingles that the order knows; it is a matter of time, not of results.
+COMMON_MOST = 200_000
+#: Bits, as a power of two, of the filter that spares sets without a candidate the shuffle; the join after it is exact.
+FILTER_BITS = 24
+
+
+def shingle_sets(texts: pa.StringArray, words: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct lower-cased shingles: hashes of all texts, bounds by text, and a digest of each set.
+
+    `common` has the hashes of common shingles, the most common last; they come last in each set.
+    """
+    data, offsets = flat(texts)
+    data, inside = _LOWER[data], NOT_SPACE[data]
+    starts, ends, of = runs(inside, offsets)
+    inside[ends[ends < offsets[1:][of]]] = True
+    data[~NOT_SPACE[data]] = 0x20
+    at = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(inside, out=at[1:])
+    first, last = at[starts], at[starts] + ends - starts
+    bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+    n_words = np.diff(bounds)
+    n_each = np.where(n_words >= words, n_words - words + 1, n_words.clip(max=1))
+    doc = np.repeat(np.arange(len(texts)), n_each)
+    begin = bounds[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n_each) - n_each, n_each)
+    end = begin + np.minimum(words, n_words[doc]) - 1
+    hashes = RollingHash(data[inside])(first[begin], last[end])
+    rank = np.zeros(len(hashes), np.int32)
+    if len(common):
+        order = np.argsort(common)
+        place = np.searchsorted(common[order], hashes).clip(max=len(common) - 1)
+        rank = np.where(common[order][place] == hashes, order[place] + 1, 0)
+    order = np.lexsort((hashes, rank, doc))
+    doc, hashes = doc[order], hashes[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    doc, hashes = doc[new], hashes[new]
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mixed(hashes), dtype=np.uint64, out=total[1:])
+    return hashes, bounds, mixed(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
+
+
+def _sets(rows: DataFrame, words: int, common: np.ndarray) -> DataFrame:
+    """doc_id, id (the set's digest), size and items of every row of doc_id and text. Reads the texts again each time."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                hashes, bounds, digests = shingle_sets(piece.column("text"), words, common)
+                items = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(digests.view(np.int64)), pa.array(np.diff(bounds), pa.int32()), items], names=["doc_id", "id", "size", "items"])
+
+    return rows.mapInArrow(each, rows.drop("text").schema.add("id", "long").add("size", T.IntegerType()).add("items", T.ArrayType(T.LongType())))
+
+
+def _common(rows: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the shingles that most texts of a sample have, the most common last."""
+    deal = min(max(1, rows.count() // SAMPLE), SAMPLE_PART)
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(deal)) == 0)
+    counts = _sets(some, words, np.zeros(0, np.uint64)).select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where("n > 2").orderBy(F.desc("n"), "item").limit(COMMON_MOST).collect()
+    return np.array([r["item"] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def group_pairs(x: np.ndarray, chain: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that share an item and may reach the similarity. Rows of x, sorted by the first and third: item, id, size, place, root.
+
+    `chain` tries neighbours only, and adds (id, id) for every id of a group of three or more, where pairs may be left.
+    """
+    item, ids, size, place, root = x
+    rows = np.arange(x.shape[1])
+    if not chain and len(rows):
+        edges = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+        apart = np.maximum.reduceat(root, edges) != np.minimum.reduceat(root, edges)
+        rows = np.flatnonzero(np.repeat(apart, np.diff(np.append(edges, len(item)))))
+    a, b, k = [], [], 0
+    if chain and len(rows):
+        edges = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+        each = np.diff(np.append(edges, len(item)))
+        a.append(np.unique(ids[np.repeat(each, each) > 2]))
+        b.append(a[0])
+    while len(rows):
+        k += 1
+        rows = rows[rows + k < len(item)]
+        rows = rows[(item[rows] == item[rows + k]) & (100 * size[rows] >= percent * size[rows + k])]
+        other = rows + k
+        most = np.minimum(size[rows] - place[rows], size[other] - place[other])
+        fit = rows[(root[rows] != root[other]) & ((100 + percent) * most >= percent * (size[rows] + size[other]))]
+        a.append(ids[fit])
+        b.append(ids[fit + k])
+        if chain:
+            break
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def _candidates(sets: DataFrame, chain: bool, percent: int, held_most: int) -> DataFrame:
+    """Distinct pairs a < b of ids, and a = b where `group_pairs` marks an id. `sets` has id, size, first, root."""
+    entries = sets.select("id", "size", "root", F.posexplode("first").alias("place", "item"))
+    entries = entries.select("item", "id", F.col("size").cast("long").alias("size"), F.col("place").cast("long").alias("place"), "root")
+
+    def meet(batches: Iterator[pa.RecordBatch], in_blocks: bool = False) -> Iterator[pa.RecordBatch]:
+        def out(a: np.ndarray, b: np.ndarray, hot: bool = False) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), hot))], names=["a", "b", "hot"])
+
+        held, giant = np.zeros((5, 0), np.int64), None
+        for batch in batches:
+            x = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            if giant is not None:
+                x = x[:, x[0] != giant]
+            # Rows of equal sets.
+            x = x[:, np.append(True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1]))[: x.shape[1]]]
+            if not x.shape[1]:
+                held = x
+                continue
+            last = int(np.searchsorted(x[0], x[0, -1]))
+            yield out(*group_pairs(x[:, :last], chain, percent))
+            held = x[:, last:]
+            if held.shape[1] > held_most and not in_blocks:
+                giant = held[0, 0]
+                yield out(held[0, :1], held[0, :1], True)
+                held = held[:, :0]
+        if held.shape[1]:
+            yield out(*group_pairs(held, chain, percent))
+
+    dealt = lambda rows: rows.repartition("item").sortWithinPartitions("item", "size", "id")
+    pairs = lambda rows: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = checkpointed(dealt(entries).mapInArrow(meet, "a long, b long, hot boolean").distinct())
+    near = found.where("not hot")
+    hot = found.where("hot").select(F.col("a").alias("h"))
+    if hot.limit(1).count():
+        again = entries.join(hot, F.col("item") == F.col("h")).drop("h")
+        blocks = again.groupBy(F.col("item").alias("h")).agg(F.ceil(F.count(F.lit(1)) / (held_most // 4)).alias("blocks"))
+        again = again.join(blocks, F.col("item") == F.col("h")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        again = again.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        again = again.select(F.xxhash64("item", F.least("block", "other"), F.greatest("block", "other")).alias("item"), "id", "size", "place", "root")
+        near = near.unionByName(dealt(again).mapInArrow(partial(meet, in_blocks=True), "a long, b long, hot boolean"))
+    return checkpointed(pairs(near))
+
+
+def _masks(ids: DataFrame) -> DataFrame:
+    """A filter of fixed size for the long `id`: at most 2 ** (FILTER_BITS - 6) rows, so it may be broadcast."""
+    return ids.select(_word(F.col("id")).alias("w"), _bit(F.col("id")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+
+
+def _word(x: Column) -> Column:
+    return F.pmod(F.shiftright(x, 6), F.lit(1 << (FILTER_BITS - 6)))
+
+
+def _bit(x: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+
+def _among(rows: DataFrame, masks: DataFrame, x: str = "id") -> DataFrame:
+    """Adds `_among`: false only where the filter's ids lack x."""
+    found = rows.join(F.broadcast(masks), _word(F.col(x)) == F.col("w"), "left")
+    return found.withColumn("_among", F.coalesce(F.col("m").bitwiseAND(_bit(F.col(x))) != 0, F.lit(False))).drop("w", "m")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets reach the similarity."""
+    pairs = pairs.where("a <> b")
+    some = _among(sets.select("id", "size", "items"), _masks(pairs.select(F.explode(F.array("a", "b")).alias("id")))).where("_among").drop("_among")
+    some = some.dropDuplicates(["id"])
+    x = pairs.join(some.toDF("a", "size_a", "items_a"), "a").join(some.toDF("b", "size_b", "items_b"), "b")
+    return checkpointed(x.where((100 + percent) * F.size(F.array_intersect("items_a", "items_b")).cast("long") >= percent * (F.col("size_a") + F.col("size_b")).cast("long")).select("a", "b"))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", held_most: int = HELD_MOST) -> DataFrame:
+    """Per row of `docs`: doc_id, component_id (the smallest doc_id reachable over pairs of at least `percent` % similarity)."""
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    whole = _sets(rows, words, _common(rows, words))
+    first = F.expr(f"slice(items, 1, if(size = 0, 0, size - int(ceil({percent} * size / 100d)) + 1))")
+    sets = checkpointed(whole.select("doc_id", "id", "size", first.alias("first")))
+    own = checkpointed(sets.groupBy("id").agg(F.min("doc_id").alias("least")))
+    found = _candidates(sets.select("id", "size", "first", F.col("id").alias("root")), True, percent, held_most)
+    links = _verified(found, whole, percent)
+    some = _among(sets.select("id", "size", "first"), _masks(found.where("a = b").select(F.col("a").alias("id")))).where("_among").drop("_among")
+    some = some.join(components(links), F.col("id") == F.col("node"), "left").select("id", "size", "first", F.coalesce("root", "id").alias("root"))
+    links = links.unionByName(_verified(_candidates(some, False, percent, held_most), whole, percent))
+    own = own.join(components(links), F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    # Written first, so that the join's exchanges are its own and Spark can split the partition of a very large component.
+    least = checkpointed(own.groupBy("root").agg(F.min("least").alias("component_id")))
+    own = own.select(F.col("id").alias("of"), "root").join(least, "root").select("of", "component_id")
+    return sets.select("doc_id", "id").join(own, F.col("id") == F.col("of")).select("doc_id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, without those whose doc_id isn't the smallest of its component; of rows that
+    share that doc_id, one stays. A component without any doc_id keeps one of its rows."""
+    names = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    key = F.md5(F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit("")).cast("binary"))
+    inner = inner.withColumn("_doc", F.struct(F.col(f"c{names.index(id_col)}").alias("id"), key.alias("key")))
+    named = similar_documents(inner, words, percent, "_doc", f"c{names.index(text_col)}")
+    each = checkpointed(named.groupBy("component_id", "doc_id").agg(F.count(F.lit(1)).alias("copies")))
+    first = F.min_by("doc_id", F.struct(F.col("doc_id.id").isNull(), F.col("doc_id.id"), F.col("doc_id.key")))
+    kept = each.groupBy("component_id").agg(first.alias("kept")).withColumnRenamed("component_id", "of")
+    # Only rows that go, or of which one stays, are shuffled; the filter passes a few more of them.
+    gone = checkpointed(each.join(kept, F.col("component_id") == F.col("of")).where((F.col("doc_id") != F.col("kept")) | (F.col("copies") > 1)).select("doc_id", (F.col("doc_id") != F.col("kept")).alias("goes")))
+    marked = _among(inner.withColumn("_hash", F.xxhash64("_doc")), _masks(gone.select(F.xxhash64("doc_id").alias("id"))), "_hash")
+    some = marked.where("_among").join(gone, (F.col("_hash") == F.xxhash64("doc_id")) & F.col("_doc").eqNullSafe(F.col("doc_id")), "left")
+    once = some.where("not goes").dropDuplicates(["_doc"])
+    out = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
+    return reduce(DataFrame.unionByName, (x.select(*out) for x in (marked.where("not _among"), some.where("goes is null"), once)))

@@ -1,0 +1,92 @@
+from __future__ import annotations
+
+import random
+from collections import Counter
+from itertools import combinations
+
+import pytest
+
+import corpus_pipeline
+from hiregrid.llm.similar import keep_one_similar, similar_documents
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1))))
+
+
+def roots(texts):
+    """Text to a representative of its component over all pairs of similarity 0.8 or more."""
+    sets = {t: shingles(t) for t in texts}
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for a, b in combinations(sets, 2):
+        x, y = sets[a], sets[b]
+        if x == y or (x and y and 5 * len(x & y) >= 4 * len(x | y)):
+            root[find(a)] = find(b)
+    return {t: find(t) for t in texts}
+
+
+def least(rows):
+    root = roots({t for _, t, *_ in rows})
+    ids = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            ids[root[t]] = min(ids.get(root[t], i), i)
+    return Counter((i, ids.get(root[t])) for i, t, *_ in rows)
+
+
+def corpus():
+    """Texts with copies of which up to 4 words in 90 differ, about the limit of 0.8, and a passage that many share."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    shared, rows = [word() for _ in range(30)], []
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(20, 120))] + shared * rng.randint(0, 1)
+        for _ in range(rng.randint(1, 8)):
+            text = list(base)
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(len(text))] = word()
+            rows.append((len(rows), " ".join(text[: len(text) - rng.randint(0, 6)])))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("held_most", [1 << 16, 8])
+def test_components_equal_all_pairs(spark, held_most):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = least(rows)
+    assert len({c for _, c in want}) > 25 and any(i != c for i, c in want)
+    assert Counter((r.doc_id, r.component_id) for r in similar_documents(df, held_most=held_most).collect()) == want
+
+
+def test_awkward_rows_and_columns(docs, clashing, empty, rows):
+    for source in (docs, clashing):
+        assert Counter((r.doc_id, r.component_id) for r in similar_documents(source).collect()) == least([(i, t or "") for i, t, *_ in rows])
+    kept = keep_one_similar(clashing)
+    assert kept.schema == clashing.schema
+    root = roots({t or "" for _, t, *_ in rows})
+    assert Counter(root[r.text or ""] for r in kept.collect()) == Counter(set(root.values()))
+    assert similar_documents(empty).count() == 0 and keep_one_similar(empty).count() == 0
+
+
+def test_the_stage_keeps_what_is_less_similar_and_drops_what_is_more(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(60)]
+    far, near = list(base), list(base)
+    for i in (10, 20, 30):  # 15 of 56 shingles differ: 0.577
+        far[i] = "other"
+    near[30] = "another"  # 5 of 56: 0.836
+    rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(far), "en", "s", 1), (3, " ".join(near), "en", "s", 1)]
+    # Short copies whose SimHash is many bits away, though 0.8 of the shingles are shared.
+    for k in range(40):
+        text = [f"v{rng.randrange(10_000)}" for _ in range(50)]
+        rows += [(100 + 2 * k, " ".join(text), "en", "s", 1), (101 + 2 * k, " ".join(text[:25] + ["new"] + text[26:]), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2, *range(100, 180, 2)]
