@@ -37,7 +37,7 @@ _TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+|
 class TokenBytes(dict):
     """Pre-token to its ids as little-endian unsigned 32-bit bytes, filled on first use.
 
-    Whole texts with unusual characters go through `tokenizers`. A pre-token of plain characters that was not met before is
+    Whole texts with unusual characters, or with an added token's content, go through `tokenizers`. A pre-token of plain characters that was not met before is
     merged by tiktoken from the very merge ranks of the tokenizer's own vocabulary, which gives the same ids in less time;
     a vocabulary whose ranks are not its ids leaves this to `tokenizers` too.
     """
@@ -46,7 +46,7 @@ class TokenBytes(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.most = most
         self.merge = _merger(self.tokenizer)
 
@@ -60,7 +60,7 @@ class TokenBytes(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        if _OTHER.search(text):
+        if _OTHER.search(text) or any(x in text for x in self.added):
             return self.whole(text)
         return b"".join(map(self.__getitem__, _TOKENS.findall(text)))
 

@@ -78,3 +78,13 @@ def test_many_equal_lengths(spark):
     rows = [(i, "word" * rng.randint(1, 3)) for i in range(9000)]
     got = best_fit_pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect()
     check(got, rows)
+
+
+def test_an_added_token_in_a_text_has_its_own_id():
+    from tokenizers import Tokenizer
+
+    fresh, table = Tokenizer.from_file(TOKENIZER), token_bytes(TOKENIZER)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>é", "<|endoftext|", "plain words, 12 of them"):
+        want = fresh.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(table.ids(text), "<u4").tolist() == want
+        assert (50256 in want) == ("<|endoftext|>" in text)
