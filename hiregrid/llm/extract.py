@@ -1,9 +1,14 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass labels a block by its place (navigation, footers, asides, forms and
-elements that name themselves adverts, notices, comments and the like are boilerplate), its link density, its length and its
-density of stop words. What stays undecided are short blocks; in the second pass they take the label of the nearest decided block.
-Where a page marks an article or a main part, only blocks inside it are candidates.
+A page is cut into blocks at block-level tags. The first pass labels a block by its link density, its length and its density of stop
+words: linked ones are boilerplate, long enough ones with many stop words are text, those with few are boilerplate. Short blocks, and in an
+article those with few stop words, stay ambiguous; in the second pass they take the label of the nearest decided neighbours, a heading
+that of what follows it.
+
+Markup serves as a prior only. Elements whose tag, role or class says that they are what density can't tell from text
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) are boilerplate in the first pass, unless such an element holds the page's
+article or, on a page without one, most of its text. An `article` or `main` part lowers the density that its blocks need, keeps their neighbours
+to themselves, and is text unless boilerplate stands on both sides of an ambiguous block; beside it, other blocks are text only if most of the page's text is there.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as far as it goes (an unclosed script, style or comment
 hides the rest); repeated rows each get their own result; null ids and urls are carried; an empty table gives an empty table;
@@ -14,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
@@ -25,11 +30,14 @@ from pyspark.sql import types as T
 @dataclass(frozen=True)
 class BlockRules:
     max_link_density: float = 0.4
-    #: Characters from which a block is decided by its stop words.
+    #: Characters from which a block is decided by its own features.
     short: int = 70
-    #: Characters from which a block is text whatever its words.
+    #: Characters from which a block needs only half the stop words.
     long: int = 200
     min_stop_density: float = 0.20
+    #: Stop words that a block of an article needs.
+    min_main_density: float = 0.10
+    stop_words: frozenset[str] = field(default_factory=lambda: STOP_WORDS)
 
 
 # Frequent function words of the languages that pages are expected in.
@@ -47,16 +55,17 @@ _BOILER_TAGS = frozenset("nav footer aside form menu button select fieldset dial
 _MAIN_TAGS = frozenset(["article", "main"])
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+# What a class or id begins with on parts that read like text but aren't the article's.
 _BOILER_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail footer masthead "
-    "topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "comment comments commentlist disqus reply replies respond discussion widget pagination pager tags tagcloud copyright disclaimer skip header search form".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar header footer masthead "
+    "cookie cookies consent gdpr notice notices newsletter signup disclaimer copyright".split()
 )
+_COMMENT_NAMES = frozenset("comment comments commentlist disqus respond".split())
 _OUTSIDE_MAIN_ONLY = frozenset(["header"])  # an article's own header holds its title
 # An attribute's value may hold a ">"; the possessive parts keep an unclosed quote from being tried again and again.
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NAME = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"(?<!\S)[A-Za-z]+(?![A-Za-z])")  # the head of each class
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -65,32 +74,52 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     linked: int
-    boiler: bool
+    part: int  # number of the innermost enclosing part that markup says is boilerplate, 0 outside
     main: int  # number of the enclosing article or main part, 0 outside
     heading: bool
+    boiler: bool = False
     label: bool | None = None
 
 
-def _names_boiler(tag: str, attributes: str, in_main: bool) -> bool:
+@dataclass(slots=True)
+class Part:
+    """An element that by its markup is boilerplate (kind "tag", "name" or "never": not even if it holds most of the page)."""
+
+    kind: str
+    above: int
+    chars: int = 0
+    mains: int = 0
+
+
+def _kind(tag: str, attributes: str, in_main: bool) -> str | None:
     if tag in _BOILER_TAGS or (tag in _OUTSIDE_MAIN_ONLY and not in_main):
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
+        return "tag"
+    if not attributes or tag in ("html", "body") or tag in _MAIN_TAGS:
+        return None
+    found = None
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and any(w.lower() in _BOILER_NAMES and not (in_main and w.lower() in _OUTSIDE_MAIN_ONLY) for w in _NAME.findall(value)):
-            return True
-        if (name == "role" and value.lower() in _BOILER_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
+            return "never"
+        if name in ("class", "id"):
+            names = {w.lower() for w in _NAME.findall(value)}
+            if names & _COMMENT_NAMES:
+                return "never"
+            if any(w in _BOILER_NAMES and not (in_main and w in _OUTSIDE_MAIN_ONLY) for w in names):
+                found = "name"
+        elif name == "role" and value.lower() in _BOILER_ROLES:
+            found = "tag"
+    return found
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks with text, in page order."""
+def blocks(html: str) -> tuple[list[Block], list[Part], list[int]]:
+    """The blocks with text in page order, the parts that markup says are boilerplate, and the part around each article or main part."""
     out: list[Block] = []
+    parts = [Part("", 0)]
+    around = [0]
     pieces: list[str] = []
-    linked = mains = 0
-    open_: list[tuple[str, bool, int]] = []  # tag, boilerplate, enclosing main
+    linked = 0
+    open_: list[tuple[str, int, int]] = []  # tag, enclosing part, enclosing main
     count: dict[str, int] = {}
     links = 0
 
@@ -99,8 +128,8 @@ def blocks(html: str) -> list[Block]:
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                tag_now = open_[-1] if open_ else ("", False, 0)
-                out.append(Block(text, min(linked, len(text)), tag_now[1], tag_now[2], any(count.get(h) for h in _HEADINGS)))
+                _, part, main = open_[-1] if open_ else ("", 0, 0)
+                out.append(Block(text, min(linked, len(text)), part, main, any(count.get(h) for h in _HEADINGS)))
             pieces.clear()
         linked = 0
 
@@ -151,31 +180,67 @@ def blocks(html: str) -> list[Block]:
             pieces.append(" ")
         if tag in _VOID:
             continue
-        _, boiler, main = open_[-1] if open_ else ("", False, 0)
-        boiler = boiler or _names_boiler(tag, attributes, main > 0)
-        if tag in _MAIN_TAGS and not boiler and not main:
-            mains += 1
-            main = mains
-        open_.append((tag, boiler, main))
+        _, part, main = open_[-1] if open_ else ("", 0, 0)
+        if kind := _kind(tag, attributes, main > 0):
+            parts.append(Part(kind, part))
+            part = len(parts) - 1
+        if tag in _MAIN_TAGS and not main:
+            around.append(part)
+            main = len(around) - 1
+        open_.append((tag, part, main))
         count[tag] = count.get(tag, 0) + 1
         links += tag == "a"
     end()
-    return out
+    return out, parts, around
 
 
-def classify(found: list[Block], rules: BlockRules) -> None:
-    """Label every block, first by its own features, then short ones by their neighbours."""
-    marked = any(b.main and not b.boiler for b in found)
+def weigh_parts(found: list[Block], parts: list[Part], around: list[int]) -> None:
+    """Whether each block is in a part that is boilerplate by its markup, and in an article or main part that isn't."""
+    free = [True] * len(parts)  # no tag, and nothing that never counts, around
+    for i in range(1, len(parts)):
+        free[i] = free[parts[i].above] and parts[i].kind == "name"
+    for p in around[1:]:
+        parts[p].mains += 1
+    for b in found:
+        parts[b.part].chars += len(b.text) - b.linked
+    own_main = any(free[p] for p in around[1:])
+    for part in reversed(parts[1:]):
+        parts[part.above].chars += part.chars
+        parts[part.above].mains += part.mains
+    boiler = [False] * len(parts)
+    for i, part in enumerate(parts[1:], 1):
+        holds = part.mains > 0 or (not own_main and 2 * part.chars > parts[0].chars)
+        counts = part.kind == "never" or not holds or (part.kind == "tag" and own_main)
+        boiler[i] = boiler[part.above] or counts
     for b in found:
-        if b.boiler or (marked and not b.main) or b.linked > rules.max_link_density * len(b.text):
+        b.boiler = boiler[b.part]
+        if boiler[around[b.main]]:
+            b.main = 0
+
+
+def first_pass(found: list[Block], rules: BlockRules) -> None:
+    """Label what its own features decide."""
+    marked = sum(len(b.text) for b in found if b.main and not b.boiler)
+    beside = sum(len(b.text) - b.linked for b in found if not b.main and not b.boiler and len(b.text) >= rules.short)
+    for b in found:
+        n = len(b.text)
+        if b.boiler or b.linked > rules.max_link_density * n:
             b.label = False
-        elif len(b.text) >= rules.long:
-            b.label = True
-        elif len(b.text) >= rules.short:
+        elif n >= rules.short:
             words = _WORD.findall(b.text.lower())
-            if marked or sum(w in STOP_WORDS for w in words) >= rules.min_stop_density * max(len(words), 1):
-                b.label = True
-    # An element that names itself boilerplate says nothing of the text beside it in an article.
+            density = sum(w in rules.stop_words for w in words) / max(len(words), 1)
+            if b.main:
+                b.label = True if density >= rules.min_main_density else None
+            elif marked >= beside > 0 and marked:
+                b.label = False
+            else:
+                b.label = density >= (rules.min_stop_density / 2 if n >= rules.long else rules.min_stop_density)
+
+
+def second_pass(found: list[Block]) -> None:
+    """What is still ambiguous takes the label of the nearest decided neighbours."""
+    marked = any(b.main and not b.boiler for b in found)
+    # A part that markup says is boilerplate tells nothing of the text beside it in an article.
     decided = [(i, b.label) for i, b in enumerate(found) if b.label is not None and not (b.boiler and b.main)]
     before, j = None, 0
     for i, b in enumerate(found):
@@ -185,19 +250,24 @@ def classify(found: list[Block], rules: BlockRules) -> None:
             continue
         after = decided[j] if j < len(decided) else None
         near = [(k, label) for k, label in filter(None, (before, after)) if not b.main or found[k].main == b.main]
-        if b.main and (b.heading or not near):
-            labels = True  # nothing beside it in the article says otherwise
-        elif b.heading:
-            labels = bool(after and after[1])
+        if not near:
+            b.label = bool(b.main)
+        elif b.heading and not b.main:
+            b.label = bool(after and after[1])
+        elif b.main:
+            b.label = any(label for _, label in near)  # out only between boilerplate
         else:
-            closest = min((abs(k - i) for k, _ in near), default=0)
-            labels = any(label for k, label in near if abs(k - i) == closest)
-        b.label = labels  # `decided` was fixed before, so an inherited label isn't handed on
+            closest = min(abs(k - i) for k, _ in near)
+            labels = [label for k, label in near if abs(k - i) == closest]
+            b.label = all(labels) if marked else any(labels)
+        # `decided` was fixed before, so an inherited label isn't handed on.
 
 
 def main_text(html: str | None, rules: BlockRules) -> str:
-    found = blocks(html or "")
-    classify(found, rules)
+    found, parts, around = blocks(html or "")
+    weigh_parts(found, parts, around)
+    first_pass(found, rules)
+    second_pass(found)
     return "\n".join(b.text for b in found if b.label)
 
 

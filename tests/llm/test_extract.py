@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hiregrid.llm.extract import BlockRules, extract_main_text, main_text
+from hiregrid.llm.extract import Block, BlockRules, blocks, extract_main_text, first_pass, main_text, second_pass, weigh_parts
 
 RULES = BlockRules()
 LONG = "the cat and the dog of the house are in the garden with a ball " * 4
@@ -27,6 +27,73 @@ def test_a_page_without_an_article():
     assert main_text(page, RULES).split("\n")[:4] == ["Heading", text, "Brief note here.", text]
 
 
+FEW = "xylem quartz bronze fjord vortex nymph " * 6  # long, without stop words
+
+
+def test_stop_words_decide_without_an_article():
+    page = f"<div><p>{LONG}<p>{FEW}<p>{LONG}</div>"
+    text = LONG.strip()
+    assert main_text(page, RULES).split("\n") == [text, text]
+    assert main_text(page, BlockRules(stop_words=frozenset())) == ""
+
+
+def test_ambiguous_blocks_follow_their_neighbours():
+    page = f"<ul><li><a href=a>Home</a></ul><p>menu note</p><ul><li><a href=b>More</a></ul><h2>Title</h2><p>{LONG}</p><p>short words</p><p>{LONG}</p><p>after</p><ul><li><a href=c>One</a><li><a href=d>Two</a></ul><h3>Links</h3><ul><li><a href=e>x</a></ul>"
+    text = LONG.strip()
+    assert main_text(page, RULES).split("\n") == ["Title", text, "short words", text, "after"]
+    found, parts, around = blocks(page)
+    weigh_parts(found, parts, around)
+    first_pass(found, RULES)
+    assert "short words" not in [b.text for b in found if b.label]
+
+
+def test_both_passes_decide_inside_an_article():
+    page = f"<article><h1>Head</h1><p>{LONG}</p><p>{FEW}</p><ul><li><a href=a>Other story</a></ul><p>see also</p><ul><li><a href=b>Third story</a></ul></article>"
+    assert main_text(page, RULES).split("\n") == ["Head", LONG.strip(), FEW.strip()]  # the ambiguous paragraph has text before and links behind
+    assert main_text(page.replace(f"<p>{FEW}</p><ul>", f"<ul><li><a href=c>x</a></ul><p>{FEW}</p><ul>"), RULES).split("\n") == ["Head", LONG.strip()]
+    assert main_text(f"<nav>x</nav><article><p>{FEW}</p><p>Tiny</p></article>", RULES).split("\n") == [FEW.strip(), "Tiny"]  # nothing decided: the article is text
+
+
+@given(st.lists(st.tuples(st.sampled_from([None, None, True, False]), st.booleans(), st.sampled_from([0, 0, 1, 2]), st.booleans()), max_size=12))
+def test_second_pass_against_brute_force(shape):
+    found = [Block(str(i), 0, 0, main, heading, boiler=boiler and label is False, label=label) for i, (label, heading, main, boiler) in enumerate(shape)]
+    want = []
+    marked = any(b.main and not b.boiler for b in found)
+    for i, b in enumerate(found):
+        if b.label is not None:
+            want.append(b.label)
+            continue
+        known = [k for k, x in enumerate(found) if x.label is not None and not (x.boiler and x.main)]
+        sides = [[k for k in known if k < i][-1:], [k for k in known if k > i][:1]]
+        near = [k for k in sum(sides, []) if not b.main or found[k].main == b.main]
+        nearest = [found[k].label for k in near if abs(k - i) == min(abs(j - i) for j in near)]
+        if not near:
+            want.append(b.main > 0)
+        elif b.main:
+            want.append(any(found[k].label for k in near))
+        elif b.heading:
+            want.append(bool(sides[1]) and found[sides[1][0]].label)
+        else:
+            want.append(all(nearest) if marked else any(nearest))
+    second_pass(found)
+    assert [b.label for b in found] == want
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="layout has-sidebar">', '<div id="no-header">', '<div class="sidebar-layout">', "<form>", '<div class="with-nav site-search-result page-share">'])
+def test_wrappers_that_name_boilerplate(wrapper):
+    for page in (f"{wrapper}<nav><a href=a>x</a></nav><article><p>{LONG}</p><p>Tiny</p></article></div></form>", f"{wrapper}<p>{LONG}</p><p>Tiny</p></div></form><footer>no</footer>"):
+        assert main_text(page, RULES).split("\n") == [LONG.strip(), "Tiny"]
+
+
+def test_names_inside_an_article_leave_the_decision_to_density():
+    page = f'<article><p>{LONG}</p><section class="related side tags"><p>{LONG}</p></section><div class="related"><a href=a>Other</a></div><div class="ad-slot">{LONG}</div><div class="comment-list"><p>{LONG}</p></div></article>'
+    assert main_text(page, RULES).split("\n") == [LONG.strip()] * 2
+
+
+def test_comments_longer_than_the_text_stay_out():
+    assert main_text(f"<p>{LONG}</p><div id=comments>{f'<article><p>{LONG}</p></article>' * 9}</div>", RULES) == LONG.strip()
+
+
 @pytest.mark.parametrize(("html", "text"), [(None, ""), ("", ""), ("<p", ""), ("<script>alert(1)", ""), ("<!-- open", ""), ("<nav>x</nav>", ""), ("<article><p>a<b>b</article>", "ab"), ('<article><p title="a>b">c</p></article>', "c"), ("<article><p>1 < 2 && 3 > 2</article>", "1 < 2 && 3 > 2")])
 def test_broken_pages(html, text):
     assert main_text(html, RULES) == text
