@@ -92,3 +92,14 @@ def test_the_sandbox_refuses(source):
 
 def test_no_attributes_of_objects():
     assert render("{{ x.real }}{{ x.denominator }}", x=5)[0] == ""
+
+
+def test_query_with_other_columns(spark, tmp_path):
+    from hiregrid.llm.queries import op5_chat_format
+
+    plain = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    plain.write.parquet(f"{tmp_path}/plain/conversations.parquet")
+    plain.selectExpr("9 AS part", "text", "role", "turn", "conv_id", "'x' AS loss", "1 AS n_turns").write.parquet(f"{tmp_path}/more/conversations.parquet")
+    got = [sorted(map(tuple, op5_chat_format(spark, f"{tmp_path}/{x}").collect()), key=str) for x in ("plain", "more")]
+    assert got[0] == got[1]
+    assert {r[0] for r in got[0]} == {-7, 1, None}
