@@ -21,15 +21,21 @@ CHUNK_BYTES = 1 << 20
 NOT_SPACE = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Byte ranges are hashed by two polynomials modulo this prime; products and whole prefix sums stay within 64 bits.
+_PRIME = (1 << 31) - 1
+_RANDOM = np.random.default_rng(20240229)
+_BASES = tuple(int(x) for x in _RANDOM.integers(1 << 16, _PRIME, 2))
+_BYTE_VALUES = _RANDOM.integers(1, _PRIME, (2, 256)).astype(np.uint64)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir; one of our own only where it names none (tests on one machine)."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
 
@@ -90,14 +96,22 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2 ** 63."""
+    return x % np.uint64(_PRIME)
+
+
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _BASE_INVERSE):
-        row = np.full(n + 1, base, np.uint64)
-        row[0] = 1
-        out.append(np.cumprod(row, dtype=np.uint64))
-    return out[0], out[1]
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base its powers from 0 to n, and those of its inverse."""
+
+    def up_to(base: int) -> np.ndarray:
+        row = np.ones(1, np.uint64)
+        while len(row) <= n:
+            row = np.concatenate([row, _reduced(row * np.uint64(pow(base, len(row), _PRIME)))])
+        return row[: n + 1].astype(np.uint32)
+
+    return [(up_to(base), up_to(pow(base, -1, _PRIME))) for base in _BASES]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -108,16 +122,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class RollingHash:
-    """64-bit hashes of any byte ranges of a buffer, from one prefix sum of powers."""
+    """62-bit hashes of any byte ranges of a buffer: two polynomials modulo a prime, each from one prefix sum of powers."""
 
     def __init__(self, data: np.ndarray) -> None:
         size = max(CHUNK_BYTES, 1 << max(len(data) - 1, 1).bit_length())
-        up, self.down = _powers(size)
-        self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * up[: len(data)], dtype=np.uint64, out=self.prefix[1:])
+        self.parts = []
+        for (up, down), values in zip(_powers(size), _BYTE_VALUES, strict=True):
+            prefix = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_reduced(values[data] * up[: len(data)]), dtype=np.uint64, out=prefix[1:])
+            self.parts.append((_reduced(prefix).astype(np.uint32), down))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.prefix[ends] - self.prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        out = np.zeros(len(starts), np.uint64)
+        for prefix, down in self.parts:
+            apart = prefix[ends].astype(np.uint64) + np.uint64(_PRIME) - prefix[starts]
+            out = (out << np.uint64(31)) | _reduced(_reduced(apart) * down[starts])
+        return mixed(out ^ mixed((ends - starts).astype(np.uint64)))
 
 
 def window_hash(words: np.ndarray, n: int) -> np.ndarray:
