@@ -1,10 +1,13 @@
 """Sharding by best-fit decreasing: groups of equal texts are indivisible and enter the tightest room that holds them.
 
 The law that holds is `bytes`: shard sizes are near equal. Groups are keyed by the digest of their text, so texts are never
-shuffled. A group of at least 1/`fine` of the mean shard is planned on its own (at most shards * fine of them); the
-smaller groups are bundled by their digest into shards * fine bundles, planned as one item each. So the driver plans
-a number of items that is bounded by the parameters. Rooms stand in a balanced tree; the fixed capacity is the smallest
-that makes the decreasing best fit need no more than the given number of shards, found by halving.
+shuffled. Every group is planned by its own size: what the driver gets is the count of groups by size, and equal sizes are placed as a run,
+which fills the tightest room before it takes the next, exactly as one after another would. Rooms stand in a balanced tree; the fixed
+capacity is the smallest, as far as halving finds it, with which the decreasing best fit needs no more than the given number of shards.
+Groups then get a rank within their size and take the planned shard by a join on size and rank.
+
+Distinct sizes of groups add up to no more than the bytes of all texts, so there are at most the square root of twice those bytes (14
+million at 100 TB, where every size would have to occur), and the plan has at most as many steps a size as there are shards.
 
 Defined cases: a null text has size 1 and falls in the group of empty texts; repeated rows share a shard and take slots of
 their own; an empty table gives an empty table; null ids are carried; other columns are ignored. A group larger than the
@@ -68,31 +71,38 @@ class RoomTree:
         return room, bin_
 
 
-def best_fit_decreasing(sizes: Iterable[int], capacity: int) -> tuple[list[int], int]:
-    """The bin of each size (given in decreasing order), and the number of bins of that fixed capacity."""
-    tree, bins, n = RoomTree(), [], 0
-    for size in sizes:
-        found = tree.take_tightest(size)
-        if found is None:
-            found, n = (capacity, n), n + 1
-        tree.add(found[0] - size, found[1])
-        bins.append(found[1])
-    return bins, n
-
-
-def fewest_capacity(sizes: list[int], shards: int) -> list[int]:
-    """Bins for the smallest fixed capacity, as far as halving finds it, that needs at most `shards` bins."""
-    low = max(max(sizes, default=1), -(-sum(sizes) // shards))
-    high, best = low, None
+def best_fit_decreasing(counts: Iterable[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Runs (size, first rank, end rank, bin) for (size, items of that size) in decreasing order, and the number of bins.
+
+    The tightest room that holds an item is still the tightest with the item in it, so equal items fill one room after another.
+    """
+    tree, out, n = RoomTree(), [], 0
+    for size, items in counts:
+        done = 0
+        while done < items:
+            found = tree.take_tightest(size)
+            if found is None:
+                found, n = (capacity, n), n + 1
+            some = min(items - done, found[0] // size)
+            tree.add(found[0] - some * size, found[1])
+            out.append((size, done, done + some, found[1]))
+            done += some
+    return out, n
+
+
+def fewest_capacity(counts: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """Runs for the smallest fixed capacity, as far as halving finds it, that needs at most `shards` bins."""
+    low = max(counts[0][0] if counts else 1, -(-sum(size * n for size, n in counts) // shards))
+    high, step, best = low, 1, None
     while best is None:
-        bins, n = best_fit_decreasing(sizes, high)
+        bins, n = best_fit_decreasing(counts, high)
         if n <= shards:
             best = bins
         else:
-            low, high = high + 1, high + max(1, high // 64)
+            low, high, step = high + 1, high + step, 2 * step
     while low < high:
         mid = (low + high) // 2
-        bins, n = best_fit_decreasing(sizes, mid)
+        bins, n = best_fit_decreasing(counts, mid)
         if n <= shards:
             best, high = bins, mid
         else:
@@ -100,22 +110,22 @@ def fewest_capacity(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, fine: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, size, text_crc32, law, shard, slot, grown_shard. `slot` is gapless from 0 in each shard."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = checkpointed(docs.select(docs[id_col].alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("digest")))
-    n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    least = max(1, total // (shards * fine))
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("group_size"))
-    bundle = F.pmod(F.xxhash64("digest"), F.lit(shards * fine))
-    large = {bytes(r["digest"]): r["group_size"] for r in groups.where(F.col("group_size") >= least).collect()}
-    small = {r["bundle"]: r["n"] for r in groups.where(F.col("group_size") < least).groupBy(bundle.alias("bundle")).agg(F.sum("group_size").alias("n")).collect()}
-    items = sorted([(n, 0, k) for k, n in large.items()] + [(n, 1, k) for k, n in small.items()], key=lambda x: (-x[0], x[1], str(x[2])))
-    shard_of = dict(zip([x[1:] for x in items], fewest_capacity([x[0] for x in items], shards), strict=True))
-    spark = docs.sparkSession
-    of_large = spark.createDataFrame([(k, shard_of[0, k]) for k in large], "large_digest binary, large_shard int")
-    of_small = spark.createDataFrame([(k, shard_of[1, k]) for k in small], "small_bundle bigint, small_shard int")
-    # Both plans have at most shards * fine rows, so they may be broadcast.
-    rows = rows.withColumn("bundle", bundle).join(F.broadcast(of_large), F.col("digest") == F.col("large_digest"), "left").join(F.broadcast(of_small), F.col("bundle") == F.col("small_bundle"), "left")
-    rows = rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.coalesce("large_shard", "small_shard").alias("shard"))
-    return ranked(rows, ["shard"], ["doc_id", "size", "text_crc32"], "slot", n_rows).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+    groups = checkpointed(rows.groupBy("digest").agg(F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("copies")))
+    counts = groups.groupBy("group_size").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")).orderBy(F.desc("group_size")).toPandas()
+    steps: dict[int, list[tuple[int, int, int]]] = {}
+    for size, low, high, shard in fewest_capacity(list(zip(counts["group_size"].tolist(), counts["n"].tolist(), strict=True)), shards):
+        steps.setdefault(size, []).append((low, high, shard))
+    plan = docs.sparkSession.createDataFrame(list(steps.items()), "step_size bigint, steps array<struct<lo: bigint, hi: bigint, shard: int>>")
+    # No hint: the plan grows with the number of different sizes, Spark looks at how large it is.
+    placed = ranked(groups, ["group_size"], ["digest"], "rank", int(counts["n"].sum())).join(plan, F.col("group_size") == F.col("step_size"))
+    step = F.filter("steps", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"]))[0]
+    # Written first, so that the join's exchanges are its own and Spark can split the partition of a very large group.
+    placed = checkpointed(placed.select(F.col("digest").alias("of"), step["shard"].alias("shard")))
+    rows = rows.join(placed, F.col("digest") == F.col("of")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")
+    # Ranks need the same rows again, in two passes; `nth` tells rows apart that are equal in all else.
+    rows = checkpointed(rows.withColumn("nth", F.monotonically_increasing_id()))
+    return ranked(rows, ["shard"], ["doc_id", "size", "text_crc32", "nth"], "slot", int(counts["copies"].sum())).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
