@@ -156,7 +156,8 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    found = checkpointed(tokenized_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
+    # `nth` tells pieces apart that are equal in all else, so that many of them aren't ranked in one task.
+    found = checkpointed(tokenized_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("nth", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = best_fit_plan(counts, capacity)
     step = "struct<hi: bigint, lo: bigint, first: bigint, each: bigint, at: bigint>"
@@ -164,7 +165,7 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, en
     for length, lo, hi, first, each, offset in plan:
         slots.setdefault(length, []).append((hi, lo, first, each, offset))
     steps = docs.sparkSession.createDataFrame(list(slots.items()), f"slot_length bigint, steps array<{step}>")
-    placed = ranked(found, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", sum(counts.values()))
+    placed = ranked(found, ["length"], ["doc_id", "piece", "ids_crc32", "nth"], "rank", sum(counts.values()))
     # The plan is bounded by the capacity alone, so it may be broadcast.
     placed = placed.join(F.broadcast(steps), F.col("length") == F.col("slot_length"))
     placed = placed.withColumn("step", F.filter("steps", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"]))[0])
