@@ -1,9 +1,10 @@
-"""Quality rules: repetition coverage from rolling hashes of several n-gram lengths and of lines.
+"""Quality rules: repetition coverage from rolling hashes of several n-gram lengths, of lines and of marks.
 
-Each text is cut into words (runs of anything but ASCII white space). Rolling hashes give each run of n words and each
-line a 64-bit value; sorting the values within a text finds those that occur twice or more, and the share of the
-text's word characters that lie inside them is held against a limit for each n. All work is in numpy over an Arrow
-buffer of many texts, so there is no shuffle and memory is bounded by the batch.
+Each text is cut into words (runs of anything but ASCII white space). Rolling hashes give each run of n words, each line and each
+three consecutive runs of marks (ASCII signs that are neither letters nor digits) a 64-bit value; sorting the values within a text
+finds those that occur twice or more, and the share of the text's word characters that lie inside them is held against a limit
+for each kind. Nothing else decides beside the base rule. All work is in numpy over an Arrow buffer of many texts, so there is no shuffle
+and memory is bounded by the batch.
 
 Defined cases: a null or empty text has no words and fails the base rule; repeated rows each get their own result; an
 empty table gives an empty table; null ids pass through; other columns, whatever their names, are ignored by
@@ -25,30 +26,27 @@ from .common import NOT_SPACE, RollingHash, covered, flat, pieces, runs, window_
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits of the verdict: shares of word characters inside duplicated n-grams, of duplicated lines, of symbols."""
+    """Limits of the verdict: shares of word characters inside duplicated n-grams, lines and marks."""
 
     min_words: int = 50
     #: Percent of the words that may lie in repeated three-word windows.
     max_repeat_percent: int = 50
-    gram_limits: dict[int, float] = field(default_factory=lambda: {2: 0.60, 3: 0.50, 5: 0.40, 7: 0.35, 10: 0.30})
-    max_duplicate_line_chars: float = 0.35
+    #: By the n-gram's words; from five words on about what one in a thousand ordinary documents exceeds. Shorter ones also repeat by
+    #: chance in long texts.
+    gram_limits: dict[int, float] = field(default_factory=lambda: {2: 0.60, 3: 0.45, 5: 0.26, 7: 0.25, 10: 0.15})
+    max_duplicate_line_chars: float = 0.15
+    #: Share of the lines.
     max_duplicate_lines: float = 0.50
-    #: Symbols for each word.
-    max_symbols: float = 0.25
-    #: Share of the words that are nothing but marks.
-    max_mark_words: float = 0.25
-    #: Share of the ASCII letters that are capitals.
-    max_capitals: float = 0.60
+    #: Marks of repeated three-mark windows; full stops and commas of prose are about a twenty-fifth.
+    max_repeated_marks: float = 0.08
 
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
-_LETTER = np.array([chr(b).isalnum() or b >= 0x80 for b in range(128)] + [True] * 128)
-_CAPITAL = np.isin(np.arange(256), np.arange(ord("A"), ord("Z") + 1))
-_SMALL = np.isin(np.arange(256), np.arange(ord("a"), ord("z") + 1))
+_MARK = np.array([0x20 < b < 0x7F and not chr(b).isalnum() for b in range(256)])
 
 SIGNALS = {
     "n_words": np.int64, "word_chars": np.int64, "n_symbols": np.int64, "n_dup_lines": np.int64, "n_repeat_words": np.int64,
-    "base_failed": np.bool_, "kept": np.bool_, "dup_line_chars": np.float64, "dup_gram_chars": np.float64, "reason": object,
+    "base_failed": np.bool_, "kept": np.bool_, "dup_line_chars": np.float64, "dup_gram_chars": np.float64, "dup_mark_chars": np.float64, "reason": object,
 }
 
 
@@ -95,7 +93,7 @@ def signals(texts: pa.StringArray, rules: QualityRules) -> dict[str, np.ndarray]
     reasons = np.full(n, None, object)
     out["dup_gram_chars"] = np.zeros(n)
     over: list[tuple[str, np.ndarray]] = []
-    for length, limit in sorted({3: 1.0, **rules.gram_limits}.items()):
+    for length, limit in sorted({3: 1.0, **rules.gram_limits}.items()):  # three words are counted in any case
         grams = window_hash(words, length)
         whole = of[: len(grams)] == of[length - 1 :] if len(grams) else np.zeros(0, bool)
         places = np.flatnonzero(whole)
@@ -106,16 +104,16 @@ def signals(texts: pa.StringArray, rules: QualityRules) -> dict[str, np.ndarray]
         share = sums(chars * inside) / some
         out["dup_gram_chars"] = np.maximum(out["dup_gram_chars"], share)
         over.append((f"repeated_{length}_grams", share > limit))
-    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-    marks = letters[ends] == letters[starts]
-    capitals, small = per_text(_CAPITAL[data]), per_text(_SMALL[data])
-    n_words = np.maximum(out["n_words"], 1)
+    mark_starts, mark_ends, mark_of = runs(_MARK[data], offsets)
+    grams = window_hash(hashed(mark_starts, mark_ends), 3)
+    places = np.flatnonzero(mark_of[: len(grams)] == mark_of[2:]) if len(grams) else np.zeros(0, np.int64)
+    again, _ = _repeated(mark_of[places], grams[places])
+    inside = covered(places[again], 3, len(mark_starts))
+    out["dup_mark_chars"] = np.bincount(mark_of[inside], (mark_ends - mark_starts)[inside], minlength=n) / some
     base = [("few_words", out["n_words"] < rules.min_words), ("repeated_words", 100 * out["n_repeat_words"] > rules.max_repeat_percent * out["n_words"])]
     over += [
         ("repeated_lines", (out["dup_line_chars"] > rules.max_duplicate_line_chars) | (dup_lines > rules.max_duplicate_lines)),
-        ("symbols", out["n_symbols"] > rules.max_symbols * n_words),
-        ("marks", sums(marks) > rules.max_mark_words * n_words),
-        ("capitals", capitals > rules.max_capitals * np.maximum(capitals + small, 1)),
+        ("repeated_marks", out["dup_mark_chars"] > rules.max_repeated_marks),
     ]
     out["base_failed"] = base[0][1] | base[1][1]
     bad = out["base_failed"].copy()

@@ -9,26 +9,28 @@ _RULES = QualityRules()
 
 QUALITY = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS t FROM documents),
 w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
-g AS (SELECT rid, i, w, length(w) AS c, regexp_matches(w, '[A-Za-z0-9]') OR octet_length(encode(w)) > length(w) AS lettered FROM w),
+g AS (SELECT rid, i, w, length(w) AS c FROM w),
 x AS (SELECT *, CASE WHEN lead(i, 1) OVER o IS NOT NULL THEN w || ' ' || lead(w, 1) OVER o END AS g2,
  CASE WHEN lead(i, 2) OVER o IS NOT NULL THEN w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o END AS g3 FROM g WINDOW o AS (PARTITION BY rid ORDER BY i)),
 y AS (SELECT *, CASE WHEN lead(i, 4) OVER o IS NOT NULL THEN g3 || ' ' || lead(g2, 3) OVER o END AS g5 FROM x WINDOW o AS (PARTITION BY rid ORDER BY i)),
 z AS (SELECT *, CASE WHEN lead(i, 6) OVER o IS NOT NULL THEN g5 || ' ' || lead(g2, 5) OVER o END AS g7, CASE WHEN lead(i, 9) OVER o IS NOT NULL THEN g5 || ' ' || lead(g5, 5) OVER o END AS g10 FROM y WINDOW o AS (PARTITION BY rid ORDER BY i)),
-r AS (SELECT rid, i, c, lettered, g2 IS NOT NULL AND COUNT(*) OVER (PARTITION BY rid, g2) > 1 AS r2, g3 IS NOT NULL AND COUNT(*) OVER (PARTITION BY rid, g3) > 1 AS r3, g5 IS NOT NULL AND COUNT(*) OVER (PARTITION BY rid, g5) > 1 AS r5,
+r AS (SELECT rid, i, c, g2 IS NOT NULL AND COUNT(*) OVER (PARTITION BY rid, g2) > 1 AS r2, g3 IS NOT NULL AND COUNT(*) OVER (PARTITION BY rid, g3) > 1 AS r3, g5 IS NOT NULL AND COUNT(*) OVER (PARTITION BY rid, g5) > 1 AS r5,
  g7 IS NOT NULL AND COUNT(*) OVER (PARTITION BY rid, g7) > 1 AS r7, g10 IS NOT NULL AND COUNT(*) OVER (PARTITION BY rid, g10) > 1 AS r10 FROM z),
-k AS (SELECT rid, c, lettered, bool_or(r2) OVER (PARTITION BY rid ORDER BY i ROWS 1 PRECEDING) AS c2, bool_or(r3) OVER (PARTITION BY rid ORDER BY i ROWS 2 PRECEDING) AS c3, bool_or(r5) OVER (PARTITION BY rid ORDER BY i ROWS 4 PRECEDING) AS c5,
+k AS (SELECT rid, c, bool_or(r2) OVER (PARTITION BY rid ORDER BY i ROWS 1 PRECEDING) AS c2, bool_or(r3) OVER (PARTITION BY rid ORDER BY i ROWS 2 PRECEDING) AS c3, bool_or(r5) OVER (PARTITION BY rid ORDER BY i ROWS 4 PRECEDING) AS c5,
  bool_or(r7) OVER (PARTITION BY rid ORDER BY i ROWS 6 PRECEDING) AS c7, bool_or(r10) OVER (PARTITION BY rid ORDER BY i ROWS 9 PRECEDING) AS c10 FROM r),
-s AS (SELECT rid, COUNT(*) AS n_words, CAST(SUM(c) AS BIGINT) AS word_chars, COUNT(*) FILTER (c3) AS n_repeat_words, COUNT(*) FILTER (NOT lettered) AS marks, SUM(c) FILTER (c2) AS s2, SUM(c) FILTER (c3) AS s3, SUM(c) FILTER (c5) AS s5, SUM(c) FILTER (c7) AS s7, SUM(c) FILTER (c10) AS s10 FROM k GROUP BY 1),
+s AS (SELECT rid, COUNT(*) AS n_words, CAST(SUM(c) AS BIGINT) AS word_chars, COUNT(*) FILTER (c3) AS n_repeat_words, SUM(c) FILTER (c2) AS s2, SUM(c) FILTER (c3) AS s3, SUM(c) FILTER (c5) AS s5, SUM(c) FILTER (c7) AS s7, SUM(c) FILTER (c10) AS s10 FROM k GROUP BY 1),
 l AS (SELECT rid, l, row_number() OVER (PARTITION BY rid, l) AS n, list_sum(list_transform(regexp_extract_all(l, '[^\x20\x09-\x0D]+'), lambda q: length(q))) AS c FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 m AS (SELECT rid, COUNT(*) AS lines, COUNT(*) FILTER (n > 1) AS n_dup_lines, SUM(c) FILTER (n > 1) AS dup_chars FROM l GROUP BY 1),
+v AS (SELECT rid, unnest(vs) AS v, generate_subscripts(vs, 1) AS i FROM (SELECT rid, regexp_extract_all(t, '[!-/:-@\[-`{{-~]+') AS vs FROM d)),
+v3 AS (SELECT rid, i, length(v) AS c, CASE WHEN lead(i, 2) OVER o IS NOT NULL THEN v || ' ' || lead(v, 1) OVER o || ' ' || lead(v, 2) OVER o END AS g FROM v WINDOW o AS (PARTITION BY rid ORDER BY i)),
+vr AS (SELECT rid, i, c, g IS NOT NULL AND COUNT(*) OVER (PARTITION BY rid, g) > 1 AS r FROM v3),
+vk AS (SELECT rid, SUM(c) FILTER (r) AS mark_chars FROM (SELECT rid, c, bool_or(r) OVER (PARTITION BY rid ORDER BY i ROWS 2 PRECEDING) AS r FROM vr) GROUP BY 1),
 a AS (SELECT d.doc_id, COALESCE(n_words, 0) AS n_words, COALESCE(word_chars, 0) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, COALESCE(n_dup_lines, 0) AS n_dup_lines, COALESCE(n_repeat_words, 0) AS n_repeat_words,
- COALESCE(dup_chars, 0) / greatest(word_chars, 1) AS dup_line_chars, COALESCE(n_dup_lines, 0) / greatest(lines, 1) AS dup_lines, COALESCE(marks, 0) AS marks,
- COALESCE(s2, 0) / greatest(word_chars, 1) AS f2, COALESCE(s3, 0) / greatest(word_chars, 1) AS f3, COALESCE(s5, 0) / greatest(word_chars, 1) AS f5, COALESCE(s7, 0) / greatest(word_chars, 1) AS f7, COALESCE(s10, 0) / greatest(word_chars, 1) AS f10,
- length(regexp_replace(t, '[^A-Z]', '', 'g')) AS caps, length(regexp_replace(t, '[^a-z]', '', 'g')) AS small FROM d LEFT JOIN s USING (rid) LEFT JOIN m USING (rid)),
+ COALESCE(dup_chars, 0) / greatest(word_chars, 1) AS dup_line_chars, COALESCE(n_dup_lines, 0) / greatest(lines, 1) AS dup_lines, COALESCE(mark_chars, 0) / greatest(word_chars, 1) AS dup_mark_chars,
+ COALESCE(s2, 0) / greatest(word_chars, 1) AS f2, COALESCE(s3, 0) / greatest(word_chars, 1) AS f3, COALESCE(s5, 0) / greatest(word_chars, 1) AS f5, COALESCE(s7, 0) / greatest(word_chars, 1) AS f7, COALESCE(s10, 0) / greatest(word_chars, 1) AS f10 FROM d LEFT JOIN s USING (rid) LEFT JOIN m USING (rid) LEFT JOIN vk USING (rid)),
 b AS (SELECT *, CASE WHEN n_words < {min_words} THEN 'few_words' WHEN 100 * n_repeat_words > {max_repeat_percent} * n_words THEN 'repeated_words' WHEN f2 > {g2} THEN 'repeated_2_grams' WHEN f3 > {g3} THEN 'repeated_3_grams' WHEN f5 > {g5} THEN 'repeated_5_grams'
- WHEN f7 > {g7} THEN 'repeated_7_grams' WHEN f10 > {g10} THEN 'repeated_10_grams' WHEN dup_line_chars > {max_duplicate_line_chars} OR dup_lines > {max_duplicate_lines} THEN 'repeated_lines' WHEN n_symbols > {max_symbols} * greatest(n_words, 1) THEN 'symbols'
- WHEN marks > {max_mark_words} * greatest(n_words, 1) THEN 'marks' WHEN caps > {max_capitals} * greatest(caps + small, 1) THEN 'capitals' END AS reason FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words AS base_failed, reason IS NULL AS kept, dup_line_chars, greatest(f2, f3, f5, f7, f10) AS dup_gram_chars, reason FROM b""".format(**{f"g{n}": limit for n, limit in _RULES.gram_limits.items()}, **{k: v for k, v in vars(_RULES).items() if k != "gram_limits"})
+ WHEN f7 > {g7} THEN 'repeated_7_grams' WHEN f10 > {g10} THEN 'repeated_10_grams' WHEN dup_line_chars > {max_duplicate_line_chars} OR dup_lines > {max_duplicate_lines} THEN 'repeated_lines' WHEN dup_mark_chars > {max_repeated_marks} THEN 'repeated_marks' END AS reason FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words AS base_failed, reason IS NULL AS kept, dup_line_chars, greatest(f2, f3, f5, f7, f10) AS dup_gram_chars, dup_mark_chars, reason FROM b""".format(**{f"g{n}": limit for n, limit in _RULES.gram_limits.items()}, **{k: v for k, v in vars(_RULES).items() if k != "gram_limits"})
 
 CHAT = r"""WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 e AS (SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 + COALESCE(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda r: length(r) - 2)), 0) AS shown FROM c)

@@ -20,6 +20,7 @@ def rows():
     rng = random.Random(5)
     texts = [prose(rng, rng.randint(3, 120)) for _ in range(40)]
     texts += [texts[0], texts[1], texts[1], None, None, "", " ", "\n\t \x0b", "one", "one two", "Ünïcode ÀÉ 東京 😀 words " * 20, "x" * 50_000, "a b c " * 9_000, "line one is here\n" * 30, "12 + 34 = 46 $$ ## %%"]
+    texts.append(" ".join(rng.choice(WORDS) + str(rng.randint(1, 9)) for _ in range(80)))
     out = [(i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)]
     return [*out, out[3], out[3], (None, "a row without an id", None, None, None), (None, None, None, None, None)]
 

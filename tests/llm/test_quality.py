@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -51,9 +52,48 @@ def test_keep_good_returns_the_rows_untouched(clashing):
     assert {r.doc_id for r in kept.collect()} == ids and ids
 
 
+def test_marks_equal_brute_force():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab .,|#%\n") for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    got = signals(pa.array(texts), QualityRules())["dup_mark_chars"]
+    for text, share in zip(texts, got, strict=True):
+        marks = re.findall(r"[!-/:-@\[-`{-~]+", text)
+        grams = Counter(zip(marks, marks[1:], marks[2:], strict=False))
+        inside = {k for i in range(len(marks) - 2) if grams[tuple(marks[i : i + 3])] > 1 for k in range(i, i + 3)}
+        assert share == sum(len(marks[k]) for k in inside) / max(sum(map(len, WORD.findall(text))), 1)
+
+
 def test_verdict_on_planted_texts(spark):
     good = " ".join(f"word{i} and other{i * 7}" for i in range(40))
-    bad = {"loop": "again and again " * 60, "lines": "this same line stands here once more\n" * 20, "symbols": " ".join(f"w{i}%%%" for i in range(80)), "capitals": good.upper()}
-    rows = [("good", good), *bad.items()]
+    bad = {"loop": "again and again " * 60, "lines": "this same line stands here once more\n" * 20, "marks": " ".join(f"w{i}%%%" for i in range(80))}
+    rows = [("good", good), ("capitals", good.upper()), *bad.items()]
     got = {r.doc_id: r.kept for r in quality_signals(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
-    assert got == {"good": True, **dict.fromkeys(bad, False)}
+    assert got == {"good": True, "capitals": True, **dict.fromkeys(bad, False)}
+
+
+def test_planted_repetition_is_found_and_clean_text_left_alone():
+    """Passages, phrases and lines that repeat over a third to a half of a text, below the base rule, against the same texts without."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: [rng.choice(words) + rng.choice([*[""] * 8, ",", "."]) for _ in range(n)]
+    clean, planted = [], []
+    for _ in range(400):
+        lines = [prose(rng.randint(8, 20)) for _ in range(rng.randint(10, 30))]
+        clean.append("\n".join(map(" ".join, lines)))
+        n, kind = sum(map(len, lines)), rng.randrange(3)
+        share = rng.uniform(0.35, 0.48)
+        if kind == 2:  # one line again and again
+            line = prose(12)
+            lines += [line] * max(2, round(share * n / (1 - share) / 12))
+            rng.shuffle(lines)
+        else:  # a phrase, or a passage of a few lines' words, inside other lines
+            phrase = prose(rng.randint(5, 9) if kind else rng.randint(20, 40))
+            for _ in range(max(2, round(share * n / (1 - share) / len(phrase)))):
+                at = rng.choice(lines)
+                cut = rng.randint(0, len(at))
+                at[cut:cut] = phrase
+        planted.append("\n".join(map(" ".join, lines)))
+    kept, left = (signals(pa.array(x), QualityRules()) for x in (clean, planted))
+    assert kept["kept"].mean() >= 0.99
+    fresh = ~left["base_failed"]
+    assert fresh.sum() > 200 and (~left["kept"])[fresh].mean() >= 0.95
