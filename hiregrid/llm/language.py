@@ -4,8 +4,10 @@ A suffix automaton of labelled text per language accepts all its substrings. A t
 language's text is one phrase, the next phrase begins where it ends. A language whose text is like it needs few,
 long phrases; phrases * log2(reference length) / text length estimates the cross entropy, and the smallest wins.
 
-The automata are walked as tables over bytes of lower-cased text, many stretches of text at a time in numpy, so every whole text is
-parsed. Fitting takes a bounded sample: documents in the order of a hash of their id, up to SAMPLE_BYTES for each language.
+The automata are walked as tables over bytes of lower-cased text, many stretches of text at a time in numpy. Each stretch is first walked
+from the root; then those whose predecessor ends in another state are walked again from that state, until they meet their first walk. So
+phrases go on across stretches, and the result is that of one unbroken parse of the whole text. Fitting takes a bounded sample:
+documents in the order of a hash of their id, up to SAMPLE_BYTES for each language and SAMPLE_TOTAL for all.
 
 Defined cases: a null text or one without letters is `und` with score 0, as is every text if nothing is labelled; a tie goes to the
 first language by name; repeated rows get equal results; null ids are carried; other columns are ignored.
@@ -24,12 +26,13 @@ from pyspark.sql import types as T
 
 from .common import flat, pieces
 
-#: Bytes of labelled text behind each language's automaton, documents drawn for them, and languages at most.
+#: Bytes of labelled text behind each language's automaton and behind all (which share them evenly), and documents drawn for each.
 SAMPLE_BYTES = 32_768
+SAMPLE_TOTAL = 1 << 19
 SAMPLE_DOCS = 48
-MOST_LANGUAGES = 256
-#: A parse starts afresh after so many bytes, so that a long text is walked in parallel.
+#: Bytes that one lane of a walk takes, and bytes of a text in one walk; a matter of time and memory, not of results.
 STRETCH = 256
+SEGMENT = 1 << 22
 
 _SPACE = 0x20
 
@@ -83,49 +86,89 @@ _LETTER = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
 class CrossParser:
     """One walk table for each language."""
 
-    def __init__(self, samples: dict[str, bytes]) -> None:
-        seen = sorted({b for s in samples.values() for b in s})
-        self.symbol = np.full(256, len(seen), np.int32)
-        self.symbol[seen] = np.arange(len(seen))
+    def __init__(self, samples: dict[str, bytes], stretch: int = STRETCH, segment: int = SEGMENT) -> None:
+        self.stretch, self.segment = stretch, segment
         self.languages = sorted(samples)
         self.bits = np.array([np.log2(len(samples[x]) + 1) for x in self.languages])
-        self.tables = [self._table(samples[x], seen) for x in self.languages]
+        self.tables = [self._table(samples[x]) for x in self.languages]
 
     @staticmethod
-    def _table(sample: bytes, seen: list[int]) -> np.ndarray:
-        """Entries are (next state * width) * 2, and 1 more if a phrase begins with this byte."""
+    def _table(sample: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each byte, and entries of (next state * width) * 2, and 1 more if a phrase begins with this byte."""
+        seen = sorted(set(sample))
+        symbol = np.full(256, len(seen), np.int32)
+        symbol[seen] = np.arange(len(seen))
         moves, width = suffix_automaton(sample), len(seen) + 1
-        number = {b: i for i, b in enumerate(seen)}
         table = np.full((len(moves), width), -1, np.int64)
         for state, row in enumerate(moves):
             for c, to in row.items():
-                table[state, number[c]] = to * width * 2
+                table[state, symbol[c]] = to * width * 2
         # A phrase begins at the root, with a byte that can't go on, and with one that no phrase has, which is a phrase by itself.
         table[0] = fresh = np.where(table[0] < 0, 0, table[0]) | 1
-        return np.where(table < 0, fresh, table).astype(np.int32 if len(moves) * width < 1 << 30 else np.int64).ravel()
+        return symbol, np.where(table < 0, fresh, table).astype(np.int32 if len(moves) * width < 1 << 30 else np.int64).ravel()
+
+    def _walk(self, table: np.ndarray, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One unbroken parse of each range from its state: the phrases that begin in it, and its last state."""
+        each = -(-(ends - starts) // self.stretch)
+        of = np.repeat(np.arange(len(starts)), each)
+        first = np.cumsum(each) - each
+        low = starts[of] + self.stretch * (np.arange(len(of)) - first[of])
+        high = np.minimum(ends[of], low + self.stretch)
+        head = np.zeros(len(of), bool)
+        head[first[each > 0]] = True
+        path, begins = np.zeros(max(len(symbols), 1), table.dtype), np.zeros(len(symbols), bool)
+
+        def run(lanes: np.ndarray, now: np.ndarray, again: bool) -> None:
+            length = high[lanes] - low[lanes]
+            order = np.argsort(-length, kind="stable")
+            at, now, left = low[lanes][order], now[order], length[order]
+            for k in range(self.stretch):
+                alive = left > k
+                if not alive.all():
+                    at, now, left = at[alive], now[alive], left[alive]
+                if not len(at):
+                    return
+                step = table[now + symbols[at + k]]
+                now = step >> 1
+                if again:
+                    apart = now != path[at + k]
+                    begins[at + k] = step & 1
+                    if not apart.all():
+                        at, now, left = at[apart], now[apart], left[apart]
+                    path[at + k] = now
+                else:
+                    path[at + k], begins[at + k] = now, step & 1
+
+        given = np.where(head, state[of], 0)
+        run(np.arange(len(of)), given, False)
+        todo = np.flatnonzero(~head)
+        while len(todo):
+            entered = path[low[todo] - 1].astype(np.int64)
+            changed = entered != given[todo]
+            todo, entered = todo[changed], entered[changed]
+            given[todo] = entered
+            last = path[high[todo] - 1].copy()
+            run(todo, entered, True)
+            # Lanes behind one whose last state has changed are walked again.
+            todo = todo[path[high[todo] - 1] != last] + 1
+            todo = todo[todo < len(of)]
+            todo = todo[~head[todo]]
+        total = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
+        return total[ends] - total[starts], np.where(ends > starts, path[np.maximum(ends, 1) - 1], state)
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each text in each language."""
-        n = np.diff(offsets)
-        each = -(-n // STRETCH)
-        doc = np.repeat(np.arange(len(n)), each)
-        start = offsets[:-1][doc] + STRETCH * (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each))
-        length = np.minimum(offsets[1:][doc] - start, STRETCH)
-        order = np.argsort(-length, kind="stable")
-        start, doc = start[order], doc[order]
-        alive = len(length) - np.searchsorted(np.sort(length), np.arange(STRETCH), side="right")
-        symbols = self.symbol[data]
-        out = np.zeros((len(n), len(self.languages)))
-        for i, table in enumerate(self.tables):
-            state, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-            for k in range(STRETCH):
-                m = int(alive[k])
-                if not m:
-                    break
-                step = table[state[:m] + symbols[start[:m] + k]]
-                count[:m] += step & 1
-                state[:m] = step >> 1
-            out[:, i] = np.bincount(doc, count, minlength=len(n))
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        for i, (symbol, table) in enumerate(self.tables):
+            state, rows, low = np.zeros(len(out), np.int64), np.arange(len(out)), offsets[:-1]
+            while len(rows):
+                high = np.minimum(low + self.segment, offsets[1:][rows])
+                # Texts of a buffer follow each other; only one longer than a segment comes here again, by itself.
+                base = int(low[0])
+                count, state = self._walk(table, symbol[data[base : int(high.max())]], low - base, high - base, state)
+                out[rows, i] += count
+                more = high < offsets[1:][rows]
+                rows, low, state = rows[more], high[more], state[more]
         return out
 
     def predict(self, texts: pa.StringArray) -> tuple[list[str], np.ndarray]:
@@ -152,16 +195,17 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrossParser:
     """Automata from a bounded sample of the labelled documents outside the held-out fold."""
     rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), docs[lang_col].alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("i")))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return CrossParser({})
+    most = min(SAMPLE_BYTES, SAMPLE_TOTAL // len(counts))
     place = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(7)), F.lit(1 << 40))
     limit = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, SAMPLE_DOCS / n) * (1 << 40)))))
     sample: dict[str, bytes] = {}
-    for row in rows.where(place < F.element_at(limit, F.col("l"))).select("l", F.substring("t", 1, SAMPLE_BYTES).alias("t"), place.alias("p")).orderBy("p", "t").limit(SAMPLE_DOCS * 2 * len(counts)).collect():
+    for row in rows.where(place < F.element_at(limit, F.col("l"))).select("l", F.substring("t", 1, most).alias("t"), place.alias("p")).orderBy("p", "t").limit(SAMPLE_DOCS * 2 * len(counts)).collect():
         own = sample.setdefault(row["l"], b"")
-        if len(own) < SAMPLE_BYTES:
-            sample[row["l"]] = (own + normal_bytes(pa.array([row["t"]]))[0].tobytes() + b" ")[:SAMPLE_BYTES]
+        if len(own) < most:
+            sample[row["l"]] = (own + normal_bytes(pa.array([row["t"]]))[0].tobytes() + b" ")[:most]
     return CrossParser(sample)
 
 

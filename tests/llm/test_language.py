@@ -6,6 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hiregrid.llm.language import CrossParser, held_out, identify, suffix_automaton
@@ -18,15 +21,13 @@ def text(rng: random.Random, lang: str, n: int) -> str:
 
 
 def phrases(sample: bytes, data: bytes) -> int:
-    """Greedy longest matches, one after the other, afresh every 256 bytes."""
-    n = 0
-    for start in range(0, len(data), 256):
-        part, i = data[start : start + 256], 0
-        while i < len(part):
-            k = 1
-            while i + k < len(part) and part[i : i + k + 1] in sample:
-                k += 1
-            n, i = n + 1, i + k
+    """Greedy longest matches, one after the other, over the whole text."""
+    n = i = 0
+    while i < len(data):
+        k = 1
+        while i + k < len(data) and data[i : i + k + 1] in sample:
+            k += 1
+        n, i = n + 1, i + k
     return n
 
 
@@ -45,16 +46,24 @@ def test_automaton_accepts_exactly_the_substrings():
     assert all(map(accepts, every)) and not any(map(accepts, (b"aa", b"cc", b"abcab", b"bb")))
 
 
-def test_phrases_equal_brute_force():
+@pytest.mark.parametrize(("stretch", "segment"), [(256, 1 << 22), (3, 50), (1, 7), (16, 64)])
+def test_phrases_equal_one_unbroken_parse(stretch, segment):
     rng = random.Random(1)
     samples = {lang: text(rng, lang, 60).encode() for lang in SYLLABLES}
-    parser = CrossParser(samples)
-    texts = [text(rng, rng.choice(list(SYLLABLES)), rng.randint(1, 120)).encode() for _ in range(12)] + [b"zz!"]
+    parser = CrossParser(samples, stretch, segment)
+    texts = [b"", *(text(rng, rng.choice(list(SYLLABLES)), rng.randint(1, 120)).encode() for _ in range(12)), b"", b"zz!", samples["aa"] + samples["aa"], samples["bb"][:200], b""]
     data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     want = [[phrases(samples[lang], t) for lang in parser.languages] for t in texts]
     assert parser.phrases(data, bounds).tolist() == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=1, max_size=40).map(lambda b: bytes(x % 3 + 97 for x in b)), st.lists(st.binary(max_size=60).map(lambda b: bytes(x % 4 + 97 for x in b)), max_size=5), st.integers(1, 5), st.integers(5, 20))
+def test_any_text_is_parsed_unbroken(sample, texts, stretch, segment):
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert CrossParser({"x": sample}, stretch, segment).phrases(data, bounds)[:, 0].tolist() == [phrases(sample, t) for t in texts]
+
+
 def test_held_out_accuracy_and_leak(spark):
     rng = random.Random(2)
     rows = [(i, text(rng, lang, rng.randint(5, 80)), lang) for i in range(240) for lang in [rng.choice(list(SYLLABLES))]]
