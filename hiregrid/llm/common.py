@@ -158,6 +158,29 @@ def covered(starts: np.ndarray, length: int | np.ndarray, total: int) -> np.ndar
     return np.cumsum(steps[:-1]) > 0
 
 
+#: Bits, as a power of two, of a filter that spares rows a shuffle; the join after it is exact, so this is a matter of time.
+FILTER_BITS = 24
+
+
+def _filter_word(x: Column) -> Column:
+    return F.pmod(F.shiftright(x, 6), F.lit(1 << (FILTER_BITS - 6)))
+
+
+def _filter_bit(x: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+
+def masks(ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """A filter for the hashes in `id_col`: at most 2 ** (FILTER_BITS - 6) rows, so it may be broadcast."""
+    return ids.select(_filter_word(F.col(id_col)).alias("_word"), _filter_bit(F.col(id_col)).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def among(rows: DataFrame, filter_: DataFrame, id_col: str = "id") -> DataFrame:
+    """Adds `_among`: false only where the filter lacks the row's hash."""
+    found = rows.join(F.broadcast(filter_), _filter_word(F.col(id_col)) == F.col("_word"), "left")
+    return found.withColumn("_among", F.coalesce(F.col("_bits").bitwiseAND(_filter_bit(F.col(id_col))) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def ranked(rows: DataFrame, keys: list[str], order: list[str], out: str, n_rows: int, in_bucket: int = 4096) -> DataFrame:
     """Adds `out`, a gapless rank from 0 within the keys (any number of rows a key), in order of a hash and `order`.
 

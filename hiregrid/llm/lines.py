@@ -1,18 +1,20 @@
 """Line dedup with a log-template tree, in DataFrame operations alone.
 
-A line's path in the tree has a fixed depth: its number of tokens, its leading tokens, then the rest in four stretches of which one may
-be a wildcard. Tokens with digits are variable fields everywhere (`<*>`). So a line has one exact template and, if it is long enough,
-four with a generalised stretch; each is one 64-bit key. A template that recurs in at least `min_docs` host documents is
-boilerplate, and lines under it are dropped from all documents.
+A line's path in the tree has a fixed depth: its number of tokens, its leading tokens, then STRETCHES stretches of the rest (single tokens
+in short lines). In a leaf, a stretch that stands in few lines is a variable field, any number of them in a line, and tokens with
+digits are variable everywhere (`<*>`). A line whose tokens are mostly constant has so one generalised template; besides, every line of
+any length is its own exact template. A template that recurs in at least `min_docs` different host documents is boilerplate, and lines
+under it are dropped from all documents. Very short lines need more hosts, for they also recur by chance.
 
-A document whose words lie mostly in lines that recur word for word, or under the templates found at first, is a copy of
-others, not a host: it doesn't vote, so groups of copied documents keep their text, and lose only what documents of other
-content have in common.
+Votes are counted by distinct texts, so copies of a text count once and a document's own repeats don't count. A text of which little is
+left without what it shares with others, by exact or generalised templates, is an edited copy, not a host: it doesn't vote. So groups of copied
+documents keep their text, and lose only what documents of other content have in common.
 
-Only keys are shuffled until the last join, which brings each document the keys of its lines that go. Counts are
-combined before their shuffle, so a line in a third of all documents is a counter, not a group.
+Only keys are shuffled until the last join, which brings each text the keys of its lines that go; keys that occur once are left out
+before their shuffle by a filter of fixed size. Counts are combined before their shuffle, so a line in a third of all documents is a
+counter, not a group.
 
-Defined cases: a null or empty text is returned as it is; lines of fewer than `min_tokens` tokens stay; a document that
+Defined cases: a null or empty text is returned as it is, as are lines of nothing but white space or variable fields; a document that
 loses all lines keeps an empty text; repeated rows and ids are treated alike and all returned; an empty table gives an empty table;
 other columns are returned untouched, whatever their names.
 """
@@ -20,25 +22,32 @@ other columns are returned untouched, whatever their names.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import among, checkpointed, masks
+
+#: Stretches of a line behind its leading tokens.
+STRETCHES = 8
 
 
 @dataclass(frozen=True)
 class LineRules:
     #: Host documents in which a template recurs.
     min_docs: int = 5
-    min_tokens: int = 3
-    #: Tokens from which, and up to which, one stretch of a line may be generalised.
-    min_general: int = 8
-    max_general: int = 48
+    #: The same for exact templates of fewer than `few` tokens, and for generalised ones of fewer than `short`.
+    min_docs_short: int = 20
+    few: int = 3
+    short: int = 8
     #: Leading tokens on the tree's path.
     leading: int = 2
-    #: A host has less than this share of its words in lines that recur in other documents.
-    max_copied: float = 0.5
+    #: Share of a line's tokens that a generalised template keeps, and the same for short lines.
+    min_constant: float = 0.6
+    min_constant_short: float = 0.75
+    #: A host has at least this share of its words in lines that it doesn't share.
+    min_own: float = 0.3
 
 
 def _normal(line: Column) -> Column:
@@ -46,7 +55,7 @@ def _normal(line: Column) -> Column:
     uneven = line.contains("  ")
     for sign in "\t\r\x0b\f":
         uneven |= line.contains(sign)
-    line = F.trim(F.when(uneven, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+    line = F.trim(F.when(uneven, F.regexp_replace(line, r"[ \t\r\x0B\f]+", " ")).otherwise(line))
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
 
 
@@ -54,42 +63,73 @@ def _exact(normal: Column) -> Column:
     return F.xxhash64(normal)
 
 
+def _tokens(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _cut(rules: LineRules, j: int | Column) -> Column:
+    """Tokens before the j-th stretch."""
+    return (F.lit(rules.leading) + F.floor((F.col("n") - rules.leading) * j / STRETCHES)).cast("int")
+
+
+def _before(line: Column, n: Column) -> Column:
+    """The first n tokens; with a negative number the last ones."""
+    return F.call_function("substring_index", line, F.lit(" "), n)
+
+
 def line_keys(docs: DataFrame, rules: LineRules) -> DataFrame:
-    """Per document and distinct line of enough tokens: doc (a key of the row), total (words), words, line (key), general (keys)."""
-    lines = docs.select("_doc", F.explode(F.array_distinct(F.split("_text", "\n"))).alias("raw"))
-    # As a generator's output the normal form is computed once, and not again by the filter below.
-    lines = lines.select("_doc", F.explode(F.array(_normal(F.col("raw")))).alias("l"))
-    lines = lines.withColumn("n", F.octet_length("l") - F.octet_length(F.replace(F.col("l"), F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= rules.min_tokens)
-    # The four stretches are cut and hashed once each; a general key is made of three of the hashes.
-    lines = lines.withColumns({f"p{j}": F.expr(f"substring_index(l, ' ', int(n * {j} / 4))") for j in (1, 2, 3)})
-    stretch = {0: F.col("p1"), 1: F.expr("substring(p2, length(p1) + 1)"), 2: F.expr("substring(p3, length(p2) + 1)"), 3: F.expr("substring(l, length(p3) + 1)")}
-    lines = lines.withColumns({f"h{j}": F.xxhash64(x) for j, x in stretch.items()} | {"lead": F.xxhash64(F.expr(f"substring_index(l, ' ', {rules.leading})"))})
-    general = [F.xxhash64(F.lit(j), "n", "lead", *(f"h{k}" for k in range(4) if k != j)) for j in range(4)]
-    fits = F.col("n").between(rules.min_general, rules.max_general)
-    return lines.select("_doc", F.col("n").cast("int").alias("words"), _exact(F.col("l")).alias("line"), F.when(fits, F.array(*general)).alias("general"))
+    """Per text and distinct normal line: _doc, total (words of the text), n (tokens), masked, line (its key), stretches (keys; null for an empty one)."""
+    lines = docs.select("_doc", F.filter(F.array_distinct(F.transform(F.split("_text", "\n"), _normal)), lambda x: F.trim(F.replace(x, F.lit("<*>"), F.lit(""))) != "").alias("ls"))
+    total = F.aggregate("ls", F.lit(0), lambda acc, x: acc + _tokens(x))
+    lines = lines.select("_doc", total.alias("total"), F.explode("ls").alias("l")).withColumn("n", _tokens(F.col("l")))
+    masked = (F.octet_length("l") - F.octet_length(F.replace(F.col("l"), F.lit("<*>"), F.lit("")))) / 3
+    lines = lines.withColumns({"leaf": F.xxhash64("n", F.expr(f"substring_index(l, ' ', {rules.leading})")), "masked": masked.cast("int")})
+    lines = lines.withColumns({f"p{j}": _before(F.col("l"), _cut(rules, j)) if j < STRETCHES else F.col("l") for j in range(1, STRETCHES + 1)})
+    keys = []
+    for j in range(STRETCHES):
+        size = _cut(rules, j + 1) - _cut(rules, j)
+        keys.append(F.when(size > 0, F.xxhash64("leaf", F.lit(j), _before(F.col(f"p{j + 1}"), -size))))
+    return lines.select("_doc", "total", "n", "masked", _exact(F.col("l")).alias("line"), F.when(F.col("n") > rules.leading + 1, F.array(*keys)).alias("stretches"))
+
+
+def _only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows whose hash `on` is among `ids` (a checkpoint with a column of that name)."""
+    return among(rows, masks(ids, on), on).where("_among").drop("_among").join(ids, on, "left_semi")
+
+
+def templates(lines: DataFrame, rules: LineRules) -> DataFrame:
+    """_doc, line, n, total and template of every line that has a generalised one."""
+    keys = lines.where("stretches IS NOT NULL")
+    often = checkpointed(keys.select(F.explode("stretches").alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= rules.min_docs).select("key"))
+    size = _cut(rules, F.col("j") + 1) - _cut(rules, F.col("j"))
+    each = _only(keys.select("_doc", "line", "n", "total", "masked", F.posexplode("stretches").alias("j", "key")).where("key IS NOT NULL"), often, "key")
+    # As a set, for copies of a text have the same lines.
+    found = each.groupBy("_doc", "line", "n", "total", "masked").agg(F.array_sort(F.collect_set(F.struct("j", "key", size.alias("size")))).alias("found"))
+    constant = F.aggregate("found.size", F.lit(0), lambda acc, x: acc + x)
+    least = F.when(F.col("n") < rules.short, rules.min_constant_short).otherwise(rules.min_constant)
+    return found.where(constant + rules.leading - F.col("masked") >= least * F.col("n")).select("_doc", "line", "n", "total", F.xxhash64("found.key").alias("template"))
 
 
 def recurring_lines(docs: DataFrame, rules: LineRules) -> DataFrame:
     """_doc and line of every line under a boilerplate template."""
     lines = checkpointed(line_keys(docs, rules))
-    votes = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rules.min_docs).select(F.col("key").alias("template"))
-    without = lambda rows, copies: rows.join(copies.select(F.col("_doc").alias("copy")), F.col("_doc") == F.col("copy"), "left_anti")
+    texts = lambda rows, *keys: rows.groupBy(*keys).agg(F.count_distinct("_doc").alias("texts"), F.min("n").alias("n"))
+    own = lines.select("_doc", "line", "n", "total")
     # Written first, so that each join's exchanges are its own and Spark can split the partition of a very common line.
-    again = checkpointed(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("line").alias("known")))
-    found = F.col("known").isNotNull()
-    totals = checkpointed(lines.join(again, F.col("line") == F.col("known"), "left").groupBy("_doc").agg(F.sum(F.when(found, F.col("words")).otherwise(0)).alias("copied"), F.sum("words").alias("total")))
-    copies = totals.where(F.col("copied") >= rules.max_copied * F.col("total"))
-    keys = F.explode(F.concat(F.array("line"), F.coalesce("general", F.array().cast("array<bigint>"))))
-    templates = checkpointed(votes(without(lines, copies).select(keys.alias("key"))))
-    matched = checkpointed(lines.select("_doc", "line", "words", keys.alias("key")).join(templates, F.col("key") == F.col("template"), "left_semi"))
-    # A document that lies mostly under these templates is an edited copy: it gives back its votes.
-    under = matched.select("_doc", "line", "words").distinct().groupBy("_doc").agg(F.sum("words").alias("under"))
-    edited = totals.join(under, "_doc").where(F.col("under") >= rules.max_copied * F.col("total"))
-    templates = checkpointed(votes(without(without(matched, copies), edited).select("key")))
-    return matched.join(templates, F.col("key") == F.col("template"), "left_semi").select("_doc", "line").distinct()
-
-
-def drop_recurring_lines(docs: DataFrame, rules: LineRules | None = None, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, length_col: str | None = None) -> DataFrame:
+    again = checkpointed(texts(own, "line").where("texts > 1").select("line"))
+    general = checkpointed(templates(lines, rules))
+    alike = checkpointed(texts(general, "template").where("texts > 1").select("template"))
+    shared = [_only(own, again, "line").select("_doc", "line", "n", "total", F.col("line").alias("key"), F.lit(False).alias("general")), _only(general, alike, "template").select("_doc", "line", "n", "total", F.col("template").alias("key"), F.lit(True).alias("general"))]
+    shared = checkpointed(reduce(DataFrame.unionByName, shared).distinct())
+    hosts = shared.select("_doc", "line", "n", "total").distinct().groupBy("_doc", "total").agg(F.sum("n").alias("words"))
+    hosts = hosts.where(F.col("total") - F.col("words") >= rules.min_own * F.col("total")).select("_doc")
+    votes = texts(shared.join(hosts, "_doc", "left_semi"), "key", "general")
+    few = F.when(F.col("general"), F.col("n") < rules.short).otherwise(F.col("n") < rules.few)
+    boiler = checkpointed(votes.where(F.col("texts") >= F.when(few, rules.min_docs_short).otherwise(rules.min_docs)).select("key"))
+    return checkpointed(shared.join(boiler, "key", "left_semi").select("_doc", "line").distinct())
+
+
+def drop_recurring_lines(docs: DataFrame, rules: LineRules | None = None, text_col: str = "text", count_col: str | None = None, length_col: str | None = None) -> DataFrame:
     """The rows of `docs`, all columns, without the lines of recurring templates.
 
     `count_col`, if named, is added with the number of lines dropped; `length_col`, if named, is a column of `docs` that gets
@@ -99,15 +139,26 @@ def drop_recurring_lines(docs: DataFrame, rules: LineRules | None = None, id_col
     names = docs.columns
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
     text = f"c{names.index(text_col)}"
-    inner = inner.withColumn("_doc", F.xxhash64(f"c{names.index(id_col)}", text))
-    gone = recurring_lines(inner.select("_doc", F.col(text).alias("_text")), rules).groupBy("_doc").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("_doc", "_of")
+    inner = inner.withColumn("_doc", F.xxhash64(text))
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), _exact(_normal(x))))
-    found = inner.join(gone, F.col("_doc") == F.col("_of"), "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    found = found.withColumn("_text", F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    out = [F.col("_text") if n == text_col else F.col(f"c{i}") for i, n in enumerate(names)]
-    if length_col:
-        at = names.index(length_col)
-        out[at] = F.when(F.col("_kept").isNotNull(), F.length("_text")).otherwise(out[at]).cast(docs.schema[length_col].dataType)
-    dropped = [F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long").alias(count_col)] if count_col else []
-    return found.select(*(c.alias(n) for c, n in zip(out, names, strict=True)), *dropped)
+
+    def out(rows: DataFrame, kept: Column | None) -> DataFrame:
+        columns = [F.col(f"c{i}") for i in range(len(names))]
+        n_dropped = F.lit(0).cast("long")
+        if kept is not None:
+            rows = rows.withColumn("_kept", F.coalesce(kept, lines)).withColumn("_text", F.when(F.col(text).isNotNull(), F.array_join("_kept", "\n")))
+            columns[names.index(text_col)] = F.col("_text")
+            dropped = F.size("_kept") < F.size(lines)
+            n_dropped = F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long")
+            if length_col:
+                at = names.index(length_col)
+                columns[at] = F.when(dropped, F.length("_text")).otherwise(columns[at]).cast(docs.schema[length_col].dataType)
+        return rows.select(*(c.alias(n) for c, n in zip(columns, names, strict=True)), *([n_dropped.alias(count_col)] if count_col else []))
+
+    recurring = recurring_lines(inner.select("_doc", F.col(text).alias("_text")), rules)
+    gone = recurring.groupBy("_doc").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("_doc", "_of")
+    # Only texts that may lose a line are shuffled.
+    marked = among(inner, masks(recurring, "_doc"), "_doc")
+    found = marked.where("_among").join(gone, F.col("_doc") == F.col("_of"), "left")
+    kept = F.when(F.col("_gone").isNotNull(), F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), _exact(_normal(x)))))
+    return out(found, kept).unionByName(out(marked.where("NOT coalesce(_among, false)"), None))

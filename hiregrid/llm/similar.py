@@ -22,19 +22,17 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, RollingHash, checkpointed, flat, mixed, pieces, runs
+from .common import NOT_SPACE, RollingHash, among, checkpointed, flat, masks, mixed, pieces, runs
 from .simhash import _LOWER, HELD_MOST, components
 
 #: Texts, at least, in the sample that finds common shingles, and the largest part of the table's reciprocal.
 SAMPLE, SAMPLE_PART = 4096, 64
 #: Common shingles that the order knows; it is a matter of time, not of results.
 COMMON_MOST = 200_000
-#: Bits, as a power of two, of the filter that spares sets without a candidate the shuffle; the join after it is exact.
-FILTER_BITS = 24
 
 
 def shingle_sets(texts: pa.StringArray, words: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,29 +168,10 @@ def _candidates(sets: DataFrame, chain: bool, percent: int, held_most: int) -> D
     return checkpointed(pairs(near))
 
 
-def _masks(ids: DataFrame) -> DataFrame:
-    """A filter of fixed size for the long `id`: at most 2 ** (FILTER_BITS - 6) rows, so it may be broadcast."""
-    return ids.select(_word(F.col("id")).alias("w"), _bit(F.col("id")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-
-
-def _word(x: Column) -> Column:
-    return F.pmod(F.shiftright(x, 6), F.lit(1 << (FILTER_BITS - 6)))
-
-
-def _bit(x: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-
-
-def _among(rows: DataFrame, masks: DataFrame, x: str = "id") -> DataFrame:
-    """Adds `_among`: false only where the filter's ids lack x."""
-    found = rows.join(F.broadcast(masks), _word(F.col(x)) == F.col("w"), "left")
-    return found.withColumn("_among", F.coalesce(F.col("m").bitwiseAND(_bit(F.col(x))) != 0, F.lit(False))).drop("w", "m")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets reach the similarity."""
     pairs = pairs.where("a <> b")
-    some = _among(sets.select("id", "size", "items"), _masks(pairs.select(F.explode(F.array("a", "b")).alias("id")))).where("_among").drop("_among")
+    some = among(sets.select("id", "size", "items"), masks(pairs.select(F.explode(F.array("a", "b")).alias("id")))).where("_among").drop("_among")
     some = some.dropDuplicates(["id"])
     x = pairs.join(some.toDF("a", "size_a", "items_a"), "a").join(some.toDF("b", "size_b", "items_b"), "b")
     return checkpointed(x.where((100 + percent) * F.size(F.array_intersect("items_a", "items_b")).cast("long") >= percent * (F.col("size_a") + F.col("size_b")).cast("long")).select("a", "b"))
@@ -207,7 +186,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     own = checkpointed(sets.groupBy("id").agg(F.min("doc_id").alias("least")))
     found = _candidates(sets.select("id", "size", "first", F.col("id").alias("root")), True, percent, held_most)
     links = _verified(found, whole, percent)
-    some = _among(sets.select("id", "size", "first"), _masks(found.where("a = b").select(F.col("a").alias("id")))).where("_among").drop("_among")
+    some = among(sets.select("id", "size", "first"), masks(found.where("a = b").select(F.col("a").alias("id")))).where("_among").drop("_among")
     some = some.join(components(links), F.col("id") == F.col("node"), "left").select("id", "size", "first", F.coalesce("root", "id").alias("root"))
     links = links.unionByName(_verified(_candidates(some, False, percent, held_most), whole, percent))
     own = own.join(components(links), F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
@@ -230,7 +209,7 @@ def keep_one_similar(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     kept = each.groupBy("component_id").agg(first.alias("kept")).withColumnRenamed("component_id", "of")
     # Only rows that go, or of which one stays, are shuffled; the filter passes a few more of them.
     gone = checkpointed(each.join(kept, F.col("component_id") == F.col("of")).where((F.col("doc_id") != F.col("kept")) | (F.col("copies") > 1)).select("doc_id", (F.col("doc_id") != F.col("kept")).alias("goes")))
-    marked = _among(inner.withColumn("_hash", F.xxhash64("_doc")), _masks(gone.select(F.xxhash64("doc_id").alias("id"))), "_hash")
+    marked = among(inner.withColumn("_hash", F.xxhash64("_doc")), masks(gone.select(F.xxhash64("doc_id").alias("id"))), "_hash")
     some = marked.where("_among").join(gone, (F.col("_hash") == F.xxhash64("doc_id")) & F.col("_doc").eqNullSafe(F.col("doc_id")), "left")
     once = some.where("not goes").dropDuplicates(["_doc"])
     out = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]

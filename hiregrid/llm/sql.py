@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .lines import LineRules
+from .lines import STRETCHES, LineRules
 from .quality import QualityRules
 
 _RULES = QualityRules()
@@ -46,24 +46,23 @@ t AS (SELECT rid, COUNT(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)"""
 
 _LINES = LineRules()
-_GENERAL = ", ".join(
-    f"'{j}|' || n || '|' || array_to_string(toks[1:{_LINES.leading}], ' ') || '|' || array_to_string(toks[1:n * {j} // 4], ' ') || '|' || array_to_string(toks[n * {j + 1} // 4 + 1:], ' ')" for j in range(4)
-)
+_CUT = f"{_LINES.leading} + (n - {_LINES.leading}) * {{}} // {STRETCHES}"
 
 LINE_DEDUP = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
-raw AS (SELECT rid, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM d)),
-norm AS (SELECT rid, raw, pos, regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS l FROM raw),
-toks AS (SELECT rid, raw, pos, l, string_split(l, ' ') AS toks, len(string_split(l, ' ')) AS n FROM norm),
-own AS (SELECT DISTINCT rid, raw, l, n, toks FROM toks WHERE n >= {_LINES.min_tokens}),
-keys AS (SELECT rid, l, n, unnest(CASE WHEN n BETWEEN {_LINES.min_general} AND {_LINES.max_general} THEN ['=' || l, {_GENERAL}] ELSE ['=' || l] END) AS key FROM own),
-again AS (SELECT l FROM own GROUP BY l HAVING COUNT(*) > 1),
-totals AS (SELECT rid, SUM(CASE WHEN a.l IS NOT NULL THEN n ELSE 0 END) AS copied, SUM(n) AS total FROM own o LEFT JOIN again a ON o.l = a.l GROUP BY 1),
-hosts AS (SELECT rid, total FROM totals WHERE copied < {_LINES.max_copied} * total),
-first AS (SELECT key FROM keys JOIN hosts USING (rid) GROUP BY key HAVING COUNT(*) >= {_LINES.min_docs}),
-matched AS (SELECT keys.* FROM keys JOIN first USING (key)),
-under AS (SELECT rid, SUM(n) AS n FROM (SELECT DISTINCT rid, l, n FROM matched) GROUP BY 1),
-voters AS (SELECT rid FROM hosts LEFT JOIN under USING (rid) WHERE COALESCE(n, 0) < {_LINES.max_copied} * total),
-templates AS (SELECT key FROM matched JOIN voters USING (rid) GROUP BY key HAVING COUNT(*) >= {_LINES.min_docs}),
-gone AS (SELECT DISTINCT rid, l FROM matched JOIN templates USING (key)),
-kept AS (SELECT t.rid, string_agg(raw, chr(10) ORDER BY pos) FILTER (g.l IS NULL) AS text, COUNT(g.l) AS n_dropped FROM toks t LEFT JOIN gone g ON t.rid = g.rid AND t.l = g.l GROUP BY 1)
-SELECT doc_id, CASE WHEN kept.rid IS NULL THEN d.text ELSE COALESCE(kept.text, '') END AS text, COALESCE(n_dropped, 0) AS n_dropped FROM d LEFT JOIN kept USING (rid)"""
+copies AS (SELECT text, row_number() OVER () AS tid, COUNT(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text),
+raw AS (SELECT tid, copies, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM (SELECT tid, copies, string_split(text, chr(10)) AS ls FROM copies)),
+norm AS (SELECT tid, copies, raw, pos, regexp_replace(trim(regexp_replace(raw, '[ \t\r\x0B\f]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS l FROM raw),
+own AS (SELECT DISTINCT tid, copies, l, string_split(l, ' ') AS toks, len(string_split(l, ' ')) AS n FROM norm WHERE trim(replace(l, '<*>', '')) <> ''),
+parts AS (SELECT tid, copies, l, n, j, e - b AS size, list_filter(toks, lambda t: contains(t, '<*>')).len() AS masked, n || '|' || array_to_string(toks[1:{_LINES.leading}], ' ') || '|' || j || '|' || array_to_string(toks[b + 1:e], ' ') AS part
+ FROM (SELECT *, {_CUT.format("j")} AS b, {_CUT.format("(j + 1)")} AS e FROM own, range({STRETCHES}) AS r(j) WHERE n > {_LINES.leading + 1}) WHERE e > b),
+often AS (SELECT part FROM parts GROUP BY part HAVING SUM(copies) >= {_LINES.min_docs}),
+general AS (SELECT tid, l, n, string_agg(part, chr(10) ORDER BY j) AS template FROM parts JOIN often USING (part) GROUP BY tid, l, n
+ HAVING SUM(size) + {_LINES.leading} - MIN(masked) >= CASE WHEN n < {_LINES.short} THEN {_LINES.min_constant_short} ELSE {_LINES.min_constant} END * n),
+keys AS (SELECT tid, l, n, '=' || l AS key, FALSE AS general FROM own UNION ALL SELECT tid, l, n, '*' || template, TRUE FROM general),
+alike AS (SELECT key FROM keys GROUP BY key HAVING COUNT(DISTINCT tid) > 1),
+shared AS (SELECT * FROM keys JOIN alike USING (key)),
+hosts AS (SELECT tid FROM (SELECT tid, SUM(n) AS total FROM own GROUP BY 1) JOIN (SELECT tid, SUM(n) AS words FROM (SELECT DISTINCT tid, l, n FROM shared) GROUP BY 1) USING (tid) WHERE total - words >= {_LINES.min_own} * total),
+boiler AS (SELECT key FROM shared JOIN hosts USING (tid) GROUP BY key, general HAVING COUNT(DISTINCT tid) >= CASE WHEN MIN(n) < CASE WHEN general THEN {_LINES.short} ELSE {_LINES.few} END THEN {_LINES.min_docs_short} ELSE {_LINES.min_docs} END),
+gone AS (SELECT DISTINCT tid, l FROM shared JOIN boiler USING (key)),
+kept AS (SELECT t.tid, string_agg(raw, chr(10) ORDER BY pos) FILTER (g.l IS NULL) AS text, COUNT(g.l) AS n_dropped FROM norm t LEFT JOIN gone g ON t.tid = g.tid AND t.l = g.l GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE COALESCE(kept.text, '') END AS text, COALESCE(n_dropped, 0) AS n_dropped FROM d LEFT JOIN copies ON d.text = copies.text LEFT JOIN kept USING (tid)"""
