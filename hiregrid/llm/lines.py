@@ -4,7 +4,8 @@ A line's path in the tree has a fixed depth: its number of tokens, its leading t
 in short lines). In a leaf, a stretch that stands in few lines is a variable field, any number of them in a line, and tokens with
 digits are variable everywhere (`<*>`). A line whose tokens are mostly constant has so one generalised template; besides, every line of
 any length is its own exact template. A template that recurs in at least `min_docs` different host documents is boilerplate, and lines
-under it are dropped from all documents. Very short lines need more hosts, for they also recur by chance.
+under it are dropped from all documents. Generalised ones of
+few tokens need more hosts, for they also recur by chance.
 
 Votes are counted by distinct texts, so copies of a text count once and a document's own repeats don't count. A text of which little is
 left without what it shares with others, by exact or generalised templates, is an edited copy, not a host: it doesn't vote. So groups of copied
@@ -37,9 +38,8 @@ STRETCHES = 8
 class LineRules:
     #: Host documents in which a template recurs.
     min_docs: int = 5
-    #: The same for exact templates of fewer than `few` tokens, and for generalised ones of fewer than `short`.
+    #: The same for generalised templates of fewer than `short` tokens.
     min_docs_short: int = 20
-    few: int = 3
     short: int = 8
     #: Leading tokens on the tree's path.
     leading: int = 2
@@ -50,15 +50,24 @@ class LineRules:
     min_own: float = 0.3
 
 
-def _normal(line: Column) -> Column:
-    """One space between tokens, and fields with digits masked."""
+def _even(line: Column) -> Column:
+    """One space between tokens."""
     uneven = line.contains("  ")
     for sign in "\t\r\x0b\f":
         uneven |= line.contains(sign)
-    line = F.trim(F.when(uneven, F.regexp_replace(line, r"[ \t\r\x0B\f]+", " ")).otherwise(line))
+    return F.trim(F.when(uneven, F.regexp_replace(line, r"[ \t\r\x0B\f]+", " ")).otherwise(line))
+
+
+def _mask(line: Column) -> Column:
+    """Fields with digits masked."""
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
 
 
+def _normal(lines: Column) -> Column:
+    """The normal forms of an array of lines, in two steps so that each is computed once."""
+    return F.transform(F.transform(lines, _even), _mask)
+
+
 def _exact(normal: Column) -> Column:
     return F.xxhash64(normal)
 
@@ -79,17 +88,20 @@ def _before(line: Column, n: Column) -> Column:
 
 def line_keys(docs: DataFrame, rules: LineRules) -> DataFrame:
     """Per text and distinct normal line: _doc, total (words of the text), n (tokens), masked, line (its key), stretches (keys; null for an empty one)."""
-    lines = docs.select("_doc", F.filter(F.array_distinct(F.transform(F.split("_text", "\n"), _normal)), lambda x: F.trim(F.replace(x, F.lit("<*>"), F.lit(""))) != "").alias("ls"))
+    lines = docs.select("_doc", F.filter(F.array_distinct(_normal(F.split("_text", "\n"))), lambda x: F.trim(F.replace(x, F.lit("<*>"), F.lit(""))) != "").alias("ls"))
     total = F.aggregate("ls", F.lit(0), lambda acc, x: acc + _tokens(x))
-    lines = lines.select("_doc", total.alias("total"), F.explode("ls").alias("l")).withColumn("n", _tokens(F.col("l")))
+    # Not `explode`, before which Spark would compute the array again to leave out empty ones.
+    lines = lines.withColumn("total", total).select("_doc", "total", F.explode_outer("ls").alias("l")).where("l IS NOT NULL").withColumn("n", _tokens(F.col("l")))
     masked = (F.octet_length("l") - F.octet_length(F.replace(F.col("l"), F.lit("<*>"), F.lit("")))) / 3
     lines = lines.withColumns({"leaf": F.xxhash64("n", F.expr(f"substring_index(l, ' ', {rules.leading})")), "masked": masked.cast("int")})
-    lines = lines.withColumns({f"p{j}": _before(F.col("l"), _cut(rules, j)) if j < STRETCHES else F.col("l") for j in range(1, STRETCHES + 1)})
-    keys = []
-    for j in range(STRETCHES):
-        size = _cut(rules, j + 1) - _cut(rules, j)
-        keys.append(F.when(size > 0, F.xxhash64("leaf", F.lit(j), _before(F.col(f"p{j + 1}"), -size))))
-    return lines.select("_doc", "total", "n", "masked", _exact(F.col("l")).alias("line"), F.when(F.col("n") > rules.leading + 1, F.array(*keys)).alias("stretches"))
+
+    def stretch(j: Column) -> Column:
+        end, size = _cut(rules, j + 1), _cut(rules, j + 1) - _cut(rules, j)
+        return F.when(size > 0, F.xxhash64("leaf", j, _before(_before(F.col("l"), end), -size)))
+
+    # One expression for all stretches: written out they make a method too long to be compiled.
+    keys = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), stretch)
+    return lines.select("_doc", "total", "n", "masked", _exact(F.col("l")).alias("line"), F.when(F.col("n") > rules.leading + 1, keys).alias("stretches"))
 
 
 def _only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
@@ -124,8 +136,7 @@ def recurring_lines(docs: DataFrame, rules: LineRules) -> DataFrame:
     hosts = shared.select("_doc", "line", "n", "total").distinct().groupBy("_doc", "total").agg(F.sum("n").alias("words"))
     hosts = hosts.where(F.col("total") - F.col("words") >= rules.min_own * F.col("total")).select("_doc")
     votes = texts(shared.join(hosts, "_doc", "left_semi"), "key", "general")
-    few = F.when(F.col("general"), F.col("n") < rules.short).otherwise(F.col("n") < rules.few)
-    boiler = checkpointed(votes.where(F.col("texts") >= F.when(few, rules.min_docs_short).otherwise(rules.min_docs)).select("key"))
+    boiler = checkpointed(votes.where(F.col("texts") >= F.when(F.col("general") & (F.col("n") < rules.short), rules.min_docs_short).otherwise(rules.min_docs)).select("key"))
     return checkpointed(shared.join(boiler, "key", "left_semi").select("_doc", "line").distinct())
 
 
@@ -160,5 +171,6 @@ def drop_recurring_lines(docs: DataFrame, rules: LineRules | None = None, text_c
     # Only texts that may lose a line are shuffled.
     marked = among(inner, masks(recurring, "_doc"), "_doc")
     found = marked.where("_among").join(gone, F.col("_doc") == F.col("_of"), "left")
-    kept = F.when(F.col("_gone").isNotNull(), F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), _exact(_normal(x)))))
+    pairs = F.filter(F.arrays_zip(lines.alias("raw"), F.transform(_normal(lines), _exact).alias("key")), lambda x: ~F.array_contains(F.col("_gone"), x["key"]))
+    kept = F.when(F.col("_gone").isNotNull(), pairs["raw"])
     return out(found, kept).unionByName(out(marked.where("NOT coalesce(_among, false)"), None))

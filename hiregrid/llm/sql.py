@@ -62,7 +62,7 @@ keys AS (SELECT tid, l, n, '=' || l AS key, FALSE AS general FROM own UNION ALL
 alike AS (SELECT key FROM keys GROUP BY key HAVING COUNT(DISTINCT tid) > 1),
 shared AS (SELECT * FROM keys JOIN alike USING (key)),
 hosts AS (SELECT tid FROM (SELECT tid, SUM(n) AS total FROM own GROUP BY 1) JOIN (SELECT tid, SUM(n) AS words FROM (SELECT DISTINCT tid, l, n FROM shared) GROUP BY 1) USING (tid) WHERE total - words >= {_LINES.min_own} * total),
-boiler AS (SELECT key FROM shared JOIN hosts USING (tid) GROUP BY key, general HAVING COUNT(DISTINCT tid) >= CASE WHEN MIN(n) < CASE WHEN general THEN {_LINES.short} ELSE {_LINES.few} END THEN {_LINES.min_docs_short} ELSE {_LINES.min_docs} END),
+boiler AS (SELECT key FROM shared JOIN hosts USING (tid) GROUP BY key, general HAVING COUNT(DISTINCT tid) >= CASE WHEN general AND MIN(n) < {_LINES.short} THEN {_LINES.min_docs_short} ELSE {_LINES.min_docs} END),
 gone AS (SELECT DISTINCT tid, l FROM shared JOIN boiler USING (key)),
 kept AS (SELECT t.tid, string_agg(raw, chr(10) ORDER BY pos) FILTER (g.l IS NULL) AS text, COUNT(g.l) AS n_dropped FROM norm t LEFT JOIN gone g ON t.tid = g.tid AND t.l = g.l GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE COALESCE(kept.text, '') END AS text, COALESCE(n_dropped, 0) AS n_dropped FROM d LEFT JOIN copies ON d.text = copies.text LEFT JOIN kept USING (tid)"""

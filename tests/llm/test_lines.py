@@ -47,7 +47,7 @@ def brute(rows):
         if own and total - sum(len(x) for x in own if keys(x)) >= RULES.min_own * total:
             votes.update({k for x in own for k in keys(x)})
         size.update({k: len(x) for x in own for k in keys(x)})
-    gone = {k for k, n in votes.items() if n >= (RULES.min_docs_short if size[k] < (RULES.short if k[0] == "general" and isinstance(k[1], tuple) else RULES.few) else RULES.min_docs)}
+    gone = {k for k, n in votes.items() if n >= (RULES.min_docs_short if k[0] == "general" and isinstance(k[1], tuple) and size[k] < RULES.short else RULES.min_docs)}
     return [(i, None if t is None else "\n".join(x for x in t.split("\n") if not ((k := tokens_of(x)) and keys(k) & gone))) for i, t, *_ in rows]
 
 
