@@ -88,8 +88,8 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
 class Pigeonhole:
     """Partitions of the 64 bits and the candidates that a probe may expect, from a sample of fingerprints."""
 
-    def __init__(self, sample: np.ndarray, total: int, radius: int = 2, partitions: int = 3) -> None:
-        self.radius, self.total = radius, total
+    def __init__(self, sample: np.ndarray, total: int, radius: int = 2, partitions: int = 3, probe_cost: float = 4) -> None:
+        self.radius, self.total, self.probe_cost = radius, total, probe_cost
         bits = ((sample[:, None] & _BITS) != 0).astype(float)
         spread = bits - bits.mean(axis=0) if len(sample) else np.zeros((1, 64))
         scale = np.sqrt((spread**2).sum(axis=0))
@@ -106,8 +106,11 @@ class Pigeonhole:
         self.scale = total / max(len(sample), 1)
         self.known = [np.unique(self.value(sample, p), return_counts=True) for p in self.parts]
         # Beyond one bit, the mean over a part of the sample stands for all.
-        some = sample[:512]
-        self.within = [[float((np.bitwise_count(self.value(some, p)[:, None] ^ self.value(sample, p)) <= t).mean()) * total if len(sample) else 0.0 for t in range(radius + 1)] for p in self.parts]
+        some = sample[:: max(1, len(sample) // 512)]
+        self.within = []
+        for p in self.parts:
+            apart = np.bincount(np.bitwise_count(self.value(some, p)[:, None] ^ self.value(sample, p)).ravel(), minlength=radius + 1)[: radius + 1]
+            self.within.append(np.cumsum(apart) / max(len(some) * len(sample), 1) * total)
 
     @staticmethod
     def value(fps: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -138,7 +141,7 @@ class Pigeonhole:
             for t in range(self.radius + 1):
                 probes += comb(len(part), t)
                 rows = rows + sum(near(own ^ m) for m in self.flips(part, t)) if t <= 1 else np.maximum(rows, self.within[i][t])
-                cost[:, i, t + 1] = 4 * probes + rows
+                cost[:, i, t + 1] = self.probe_cost * probes + rows
         return cost
 
     def thresholds(self, fps: np.ndarray) -> np.ndarray:
@@ -162,17 +165,22 @@ class Pigeonhole:
             left -= out[:, i]
         return out - 1
 
-    def buckets(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Partition, value, fingerprint and role (0 member, 1 member that probes, 2 probe only) of all bucket entries."""
+    def cost(self, fps: np.ndarray) -> float:
+        """The mean cost of these fingerprints at their thresholds."""
+        expected, limits = self.expected(fps), self.thresholds(fps) + 1
+        return float(sum(np.take_along_axis(expected[:, i], limits[:, i, None], axis=1).sum() for i in range(len(self.parts)))) / max(len(fps), 1)
+
+    def buckets(self, fps: np.ndarray, numbered: bool = False) -> tuple[np.ndarray, ...]:
+        """Partition, value, fingerprint and role (0 member, 1 member that probes, 2 probe only) of all bucket entries; if `numbered`, also each one's place in `fps`."""
         limits, out = self.thresholds(fps), []
         for i, part in enumerate(self.parts):
             own = self.value(fps, part)
-            out.append((np.full(len(fps), i, np.int32), own, fps, (limits[:, i] >= 0).astype(np.int8)))
+            out.append((np.full(len(fps), i, np.int32), own, fps, (limits[:, i] >= 0).astype(np.int8), np.arange(len(fps))))
             for t in range(1, self.radius + 1):
-                some = limits[:, i] >= t
-                for m in self.flips(part, t) if some.any() else ():
-                    out.append((np.full(int(some.sum()), i, np.int32), own[some] ^ m, fps[some], np.full(int(some.sum()), 2, np.int8)))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                some = np.flatnonzero(limits[:, i] >= t)
+                for m in self.flips(part, t) if len(some) else ():
+                    out.append((np.full(len(some), i, np.int32), own[some] ^ m, fps[some], np.full(len(some), 2, np.int8), some))
+        return tuple(np.concatenate(x) for x in list(zip(*out, strict=True))[: 5 if numbered else 4])
 
 
 def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

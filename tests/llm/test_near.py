@@ -4,10 +4,13 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from hiregrid.llm.similar import keep_one_similar, similar_documents
+from hiregrid.llm.near import RADIUS, keep_one_similar, set_fingerprints, shingle_sets, similar_documents
+from hiregrid.llm.simhash import Pigeonhole
 
 
 def shingles(text):
@@ -15,9 +18,11 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1))))
 
 
-def roots(texts):
-    """Text to a representative of its component over all pairs of similarity 0.8 or more."""
+def roots(texts, radius=RADIUS):
+    """Text to a representative of its component over all pairs of similarity 0.8 or more whose fingerprints are within the radius."""
+    texts = sorted(t or "" for t in texts)
     sets = {t: shingles(t) for t in texts}
+    fp = dict(zip(texts, set_fingerprints(*shingle_sets(pa.array(texts, pa.string()), 5)[:2]).tolist(), strict=True))
     root = {t: t for t in texts}
 
     def find(t):
@@ -27,7 +32,7 @@ def roots(texts):
 
     for a, b in combinations(sets, 2):
         x, y = sets[a], sets[b]
-        if x == y or (x and y and 5 * len(x & y) >= 4 * len(x | y)):
+        if x == y or ((fp[a] ^ fp[b]).bit_count() <= radius and x and y and 5 * len(x & y) >= 4 * len(x | y)):
             root[find(a)] = find(b)
     return {t: find(t) for t in texts}
 
@@ -82,11 +87,38 @@ def test_the_stage_keeps_what_is_less_similar_and_drops_what_is_more(spark):
     far, near = list(base), list(base)
     for i in (10, 20, 30):  # 15 of 56 shingles differ: 0.577
         far[i] = "other"
-    near[30] = "another"  # 5 of 56: 0.836
+    near[1] = "another"  # 2 of 56: 0.931
     rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(far), "en", "s", 1), (3, " ".join(near), "en", "s", 1)]
-    # Short copies whose SimHash is many bits away, though 0.8 of the shingles are shared.
-    for k in range(40):
-        text = [f"v{rng.randrange(10_000)}" for _ in range(50)]
-        rows += [(100 + 2 * k, " ".join(text), "en", "s", 1), (101 + 2 * k, " ".join(text[:25] + ["new"] + text[26:]), "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2, *range(100, 180, 2)]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]
+
+
+def test_recall_of_the_radius():
+    """Edited copies of 200 to 600 words: the share whose group is found, of those that similarity alone would group."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(200, 600))]
+        texts.append(" ".join(base))
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(1, len(base) // 60)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    size = lambda root: len(root) - len(set(root.values()))
+    assert size(roots(texts)) >= 0.9 * size(roots(texts, 64)) > 0
+
+
+def test_any_number_of_partitions_covers_the_radius():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *(base ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, (n, 40)).astype(np.uint64), axis=0) for n in (1, 3, 6, 8, 9))]))
+    for m in range(4, RADIUS + 2):
+        part, value, _, role, row = Pigeonhole(fps, len(fps), RADIUS, m).buckets(fps, numbered=True)
+        keys = {}
+        for p, v, r, i in zip(part.tolist(), value.tolist(), role.tolist(), row.tolist(), strict=True):
+            keys.setdefault((p, v), []).append((r, i))
+        met = {frozenset((i, j)) for own in keys.values() for r, i in own if r > 0 for q, j in own if q < 2 and i != j}
+        want = {frozenset((i, j)) for i, j in combinations(range(len(fps)), 2) if int(fps[i] ^ fps[j]).bit_count() <= RADIUS}
+        assert want <= met and len(want) > 100
