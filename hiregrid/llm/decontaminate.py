@@ -5,8 +5,10 @@ are those of some benchmark suffix; nothing else can match) are sorted into a su
 binary-searched in it, all at once in numpy: the neighbours of its place hold its longest verbatim match, the interval
 around it every location that matches over the whole window. Words under a match of a window are hit.
 
-The benchmark is taken in blocks of a bounded number of words; each block is one pass that adds its hits to columns of the row,
-so the broadcast index stays within BLOCK_WORDS and no shuffle is needed for any number of blocks.
+The benchmark is taken in blocks of a bounded number of words, one after another as they come from its partitions. Each block is one pass that
+adds its hits to a column of the row (or drops the row); if there is another block, what the pass gave is written in the shared folder and the
+block's broadcast is destroyed first. So driver and executors hold one block's index, within BLOCK_WORDS, and the driver the next one's texts;
+no shuffle is needed for any number of blocks.
 
 Defined cases: a null or empty text, or an item without words, matches nothing; an item shorter than the window is one
 window; repeated items count once by id, an item without id hits but is not listed; repeated documents keep a row each; an
@@ -17,7 +19,7 @@ returns them).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, covered, flat, pieces, runs, window_hash
+from .common import RollingHash, checkpointed, covered, flat, pieces, runs, window_hash
 
 #: Words of the benchmark that one pass holds in memory (about 30 bytes each).
 BLOCK_WORDS = 4_000_000
@@ -125,46 +127,60 @@ def matches(words: np.ndarray, bounds: np.ndarray, test: TestSuffixes) -> tuple[
 
 
 def _blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str, block_words: int) -> Iterator[TestSuffixes]:
+    """The suffixes of the benchmark's items in blocks, one at least."""
     ids: list = []
     texts: list = []
-    held = 0
+    held = some = 0
     for row in benchmark.select(benchmark[id_col].alias("i"), benchmark[text_col].alias("t")).toLocalIterator():
         ids.append(row["i"])
         texts.append(row["t"])
         held += len(row["t"] or "") // 4
         if held >= block_words:
             yield TestSuffixes(ids, texts, window)
-            ids, texts, held = [], [], 0
-    if ids:
+            ids, texts, held, some = [], [], 0, 1
+    if ids or not some:
         yield TestSuffixes(ids, texts, window)
 
 
+def _in_passes(rows: DataFrame, blocks: Iterator[TestSuffixes], one_pass: Callable[[Iterator[pa.RecordBatch], TestSuffixes], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """`rows` through one pass for each block; all passes but the last are written, and their block forgotten, before the next begins."""
+    context = rows.sparkSession.sparkContext
+    block = next(blocks)
+    while True:
+        shared = context.broadcast(block)
+
+        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            return one_pass(batches, shared.value)
+
+        rows = rows.mapInArrow(each, rows.schema)
+        block = next(blocks, None)
+        if block is None:
+            return rows
+        rows = checkpointed(rows)
+        shared.destroy()
+
+
 def contamination_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of `docs`: doc_id, text, n_words and `spans`: structs of first word, words matched at the longest, item id."""
     item_type = benchmark.schema[item_col].dataType
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("item", T.StringType())])
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast(T.ArrayType(span)).alias("spans"))
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("item", pa.string())]))
-    tests = list(_blocks(benchmark, window, item_col, text_col, block_words)) or [TestSuffixes([], [], window)]
     as_text = str if isinstance(item_type, T.NumericType | T.StringType) else repr
-    for test in tests:
-        shared = docs.sparkSession.sparkContext.broadcast(test)
 
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            test = shared.value
-            for batch in batches:
-                for piece in pieces(batch, "text"):
-                    words, bounds = word_hashes(piece.column("text"))
-                    place, item, length = matches(words, bounds, test)
-                    doc = np.searchsorted(bounds, place, side="right") - 1
-                    spans = piece.column("spans").to_pylist() if len(place) or any(len(x) for x in piece.column("spans")) else [[]] * piece.num_rows
-                    spans = [list(x) for x in spans] if len(place) else spans
-                    for d, p, i, k in zip(doc.tolist(), (place - bounds[doc]).tolist(), item.tolist(), length.tolist(), strict=True):
-                        spans[d].append({"start": p, "length": k, "item": None if test.ids[i] is None else as_text(test.ids[i])})
-                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text"), pa.array(np.diff(bounds)), pa.array(spans, arrow_span)], names=["doc_id", "text", "n_words", "spans"])
+    def one_pass(batches: Iterator[pa.RecordBatch], test: TestSuffixes) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                words, bounds = word_hashes(piece.column("text"))
+                place, item, length = matches(words, bounds, test)
+                doc = np.searchsorted(bounds, place, side="right") - 1
+                spans = piece.column("spans").to_pylist() if len(place) or any(len(x) for x in piece.column("spans")) else [[]] * piece.num_rows
+                spans = [list(x) for x in spans] if len(place) else spans
+                for d, p, i, k in zip(doc.tolist(), (place - bounds[doc]).tolist(), item.tolist(), length.tolist(), strict=True):
+                    spans[d].append({"start": p, "length": k, "item": None if test.ids[i] is None else as_text(test.ids[i])})
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text"), pa.array(np.diff(bounds)), pa.array(spans, arrow_span)], names=["doc_id", "text", "n_words", "spans"])
 
-        rows = rows.mapInArrow(each, rows.schema)
-    return rows
+    return _in_passes(rows, _blocks(benchmark, window, item_col, text_col, block_words), one_pass)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -190,18 +206,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of `docs`, all columns, in which no window of an item occurs."""
     at = docs.columns.index(text_col)
-    for test in _blocks(benchmark, window, item_col, item_text_col, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(test)
 
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in batches:
-                named = pa.RecordBatch.from_arrays(batch.columns, names=[str(i) for i in range(batch.num_columns)])
-                for piece in pieces(named, str(at)):
-                    words, bounds = word_hashes(piece.column(at))
-                    place, _, _ = matches(words, bounds, shared.value)
-                    clean = np.ones(piece.num_rows, bool)
-                    clean[np.searchsorted(bounds, place, side="right") - 1] = False
-                    yield pa.RecordBatch.from_arrays(piece.filter(pa.array(clean)).columns, schema=batch.schema)
-
-        docs = docs.mapInArrow(each, docs.schema)
-    return docs
+    def one_pass(batches: Iterator[pa.RecordBatch], test: TestSuffixes) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = pa.RecordBatch.from_arrays(batch.columns, names=[str(i) for i in range(batch.num_columns)])
+            for piece in pieces(named, str(at)):
+                words, bounds = word_hashes(piece.column(at))
+                place, _, _ = matches(words, bounds, test)
+                clean = np.ones(piece.num_rows, bool)
+                clean[np.searchsorted(bounds, place, side="right") - 1] = False
+                yield pa.RecordBatch.from_arrays(piece.filter(pa.array(clean)).columns, schema=batch.schema)
+
+    return _in_passes(docs, _blocks(benchmark, window, item_col, item_text_col, block_words), one_pass)

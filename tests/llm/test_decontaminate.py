@@ -65,3 +65,29 @@ def test_the_longest_match(spark):
     docs = spark.createDataFrame([(1, "start " + text + " end"), (2, " ".join(text.split()[:9]))], "doc_id long, text string")
     got = {r.doc_id: r.longest for r in contamination(docs, spark.createDataFrame([(1, "x " + text + " y")], ITEMS)).collect()}
     assert got == {1: 40, 2: 0}
+
+
+def test_one_block_at_a_time(spark, docs, monkeypatch):
+    """Three blocks or more: never two broadcast indexes alive, and one pass in the plan that is left."""
+    from pyspark import SparkContext
+
+    alive, most = [], []
+    plain = SparkContext.broadcast
+
+    def counted(self, value):
+        shared = plain(self, value)
+        if type(value).__name__ == "TestSuffixes":
+            alive.append(shared)
+            most.append(len(alive))
+            destroy = shared.destroy
+            shared.destroy = lambda *a: (alive.remove(shared), destroy(*a))
+        return shared
+
+    monkeypatch.setattr(SparkContext, "broadcast", counted)
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(4)], ITEMS)
+    for operator in (contamination, remove_contaminated):
+        out = operator(docs, bench, block_words=50)
+        assert out.count() and len(most) >= 3 and set(most) == {1}
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
+        alive.clear()
+        most.clear()

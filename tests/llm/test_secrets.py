@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 
 import public_tokenizers
@@ -52,3 +54,31 @@ def test_random_strings_and_what_is_none(scanner):
     got = [[k for *_, k in x] for x in scanner.scan(pa.array(texts))]
     assert got == [["random"], [], ["hex"], [], [], [], []]
     assert scanner.scan(pa.array([f"token={key}"])) == [[(0, 6 + len(key), "assign")]]
+
+
+ALPHABETS = {"letters and digits": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "base32": string.ascii_uppercase + "234567", "small letters and digits": string.ascii_lowercase + string.digits, "letters": string.ascii_letters, "capitals": string.ascii_uppercase}
+
+
+@pytest.mark.parametrize("kind", [*ALPHABETS, "small letters"])
+def test_recall_over_planted_random_strings(scanner, kind):
+    rng = random.Random(kind)
+    alphabet = ALPHABETS.get(kind, string.ascii_lowercase)
+    keys = ["".join(rng.choice(alphabet) for _ in range(rng.randint(20, 44))) for _ in range(400)]
+    found = scanner.scan(pa.array([f"see {k}, and so on" for k in keys]))
+    hits = sum(any(kind == "random" and (a, b) == (4, 4 + len(k)) for a, b, kind in own) for own, k in zip(found, keys, strict=True))
+    assert hits >= (0.95 if kind in ALPHABETS else 0.6) * len(keys)
+
+
+def test_precision_over_identifiers_digests_and_words(scanner):
+    rng = random.Random(6)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    known = [h for _ in range(100) for n in (32, 40, 48, 56, 64, 96, 128) for h in (hexes(n).upper(),)]
+    known += [f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}" for _ in range(100)] + [f"sha256-{hexes(44)}" for _ in range(50)]
+    parts = "user account report export import cluster service handler request response payment invoice session manager default version".split()
+    for _ in range(300):
+        some = [rng.choice(parts) for _ in range(rng.randint(3, 5))]
+        known += ["_".join(some), "-".join([*some, str(rng.randint(2000, 2030))]), some[0] + "".join(x.title() for x in some[1:]) + "Impl", "/".join(["src", *some])]
+    known += ["antidisestablishmentarianism", "Donaudampfschifffahrtsgesellschaft", "Rechtsschutzversicherungsgesellschaften", "pneumonoultramicroscopicsilicovolcanoconiosis", "========================", "________________________", "0123456789012345678901", "2024-05-06_2024-06-07_09"]
+    found = scanner.scan(pa.array(known))
+    flagged = [k for k, own in zip(known, found, strict=True) if any(kind == "random" for *_, kind in own)]
+    assert len(flagged) <= 0.005 * len(known), flagged[:5]
