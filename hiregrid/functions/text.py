@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,14 +54,23 @@ _ROLE_SPACE = {"hr ": "hr (?=[A-Za-z0-9_])", "it ": "it (?=[A-Za-z0-9_])"}
 def role_category(title: Column, location: Column | None = None) -> Column:
     """The first category whose words occur in title and location, else `other`."""
     text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(location, F.lit("")) if location is not None else F.lit(""))
-    out = F.lit("other")
-    for name, pattern in reversed(ROLES):
-        plain = "|".join(w for w in pattern.split("|") if w not in _ROLE_SPACE)
-        test = text.rlike(words(plain))
-        for w in (w for w in pattern.split("|") if w in _ROLE_SPACE):
-            test = test | text.rlike(f"(?i){_EDGE_L}{_ROLE_SPACE[w]}")
-        out = F.when(test, F.lit(name)).otherwise(out)
-    return out
+    low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    # The text is cut into words once, as a generator's output would be; phrases are looked for as substrings first.
+    held = F.array_distinct(F.split(low, "[^a-z0-9_]+"))
+
+    def pick(words_: Column, low: Column) -> Column:
+        out = F.lit("other")
+        for name, pattern in reversed(ROLES):
+            every = pattern.split("|")
+            test = F.arrays_overlap(words_, F.array(*(F.lit(w) for w in every if w.isalnum())))
+            for w in every:
+                if not w.isalnum():
+                    edge = f"{_EDGE_L}{_ROLE_SPACE[w]}" if w in _ROLE_SPACE else words(w)
+                    test = test | (low.contains(w) & low.rlike(edge))
+            out = F.when(test, F.lit(name)).otherwise(out)
+        return out
+
+    return F.get(F.transform(F.array(F.struct(held.alias("w"), low.alias("l"))), lambda x: pick(x["w"], x["l"])), F.lit(0))
 
 
 # Country names that payloads use.

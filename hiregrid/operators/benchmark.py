@@ -116,9 +116,12 @@ def promote_truth(captures: DataFrame) -> DataFrame:
     """
     urls = F.col("job_urls").isNotNull()
     out = captures.groupBy("entity_id").agg(
-        F.bool_and((F.col("status") == "complete") & urls).alias("_all"), F.count(F.lit(1)).alias("_n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("job_urls")))).alias("_urls"),
+        F.bool_and((F.col("status") == "complete") & urls).alias("_all"), F.count(F.lit(1)).alias("_n"),
         F.count_if(~urls & F.col("official_count").isNotNull() & (F.col("status") == "complete")).alias("_counts"), F.max(F.when(F.col("status") == "complete", F.col("official_count"))).alias("_count"),
     )
+    # Each URL once before they are collected, so an array is as long as the truth it is.
+    known = captures.where(urls).select("entity_id", F.explode("job_urls").alias("_u")).distinct().groupBy("entity_id").agg(F.array_sort(F.collect_list("_u")).alias("_urls"))
+    out = out.join(known, "entity_id", "left").withColumn("_urls", F.coalesce("_urls", F.array().cast("array<string>")))
     whole, single = F.col("_all"), (F.col("_n") == 1) & (F.col("_counts") == 1)
     return out.where(whole | single).select("entity_id", F.when(whole, F.col("_urls")).alias("job_urls"), F.when(whole, F.size("_urls")).otherwise(F.col("_count")).cast("long").alias("official_job_count"), F.when(whole, "urls").otherwise("count").alias("kind"))
 

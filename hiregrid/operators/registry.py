@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from ..functions.numbers import round_half_up
 from ..functions.text import comparable, contains_phrase, words
 from .frames import first_rows
+from .states import STATES
 
 # Words of government names that identify nothing.
-STOP_WORDS = ("city", "county", "town", "township", "village", "borough", "state", "government", "municipality", "municipal", "of", "the", "and")
+STOP_WORDS = ("of", "the", "and", "government", "state", "city", "county", "town", "township", "municipality")
 #: Candidates that one token brings, shortest names first.
 CANDIDATES = 250
+# Kinds of governments that a portal looks among.
+PORTAL_TYPES = {"counties_and_cities": ("county", "municipality", "township"), "state_agencies": ("state", "county", "municipality", "township", "special_district")}
+LOCAL = "counties_and_cities"
+# Names that give a state beside those of STATES.
+TERRITORIES = {"puerto rico": "PR", "guam": "GU"}
 
 
 def canonical_government(name: Column) -> Column:
@@ -23,63 +29,92 @@ def canonical_government(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, words("the|government of"), " "), "[^a-z0-9]+", " "))
 
 
-def type_hint(name: Column) -> Column:
+def type_hint(name: Column, portal: Column | None = None) -> Column:
+    """The kind that a name states; the word state counts for state agencies only."""
     low = F.lower(name)
-    return F.when(low.rlike(words("county")), "county").when(low.rlike(words("city|municipality|village|borough")), "municipality").when(low.rlike(words("town(?:ship)?")), "township")
+    out = F.when(low.rlike(words("county")), "county").when(low.rlike(words("city|municipality|village|borough")), "municipality").when(low.rlike(words("town(?:ship)?")), "township")
+    return out if portal is None else F.coalesce(out, F.when(low.rlike(words("state")) & (portal == "state_agencies"), "state"))
 
 
-def state_hint(name: Column) -> Column:
+def state_code_hint(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"[,\s]\s*([A-Z]{2})(?![A-Za-z0-9_])", 1), F.lit(""))
 
 
+def state_hint(name: Column) -> Column:
+    """Two capitals behind a comma or space, else the first state whose name stands in the text."""
+    out, low = F.lit(None).cast("string"), F.lower(name)
+    for state, code in reversed((STATES | TERRITORIES).items()):
+        out = F.when(low.contains(state), code).otherwise(out)
+    return F.coalesce(state_code_hint(name), out)
+
+
+def _state_of(rows: DataFrame) -> Column:
+    """A registry row's state: its code, else that of its state's name."""
+    code = F.nullif(F.upper(F.trim(F.coalesce("state_code", F.lit("")))), F.lit(""))
+    if "state_name" not in rows.columns:
+        return code
+    known = F.create_map(*(F.lit(x) for pair in (STATES | TERRITORIES).items() for x in pair))
+    return F.coalesce(code, F.element_at(known, F.lower(F.trim("state_name"))))
+
+
 def _tokens(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(x, " "), lambda t: t != ""))
 
 
-def _candidates(queries: DataFrame, registry: DataFrame, token: Column, most: int) -> DataFrame:
-    """Query rows (query_id, query) with registry rows (id, canonical, ...) whose canonical name holds the query's token.
+def _telling(x: Column) -> Column:
+    return F.filter(_tokens(x), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
+
 
-    The registry's tokens are ranked once per token, and only the tokens that queries ask for are kept, so a query gets at most `most` rows.
-    A token inside a longer word is found among the parts of the registry's distinct words.
+def _candidates(queries: DataFrame, registry: DataFrame, most: int) -> DataFrame:
+    """Query rows (query_id, query, _token, _portal, _only: a state or null) with registry rows (id, canonical, ...) whose canonical name holds the
+    token and that are of the portal's kinds and, if one is asked for, of that state: of these the first `most` by length and id.
+
+    The registry's words are found by the first two letters of a token, so no word is compared with tokens that it shares nothing with.
     """
-    asked = queries.withColumn("_token", token).where("_token is not null")
-    vocabulary = registry.select(F.explode(_tokens(F.col("canonical"))).alias("_word")).distinct()
-    needed = asked.select("_token").distinct()
-    parts = vocabulary.select("_word", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_word")), lambda i: F.transform(F.sequence(F.lit(1), F.length("_word") - i + 1), lambda k: F.substring(F.col("_word"), i, k)))))).alias("_part")).where(F.length("_part") >= 2)
-    held = parts.join(needed, F.col("_part") == F.col("_token")).select("_token", "_word").distinct()
-    rows = registry.withColumn("_word", F.explode(_tokens(F.col("canonical")))).join(held, "_word").drop("_word").dropDuplicates(["_token", "id"])
-    best = first_rows(rows, ["_token"], [F.length("canonical"), F.col("id")], n=most)
-    return asked.join(best, "_token").drop("_token")
+    asked = queries.where(F.length("_token") >= 2).withColumn("_ask", F.concat_ws("|", "_token", "_portal", F.coalesce("_only", F.lit(""))))
+    kinds = F.create_map(*(x for portal, types in PORTAL_TYPES.items() for x in (F.lit(portal), F.array(*map(F.lit, types)))))
+    needed = asked.select("_ask", "_token", "_only", F.element_at(kinds, F.col("_portal")).alias("_kinds")).dropDuplicates(["_ask"])
+    vocabulary = registry.select(F.explode(_tokens(F.col("canonical"))).alias("_word")).distinct().where(F.length("_word") >= 2)
+    grams = vocabulary.select("_word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_word") - 1), lambda i: F.substring(F.col("_word"), i, F.lit(2))))).alias("_gram"))
+    held = grams.join(needed.withColumn("_gram", F.substring("_token", 1, 2)), "_gram").where(F.col("_word").contains(F.col("_token"))).drop("_gram")
+    rows = registry.withColumn("_word", F.explode(_tokens(F.col("canonical")))).join(held, "_word")
+    rows = rows.where(F.array_contains("_kinds", F.col("government_type")) & (F.col("_only").isNull() | (F.col("_only") == F.upper(F.coalesce("state_code", F.lit(""))))))
+    rows = rows.drop("_word", "_token", "_only", "_kinds").dropDuplicates(["_ask", "id"])
+    return asked.drop("_token", "_only").join(first_rows(rows, ["_ask"], [F.length("canonical"), F.col("id")], n=most), "_ask").drop("_ask")
 
 
 def resolve_registry(queries: DataFrame, registry: DataFrame, minimum: int = 75, minimum_typed: int = 65, most: int = CANDIDATES) -> DataFrame:
     """The one registry row that a name resolves to: query_id, query, id, name, score. No row if none scores enough or the best two tie.
 
-    100 for equal canonical names, else 80 by the Jaccard share of tokens and 15 for containment; 20 more for the named state, 15 less for another;
-    15 more for the named type, 8 less for another.
+    100 for equal canonical names, else 80 by the Jaccard share of telling tokens and 15 for containment; 20 more for the named state, 15 less for another;
+    15 more for the named type, 8 less for another. `queries` may name the portal it looks for, whose kinds alone are candidates; else it is the local one.
     """
     reg = registry.where("is_active").withColumn("canonical", canonical_government(F.coalesce("canonical_name", "name")))
-    q = queries.withColumns({"_canon": canonical_government(F.col("query")), "_state": state_hint(F.col("query")), "_type": type_hint(F.col("query"))})
-    strong = F.filter(F.split("_canon", " "), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
-    rows = _candidates(q, reg, F.get(strong, F.lit(0)), most)
-    a, b = _tokens(F.col("_canon")), _tokens(F.col("canonical"))
+    portal = F.coalesce("portal", F.lit(LOCAL)) if "portal" in queries.columns else F.lit(LOCAL)
+    q = queries.select("query_id", "query", portal.alias("_portal")).withColumns({"_canon": canonical_government(F.col("query")), "_state": state_hint(F.col("query")), "_type": type_hint(F.col("query"), F.col("_portal")), "_only": F.lit(None).cast("string")})
+    rows = _candidates(q.withColumn("_token", F.get(F.filter(F.split("_canon", " "), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS)), F.lit(0))), reg, most)
+    a, b = _telling(F.col("_canon")), _telling(F.col("canonical"))
     same = round_half_up(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)) * 80) + F.when(F.col("canonical").contains(F.col("_canon")) | F.col("_canon").contains(F.col("canonical")), 15).otherwise(0)
-    code = F.nullif(F.upper(F.trim(F.coalesce("state_code", F.lit("")))), F.lit(""))
+    code = _state_of(reg)
     score = F.when(F.col("canonical") == F.col("_canon"), 100).otherwise(same)
     score += F.when(F.col("_state").isNull() | code.isNull(), 0).when(code == F.col("_state"), 20).otherwise(-15)
     score += F.when(F.col("_type").isNull(), 0).when(F.col("government_type") == F.col("_type"), 15).otherwise(-8)
-    rows = rows.withColumn("score", score).where(F.col("score") >= F.when(F.col("_type").isNotNull(), minimum_typed).otherwise(minimum))
+    rows = rows.withColumn("score", score).where(F.col("score") >= F.when(F.col("_type").isNotNull() & (F.col("_portal") == LOCAL), minimum_typed).otherwise(minimum))
     top = first_rows(rows, ["query_id"], [F.col("score").desc(), F.length("name"), F.col("id")], out="_rn", n=2)
     out = top.groupBy("query_id", "query").agg(F.max_by(F.struct("id", "name"), F.struct("score", -F.length("name"), F.lit(0))).alias("_r"), F.max("score").alias("score"), F.min("score").alias("_low"), F.count(F.lit(1)).alias("_n"))
     return out.where((F.col("_n") == 1) | (F.col("score") > F.col("_low"))).select("query_id", "query", F.col("_r.id").alias("id"), F.col("_r.name").alias("name"), "score")
 
 
 def search_registry(queries: DataFrame, registry: DataFrame, minimum: int = 35, limit: int = 12, most: int = CANDIDATES) -> DataFrame:
-    """The best registry rows of each search text, ranked: 100 for an equal name, 55 by the share of its tokens found, 20 for containment, 15 for the type."""
+    """The best registry rows of each search text, ranked: 100 for an equal name, 55 by the share of its tokens found, 20 for containment, 15 for the type.
+
+    Only rows of the portal's kinds, and of the state whose code the text names, are candidates.
+    """
     reg = registry.where("is_active").withColumn("canonical", canonical_government(F.col("name")))
     tokens = F.slice(F.filter(F.split(F.trim(F.regexp_replace(F.lower("query"), "[^a-z0-9]+", " ")), " "), lambda t: F.length(t) >= 2), 1, 4)
-    q = queries.withColumns({"_canon": canonical_government(F.col("query")), "_tokens": tokens, "_type": type_hint(F.col("query"))})
-    rows = _candidates(q, reg, F.get("_tokens", F.lit(0)), most)
+    portal = F.coalesce("portal", F.lit(LOCAL)) if "portal" in queries.columns else F.lit(LOCAL)
+    q = queries.select("query_id", "query", portal.alias("_portal")).withColumns({"_canon": canonical_government(F.col("query")), "_tokens": tokens, "_type": type_hint(F.col("query")), "_only": state_code_hint(F.col("query"))})
+    rows = _candidates(q.withColumn("_token", F.get("_tokens", F.lit(0))), reg, most)
     c = F.col("canonical")
     hits = F.size(F.filter("_tokens", lambda t: c.contains(t)))
     score = F.when(c == F.col("_canon"), 100).otherwise(0) + round_half_up(hits / F.greatest(F.size("_tokens"), F.lit(1)) * 55)
@@ -134,6 +169,39 @@ def contractor_score(names: Column, candidate: Column) -> Column:
     return F.when(c == "", 0.0).otherwise(F.coalesce(F.array_max(F.transform(names, one)), F.lit(0.0)))
 
 
+def _by_words(left: DataFrame, right: DataFrame, left_words: Column, right_words: Column, most: int) -> DataFrame:
+    """Pairs of rows that share a word; a word brings at most `most` rows of the right side, which are ranked once, by length of name."""
+    best = first_rows(right.withColumn("_w", F.explode(F.array_distinct(right_words))), ["_w"], [F.length("candidate"), F.col("candidate_id")], n=most)
+    return left.withColumn("_w", F.explode(F.array_distinct(left_words))).join(best, "_w").drop("_w").dropDuplicates(["query_id", "candidate_id"])
+
+
+def resolve_agencies(queries: DataFrame, agencies: DataFrame, minimum: int = 82, most: int = CANDIDATES) -> DataFrame:
+    """The agency of the code list that a name stands for: the best score, at least `minimum`; the first by id of equals. `queries`: query_id, query; `agencies`: id, name."""
+    long = lambda x: F.filter(F.split(comparable(x), " "), lambda t: F.length(t) >= 3)
+    pairs = _by_words(queries.select("query_id", "query"), agencies.select(F.col("id").alias("candidate_id"), F.col("name").alias("candidate")), long(F.col("query")), long(F.col("candidate")), most)
+    scored = pairs.withColumn("score", agency_score(F.col("query"), F.col("candidate"))).where(F.col("score") >= minimum)
+    return first_rows(scored, ["query_id"], [F.col("score").desc(), F.col("candidate_id")]).select("query_id", "query", F.col("candidate_id").alias("id"), F.col("candidate").alias("name"), "score")
+
+
+def resolve_contractors(entities: DataFrame, candidates: DataFrame, minimum: float = 0.82, most: int = CANDIDATES) -> DataFrame:
+    """The recipient that an entity's names (array `names`) stand for: the best score, at least `minimum`; the first by id of equals."""
+    long = lambda x: F.filter(F.split(comparable(x), " "), lambda t: F.length(t) > 2)
+    pairs = _by_words(entities.select(F.col("id").alias("query_id"), "names"), candidates.select(F.col("id").alias("candidate_id"), F.col("name").alias("candidate")), F.flatten(F.transform("names", long)), long(F.col("candidate")), most)
+    scored = pairs.withColumn("score", contractor_score(F.col("names"), F.col("candidate"))).where(F.col("score") >= minimum)
+    return first_rows(scored, ["query_id"], [F.col("score").desc(), F.col("candidate_id")]).select(F.col("query_id").alias("entity_id"), F.col("candidate_id").alias("id"), F.col("candidate").alias("name"), "score")
+
+
+def registry_aliases(rows: DataFrame) -> Column:
+    """Names that a matched registry row (name, government_type, state_code) goes by: of a county and of a municipality only, never its state's."""
+    base = canonical_government(F.col("name"))
+    code = F.nullif(F.trim("state_code"), F.lit(""))
+    county = F.initcap(F.trim(F.regexp_replace(F.regexp_replace(base, " county$", ""), "^county of ", "")))
+    place = F.initcap(F.trim(F.regexp_replace(F.regexp_replace(base, "^(?:city|town|village|borough) of ", ""), " (?:city|town|village|borough)$", "")))
+    more = F.when((F.col("government_type") == "county") & (county != ""), F.array(F.concat(county, F.lit(" County")), F.concat(county, F.lit(" County, "), code)))
+    more = more.when((F.col("government_type") == "municipality") & (place != ""), F.array(place, F.concat(F.lit("City of "), place), F.concat(place, F.lit(", "), code)))
+    return F.array_distinct(F.array_compact(F.concat(F.array(F.trim("name")), F.coalesce(more, F.array().cast("array<string>")))))
+
+
 def geographic_fips(kind: Column, state: Column, county: Column, place: Column) -> Column:
     """State, county or place code of a government; null where its kind has no such code."""
     return F.when(kind == "state", state).when(kind == "county", F.concat(state, county)).when(kind == "municipality", F.concat(state, place))

@@ -88,14 +88,21 @@ def independent_pairs(checks: DataFrame, keys: list[str], lineage: Column, seq:
     A group has a row per lineage, so it is small whatever the history's length; pairs with no jobs on either side go.
     """
     one = collapse_lineages(checks, keys, lineage, seq).select(*keys, "source", non_negative(F.col("jobs_found")).alias("jobs"))
-    ordered = F.collate(F.col("source"), "UNICODE")
-    a = one.select(*keys, F.col("source").alias("source_a"), ordered.alias("_a"), F.col("jobs").alias("jobs_a"))
-    b = one.select(*keys, F.col("source").alias("source_b"), ordered.alias("_b"), F.col("jobs").alias("jobs_b"))
-    return a.join(b, keys).where((F.col("_a") < F.col("_b")) & ((F.col("jobs_a") > 0) | (F.col("jobs_b") > 0))).select(*keys, "source_a", "jobs_a", "source_b", "jobs_b")
+    group = one.groupBy(*keys).agg(F.collect_list(F.struct("source", "jobs")).alias("_all"))
+    first = group.select(*keys, "_all", F.explode("_all").alias("_a"))
+    # Once as a column of its own: inside the filter it would be computed for every pair.
+    first = first.withColumn("_key", F.collate(F.col("_a.source"), "UNICODE"))
+    pairs = first.select(*keys, F.col("_a.source").alias("source_a"), F.col("_a.jobs").alias("jobs_a"), F.explode(F.filter("_all", lambda x: F.collate(x["source"], "UNICODE") > F.col("_key"))).alias("_b"))
+    return pairs.select(*keys, "source_a", "jobs_a", F.col("_b.source").alias("source_b"), F.col("_b.jobs").alias("jobs_b")).where((F.col("jobs_a") > 0) | (F.col("jobs_b") > 0))
 
 
-def cross_source_incidents(checks: DataFrame, baselines: DataFrame, min_samples: int = 5) -> DataFrame:
-    """Independent healthy sources of an entity that disagree: outside their learned range, or, without one, sharply."""
+def cross_source_incidents(checks: DataFrame, baselines: DataFrame, min_samples: int = 5, as_of: datetime | None = None, fresh_days: int = 3) -> DataFrame:
+    """Independent healthy sources of an entity that disagree: outside their learned range, or, without one, sharply.
+
+    Baselines with an `updated_at` count for `fresh_days` up to as_of only.
+    """
+    if as_of is not None and "updated_at" in baselines.columns:
+        baselines = baselines.where(F.col("updated_at") >= F.lit(as_of) - F.expr(f"INTERVAL {int(fresh_days)} DAYS"))
     usable = checks.where(F.col("source_class").isin("authoritative", "verified") & F.col("status").isin("success", "zero") & is_inventory_reliability(checks["source"]))
     if "details" in checks.columns:
         usable = usable.where(~F.coalesce(F.get_json_object("details", "$.shared_inventory") == "true", F.lit(False)))
@@ -119,7 +126,7 @@ def unhealthy_entities(assessments: DataFrame) -> DataFrame:
 
 def all_incidents(checks: DataFrame, previous: DataFrame, baselines: DataFrame, assessments: DataFrame, as_of: datetime, stale_hours: int = 48) -> DataFrame:
     """All incidents of all entities, one per key; a listing orders them by severity, then by key."""
-    parts = [source_incidents(checks, previous, as_of, stale_hours).drop("source"), cross_source_incidents(checks, baselines), unhealthy_entities(assessments)]
+    parts = [source_incidents(checks, previous, as_of, stale_hours).drop("source"), cross_source_incidents(checks, baselines, as_of=as_of), unhealthy_entities(assessments)]
     return reduce(DataFrame.unionByName, (p.select("entity_id", "incident_key", "kind", "severity") for p in parts)).dropDuplicates(["entity_id", "incident_key"])
 
 

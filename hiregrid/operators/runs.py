@@ -9,6 +9,7 @@ from ..functions.numbers import fnv1a_base36
 from ..functions.text import comparable, contains_phrase
 from ..functions.urls import ats_provider, host
 from .frames import checkpointed, first_rows
+from .states import STATES
 
 # Employers with a reader of their own, and providers that are read through their interface.
 SPECIALISED = {"amentum": "amentum_careers", "jibe": "jibeapply", "jazzhr": "jazzhr"}
@@ -46,7 +47,7 @@ def supplemental_status(n_jobs: Column, used: Column, skipped: Column, zero_sign
 def reconcile_source(jobs: DataFrame, seen: DataFrame, runs: DataFrame, source: str) -> DataFrame:
     """Active jobs of a supplemental source that a clean run no longer had. `runs`: entity_id, used (array), skipped (array)."""
     low = F.transform("skipped", F.lower)
-    clean = runs.where(F.array_contains("used", source) & ~F.exists(low, lambda m: m.startswith(f"{source}:") & ~m.contains("0 open jobs"))).select("entity_id").distinct()
+    clean = runs.where(F.array_contains("used", source) & ~F.exists(low, lambda m: m.startswith(f"{source.lower()}:") & ~m.contains("0 open jobs"))).select("entity_id").distinct()
     return jobs.where(F.col("is_active") & (F.col("source") == source)).join(clean, "entity_id", "left_semi").join(seen.select("entity_id", "external_id").distinct(), ["entity_id", "external_id"], "left_anti")
 
 
@@ -71,15 +72,6 @@ def run_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("evidence_level").agg(F.count(F.lit(1)).alias("entities"), F.count_distinct("portal").alias("portals"), F.count_if("passed").alias("passed"))
 
 
-# Names and codes of states.
-STATES = {
-    "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE", "district of columbia": "DC", "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID",
-    "illinois": "IL", "indiana": "IN", "iowa": "IA", "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME", "maryland": "MD", "massachusetts": "MA", "michigan": "MI", "minnesota": "MN", "mississippi": "MS", "missouri": "MO",
-    "montana": "MT", "nebraska": "NE", "nevada": "NV", "new hampshire": "NH", "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH", "oklahoma": "OK", "oregon": "OR",
-    "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
-}
-
-
 def infer_state(entities: DataFrame) -> Column:
     """An entity's state: stated, else named (the longest name first) or coded in its names, else the label of its .gov host."""
     codes = F.array(*(F.lit(c) for c in STATES.values()))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fnv1a_base36, lenient_time, pick, truthy
-from ..functions.text import anchors, city_part, country_code, state_part, strip_markup
+from ..functions.text import anchors, city_part, comparable, contains_phrase, country_code, state_part, strip_markup
 from ..functions.urls import AUDIT, canonical, host
 from ..operators.quality import clean_title, is_detail_url, is_generic_title
 from .payloads import _finish, _items, _job, feed, table_rows
@@ -120,18 +120,51 @@ def table_jobs(pages: DataFrame, source: str, title: int = 0, department: int |
     return rows.select(*(c for c in rows.columns if c not in ("cells", "hrefs")), *columns).where("title is not null")
 
 
-# Public-sector boards by host, and the paths of their postings.
-PUBLIC_BOARDS = {"board:icma": ("icma.org", r"/job[s-]"), "board:naco": ("naco.org", r"/job"), "board:careersingovernment": ("careersingovernment.com", r"/job")}
+# Public-sector boards by host, the paths (with query) of their postings, and the names in their titles.
+PUBLIC_BOARDS = {
+    "board:icma": ("icma.org", r"/job-posts/\d+"),
+    "board:naco": ("naco.org", r"/(?:job|jobs|career|careers)[/?#-]"),
+    "board:careersingovernment": ("careersingovernment.com", r"/job/\d+/"),
+}
+_BOARD_TITLES = "ICMA|Careers in Government|NACo"
+_STATE_CODES = "AL|AK|AZ|AR|CA|CO|CT|DC|DE|FL|GA|HI|IA|ID|IL|IN|KS|KY|LA|MA|MD|ME|MI|MN|MO|MS|MT|NC|ND|NE|NH|NJ|NM|NV|NY|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VA|VT|WA|WI|WV|WY"
 
 
-def public_boards(jobs: DataFrame) -> DataFrame:
-    """Rows of public-sector boards, labelled by their host and path; others go."""
-    site = F.regexp_replace(host(F.col("apply_url")), r"^www\.", "")
-    path = F.regexp_extract("apply_url", r"^https?://[^/?#]+([^?#]*)", 1)
+def board_of(url: Column) -> Column:
+    """The public-sector board whose posting a URL is, by host and path with query; null for others."""
+    site = F.regexp_replace(F.lower(host(url)), r"^www\.", "")
+    path = F.regexp_extract(url, r"^https?://[^/?#]+([^#]*)", 1)
     label = F.lit(None).cast("string")
     for name, (domain, pattern) in PUBLIC_BOARDS.items():
         label = F.when(((site == domain) | site.endswith("." + domain)) & path.rlike(f"(?i){pattern}"), name).otherwise(label)
-    return jobs.withColumn("source", label).where("source is not null")
+    return label
+
+
+def public_boards(pages: DataFrame) -> DataFrame:
+    """Search results (payload, with entity_name and aliases of the entity searched for) that are postings of public-sector boards and name the
+    entity, or it without its kind of government, as a phrase; each URL once."""
+    from ..operators.dedupe import first_wins
+
+    rows, i = _items(pages, "data.webPages.value"), F.col("_item")
+    url, title = pick(i, "url", "displayUrl"), strip_markup(pick(i, "name"))
+    text = F.concat_ws(" ", title, strip_markup(F.concat_ws(" ", pick(i, "snippet"), pick(i, "summary"))))
+    names = F.concat(F.array("entity_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    rows = rows.withColumns({"_board": board_of(url), "_text": text, "_title": title, "_names": F.filter(F.transform(names, comparable), lambda n: F.length(n) >= 4)}).where(F.col("_board").isNotNull())
+    bare = lambda n: F.trim(F.regexp_replace(F.regexp_replace(n, "^(?:city|county|state|town|village|borough) of ", ""), " (?:city|county)$", ""))
+    said = comparable(F.col("_text"))
+    named = F.exists("_names", lambda n: contains_phrase(said, n) | ((F.length(bare(n)) >= 4) & contains_phrase(said, bare(n))))
+    short = F.trim(F.regexp_replace("_title", rf"(?i)\s*[|–—-]\s*(?:{_BOARD_TITLES}).*$", ""))
+    # The part behind a dash that begins with one of the entity's names goes too.
+    for_names = F.aggregate(F.filter(names, lambda n: F.trim(n) != ""), short, lambda t, n: F.trim(F.regexp_replace(t, F.concat(F.lit(r"(?i)\s*[|–—-]\s*\Q"), F.trim(n), F.lit(r"\E.*$")), F.lit(""))))
+    labelled = F.nullif(F.trim(F.regexp_extract("_text", r"(?i)(?<![A-Za-z0-9_])(?:location|address)\s*[:\-–—]\s*([^|;]{2,90})", 1)), F.lit(""))
+    place = F.coalesce(labelled, F.nullif(F.regexp_extract("_text", rf"(?<![A-Za-z0-9_])([A-Z][A-Za-z.' -]{{1,48}},\s*(?:{_STATE_CODES}))(?![A-Za-z0-9_])", 1), F.lit("")))
+    rows = rows.where(named).withColumns({"_short": for_names, "_place": place}).where(F.length("_short").between(3, 180))
+    columns = _job(
+        F.col("_board"), i, external_id=F.concat("_board", F.lit("-"), fnv1a_base36(url)), title=F.col("_short"), department=F.col("entity_name"), location=F.col("_place"), city=F.nullif(F.trim(F.split_part("_place", F.lit(","), F.lit(1))), F.lit("")),
+        state=F.nullif(F.regexp_extract("_place", r",\s*([A-Z]{2})(?![A-Za-z0-9_])", 1), F.lit("")), country=F.lit("US"), is_remote=F.col("_text").rlike(r"(?i)(?<![A-Za-z0-9_])(?:remote|virtual|telework)(?![A-Za-z0-9_])"), posted_at=lenient_time(pick(i, "datePublished")), apply_url=url,
+    )
+    out = _finish(rows, columns).drop("_board", "_text", "_title", "_names", "_short", "_place")
+    return first_wins(out.withColumn("_url", F.lower("apply_url")), [*(c for c in pages.columns if c not in ("payload", "aliases")), "_url"]).drop("_url")
 
 
 #: Feeds of portals by level of government; each is a generic feed under its own name.

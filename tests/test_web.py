@@ -47,8 +47,12 @@ def test_search_and_aggregators(spark):
     assert j.apply_url == "https://b.com/jobs/9"
     t = web.table_jobs(page(spark, "<table><tr><th>Job</th></tr><tr><td><a href='/apply/abcd1'>Cook</a></td><td>Reno, NV</td></tr></table>"), "jazzhr").collect()
     assert [(r.title, r.external_id, r.state, r.source) for r in t] == [("Cook", "abcd1", "NV", "jazzhr")]
-    b = spark.createDataFrame([("https://www.naco.org/jobs/1",), ("https://jobs.icma.org/job-2",), ("https://x.com/job",)], "apply_url string")
-    assert sorted(r.source for r in web.public_boards(b).collect()) == ["board:icma", "board:naco"]
+    urls = {"https://www.naco.org/jobs/1": "board:naco", "https://jobs.icma.org/job-posts/2": "board:icma", "https://careersingovernment.com/job/77/clerk": "board:careersingovernment", "https://icma.org/jobs-search": None, "https://x.com/job": None}
+    b = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.b for r in b.select("u", web.board_of(F.col("u")).alias("b")).collect()} == urls
+    found = [{"url": "https://www.naco.org/jobs/1", "name": "Clerk | NACo Career Center", "snippet": "Fresno County is hiring in Fresno, CA"}, {"url": "https://www.naco.org/jobs/1", "name": "Clerk again", "snippet": "Fresno County"}, {"url": "https://www.naco.org/jobs/2", "name": "Cook", "snippet": "Kern County"}]
+    pages = spark.createDataFrame([(json.dumps({"data": {"webPages": {"value": found}}}), "County of Fresno", ["Fresno County"])], "payload string, entity_name string, aliases array<string>")
+    assert [(r.title, r.source, r.city, r.state) for r in web.public_boards(pages).collect()] == [("Clerk", "board:naco", "Fresno", "CA")]
     with pytest.raises(ValueError, match="portal"):
         web.portal_feed(page(spark, "[]"), "galactic")
 
