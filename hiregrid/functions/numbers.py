@@ -88,3 +88,28 @@ def merge_json(left: Column, right: Column) -> Column:
     """Shallow merge of JSON objects: the right side wins, also with an explicit null. Wants spark.sql.mapKeyDedupPolicy=LAST_WIN."""
     read = lambda c: F.from_json(F.coalesce(c, F.lit("{}")), "map<string,variant>")
     return F.to_json(F.map_concat(read(left), read(right)))
+
+
+# Yes-or-no fields of the enrichment's answer.
+ENRICHMENT_FLAGS = (
+    "safety_sensitive", "likely_preplacement_exam", "likely_drug_testing", "likely_hearing_conservation", "likely_respirator_use", "likely_medical_surveillance", "deployment_oconus", "dot_cdl", "hazardous_exposure",
+    "clearance_security",
+)
+
+
+def enrichment_answer(text: Column) -> Column:
+    """A model's answer as a struct of known fields: the JSON object in it, whatever stands around; null if there is none that can be read.
+
+    A flag is true unless its value is absent, null, false, 0 or blank; the demand is one of three or unknown; the score is a whole number from 0 to
+    100; the reason has one space between words and at most 400 characters.
+    """
+    cleaned = F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^```(?:json)?\s*", ""), r"(?i)\s*```$", "")
+    body = F.regexp_extract(cleaned, r"(?s)(\{.*\})", 1)
+    body = F.when(F.try_parse_json(body).isNotNull() & (body != ""), body)
+    at = lambda name: F.get_json_object(body, f"$.{name}")
+    flag = lambda name: F.coalesce(~at(name).isin("", "false", "0", "null"), F.lit(False)).alias(name)
+    demand = F.lower(at("physical_demand"))
+    score = clamp(F.floor(F.coalesce(at("opportunity_score").try_cast("double"), F.lit(0.0)) + 0.5), 0, 100).cast("long")
+    reason = F.substring(F.trim(F.regexp_replace(F.coalesce(at("reason"), F.lit("")), r"\s+", " ")), 1, 400)
+    known = F.struct(*(flag(f) for f in ENRICHMENT_FLAGS), F.when(demand.isin("low", "moderate", "high"), demand).otherwise("unknown").alias("physical_demand"), score.alias("opportunity_score"), reason.alias("reason"))
+    return F.when(body.isNotNull(), known)

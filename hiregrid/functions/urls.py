@@ -117,3 +117,101 @@ def ats_board(url: Column) -> Column:
     """The board's id at its provider, else null."""
     low = F.lower(url)
     return F.coalesce(*(F.nullif(F.regexp_extract(low, "//" + pattern, 1), F.lit("")) for _, pattern in ATS_PATTERNS))
+
+
+# Hosted job boards in the order in which they are tried: provider, pattern of the host, where the board's id stands (the URL's pattern,
+# the host's first label, a token of the path), confidence.
+HOSTED_BOARDS = [
+    ("greenhouse", r"greenhouse\.io", r"greenhouse\.io/(?:embed/job_board\?for=)?([^/?#&]+)", "high"),
+    ("lever", r"jobs\.lever\.co", r"jobs\.lever\.co/([^/?#&]+)", "high"),
+    ("ashby", r"jobs\.ashbyhq\.com", r"jobs\.ashbyhq\.com/([^/?#&]+)", "high"),
+    ("recruitee", r"^[^.]+\.recruitee\.com$", "label", "high"),
+    ("smartrecruiters", r"(?:jobs|api)\.smartrecruiters\.com", r"(?:jobs\.smartrecruiters\.com|api\.smartrecruiters\.com/v1/companies)/([^/?#&]+)", "high"),
+    ("bamboohr", r"^[^.]+\.bamboohr\.com$", "label", "high"),
+    ("workday", r"myworkdayjobs\.com|myworkdaysite\.com|workdayjobs\.com", "site", "high"),
+    ("icims", r"icims\.com", "", "medium"),
+    ("taleo", r"taleo\.net", "", "medium"),
+    ("oracle", r"oraclecloud\.com", "", "medium"),
+    ("jobvite", r"jobvite\.com", "path", "medium"),
+    ("successfactors", r"successfactors\.com", "path", "medium"),
+    ("workable", r"apply\.workable\.com$", "path", "high"),
+    ("teamtailor", r"teamtailor\.com$", "label", "high"),
+    ("personio", r"jobs\.personio\.(?:com|de)$", "label", "high"),
+    ("comeet", r"comeet\.(?:com|co)$", "path", "medium"),
+    ("breezyhr", r"breezy\.hr$", "label", "high"),
+    ("jazzhr", r"applytojob\.com$", "path", "medium"),
+    ("rippling", r"ats\.rippling\.com$", "path", "high"),
+    ("dayforce", r"dayforcehcm\.com$", "path2", "medium"),
+    ("ukg", r"ultipro\.com$|ukg\.com$", "", "medium"),
+    ("adp", r"workforcenow\.adp\.com$", "", "medium"),
+    ("paylocity", r"recruiting\.paylocity\.com$", "", "medium"),
+    ("paycom", r"paycomonline\.net$", "", "medium"),
+    ("governmentjobs", r"governmentjobs\.com$", r"/careers/([^/?#]+)", "high"),
+    ("neogov", r"neogov\.com$", "", "medium"),
+    ("applicantpro", r"applicantpro\.com$", "label", "medium"),
+    ("pinpoint", r"pinpointhq\.com$", "label", "medium"),
+    ("zoho_recruit", r"zohorecruit\.com$", "", "medium"),
+    ("bullhorn", r"bullhornstaffing\.com$", "", "medium"),
+    ("ceipal", r"ceipal\.com$", "", "medium"),
+    ("clearcompany", r"clearcompany\.com$", "label", "medium"),
+    ("cornerstone", r"csod\.com$", "label", "medium"),
+    ("eightfold", r"eightfold\.ai$", "", "medium"),
+    ("avature", r"avature\.net$", "label", "medium"),
+    ("phenom", r"phenom\.com$", "", "medium"),
+    ("hirebridge", r"hirebridge\.com$", "", "medium"),
+    ("silkroad", r"silkroad\.com$", "", "medium"),
+]
+# Boards that count only with this in the path or the URL.
+_HOSTED_ALSO = {"bamboohr": "/careers", "oracle": "hcm|career|job"}
+# What a page's markup says of its provider, in the order in which it is tried.
+MARKUP_SIGNALS = [
+    ("greenhouse", "greenhouse"), ("lever", r"lever\.co|lever-jobs"), ("ashby", "ashbyhq"), ("recruitee", "recruitee"), ("smartrecruiters", "smartrecruiters"), ("bamboohr", "bamboohr"), ("workday", "myworkdayjobs|workday"), ("icims", "icims"),
+    ("taleo", "taleo"), ("oracle", "oraclecloud.*hcm|oracle recruiting"), ("jobvite", "jobvite"), ("successfactors", "successfactors"), ("workable", "workable"), ("teamtailor", "teamtailor"), ("personio", "personio"), ("comeet", "comeet"),
+    ("breezyhr", "breezy"), ("jazzhr", "jazzhr|applytojob"), ("rippling", "rippling"), ("dayforce", "dayforce"), ("ukg", "ultipro|ukg"), ("adp", r"workforcenow\.adp|adp recruiting"), ("paylocity", "paylocity"), ("paycom", "paycom"),
+    ("governmentjobs", "governmentjobs|neogov"), ("applicantpro", "applicantpro"), ("pinpoint", "pinpointhq"), ("zoho_recruit", "zohorecruit"), ("bullhorn", "bullhornstaffing"), ("ceipal", "ceipal"), ("clearcompany", "clearcompany"),
+    ("cornerstone", "csod|cornerstone"), ("eightfold", "eightfold"), ("avature", "avature"), ("phenom", "phenom"), ("hirebridge", "hirebridge"), ("silkroad", "silkroad"),
+]
+
+
+def hosted_board(url: Column) -> Column:
+    """provider, board and confidence (struct) of the hosted job board that a URL leads to; null for other URLs."""
+    site = F.lower(F.regexp_extract(url, r"^(?i)https?://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    path = F.regexp_extract(url, r"^(?i)https?://[^/?#]+([^?#]*)", 1)
+    token = lambda k: F.get(F.filter(F.split(path, "/"), lambda x: x != ""), F.lit(k))
+    site_of = F.when(token(0).rlike("^[a-z]{2}-[A-Z]{2}$"), token(1)).otherwise(token(0))
+    board_at = {"label": F.split_part(site, F.lit("."), F.lit(1)), "path": token(0), "path2": token(1), "": F.lit(None).cast("string"), "site": F.concat_ws("/", F.regexp_extract(url, r"^(?i)(https?://[^/?#]+)", 1), site_of)}
+    out = F.lit(None).cast("struct<provider: string, board: string, confidence: string>")
+    for provider, pattern, board, confidence in reversed(HOSTED_BOARDS):
+        test = site.rlike(pattern)
+        if provider in _HOSTED_ALSO:
+            test &= (path if provider == "bamboohr" else url).rlike(f"(?i){_HOSTED_ALSO[provider]}")
+        ident = board_at[board] if board in board_at else F.nullif(F.regexp_extract(url, f"(?i){board}", 1), F.lit(""))
+        if provider in ("greenhouse", "lever", "ashby", "smartrecruiters"):  # without a board it is another page of theirs
+            test &= ident.isNotNull()
+        out = F.when(test, F.struct(F.lit(provider).alias("provider"), ident.alias("board"), F.lit(confidence).alias("confidence"))).otherwise(out)
+    return out
+
+
+def detect_ats(page_url: Column, links: Column | None = None, html: Column | None = None) -> Column:
+    """The provider of a career page: by its URL, else by the first of its links (array) that leads to a hosted board, else by signals in its markup."""
+    found = hosted_board(page_url)
+    if links is not None:
+        found = F.coalesce(found, F.get(F.filter(F.transform(links, hosted_board), lambda x: x.isNotNull()), F.lit(0)))
+    if html is not None:
+        low, named = F.lower(html), F.lit(None).cast("string")
+        for provider, pattern in reversed(MARKUP_SIGNALS):
+            named = F.when(low.rlike(pattern), provider).otherwise(named)
+        found = F.coalesce(found, F.when(named.isNotNull(), F.struct(named.alias("provider"), F.lit(None).cast("string").alias("board"), F.lit("medium").alias("confidence"))))
+    return found
+
+
+def workday_board(url: Column) -> Column:
+    """tenant, site, language and the listing's endpoint (struct) of a Workday board's URL; null for others and for one without a site."""
+    site = F.lower(F.regexp_extract(url, r"^(?i)https?://([^/?#:]+)", 1))
+    parts = F.filter(F.split(F.regexp_extract(url, r"^(?i)https?://[^/?#]+([^?#]*)", 1), "/"), lambda x: x != "")
+    language = F.when(F.get(parts, F.lit(0)).rlike("^[a-z]{2}-[A-Z]{2}$"), F.concat(F.lit("/"), F.get(parts, F.lit(0)))).otherwise("")
+    board = F.when(language != "", F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
+    tenant = F.split_part(site, F.lit("."), F.lit(1))
+    endpoint = F.concat(F.regexp_extract(url, r"^(?i)(https?://[^/?#]+)", 1), F.lit("/wday/cxs/"), tenant, F.lit("/"), board, F.lit("/jobs"))
+    is_board = site.rlike(r"(?:myworkdayjobs|myworkdaysite|workdayjobs)\.com$") & board.isNotNull()
+    return F.when(is_board, F.struct(tenant.alias("tenant"), board.alias("site"), language.alias("language"), endpoint.alias("endpoint")))

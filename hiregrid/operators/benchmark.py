@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,3 +142,28 @@ def pages_complete(pages: DataFrame, keys: list[str]) -> DataFrame:
     urls = pages.select(*keys, F.explode("urls").alias("u")).groupBy(*keys).agg(F.count_distinct("u").alias("unique_urls"))
     rows = seen.join(urls, keys, "left").fillna(0, ["unique_urls"])
     return rows.select(*keys, "official", "unique_urls", F.coalesce(F.col("official").isNotNull() & F.col("_end") & (F.col("_n") == F.col("_d")) & (F.col("unique_urls") >= F.col("official")), F.lit(False)).alias("complete"))
+
+
+def maintain_cohort(members: DataFrame, entities: DataFrame, as_of: datetime, size: int = 25) -> DataFrame:
+    """The cohort after its upkeep: members whose entity is no longer active are put to rest, those whose entity is are active again, and each portal is
+    filled up to `size` as `select_cohort` chooses: entity_id, portal, is_active, added_at. `members`: entity_id, portal, is_active, added_at."""
+    e = entities.where("is_active").select(F.col("id").alias("_id"))
+    kept = members.join(e, F.col("entity_id") == F.col("_id"), "left").withColumn("is_active", F.col("_id").isNotNull()).drop("_id")
+    held = kept.where("is_active").groupBy("portal").agg(F.count(F.lit(1)).alias("_held"))
+    free = entities.join(kept.where("is_active").select(F.col("entity_id").alias("_m")), F.col("id") == F.col("_m"), "left_anti").join(held, "portal", "left")
+    order = [F.col("has_truth").desc(), F.col("score").desc_nulls_last(), F.col("updated_at").desc_nulls_last(), F.col("name"), F.col("id")]
+    chosen = first_rows(free.where("is_active"), ["portal"], order, out="_rn", n=size)
+    # The rank is needed to stop at the number that is missing.
+    from pyspark.sql import Window as W
+
+    chosen = chosen.withColumn("_k", F.row_number().over(W.partitionBy("portal").orderBy(*order))).where(F.col("_k") <= size - F.coalesce("_held", F.lit(0)))
+    return kept.unionByName(chosen.select(F.col("id").alias("entity_id"), "portal", F.lit(True).alias("is_active"), F.lit(as_of).alias("added_at")))
+
+
+def truth_in_force(truth: DataFrame, as_of: datetime, max_age_hours: int = 36) -> DataFrame:
+    """The latest snapshot of each entity if it is fresh: entity_id, job_urls, official_job_count, and the evidence it gives: `ground_truth` with URLs,
+    `official_count` with a count alone."""
+    last = first_rows(truth, ["entity_id"], [F.col("captured_at").desc_nulls_last(), F.col("id").desc()])
+    fresh = last.where(F.col("captured_at") >= F.lit(as_of) - F.expr(f"INTERVAL {int(max_age_hours)} HOURS"))
+    urls = F.size(F.coalesce("job_urls", F.array().cast("array<string>"))) > 0
+    return fresh.select("entity_id", "job_urls", "official_job_count", F.when(urls, "ground_truth").when(F.col("official_job_count").isNotNull(), "official_count").alias("evidence"))

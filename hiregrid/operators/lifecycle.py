@@ -162,3 +162,36 @@ def needs_enrichment(jobs: DataFrame, done: DataFrame, inputs: list[str], versio
     rows = jobs.withColumn("input_sha256", F.sha2(F.concat_ws("\x1f", F.lit(version), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in inputs)), 256))
     rows = rows.join(done.select("id", "input_sha256"), ["id", "input_sha256"], "left_anti")
     return first_rows(rows, ["entity_id"], [F.col("posted_at").desc_nulls_last(), F.col("id")], n=most)
+
+
+def append_once(history: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The history with the rows appended; a row whose keys it has already, or that the rows have twice, is refused as a whole."""
+    both = rows.select(*keys).unionByName(history.join(rows.select(*keys).distinct(), keys, "left_semi").select(*keys))
+    twice = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"refused: {tuple(twice[0][k] for k in keys)} is there already")
+    return history.unionByName(rows)
+
+
+def prune_after_rebuild(table: DataFrame, rebuilt: DataFrame, keys: list[str], started: datetime) -> DataFrame:
+    """The table after a rebuild: rebuilt rows replace theirs, and rows that the rebuild didn't touch go."""
+    out = upsert(table, rebuilt, keys).drop("_is_new", "_changed")
+    return out.where(F.col("updated_at") >= F.lit(started))
+
+
+# Fields of an entity that a patch may set.
+PATCHABLE = ("name", "aliases", "portal", "career_page_url", "ats_provider", "ats_board_id", "industry", "category", "is_active")
+
+
+def patch_entities(entities: DataFrame, patches: DataFrame, as_of: datetime) -> DataFrame:
+    """Entities with patched fields and the time of the patch. `patches`: id, `fields` (map of names to texts; null sets a null); other names are ignored, and a
+    patch without an allowed one changes nothing."""
+    allowed = F.map_filter("fields", lambda k, _: k.isin(*(c for c in PATCHABLE if c in entities.columns)))
+    p = patches.select(F.col("id").alias("_id"), allowed.alias("_f")).where(F.size("_f") > 0)
+    rows = entities.join(p, F.col("id") == F.col("_id"), "left")
+    for c in (c for c in PATCHABLE if c in entities.columns):
+        kind = entities.schema[c].dataType
+        value = F.col("_f")[c]
+        new = F.coalesce(F.from_json(value, kind.simpleString()), F.array().cast(kind)) if kind.typeName() == "array" else value.cast(kind)
+        rows = rows.withColumn(c, F.when(F.coalesce(F.map_contains_key("_f", c), F.lit(False)), new).otherwise(F.col(c)))
+    return rows.withColumn("updated_at", F.when(F.col("_id").isNotNull(), F.lit(as_of)).otherwise(F.col("updated_at"))).select(*entities.columns)

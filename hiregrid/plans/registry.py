@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import operator_queries, source_queries  # noqa: F401  their queries register themselves
+from . import health_queries, operator_queries, source_queries  # noqa: F401  their queries register themselves
 from .queries import QUERIES, SQL
 
 FLAGSHIP = "source_pair_baselines"
