@@ -6,9 +6,11 @@ there are, so buckets don't grow in step with the corpus. Each candidate pair is
 similarity is at least `percent`. Components of the links are the groups.
 
 A bucket is never expanded into rows of all its pairs. First every set is tried against the smallest candidate of its bucket only. Then, of those
-with more candidates, the pairs that aren't connected yet are tried, all of them. Whole sets are never stored: they are made again from
-the texts for those that have a candidate, which a filter of fixed size finds before the shuffle. A bucket of more than `held_most` rows
-is dealt out in blocks, of which each two meet in one group. So no cap drops a pair within the radius.
+with more candidates, the pairs that aren't connected yet are tried, all of them: a set with at most DENSE candidates in a bucket pair by pair;
+sets that all have more come together once, as a cluster, and are compared there, where only the links leave the task. Whole sets are never
+stored: they are made again from the texts for those that have a candidate, which a filter of fixed size finds before the shuffle. A bucket of
+more than `held_most` rows, and a cluster of more than DENSE_ITEMS shingles, is dealt out in blocks, of which each two meet in one group. So no
+cap drops a pair within the radius.
 
 What the method can lose are pairs of similar sets whose fingerprints differ in more bits; tests and the README give the share.
 
@@ -34,7 +36,12 @@ from .simhash import _BITS, _LOWER, SAMPLE, Pigeonhole, components, join_labels
 #: Bits in which the fingerprints of a candidate pair may differ.
 RADIUS = 12
 #: Rows of a bucket that one group may have.
-HELD_MOST = 1 << 14
+HELD_MOST = 1 << 16
+#: Candidates in a bucket beyond which a set isn't tried pair by pair, and shingles in a block of what is compared instead.
+DENSE, DENSE_ITEMS = 64, 1 << 20
+#: Cost of a probe, a row that is shuffled and sorted, in comparisons of two fingerprints in numpy.
+PROBE_COST = 1500
+PAIR, MANY, CLUSTER, HOT = range(4)
 
 
 def shingle_sets(texts: pa.StringArray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,71 +102,92 @@ def _sets(rows: DataFrame, words: int, items: bool) -> DataFrame:
     return rows.mapInArrow(each, rows.drop("text").schema.add("id", "long").add("size", T.IntegerType()).add(last))
 
 
-def bucket_pairs(x: np.ndarray, radius: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids within the radius that share a bucket. Rows of x, sorted by the first two: item (bucket), id, fp, role, root.
+def _near(fps: np.ndarray, role: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of a bucket's rows within the radius: each has a member in it, and one that probes. Some four million comparisons at a time."""
+    members = np.flatnonzero(role < 2)
+    step = max(1, (1 << 22) // max(len(fps), 1))
+    for k in range(0, len(members), step):
+        own = members[k : k + step]
+        i, j = np.nonzero((np.bitwise_count(fps[own][:, None] ^ fps) <= radius) & ((role[own] > 0)[:, None] | (role > 0)))
+        i = own[i]
+        once = (i != j) & ((role[j] == 2) | (i < j))
+        i, j = i[once], j[once]
+        yield np.minimum(i, j), np.maximum(i, j)
 
-    `every` gives all of different roots. Otherwise each id is paired with the smallest id within the radius only, and (id, id) comes
-    for all of those that may have more.
+
+def bucket_pairs(x: np.ndarray, radius: int, every: bool, dense: int = DENSE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """What the buckets give: kind and two columns of ids. Rows of x, sorted by the first two: item (bucket), id, fp, role, root.
+
+    `every` gives all pairs of different roots, but those between two ids with more than `dense` such candidates: of these each comes with
+    one of its cluster. Otherwise each id is paired with the smallest id within the radius only, and all of those that may have more are marked.
     """
     item, ids, fps, role, root = x
     fps = fps.view(np.uint64)
-    rows = np.arange(len(item))
-    if len(rows):
-        edges = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
-        each = np.diff(np.append(edges, len(item)))
-        worth = np.maximum.reduceat(root, edges) != np.minimum.reduceat(root, edges) if every else each > 1
-        rows = np.flatnonzero(np.repeat(worth, each))
-    least, labels, k = np.arange(len(item)), np.arange(len(item)), 0
-    while True:
-        k += 1
-        rows = rows[rows + k < len(item)]
-        rows = rows[item[rows] == item[rows + k]]
-        if not len(rows):
-            break
-        near = rows[np.bitwise_count(fps[rows] ^ fps[rows + k]) <= radius]
-        other = near + k
-        asked = (np.maximum(role[near], role[other]) > 0) & (np.minimum(role[near], role[other]) < 2) & (ids[near] != ids[other])
-        if every:
-            asked &= root[near] != root[other]
-        near, other = near[asked], other[asked]
-        if every:
-            yield ids[near], ids[other]
-        else:
-            np.minimum.at(least, other, near)
-            join_labels(labels, near, other)
-    if not every:
-        paired = np.flatnonzero(least < np.arange(len(item)))
-        yield ids[paired], ids[least[paired]]
-        many = np.unique(ids[np.bincount(labels, minlength=len(item))[labels] > 2]) if len(item) else ids
-        yield many, many
-
-
-def _candidates(nodes: DataFrame, index: Pigeonhole, every: bool, held_most: int) -> DataFrame:
-    """Distinct pairs a < b of ids within the radius, and a = b where `bucket_pairs` marks an id. `nodes` has id, fp, root."""
+    edges = np.flatnonzero(np.append(True, item[1:] != item[:-1])) if len(item) else np.zeros(0, np.int64)
+    if not len(edges):
+        return
+    ends = np.append(edges[1:], len(item))
+    worth = (ends - edges > 1) & (np.minimum.reduceat(role, edges) < 2) & (np.maximum.reduceat(role, edges) > 0)
+    if every:
+        worth &= np.maximum.reduceat(root, edges) != np.minimum.reduceat(root, edges)
+    for low, high in zip(edges[worth].tolist(), ends[worth].tolist(), strict=True):
+        own, n = ids[low:high], high - low
+        roots = root[low:high]
+
+        def near(low: int = low, high: int = high, own: np.ndarray = own, roots: np.ndarray = roots) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i, j in _near(fps[low:high], role[low:high], radius):
+                apart = (roots[i] != roots[j]) if every else (own[i] != own[j])
+                yield i[apart], j[apart]
+
+        degree, least, some = np.zeros(n, np.int64), np.arange(n), np.arange(n)
+        for i, j in near():
+            if len(i):
+                degree += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+                np.minimum.at(least, j, i)
+                some[i], some[j] = j, i
+        if not degree.any():
+            continue
+        if not every:
+            paired = np.flatnonzero(least < np.arange(n))
+            yield PAIR, own[paired], own[least[paired]]
+            many = own[(degree > 1) | ((degree == 1) & (degree[some] > 1))]
+            yield MANY, many, many
+            continue
+        crowded, labels = degree > dense, np.arange(n)
+        for i, j in near():
+            both = crowded[i] & crowded[j]
+            yield PAIR, own[i[~both]], own[j[~both]]
+            join_labels(labels, i[both], j[both])
+        joined = np.flatnonzero(labels < np.arange(n))
+        yield CLUSTER, own[joined], own[labels[joined]]
+
+
+def _candidates(nodes: DataFrame, index: Pigeonhole, every: bool, held_most: int, dense: int = DENSE) -> DataFrame:
+    """Distinct kind, a <= b of what `bucket_pairs` gives over all buckets. `nodes` has id, fp, root."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, fps, root = (c.to_numpy() for c in batch.columns)
-            for i in range(0, len(ids), 1 << 14):
-                part, value, _, role, row = index.buckets(fps[i : i + (1 << 14)].view(np.uint64), numbered=True)
+            for i in range(0, len(ids), 1 << 12):
+                part, value, _, role, row = index.buckets(fps[i : i + (1 << 12)].view(np.uint64), numbered=True)
                 item = mixed((value << np.uint64(6)) ^ part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays([pa.array(item.view(np.int64)), pa.array(ids[i + row]), pa.array(fps[i + row]), pa.array(role), pa.array(root[i + row])], names=["item", "id", "fp", "role", "root"])
 
     def meet(batches: Iterator[pa.RecordBatch], in_blocks: bool = False) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray, hot: bool = False) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), hot))], names=["a", "b", "hot"])
-
-        def pairs(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b, n = [], [], 0
-            for some_a, some_b in bucket_pairs(x, index.radius, every):
-                a.append(some_a)
-                b.append(some_b)
-                n += len(some_a)
-                if n > 1 << 18:
-                    yield out(np.concatenate(a), np.concatenate(b))
-                    a, b, n = [], [], 0
+        def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["kind", "a", "b"])
+
+        def given(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
+            n = 0
+            for kind, a, b in bucket_pairs(x, index.radius, every, dense):
+                held.setdefault(kind, []).append((a, b))
+                n += len(a)
+                if n > 1 << 17:
+                    yield from (out(k, *map(np.concatenate, zip(*v, strict=True))) for k, v in held.items())
+                    held, n = {}, 0
             if n:
-                yield out(np.concatenate(a), np.concatenate(b))
+                yield from (out(k, *map(np.concatenate, zip(*v, strict=True))) for k, v in held.items())
 
         held, giant = np.zeros((5, 0), np.int64), None
         for batch in batches:
@@ -170,29 +198,91 @@ def _candidates(nodes: DataFrame, index: Pigeonhole, every: bool, held_most: int
                 held = x
                 continue
             last = int(np.searchsorted(x[0], x[0, -1]))
-            yield from pairs(x[:, :last])
+            yield from given(x[:, :last])
             held = x[:, last:]
             if held.shape[1] > held_most and not in_blocks:
                 giant = held[0, 0]
-                yield out(held[0, :1], held[0, :1], True)
+                yield out(HOT, held[0, :1], held[0, :1])
                 held = held[:, :0]
         if held.shape[1]:
-            yield from pairs(held)
+            yield from given(held)
 
     entries = nodes.select("id", "fp", "root").mapInArrow(enter, "item long, id long, fp long, role byte, root long")
     dealt = lambda rows: rows.repartition("item").sortWithinPartitions("item", "id")
-    pairs = lambda rows: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = checkpointed(dealt(entries).mapInArrow(meet, "a long, b long, hot boolean").distinct())
-    near = found.where("not hot")
-    hot = found.where("hot").select(F.col("a").alias("h"))
-    if hot.limit(1).count():
-        again = entries.join(hot, F.col("item") == F.col("h")).drop("h")
-        blocks = again.groupBy(F.col("item").alias("h")).agg(F.ceil(F.count(F.lit(1)) / (held_most // 4)).alias("blocks"))
-        again = again.join(blocks, F.col("item") == F.col("h")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-        again = again.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        again = again.select(F.xxhash64("item", F.least("block", "other"), F.greatest("block", "other")).alias("item"), "id", "fp", "role", "root")
-        near = near.unionByName(dealt(again).mapInArrow(partial(meet, in_blocks=True), "a long, b long, hot boolean"))
-    return checkpointed(pairs(near))
+    found = checkpointed(dealt(entries).mapInArrow(meet, "kind byte, a long, b long").distinct())
+    hot = found.where(F.col("kind") == HOT).select(F.col("a").alias("h"))
+    if not hot.limit(1).count():
+        return found
+    again = entries.join(hot, F.col("item") == F.col("h")).drop("h")
+    blocks = again.groupBy(F.col("item").alias("h")).agg(F.ceil(F.count(F.lit(1)) / (held_most // 4)).alias("blocks"))
+    again = again.join(blocks, F.col("item") == F.col("h")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    again = again.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    again = again.select(F.xxhash64("item", F.least("block", "other"), F.greatest("block", "other")).alias("item"), "id", "fp", "role", "root")
+    more = dealt(again).mapInArrow(partial(meet, in_blocks=True), "kind byte, a long, b long")
+    return checkpointed(found.where(F.col("kind") != HOT).unionByName(more).distinct())
+
+
+def cluster_links(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray, side: np.ndarray, items: np.ndarray, bounds: np.ndarray, radius: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among sets (sorted hashes, bounds by row): within the radius and of the similarity. Of two sides, only
+    pairs across; pairs of equal roots, or that are connected by then, aren't compared."""
+    n, size = len(ids), np.diff(bounds)
+    labels = np.searchsorted(np.unique(roots), roots)
+    found: list[tuple[int, int]] = []
+    across = bool(side.any())
+    for i in range(n - 1):
+        other = np.arange(i + 1, n)
+        other = other[(labels[other] != labels[i]) & (np.bitwise_count(fps[other] ^ fps[i]) <= radius)]
+        other = other[(side[other] != side[i]) | (not across)]
+        other = other[(100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])) & (size[other] > 0)]
+        if not len(other) or not size[i]:
+            continue
+        mine = items[bounds[i] : bounds[i + 1]]
+        theirs = np.concatenate([items[bounds[j] : bounds[j + 1]] for j in other.tolist()])
+        at = np.searchsorted(mine, theirs).clip(max=len(mine) - 1)
+        same = np.add.reduceat(mine[at] == theirs, np.cumsum(size[other]) - size[other], dtype=np.int64)
+        for j in other[(100 + percent) * same >= percent * (size[i] + size[other])].tolist():
+            if labels[j] != labels[i]:
+                labels[labels == labels[j]] = labels[i]
+                found.append((i, j))
+    a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    return ids[a], ids[b]
+
+
+def _cluster_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, radius: int, percent: int, most_items: int = DENSE_ITEMS) -> DataFrame:
+    """The links inside clusters, which `pairs` (a, b) hold together. `nodes` has id, fp, size, root."""
+    held_by = components(pairs).toDF("node", "cluster")
+    rows = checkpointed(nodes.join(held_by, F.col("id") == F.col("node")).drop("node"))
+    blocks = rows.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / most_items)).alias("blocks"))
+    rows = rows.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("group"), (F.col("block") > F.col("other")).cast("byte").alias("side"), "id", "fp", "root")
+    items = among(sets.select("id", "items"), masks(rows.select("id"))).where("_among").drop("_among").dropDuplicates(["id"])
+
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        group = pa.Table.from_batches(held)
+        items = group.column("items").combine_chunks()
+        bounds = np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy())]).astype(np.int64)
+        ids, fps, root, side = (group.column(c).to_numpy() for c in ("id", "fp", "root", "side"))
+        a, b = cluster_links(ids, fps.view(np.uint64), root, side, items.flatten().to_numpy().view(np.uint64), bounds, radius, percent)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            group = batch.column("group").to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)) if len(group) else np.zeros(1, np.int64)
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if held and group[low] != now:
+                    yield links(held)
+                    held = []
+                now = group[low]
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield links(held)
+
+    dealt = rows.join(items, "id").repartition("group").sortWithinPartitions("group", "id")
+    return checkpointed(dealt.mapInArrow(verify, "a long, b long"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,22 +299,27 @@ def near_index(nodes: DataFrame, n: int, radius: int) -> Pigeonhole:
     deal = max(1, n // SAMPLE)
     sample = np.sort(np.array([r["fp"] for r in nodes.where(F.pmod(F.xxhash64("id"), F.lit(deal)) == 0).select("fp").collect()], np.int64).view(np.uint64))
     # A probe is a row that is shuffled and sorted, a candidate a comparison in numpy.
-    tried = [Pigeonhole(sample, n, radius, m, probe_cost=400) for m in range(4, radius + 2)]
+    tried = [Pigeonhole(sample, n, radius, m, probe_cost=PROBE_COST) for m in range(4, radius + 2)]
     return min(tried, key=lambda index: index.cost(sample[:: max(1, len(sample) // 512)]))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", held_most: int = HELD_MOST) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", held_most: int = HELD_MOST, dense: int = DENSE) -> DataFrame:
     """Per row of `docs`: doc_id, component_id (the smallest doc_id reachable over pairs within the radius and of at least `percent` % similarity)."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     whole = _sets(rows, words, True)
     sets = checkpointed(_sets(rows, words, False))
-    own = checkpointed(sets.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
+    own = checkpointed(sets.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size")))
     index = near_index(own, own.count(), radius)
-    found = _candidates(own.select("id", "fp", F.col("id").alias("root")), index, False, held_most)
-    links = _verified(found, whole, percent)
-    some = among(own.select("id", "fp"), masks(found.where("a = b").select(F.col("a").alias("id")))).where("_among").drop("_among")
-    some = some.join(components(links), F.col("id") == F.col("node"), "left").select("id", "fp", F.coalesce("root", "id").alias("root"))
-    links = checkpointed(links.unionByName(_verified(_candidates(some, index, True, held_most), whole, percent)))
+    of_kind = lambda rows, kind: rows.where(F.col("kind") == kind).select("a", "b")
+    first = _candidates(own.select("id", "fp", F.col("id").alias("root")), index, False, held_most, dense)
+    links = _verified(of_kind(first, PAIR), whole, percent)
+    some = among(own.select("id", "fp", "size"), masks(of_kind(first, MANY).select(F.col("a").alias("id")))).where("_among").drop("_among")
+    some = checkpointed(some.join(components(links), F.col("id") == F.col("node"), "left").select("id", "fp", "size", F.coalesce("root", "id").alias("root")))
+    rest = _candidates(some, index, True, held_most, dense)
+    links = links.unionByName(_verified(of_kind(rest, PAIR), whole, percent))
+    if of_kind(rest, CLUSTER).limit(1).count():
+        links = links.unionByName(_cluster_links(of_kind(rest, CLUSTER), some, whole, radius, percent))
+    links = checkpointed(links)
     own = own.join(components(links), F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     # Written first, so that the join's exchanges are its own and Spark can split the partition of a very large component.
     least = checkpointed(own.groupBy("root").agg(F.min("least").alias("component_id")))

@@ -42,7 +42,7 @@ class TokenBytes(dict):
     a vocabulary whose ranks are not its ids leaves this to `tokenizers` too.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

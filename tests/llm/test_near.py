@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from hiregrid.llm.near import RADIUS, keep_one_similar, set_fingerprints, shingle_sets, similar_documents
+from hiregrid.llm.near import RADIUS, _cluster_links, keep_one_similar, set_fingerprints, shingle_sets, similar_documents
 from hiregrid.llm.simhash import Pigeonhole
 
 
@@ -62,13 +62,13 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("held_most", [1 << 16, 8])
-def test_components_equal_all_pairs(spark, held_most):
+@pytest.mark.parametrize(("held_most", "dense"), [(1 << 16, 64), (8, 64), (1 << 16, 1), (1 << 16, 0)])
+def test_components_equal_all_pairs(spark, held_most, dense):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = least(rows)
     assert len({c for _, c in want}) > 25 and any(i != c for i, c in want)
-    assert Counter((r.doc_id, r.component_id) for r in similar_documents(df, held_most=held_most).collect()) == want
+    assert Counter((r.doc_id, r.component_id) for r in similar_documents(df, held_most=held_most, dense=dense).collect()) == want
 
 
 def test_awkward_rows_and_columns(docs, clashing, empty, rows):
@@ -122,3 +122,36 @@ def test_any_number_of_partitions_covers_the_radius():
         met = {frozenset((i, j)) for own in keys.values() for r, i in own if r > 0 for q, j in own if q < 2 and i != j}
         want = {frozenset((i, j)) for i, j in combinations(range(len(fps)), 2) if int(fps[i] ^ fps[j]).bit_count() <= RADIUS}
         assert want <= met and len(want) > 100
+
+
+@pytest.mark.parametrize("most_items", [1 << 20, 150])
+def test_cluster_links_against_all_pairs(spark, most_items):
+    """One cluster of copies at very different distances, in one block and in many."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = {" ".join(base)}
+    while len(texts) < 40:
+        copy = list(base)
+        for _ in range(rng.randint(1, 6)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        texts.add(" ".join(copy))
+    texts = sorted(texts)
+    hashes, bounds, digests = shingle_sets(pa.array(texts), 5)
+    fps, ids = set_fingerprints(hashes, bounds).view(np.int64).tolist(), digests.view(np.int64).tolist()
+    rows = spark.createDataFrame([(i, f, n, i) for i, f, n in zip(ids, fps, np.diff(bounds).tolist(), strict=True)], "id long, fp long, size int, root long")
+    sets = spark.createDataFrame([(i, hashes[a:b].view(np.int64).tolist()) for i, a, b in zip(ids, bounds[:-1], bounds[1:], strict=True)], "id long, items array<long>")
+    chain = spark.createDataFrame([(min(p), max(p)) for p in zip(ids, ids[1:], strict=False)], "a long, b long")
+    found = [(r.a, r.b) for r in _cluster_links(chain, rows, sets, RADIUS, 80, most_items).collect()]
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in found:
+        root[find(a)] = find(b)
+    text = dict(zip(ids, texts, strict=True))
+    want = roots(texts)
+    assert {frozenset(j for j in ids if find(j) == find(i)) for i in ids} == {frozenset(j for j in ids if want[text[j]] == want[text[i]]) for i in ids}
+    assert 1 < len({find(i) for i in ids}) < len(ids)
