@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pick
@@ -96,25 +95,31 @@ def dedupe_jobs(jobs: DataFrame, keys: tuple[str, ...] = ("entity_id",)) -> Data
         .when((source_key(F.col("source")) != "") & (external != ""), F.concat(F.lit("source:"), source_key(F.col("source")), F.lit(":"), external))
         .otherwise(F.concat(F.lit("row:"), F.col("_seq").cast("string")))
     )
-    rows = rows.withColumn("identity", identity)
-    before = F.max("_score").over(W.partitionBy(*key, "identity").orderBy("_seq").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("_rank", F.when(F.coalesce(F.col("_score") > before, F.lit(True)), -F.col("_seq")).otherwise(F.lit(1 << 52) + F.col("_seq")))
-    fields = [c for c in jobs.columns if c not in (*key, "_seq")]
-    rank = F.col("_rank")
+    raw = pick(F.col("raw_data"), "source_graph_lineage") if "raw_data" in jobs.columns else F.lit(None).cast("string")
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    rows = rows.withColumns({"identity": identity, "_source": filled(F.col("source")), "_lineage": filled(raw)})
+    fields = [c for c in jobs.columns if c not in (*key, "_seq", "normalized_apply_url")] + ["normalized_apply_url"]
 
-    def chosen(c: str) -> Column:
+    def usable(c: str) -> Column:
         if c in _NON_BLANK:
-            return F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), rank))
-        if c in _NON_NULL:
-            return F.min_by(c, F.when(F.col(c).isNotNull(), rank))
-        return F.min_by(c, rank)
-
-    lineage = pick(F.col("raw_data"), "source_graph_lineage") if "raw_data" in jobs.columns else F.lit(None).cast("string")
-    in_order = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.nullif(F.trim(c), F.lit("")).isNotNull(), F.struct("_seq", F.trim(c).alias("v"))))), lambda s: s["v"]))
-    if "normalized_apply_url" in fields:
-        fields.remove("normalized_apply_url")
-    merged = rows.groupBy(*key, "identity").agg(
-        *(chosen(c).alias(c) for c in fields), F.min_by("normalized_apply_url", F.when(F.col("normalized_apply_url").isNotNull(), rank)).alias("normalized_apply_url"),
-        in_order(F.col("source")).alias("_sources"), in_order(lineage).alias("duplicate_lineages"), F.count(F.lit(1)).alias("n_rows"), F.min("_seq").alias("_seq"),
+            return F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+        return F.col(c).isNotNull() if c in (*_NON_NULL, "normalized_apply_url") else F.lit(True)
+
+    # First per identity, priority, source and lineage, combined before the shuffle: each field's first usable value. So however many rows
+    # an identity has, it goes on as one row for each of its few sources.
+    firsts = rows.groupBy(*key, "identity", "_score", "_source", "_lineage").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_seq"), *(F.min_by(F.struct("_seq", F.col(c).alias("v")), F.when(usable(c), F.col("_seq"))).alias(f"_{i}") for i, c in enumerate(fields)))
+    group = firsts.groupBy(*key, "identity").agg(F.sum("_n").alias("n_rows"), F.min("_seq").alias("_seq"), F.collect_list(F.struct("_score", "_seq", "_source", "_lineage", *(f"_{i}" for i in range(len(fields))))).alias("_g"))
+    # A row sets a record if no earlier one has as high a priority; only the first of a priority can.
+    setters = F.transform(F.filter("_g", lambda x: ~F.exists("_g", lambda y: (y["_score"] >= x["_score"]) & (y["_seq"] < x["_seq"]))), lambda x: x["_seq"])
+    group = group.withColumn("_setters", setters)
+
+    def chosen(i: int) -> Column:
+        """The value of least rank: of record setters the latest, of all others the first."""
+        held = F.filter(F.transform("_g", lambda x: x[f"_{i}"]), lambda x: x.isNotNull())
+        ranked = F.transform(held, lambda x: F.struct(F.when(F.array_contains("_setters", x["_seq"]), -x["_seq"]).otherwise(F.lit(1 << 52) + x["_seq"]).alias("rank"), x["v"].alias("v")))
+        return F.aggregate(ranked, F.lit(None).cast(firsts.select(F.struct(F.lit(0).cast("long").alias("rank"), F.col(f"_{i}.v").alias("v")).alias("s")).schema["s"].dataType), lambda a, x: F.when(a.isNull() | (x["rank"] < a["rank"]), x).otherwise(a))["v"]
+
+    in_order = lambda c: F.array_distinct(F.transform(F.array_sort(F.transform(F.filter("_g", lambda x: x[c].isNotNull()), lambda x: F.struct(x["_seq"], x[c].alias("v")))), lambda x: x["v"]))
+    return group.select(
+        *key, "identity", *(chosen(i).alias(c) for i, c in enumerate(fields)), in_order("_lineage").alias("duplicate_lineages"), "n_rows", "_seq", F.when(F.col("n_rows") > 1, in_order("_source")).alias("duplicate_sources"),
     )
-    return merged.withColumn("duplicate_sources", F.when(F.col("n_rows") > 1, F.col("_sources"))).drop("_sources")

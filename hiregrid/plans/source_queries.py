@@ -227,3 +227,16 @@ def census_registry(spark: SparkSession, d: str) -> DataFrame:
     rows = web.census_governments(L.table(spark, d, "part").select(fields.alias("fields")), 2024)
     fips = geographic_fips(F.col("government_type"), F.col("state_fips"), F.concat("county_fips"), F.col("place_fips"))
     return rows.select(F.col("id").cast("long").alias("p_partkey"), "id", "name", "government_type", "state_fips", "state_code", fips.alias("fips"))
+
+
+@query(f"""SELECT p_partkey, {_TITLE} AS title, CASE WHEN p_size % 4 = 0 THEN 'Remote' ELSE 'Town, ' || {_STATE} END AS location, CASE WHEN p_size % 4 = 0 THEN NULL ELSE {_STATE} END AS state, CASE WHEN p_size % 5 = 0 THEN 'DE' ELSE 'US' END AS country,
+p_size % 4 = 0 AS is_remote, 'https://x.org/' || CASE p_size % 3 WHEN 0 THEN 'job/' || p_partkey || '-abc' WHEN 1 THEN 'find?jobId=' || p_partkey ELSE 'p/' || (100000 + p_partkey) END AS apply_url FROM part""")
+def search_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Three results for each part: one job, a page of jobs, and one whose title is generic."""
+    k, n = F.col("p_size") % 3, F.col("p_size")
+    url = F.concat(F.lit("https://x.org/"), F.when(k == 0, F.concat(F.lit("job/"), _key(), F.lit("-abc"))).when(k == 1, F.concat(F.lit("find?jobId="), _key())).otherwise(F.concat(F.lit("p/"), (F.lit(100_000) + F.col("p_partkey")).cast("string"))), F.lit("#top"))
+    name = F.concat(_title(), F.when(n % 2 == 0, " - Careers at Part Co today").otherwise(" | LinkedIn"))
+    said = F.concat(F.lit("the office in Town, "), _state(), F.when(n % 5 == 0, ", of a firm from Germany").otherwise(""), F.when(n % 4 == 0, "; work from home").otherwise(""))
+    job = _s(url=url, name=name, snippet=said)
+    body = F.to_json(_s(data=_s(webPages=_s(value=F.array(job, _s(url=F.lit("https://x.org/careers/"), name=name, snippet=said), _s(url=F.lit("https://x.org/job/12345"), name=F.lit("Job openings at Part Co"), snippet=said))))))
+    return _shown(web.search_results(_captured(spark, d, body, employer=F.lit("Part Co"))), "title", "location", "state", "country", "is_remote", "apply_url")

