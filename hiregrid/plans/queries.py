@@ -269,20 +269,29 @@ def _expected(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumns({"source_class": F.when(first, "authoritative").otherwise("verified"), "source_type": F.lit("job_board"), "lineage_root": F.when(F.col("source_key") == "view", "ats:view").otherwise(F.col("source_key")), "ats_provider": F.lit(None).cast("string"), "is_primary": F.lit(False)})
 
 
-@query(f"""WITH {L.LATEST}, e AS (SELECT DISTINCT entity_id, k AS source FROM checks, (SELECT unnest(['view', 'click', 'purchase', 'signup', 'error', 'sitemap']) AS k)),
+_SCORED = f"""WITH {L.LATEST}, e AS (SELECT DISTINCT entity_id, k AS source FROM checks, (SELECT unnest(['view', 'click', 'purchase', 'signup', 'error', 'sitemap']) AS k)),
 m AS (SELECT e.entity_id, e.source, l.status, e.source IN ('view', 'click') AS auth, COALESCE(l.checked_at >= {EVENTS_AT} - INTERVAL 48 HOUR, false) AS recent, l.lineage_root FROM e LEFT JOIN latest l USING (entity_id, source)),
 h AS (SELECT *, recent AND (status = 'success' OR (status = 'zero' AND NOT auth)) AS healthy FROM m),
 own AS (SELECT entity_id, CASE WHEN source = 'view' THEN 'ats:view' ELSE source END AS lin FROM h WHERE healthy UNION SELECT entity_id, {_LINEAGE} FROM h WHERE healthy),
 n AS (SELECT entity_id, COUNT(DISTINCT lin) AS lines FROM own GROUP BY 1),
 g AS (SELECT entity_id, COUNT(*) AS expected_sources, COUNT(*) FILTER (recent) AS checked_sources, COUNT(*) FILTER (auth) AS authoritative_sources, COUNT(*) FILTER (auth AND healthy) AS healthy_authoritative_sources, bool_or(healthy AND source = 'view') AS first_party_healthy FROM h GROUP BY 1),
-s AS (SELECT g.*, COALESCE(lines, 0) AS independent_lineages, CAST(floor(checked_sources / expected_sources * 40 + 0.5) + floor(healthy_authoritative_sources / authoritative_sources * 35 + 0.5) AS BIGINT) + least(15, COALESCE(lines, 0) * 5) + CASE WHEN first_party_healthy THEN 10 ELSE 0 END AS raw FROM g LEFT JOIN n USING (entity_id))
+s AS (SELECT g.*, COALESCE(lines, 0) AS independent_lineages, CAST(floor(checked_sources / expected_sources * 40 + 0.5) + floor(healthy_authoritative_sources / authoritative_sources * 35 + 0.5) AS BIGINT) + least(15, COALESCE(lines, 0) * 5) + CASE WHEN first_party_healthy THEN 10 ELSE 0 END AS raw FROM g LEFT JOIN n USING (entity_id))"""
+
+
+@query(f"""{_SCORED}
 SELECT entity_id, CAST(CASE WHEN healthy_authoritative_sources = 0 THEN least(raw, 45) ELSE raw END AS BIGINT) AS score, expected_sources, checked_sources, authoritative_sources, healthy_authoritative_sources, CAST(independent_lineages AS INTEGER) AS independent_lineages, first_party_healthy FROM s""")
 def coverage_score(spark: SparkSession, d: str) -> DataFrame:
     now, _ = _two_latest(spark, d)
     return coverage.coverage_scores(_expected(spark, d), now, L.at(L.EVENTS_AS_OF)).drop("grade", "observed_sources", "lineages", "gaps")
 
 
-@query()
+@query(f"""{_SCORED}, k AS (SELECT *, CAST(CASE WHEN healthy_authoritative_sources = 0 THEN least(raw, 45) ELSE raw END AS BIGINT) AS score FROM s),
+r AS (SELECT entity_id, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'strong' WHEN score >= 55 THEN 'moderate' WHEN score > 0 THEN 'limited' ELSE 'unknown' END AS grade, healthy_authoritative_sources, independent_lineages FROM k),
+o AS (SELECT DISTINCT entity_id FROM latest WHERE checked_at >= {EVENTS_AT} - INTERVAL 48 HOUR AND source_class = 'verified'),
+gaps AS (SELECT entity_id, CASE WHEN status IS NULL THEN 'Not checked: ' WHEN NOT recent THEN 'Stale check: ' WHEN status = 'error' THEN 'Source error: ' WHEN auth AND status = 'zero' THEN 'Unverified zero: ' END || source AS gap FROM h
+UNION ALL SELECT entity_id, 'No authoritative source has a recent healthy check.' FROM r WHERE healthy_authoritative_sources = 0
+UNION ALL SELECT entity_id, 'Coverage has fewer than two independent healthy hiring-source lineages.' FROM r JOIN o USING (entity_id) WHERE independent_lineages < 2)
+SELECT entity_id, grade, gap FROM gaps JOIN r USING (entity_id) WHERE gap IS NOT NULL""")
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     now, _ = _two_latest(spark, d)
     return coverage.coverage_scores(_expected(spark, d), now, L.at(L.EVENTS_AS_OF)).select("entity_id", "grade", F.explode("gaps").alias("gap"))
