@@ -38,7 +38,7 @@ RADIUS = 12
 #: Rows of a bucket that one group may have.
 HELD_MOST = 1 << 16
 #: Candidates in a bucket beyond which a set isn't tried pair by pair, and shingles in a block of what is compared instead.
-DENSE, DENSE_ITEMS = 64, 1 << 20
+DENSE, DENSE_ITEMS = 16, 1 << 20
 #: Cost of a probe, a row that is shuffled and sorted, in comparisons of two fingerprints in numpy.
 PROBE_COST = 1500
 PAIR, MANY, CLUSTER, HOT = range(4)

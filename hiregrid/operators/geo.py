@@ -72,3 +72,24 @@ def valid_coordinate(lat: Column, lng: Column) -> Column:
     """Within the globe and not (0, 0); a null counts as 0."""
     a, b = F.coalesce(lat.cast("double"), F.lit(0.0)), F.coalesce(lng.cast("double"), F.lit(0.0))
     return (F.abs(a) <= 90) & (F.abs(b) <= 180) & ~((a == 0) & (b == 0)) & ~F.isnan(a) & ~F.isnan(b)
+
+
+def map_locations(jobs: DataFrame, keys: tuple[str, ...] = ("entity_name", "portal"), include_fallback: bool = True, digits: int = 4) -> DataFrame:
+    """Places of jobs on the map, with their number: by point, city, state, country, the keys, and whether the point is a fallback.
+
+    A stored point that raw_data calls a fallback, or none of the job, isn't taken for the source's: it is inferred again, and so are its city and
+    state. Other jobs keep their source's point and are inferred only without one. Jobs without any point aren't on the map.
+    """
+    raw = lambda path: F.lower(F.coalesce(F.get_json_object(column_or_null(jobs, "raw_data"), path), F.lit("")))
+    stored = raw("$.normalized_location_quality")
+    rows = jobs.withColumn("_was", stored.contains("fallback") | stored.contains("unmapped_no_job_location") | ~raw("$.normalized_fallback_point").isin("", "false", "0", "null")).withColumn("_point", infer_point(jobs))
+    own = ~F.col("_was") & F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    at = lambda c: F.when(own, F.col(c).cast("double")).otherwise(F.col(f"_point.{c}"))
+    note = F.coalesce(F.col("_point.note"), F.when(F.col("_was"), "entity fallback").when(own, "source coordinates").otherwise("location match"))
+    kept = lambda c: F.coalesce(F.when(~F.col("_was"), column_or_null(jobs, c)), F.lit(""))
+    rows = rows.withColumns({"_lat": at("lat"), "_lng": at("lng"), "_note": note}).where(F.col("_lat").isNotNull() & F.col("_lng").isNotNull())
+    rows = rows.withColumn("is_fallback", F.col("_note").contains("fallback"))
+    if not include_fallback:
+        rows = rows.where(~F.col("is_fallback"))
+    groups = [kept("city").alias("city"), kept("state").alias("state"), F.coalesce(column_or_null(jobs, "country"), F.lit("US")).alias("country"), F.round("_lat", digits).alias("lat_key"), F.round("_lng", digits).alias("lng_key")]
+    return rows.groupBy(*keys, *groups, "is_fallback").agg(F.count(F.lit(1)).alias("n_jobs"), F.min_by("_note", "id").alias("location_quality"))

@@ -253,3 +253,16 @@ def watched_sync(spark: SparkSession, d: str) -> DataFrame:
     part = L.table(spark, d, "part").select("p_name").distinct().where("split_part(p_name, ' ', 2) IN ('widget', 'gear')")
     e = part.select(F.col("p_name").alias("id"), F.initcap("p_name").alias("name"), F.lit(None).cast("array<string>").alias("aliases"), (F.split_part("p_name", F.lit(" "), F.lit(2)) == "widget").alias("is_active"), F.lit(0).alias("created_at"))
     return discovery.sync_watched(_assignments(spark, d), e).select(F.lower("name").alias("employer"), "action")
+
+
+@query(f"""{WITH_JOBS}, {L.LOCATIONS}, r AS (SELECT id, portal, state, country, nation = 1 AS was, nation % 4 = 2 AS in_texas, lat, lng FROM locations WHERE is_active),
+p AS (SELECT portal, CASE WHEN was THEN '' ELSE state END AS state, country, CASE WHEN was OR lat IS NULL THEN CASE WHEN in_texas THEN 31.0545e0 END ELSE lat END AS la, CASE WHEN was OR lng IS NULL THEN CASE WHEN in_texas THEN -97.5635e0 END ELSE lng END AS ln, in_texas AS fb FROM r)
+SELECT portal, state, country, round(la, 4) AS lat_key, round(ln, 4) AS lng_key, fb AS is_fallback, COUNT(*) AS n_jobs FROM p WHERE la IS NOT NULL GROUP BY ALL""")
+def map_places(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs of some nations also name a state whose point is a fallback; those of nation 0 have no point, those of nation 1 a stored fallback."""
+    from ..operators import geo
+
+    rows = L.locations(spark, d).where("is_active")
+    named = rows.withColumn("location", F.lit(None).cast("string")).withColumn("shown", F.col("state")).withColumn("state", F.when(F.col("nation") % 4 == 2, "TX").otherwise(F.col("state")))
+    out = geo.map_locations(named, ("portal", "shown"))
+    return out.select("portal", F.when(F.col("state") == "", "").otherwise(F.col("shown")).alias("state"), "country", "lat_key", "lng_key", "is_fallback", "n_jobs")
