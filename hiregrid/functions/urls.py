@@ -81,7 +81,9 @@ def canonical(url: Column, form: UrlForm = JOBS) -> Column:
 
 def first_apply_url(candidates: list[Column], form: UrlForm = JOBS) -> Column:
     """The canonical form of the first candidate that is an http(s) URL."""
-    return F.coalesce(*(canonical(c, form) for c in candidates))
+    first = F.coalesce(*(F.when(host(c).isNotNull(), c) for c in candidates))
+    # As an array's only element the URL is found once, and not again for each part of its canonical form.
+    return F.get(F.transform(F.array(first), lambda u: canonical(u, form)), F.lit(0))
 
 
 # Providers of hosted job boards, by URL; group 1 is the board.

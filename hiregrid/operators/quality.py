@@ -61,6 +61,7 @@ DETAIL_URLS = [
     r"/jobs?/(?!search(?:/|$)|categories(?:/|$)|locations(?:/|$))[^/?#]{4,}",
     r"(?:jobid|job_id|gh_jid|requisitionid|reqid|postingid|jk)=",
 ]
+# Paths of listings.
 _LISTING_PATHS = [
     r"^/(?:careers?|jobs?|employment|join-us|join-our-team|work-with-us|apply|jobs/search)$",
     r"/(?:jobs?|careers?)/(?:search|categories|locations|saved|alerts?|favorites?)$",
@@ -80,7 +81,10 @@ def source_key(source: Column) -> Column:
 
 
 def _any_match(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (text.rlike(f"(?i){p}") for p in patterns))
+    """Two expressions at most: those bound to the text's beginning, and the others."""
+    bound, free = [p[1:] for p in patterns if p.startswith("^")], [p for p in patterns if not p.startswith("^")]
+    tests = [text.rlike(f"(?i){edge}(?:{'|'.join(f'(?:{p})' for p in some)})") for edge, some in (("^", bound), ("", free)) if some]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def is_generic_title(title: Column) -> Column:
@@ -90,6 +94,7 @@ def is_generic_title(title: Column) -> Column:
 
 
 def is_markup(title: Column) -> Column:
+    # Marks of style sheets and scripts.
     return title.rlike(r"(?i)[{}<>]|(?:^|\s)\.[a-z0-9_-]+\s*\{|display\s*:\s*(?:inline|block)|vertical-align\s*:") | title.rlike(r"(?i)^(?:css|style|script)\b")
 
 
