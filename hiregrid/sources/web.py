@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -226,7 +228,11 @@ def _header(name: str) -> str:
 
 
 def zipped_tables(spark: SparkSession, path: str) -> DataFrame:
-    """The largest CSV or text member of every archive: archive, line number, values by header (map). The separator is that of the header."""
+    """The largest CSV or text member of every archive: archive, line number, values by header (map), problem. The separator is that of the header.
+
+    No line is dropped: one with more values than the header has no values and the problem `fields`; one that isn't UTF-8 keeps its values, with
+    replacement characters, and has the problem `encoding`.
+    """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -236,17 +242,18 @@ def zipped_tables(spark: SparkSession, path: str) -> DataFrame:
                     if not members:
                         continue
                     with z.open(max(members, key=lambda m: m.file_size)) as f:
-                        text = io.TextIOWrapper(f, encoding="utf-8-sig", errors="replace")
+                        text = io.TextIOWrapper(f, encoding="utf-8-sig", errors="replace", newline="")
                         first = text.readline()
                         bare = "".join(p for k, p in enumerate(first.split('"')) if k % 2 == 0)  # outside quotes
                         sep = max(",|\t;", key=bare.count)
-                        names = [_header(c) for c in pd.read_csv(io.StringIO(first), sep=sep, header=None, dtype=str).iloc[0].fillna("")]
-                        done = 0
-                        for part in pd.read_csv(text, sep=sep, header=None, names=names, dtype=str, keep_default_na=False, chunksize=20_000, on_bad_lines="skip", index_col=False):
-                            yield pd.DataFrame({"archive": name, "line": range(done, done + len(part)), "fields": part.to_dict("records")})
-                            done += len(part)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "archive string, line long, fields map<string,string>")
+                        names = [_header(c) for c in next(csv.reader([first], delimiter=sep), [])]
+                        rows = enumerate(row for row in csv.reader(text, delimiter=sep) if row)
+                        while some := list(islice(rows, 20_000)):
+                            whole = [dict(zip(names, [*row, *[""] * (len(names) - len(row))], strict=True)) if len(row) <= len(names) else {} for _, row in some]
+                            problem = ["fields" if len(row) > len(names) else "encoding" if any("\ufffd" in v for v in row) else None for _, row in some]
+                            yield pd.DataFrame({"archive": name, "line": [k for k, _ in some], "fields": whole, "problem": problem})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "archive string, line long, fields map<string,string>, problem string")
 
 
 # Kinds of governments by the census's type code.

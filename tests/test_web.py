@@ -65,6 +65,13 @@ def test_zipped_registry(spark, tmp_path):
     assert [(r.id, r.name, r.government_type, r.state_fips, r.county_fips, r.state_code) for r in got] == [("000123", "Fresno County", "county", "06", "019", "CA"), ("000124", "City | Fresno", "municipality", "06", "019", "CA")]
 
 
+def test_bad_registry_lines_are_named(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "gov.zip", "w") as z:
+        z.writestr("units.csv", b"ID,NAME\n1,One\n2,Two,more\n3\n\n4,Fa\xff\n")
+    rows = web.zipped_tables(spark, str(tmp_path / "*.zip")).orderBy("line").collect()
+    assert [(r.line, r.fields.get("id"), r.fields.get("name"), r.problem) for r in rows] == [(0, "1", "One", None), (1, None, None, "fields"), (2, "3", "", None), (3, "4", "Fa\ufffd", "encoding")]
+
+
 def test_directory_gate(spark):
     html = "<a href='/one'>League One</a><a href='/uno'>League One</a><a href='/two'>League Two</a><a href='/x'>jobs</a>"
     got = {r.organization_name: r.jobs_url for r in web.directory_entries(page(spark, html), "leagues", 2).collect()}
