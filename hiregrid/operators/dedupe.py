@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,13 +87,36 @@ STATUS_RANK = {"success": 4, "zero": 3, "error": 2}
 def fold_checks(checks: DataFrame, keys: tuple[str, ...] = ("entity_id", "source"), seq: str = "_seq") -> DataFrame:
     """The check kept per key when each later one replaces it if its status ranks higher or it found more jobs.
 
-    That relation isn't an order, so the result depends on arrival; a key's checks are one batch, folded in place.
+    That relation isn't an order, so the result depends on arrival and can't be combined before the shuffle. A key's checks pass a task in
+    order, which holds the one that is kept, so memory doesn't grow with their number.
     """
-    rank = lambda s: F.when(s == "success", 4).when(s == "zero", 3).when(s == "error", 2).otherwise(1)
     rest = [c for c in checks.columns if c not in (*keys, seq)]
-    rows = F.array_sort(F.collect_list(F.struct(seq, *rest)))
-    folded = F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))), F.element_at("_rows", 1), lambda a, x: F.when((rank(x["status"]) > rank(a["status"])) | (x["jobs_found"] > a["jobs_found"]), x).otherwise(a))
-    return checks.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, folded.alias("_r")).select(*keys, "_r.*")
+    rows = checks.select(*keys, seq, *rest)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, key, rank, jobs = None, None, 0, None
+        done: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = -1  # the row of this batch that is kept now
+            for i, (status, found, *own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("status", "jobs_found", *keys)), strict=True)):
+                ranked = STATUS_RANK.get(status, 1)
+                if own != key:
+                    if key is not None:
+                        done.append(batch.take(pa.array([at])) if at >= 0 else kept)
+                    key, at, rank, jobs = own, i, ranked, found
+                elif ranked > rank or (found is not None and jobs is not None and found > jobs):
+                    at, rank, jobs = i, ranked, found
+            if at >= 0:
+                kept = batch.take(pa.array([at]))  # a copy, which doesn't hold the batch
+            if len(done) >= 1024:
+                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+                done = []
+        if key is not None:
+            done.append(kept)
+        if done:
+            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, seq).mapInArrow(each, rows.schema)
 
 
 def collapse_graph_sources(sources: DataFrame) -> DataFrame:

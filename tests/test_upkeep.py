@@ -79,3 +79,25 @@ def test_filters_of_jobs(spark):
     df = spark.createDataFrame([(1, "p", "e", "us", "security", AS_OF, True), (2, "p", "e", "US", "security", None, None)], "id int, portal string, entity_id string, country string, role_category string, posted_at timestamp, is_overseas boolean")
     ids = lambda **f: [r.id for r in df.where(health.job_filters(**f)).collect()]
     assert ids() == ids(country="us", role="security", portal="p") == [1, 2] and ids(new_since=datetime(2026, 8, 1)) == ids(overseas=True) == [1] and ids(federal=True) == []
+
+
+def test_fold_over_many_small_batches(spark):
+    import random
+
+    from hiregrid.operators import dedupe
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(6), rng.choice(["a", None]), k, rng.choice(["success", "zero", "error", "skipped", None]), rng.choice([None, 0, 1, 5, 9])) for k in range(300)]
+    rank = {"success": 4, "zero": 3, "error": 2}
+    want = {}
+    for e, s, k, status, n in rows:
+        old = want.get((e, s))
+        if old is None or rank.get(status, 1) > rank.get(old[1], 1) or (n is not None and old[2] is not None and n > old[2]):
+            want[e, s] = (k, status, n)
+    df = spark.createDataFrame(rows, "entity_id int, source string, _seq int, status string, jobs_found int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {(r.entity_id, r.source): (r._seq, r.status, r.jobs_found) for r in dedupe.fold_checks(df).collect()} == want
+        assert dedupe.fold_checks(df.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
