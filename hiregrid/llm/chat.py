@@ -1,6 +1,6 @@
 """Chat formatting: conversations through a compiled template, with the spans that a model is trained on.
 
-Turns are dealt by conversation and sorted; each task renders turn after turn and gives the output in parts, so even a
+Turns are dealt by conversation and sorted; the template loops over the turns as they come and its output is handed on in parts, so even a
 conversation with a third of all rows is never held as a whole. Control strings inside texts are broken by a backslash, which is
 itself doubled, so the output can be read back.
 
@@ -22,11 +22,11 @@ from pyspark.sql import types as T
 
 from .template import compile_template
 
-#: Rendered once a turn, with the names turn.role, turn.text, loop.index0, loop.first and loop.last.
+#: Rendered once a conversation, with the iterable `turns`, each of them with role and text.
 TEMPLATE = """\
-### {{ turn.role | escape_role }}: {% if turn.role == "assistant" %}{% generation %}{{ turn.text | escape }}{% endgeneration %}\
+{% for turn in turns %}### {{ turn.role | escape_role }}: {% if turn.role == "assistant" %}{% generation %}{{ turn.text | escape }}{% endgeneration %}\
 {% else %}{{ turn.text | escape }}{% endif %}</turn>
-"""
+{% endfor %}"""
 
 #: Characters of output, about, in one part.
 PART_CHARS = 1 << 18
@@ -74,24 +74,17 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
             text: list[str] = []
             spans: list[dict] = []
             size = part = 0
-
-            def sink(piece: str, made: bool) -> None:
-                nonlocal size
-                if made and piece:
-                    spans.append({"start": size, "end": size + len(piece)})
-                text.append(piece)
-                size += len(piece)
-
-            now, i = next(rows), 0
-            while now is not None:
-                after = next(rows, None)
-                render({"turn": {"role": now[2] or "", "text": now[3] or ""}, "loop": {"index": i + 1, "index0": i, "first": i == 0, "last": after is None}}, sink)
-                now, i = after, i + 1
-                if size >= PART_CHARS and now is not None:
+            # Turns are read as the template asks for them, and its pieces are handed on in parts.
+            for piece, made in render({"turns": ({"role": r[2] or "", "text": r[3] or ""} for r in rows)}):
+                if size >= PART_CHARS:
                     done.append((conv, part, "".join(text), spans))
                     text, spans, size, part = [], [], 0, part + 1
                     yield _part_batch(done, head)
                     done = []
+                if made and piece:
+                    spans.append({"start": size, "end": size + len(piece)})
+                text.append(piece)
+                size += len(piece)
             done.append((conv, part, "".join(text), spans))
             if sum(len(x[2]) for x in done) >= 16 * PART_CHARS or len(done) >= 1024:
                 yield _part_batch(done, head)

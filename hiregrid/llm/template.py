@@ -5,15 +5,15 @@
     {% generation %} {% endgeneration %} around what a model is trained to write. `-` at a marker trims white space.
 
 Expressions are literals, names, `a.b` and `a["b"]` on mappings and lists, + ~ == != < > <= >= in and or not, parentheses and
-filters. There are no calls and no access to attributes of Python objects. A template becomes closures that write
-(text, generated) pieces to a sink as they go, so an endless iterable renders in bounded memory.
+filters. There are no calls and no access to attributes of Python objects. A template becomes closures that give
+(text, generated) pieces as they are asked for, so an endless iterable renders in bounded memory.
 """
 
 from __future__ import annotations
 
 import operator
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -245,54 +245,55 @@ def _value(node: Node, filters: Mapping[str, Callable]) -> Callable[[Mapping], A
     return lambda env: _item(a(env), b(env))
 
 
-Sink = Callable[[str, bool], None]
+Pieces = Iterator[tuple[str, bool]]
 
 
-def _writer(node: Node, filters: Mapping[str, Callable]) -> Callable[[dict, Sink, bool], None]:
-    """The closure of a statement: it writes to the sink what it renders and whether that is generated."""
+def _writer(node: Node, filters: Mapping[str, Callable]) -> Callable[[dict, bool], Pieces]:
+    """The closure of a statement: the pieces that it renders, each with whether it is generated, as they are asked for."""
     kind, value = node.kind, node.value
     if kind == "constant":
-        return lambda env, sink, made: sink(value, made)
+        return lambda env, made: iter(((value, made),))
     if kind == "show":
         show = _value(node.parts[0], filters)
-        return lambda env, sink, made: sink(_shown(show(env)), made)
+        return lambda env, made: iter(((_shown(show(env)), made),))
     if kind == "set":
         to = _value(node.parts[0], filters)
 
-        def assign(env: dict, sink: Sink, made: bool) -> None:
+        def assign(env: dict, made: bool) -> Pieces:
             env[value] = to(env)
+            return iter(())
 
         return assign
     if kind == "generation":
         inner = _writer(node.parts[0], filters)
-        return lambda env, sink, made: inner(env, sink, True)
+        return lambda env, made: inner(env, True)
     if kind == "if":
         test, then, other = _value(node.parts[0], filters), _writer(node.parts[1], filters), _writer(node.parts[2], filters)
-        return lambda env, sink, made: (then if test(env) else other)(env, sink, made)
+        return lambda env, made: (then if test(env) else other)(env, made)
     if kind == "for":
         over, body = _value(node.parts[0], filters), _writer(node.parts[1], filters)
 
-        def loop(env: dict, sink: Sink, made: bool) -> None:
+        def loop(env: dict, made: bool) -> Pieces:
             items = iter(over(env) or ())
             now = next(items, items)
             i = 0
             while now is not items:
                 after = next(items, items)
-                body(env | {value: now, "loop": {"index": i + 1, "index0": i, "first": i == 0, "last": after is items}}, sink, made)
+                yield from body(env | {value: now, "loop": {"index": i + 1, "index0": i, "first": i == 0, "last": after is items}}, made)
                 now, i = after, i + 1
 
         return loop
     steps = [_writer(p, filters) for p in node.parts]
 
-    def block(env: dict, sink: Sink, made: bool) -> None:
+    def block(env: dict, made: bool) -> Pieces:
         for step in steps:
-            step(env, sink, made)
+            yield from step(env, made)
 
     return block
 
 
-def compile_template(source: str, filters: Mapping[str, Callable[[str], Any]] | None = None) -> Callable[[dict, Sink], None]:
-    """A function (names, sink) that renders the template."""
+def compile_template(source: str, filters: Mapping[str, Callable[[str], Any]] | None = None) -> Callable[[Mapping], Pieces]:
+    """A function of names that renders the template, piece by piece: (text, generated)."""
     known = FILTERS | dict(filters or {})
     run = _writer(fold(parse(source, known), known), known)
-    return lambda env, sink: run(dict(env), sink, False)
+    return lambda env: run(dict(env), False)

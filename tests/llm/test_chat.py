@@ -64,8 +64,7 @@ def test_empty_table_and_other_columns(spark):
 
 
 def render(source, **names):
-    out = []
-    compile_template(source)(names, lambda text, made: out.append((text, made)))
+    out = list(compile_template(source)(names))
     return "".join(t for t, _ in out), "".join(t for t, m in out if m)
 
 
@@ -78,6 +77,13 @@ def test_template_language():
     assert render("{{ missing }}{{ (1 < 2) and 'yes' }}{{ xs[1] }}", xs=[1, 2])[0] == "yes2"
 
 
+def test_an_endless_loop_renders_piece_by_piece():
+    from itertools import count, islice
+
+    pieces = compile_template("{% for x in xs %}{% generation %}{{ x }}{% endgeneration %};{% endfor %}")({"xs": count()})
+    assert list(islice(pieces, 4)) == [("0", True), (";", False), ("1", True), (";", False)]
+
+
 def test_constants_are_folded():
     filters = {"upper": str.upper}
     tree = fold(parse("a{{ 'b' ~ 1 | upper }}{% if 1 == 1 %}c{% else %}d{% endif %}{{ x }}", filters), filters)
