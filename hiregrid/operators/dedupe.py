@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frames import first_rows
@@ -36,9 +35,15 @@ def evidence_score(url: Column, lat: Column, lng: Column, posted_at: Column, upd
 
 
 def duplicate_urls(jobs: DataFrame, keys: list[str], url: str = "url") -> DataFrame:
-    """Ranks the rows of each URL, newest update first: `dup_rank` over 1 are duplicates. Rows without URL aren't ranked."""
-    order = W.partitionBy(*keys, url).orderBy(F.col("updated_at").desc_nulls_last(), F.col("created_at").asc_nulls_last(), "id")
-    return jobs.where(F.col(url).isNotNull()).withColumn("dup_rank", F.row_number().over(order))
+    """The rows of each URL but the best one: the newest update, of equals the oldest creation, then the least id. Rows without URL aren't compared.
+
+    The best is combined before the shuffle, so a URL that very many rows share is one row of the join.
+    """
+    rows = jobs.where(F.col(url).isNotNull())
+    micros = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(0))
+    order = F.struct(F.col("updated_at").isNull(), -micros("updated_at"), F.col("created_at").isNull(), micros("created_at"), "id")
+    best = rows.groupBy(*keys, url).agg(F.min_by("id", order).alias("_best"))
+    return rows.join(best, [*keys, url]).where(F.col("id") != F.col("_best")).drop("_best")
 
 
 def supplemental_duplicates(jobs: DataFrame, supplemental: list[str], url: str = "url") -> DataFrame:

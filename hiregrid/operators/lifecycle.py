@@ -64,7 +64,7 @@ def retire(
     sources that were read to the end, `fresh` (entity_id) the entities whose run had results.
     """
     active = jobs.where("is_active")
-    ranks = duplicate_urls(active, ["entity_id"]).where("dup_rank > 1").select(F.col("id").alias("_dup"))
+    ranks = duplicate_urls(active, ["entity_id"]).select(F.col("id").alias("_dup"))
     authoritative = active.groupBy("entity_id").agg(F.bool_or("is_authoritative").alias("_has_authoritative"))
     rows = active.join(ranks, F.col("id") == F.col("_dup"), "left").join(authoritative, "entity_id")
     missing = F.lit(False)
