@@ -37,6 +37,8 @@ from .common import NOT_SPACE, checkpointed, flat, pieces, runs
 #: Fingerprints, about, that the bits' partitions and the expected candidates are estimated from. Every fingerprint is indexed.
 SAMPLE = 8192
 PAIRS_MOST = 512
+#: Links in a partition of a table of links.
+PART_LINKS = 100_000
 HELD_MOST = 1 << 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -294,13 +296,16 @@ def components(links: DataFrame) -> DataFrame:
     sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     mark = sign(edges)
     while mark[0]:
+        # As many partitions as the links fill, whatever the session's number: each writes files of its own in every exchange.
+        few = max(8, -(-mark[0] // PART_LINKS))
+        edges = edges.coalesce(few)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written first, so that Spark can split the join's partition of a node with very many links.
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")).coalesce(few))
+        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(few)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(few))
         before, mark = mark, sign(edges)
         if before == mark:
             break
