@@ -19,6 +19,7 @@ from .quality import quality_signals
 from .secrets import find_secrets
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .vector_codes import encode_vectors
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -67,9 +68,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(table(spark, sf_dir, "documents"), count_col="n_dropped").select("doc_id", "text", "n_dropped")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.QUALITY, "op5_chat_format": sql.CHAT, "op6_decontamination": sql.DECONTAMINATION, "op10_line_dedup": sql.LINE_DEDUP}
+    return {"op1_quality_rules": sql.QUALITY, "op5_chat_format": sql.CHAT, "op6_decontamination": sql.DECONTAMINATION, "op10_line_dedup": sql.LINE_DEDUP, "op13_vector_codes": sql.VECTOR_CODES}

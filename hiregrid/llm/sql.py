@@ -66,3 +66,26 @@ boiler AS (SELECT key FROM shared JOIN hosts USING (tid) GROUP BY key, general H
 gone AS (SELECT DISTINCT tid, l FROM shared JOIN boiler USING (key)),
 kept AS (SELECT t.tid, string_agg(raw, chr(10) ORDER BY pos) FILTER (g.l IS NULL) AS text, COUNT(g.l) AS n_dropped FROM norm t LEFT JOIN gone g ON t.tid = g.tid AND t.l = g.l GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE COALESCE(kept.text, '') END AS text, COALESCE(n_dropped, 0) AS n_dropped FROM d LEFT JOIN copies ON d.text = copies.text LEFT JOIN kept USING (tid)"""
+
+
+def _vector_codes() -> str:
+    """Lloyd's rounds one after another; part vectors as doubles, which hold these integers exactly."""
+    steps = [
+        "k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "p AS MATERIALIZED (SELECT rid, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM k, range(4) AS r(part))",
+        "b0 AS MATERIALIZED (SELECT part, CAST(e - 1 AS BIGINT) AS entry, x FROM (SELECT rid, row_number() OVER (ORDER BY vec_id, v) AS e FROM k QUALIFY e <= 256) JOIN p USING (rid))",
+    ]
+    for i in range(1, 6):
+        near = f"SELECT rid, p.part, min((list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x), entry)) AS m FROM p JOIN b{i - 1} b ON p.part = b.part GROUP BY 1, 2"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT rid, part, m[1] AS d, m[2] AS entry FROM ({near}))")
+        if i < 5:
+            parts = f"SELECT part, entry, j, floor(SUM(c) / COUNT(*)) AS c FROM (SELECT a.part, a.entry, unnest(x) AS c, generate_subscripts(x, 1) AS j FROM a{i} a JOIN p USING (rid, part)) GROUP BY 1, 2, 3"
+            steps.append(f"b{i} AS MATERIALIZED (SELECT part, entry, COALESCE(n.x, o.x) AS x FROM b{i - 1} o LEFT JOIN (SELECT part, entry, list(c ORDER BY j) AS x FROM ({parts}) GROUP BY 1, 2) n USING (part, entry))")
+    steps += [
+        "s AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda c: CAST(CAST(c AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b4)",
+        "c AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(SUM(d) AS BIGINT) AS error FROM a5 GROUP BY 1)",
+    ]
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (rid), s"
+
+
+VECTOR_CODES = _vector_codes()
