@@ -13,6 +13,7 @@ from .common import table
 from .decontaminate import contamination
 from .extract import extract_main_text
 from .language import identify
+from .licenses import find_notices
 from .lines import drop_recurring_lines
 from .packing import best_fit_pack
 from .quality import quality_signals
@@ -68,6 +69,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(table(spark, sf_dir, "documents"), count_col="n_dropped").select("doc_id", "text", "n_dropped")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_notices(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_vectors(table(spark, sf_dir, "embeddings"))
 
