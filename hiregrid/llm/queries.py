@@ -20,6 +20,7 @@ from .quality import quality_signals
 from .secrets import find_secrets
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .vector_codes import encode_vectors
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,6 +74,10 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_notices(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_vectors(table(spark, sf_dir, "embeddings"))
 
