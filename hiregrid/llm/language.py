@@ -2,15 +2,17 @@
 
 A suffix automaton of labelled text per language accepts all its substrings. A text is parsed greedily: the longest match in the
 language's text is one phrase, the next phrase begins where it ends. A language whose text is like it needs few,
-long phrases; phrases * log2(reference length) / text length estimates the cross entropy, and the smallest wins.
+long phrases; phrases * log2(reference length) / text length estimates the cross entropy, and the smallest wins. The reference length is one for
+all, the longest: a pointer into a shorter sample would look cheaper, and a tiny sample, in which each byte is a phrase, would win every text.
 
 The automata are walked as tables over bytes of lower-cased text, many stretches of text at a time in numpy. Each stretch is first walked
 from the root; then those whose predecessor ends in another state are walked again from that state, until they meet their first walk. So
 phrases go on across stretches, and the result is that of one unbroken parse of the whole text. Fitting takes a bounded sample:
-documents in the order of a hash of their id, up to SAMPLE_BYTES for each language and SAMPLE_TOTAL for all.
+documents in the order of a hash of their id, up to SAMPLE_BYTES for each language and SAMPLE_TOTAL for all; of more than MOST_LANGUAGES labels the
+rarer are not learned, nor is one whose sample has no letter.
 
 Defined cases: a null text or one without letters is `und` with score 0, as is every text if nothing is labelled; a tie goes to the
-first language by name; repeated rows get equal results; null ids are carried; other columns are ignored.
+first language by name; very long texts are parsed whole, by segments that hand on their state; repeated rows get equal results; null ids are carried; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +33,7 @@ from .common import flat, pieces
 SAMPLE_BYTES = 32_768
 SAMPLE_TOTAL = 1 << 19
 SAMPLE_DOCS = 48
+MOST_LANGUAGES = 512
 #: Bytes that one lane of a walk takes, and bytes of a text in one walk; a matter of time and memory, not of results.
 STRETCH = 256
 SEGMENT = 1 << 22
@@ -89,7 +93,7 @@ class CrossParser:
     def __init__(self, samples: dict[str, bytes], stretch: int = STRETCH, segment: int = SEGMENT) -> None:
         self.stretch, self.segment = stretch, segment
         self.languages = sorted(samples)
-        self.bits = np.array([np.log2(len(samples[x]) + 1) for x in self.languages])
+        self.bits = np.log2(max(map(len, samples.values()), default=0) + 1)
         self.tables = [self._table(samples[x]) for x in self.languages]
 
     @staticmethod
@@ -195,18 +199,21 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrossParser:
     """Automata from a bounded sample of the labelled documents outside the held-out fold."""
     rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), docs[lang_col].alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("i")))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "l").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return CrossParser({})
     most = min(SAMPLE_BYTES, SAMPLE_TOTAL // len(counts))
     place = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(7)), F.lit(1 << 40))
     limit = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, SAMPLE_DOCS / n) * (1 << 40)))))
     sample: dict[str, bytes] = {}
-    for row in rows.where(place < F.element_at(limit, F.col("l"))).select("l", F.substring("t", 1, most).alias("t"), place.alias("p")).orderBy("p", "t").limit(SAMPLE_DOCS * 2 * len(counts)).collect():
+    drawn = rows.where(place < F.element_at(limit, F.col("l"))).select("l", F.substring("t", 1, most).alias("t"), place.alias("p"))
+    # For each language by itself, so that many rows of one id take no other's place.
+    drawn = drawn.withColumn("k", F.row_number().over(W.partitionBy("l").orderBy("p", "t"))).where(F.col("k") <= 2 * SAMPLE_DOCS)
+    for row in drawn.orderBy("l", "k").collect():
         own = sample.setdefault(row["l"], b"")
         if len(own) < most:
             sample[row["l"]] = (own + normal_bytes(pa.array([row["t"]]))[0].tobytes() + b" ")[:most]
-    return CrossParser(sample)
+    return CrossParser({k: v for k, v in sample.items() if any(c.isalpha() for c in v.decode(errors="ignore"))})
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -1,12 +1,14 @@
-"""Quality rules: repetition coverage from rolling hashes of several n-gram lengths, of lines and of marks.
+"""Quality rules: repetition coverage from rolling hashes of several n-gram lengths and of lines.
 
 Each text is cut into words (runs of anything but ASCII white space). Rolling hashes give each run of n words, each line and each
 three consecutive runs of marks (ASCII signs that are neither letters nor digits) a 64-bit value; sorting the values within a text
 finds those that occur twice or more, and the share of the text's word characters that lie inside them is held against a limit
-for each kind. Nothing else decides beside the base rule. All work is in numpy over an Arrow buffer of many texts, so there is no shuffle
-and memory is bounded by the batch.
+for each kind. A limit falls with the text's length: one short passage that stands twice is much of a short text, and no fault of it. N-grams and
+lines alone decide beside the base rule; repeated marks are shown, for code, tables and formulas repeat theirs as well. All work is in numpy
+over an Arrow buffer of many texts, so there is no shuffle and memory is bounded by the batch.
 
-Defined cases: a null or empty text has no words and fails the base rule; repeated rows each get their own result; an
+Defined cases: a null or empty text has no words and fails the base rule; a very long text is a buffer of its own, taken whole; a share equal to its
+limit passes, and of several rules that fail the first is told; repeated rows each get their own result; an
 empty table gives an empty table; null ids pass through; other columns, whatever their names, are ignored by
 `quality_signals` and returned untouched by `keep_good`.
 """
@@ -26,19 +28,18 @@ from .common import NOT_SPACE, RollingHash, covered, flat, pieces, runs, window_
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits of the verdict: shares of word characters inside duplicated n-grams, lines and marks."""
+    """Limits of the verdict: shares of word characters inside duplicated n-grams and lines."""
 
     min_words: int = 50
     #: Percent of the words that may lie in repeated three-word windows.
     max_repeat_percent: int = 50
-    #: By the n-gram's words; from five words on about what one in a thousand ordinary documents exceeds. Shorter ones also repeat by
-    #: chance in long texts.
+    #: By the n-gram's words, in a text of any length. Shorter ones also repeat by chance in long texts.
     gram_limits: dict[int, float] = field(default_factory=lambda: {2: 0.60, 3: 0.45, 5: 0.26, 7: 0.25, 10: 0.15})
     max_duplicate_line_chars: float = 0.15
     #: Share of the lines.
     max_duplicate_lines: float = 0.50
-    #: Marks of repeated three-mark windows; full stops and commas of prose are about a twenty-fifth.
-    max_repeated_marks: float = 0.08
+    #: Words in repeated n-grams that a text has for nothing (a line of a dozen words that stands twice), and half as many in later lines.
+    free_words: float = 24.0
 
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -87,6 +88,7 @@ def signals(texts: pa.StringArray, rules: QualityRules) -> dict[str, np.ndarray]
     total = np.concatenate([[0], np.cumsum(chars)])
     line_chars = total[at[1]] - total[at[0]]
     some = np.maximum(out["word_chars"], 1)
+    free = rules.free_words / np.maximum(out["n_words"], 1)
     out["dup_line_chars"] = np.bincount(line_of[later], line_chars[later], minlength=n) / some
     dup_lines = out["n_dup_lines"] / np.maximum(np.bincount(line_of, minlength=n), 1)
 
@@ -103,7 +105,7 @@ def signals(texts: pa.StringArray, rules: QualityRules) -> dict[str, np.ndarray]
             out["n_repeat_words"] = sums(inside).astype(np.int64)
         share = sums(chars * inside) / some
         out["dup_gram_chars"] = np.maximum(out["dup_gram_chars"], share)
-        over.append((f"repeated_{length}_grams", share > limit))
+        over.append((f"repeated_{length}_grams", share > limit + free))
     mark_starts, mark_ends, mark_of = runs(_MARK[data], offsets)
     grams = window_hash(hashed(mark_starts, mark_ends), 3)
     places = np.flatnonzero(mark_of[: len(grams)] == mark_of[2:]) if len(grams) else np.zeros(0, np.int64)
@@ -111,10 +113,7 @@ def signals(texts: pa.StringArray, rules: QualityRules) -> dict[str, np.ndarray]
     inside = covered(places[again], 3, len(mark_starts))
     out["dup_mark_chars"] = np.bincount(mark_of[inside], (mark_ends - mark_starts)[inside], minlength=n) / some
     base = [("few_words", out["n_words"] < rules.min_words), ("repeated_words", 100 * out["n_repeat_words"] > rules.max_repeat_percent * out["n_words"])]
-    over += [
-        ("repeated_lines", (out["dup_line_chars"] > rules.max_duplicate_line_chars) | (dup_lines > rules.max_duplicate_lines)),
-        ("repeated_marks", out["dup_mark_chars"] > rules.max_repeated_marks),
-    ]
+    over.append(("repeated_lines", (out["dup_line_chars"] > rules.max_duplicate_line_chars + free / 2) | (dup_lines > rules.max_duplicate_lines)))
     out["base_failed"] = base[0][1] | base[1][1]
     bad = out["base_failed"].copy()
     for reason, failed in [*base, *over]:

@@ -25,11 +25,11 @@ v AS (SELECT rid, unnest(vs) AS v, generate_subscripts(vs, 1) AS i FROM (SELECT
 v3 AS (SELECT rid, i, length(v) AS c, CASE WHEN lead(i, 2) OVER o IS NOT NULL THEN v || ' ' || lead(v, 1) OVER o || ' ' || lead(v, 2) OVER o END AS g FROM v WINDOW o AS (PARTITION BY rid ORDER BY i)),
 vr AS (SELECT rid, i, c, g IS NOT NULL AND COUNT(*) OVER (PARTITION BY rid, g) > 1 AS r FROM v3),
 vk AS (SELECT rid, SUM(c) FILTER (r) AS mark_chars FROM (SELECT rid, c, bool_or(r) OVER (PARTITION BY rid ORDER BY i ROWS 2 PRECEDING) AS r FROM vr) GROUP BY 1),
-a AS (SELECT d.doc_id, COALESCE(n_words, 0) AS n_words, COALESCE(word_chars, 0) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, COALESCE(n_dup_lines, 0) AS n_dup_lines, COALESCE(n_repeat_words, 0) AS n_repeat_words,
+a AS (SELECT d.doc_id, COALESCE(n_words, 0) AS n_words, CAST({free_words} AS DOUBLE) / greatest(n_words, 1) AS free, COALESCE(word_chars, 0) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, COALESCE(n_dup_lines, 0) AS n_dup_lines, COALESCE(n_repeat_words, 0) AS n_repeat_words,
  COALESCE(dup_chars, 0) / greatest(word_chars, 1) AS dup_line_chars, COALESCE(n_dup_lines, 0) / greatest(lines, 1) AS dup_lines, COALESCE(mark_chars, 0) / greatest(word_chars, 1) AS dup_mark_chars,
  COALESCE(s2, 0) / greatest(word_chars, 1) AS f2, COALESCE(s3, 0) / greatest(word_chars, 1) AS f3, COALESCE(s5, 0) / greatest(word_chars, 1) AS f5, COALESCE(s7, 0) / greatest(word_chars, 1) AS f7, COALESCE(s10, 0) / greatest(word_chars, 1) AS f10 FROM d LEFT JOIN s USING (rid) LEFT JOIN m USING (rid) LEFT JOIN vk USING (rid)),
-b AS (SELECT *, CASE WHEN n_words < {min_words} THEN 'few_words' WHEN 100 * n_repeat_words > {max_repeat_percent} * n_words THEN 'repeated_words' WHEN f2 > {g2} THEN 'repeated_2_grams' WHEN f3 > {g3} THEN 'repeated_3_grams' WHEN f5 > {g5} THEN 'repeated_5_grams'
- WHEN f7 > {g7} THEN 'repeated_7_grams' WHEN f10 > {g10} THEN 'repeated_10_grams' WHEN dup_line_chars > {max_duplicate_line_chars} OR dup_lines > {max_duplicate_lines} THEN 'repeated_lines' WHEN dup_mark_chars > {max_repeated_marks} THEN 'repeated_marks' END AS reason FROM a)
+b AS (SELECT *, CASE WHEN n_words < {min_words} THEN 'few_words' WHEN 100 * n_repeat_words > {max_repeat_percent} * n_words THEN 'repeated_words' WHEN f2 > {g2} + free THEN 'repeated_2_grams' WHEN f3 > {g3} + free THEN 'repeated_3_grams' WHEN f5 > {g5} + free THEN 'repeated_5_grams'
+ WHEN f7 > {g7} + free THEN 'repeated_7_grams' WHEN f10 > {g10} + free THEN 'repeated_10_grams' WHEN dup_line_chars > {max_duplicate_line_chars} + free / 2 OR dup_lines > {max_duplicate_lines} THEN 'repeated_lines' END AS reason FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words AS base_failed, reason IS NULL AS kept, dup_line_chars, greatest(f2, f3, f5, f7, f10) AS dup_gram_chars, dup_mark_chars, reason FROM b""".format(**{f"g{n}": limit for n, limit in _RULES.gram_limits.items()}, **{k: v for k, v in vars(_RULES).items() if k != "gram_limits"})
 
 CHAT = r"""WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),

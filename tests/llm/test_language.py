@@ -78,6 +78,17 @@ def test_held_out_accuracy_and_leak(spark):
     assert {(r.doc_id, r.lang_pred) for r in identify(other).collect()} == {(r.doc_id, r.lang_pred) for r in got}
 
 
+@pytest.mark.parametrize("tiny", ["a", "ok", "tha", "hell", "12345 678", "ée"])
+def test_a_tiny_label_takes_no_predictions(spark, tiny):
+    rng = random.Random(3)
+    rows = [(i, text(rng, lang, rng.randint(5, 80)), lang) for i in range(240) for lang in [rng.choice(list(SYLLABLES))]]
+    one = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 3 != 1)
+    many = [(one, "x " * 20, "dd")] * 3000  # rows of one id, which would fill a common sample
+    got = identify(spark.createDataFrame([*rows, (one + 0, tiny, "zz"), *many], "doc_id long, text string, lang string")).where("doc_id < 240").collect()
+    lang = {i: x for i, _, x in rows}
+    assert sum(r.lang_pred == lang[r.doc_id] for r in got) / len(got) >= 0.97
+
+
 def test_awkward_rows(docs, clashing, empty, rows):
     for source in (docs, clashing):
         got = identify(source).collect()
