@@ -1,17 +1,17 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass labels a block by its link density, its length and its density of stop
-words: linked ones are boilerplate, long enough ones with many stop words are text, those with few are boilerplate. Short blocks, and in an
-article those with few stop words, stay ambiguous; in the second pass they take the label of the nearest decided neighbours, a heading
-that of what follows it.
+A page is cut into blocks at block-level tags. The first pass labels every block by its link density, its length and its density of stop
+words: linked ones are boilerplate, long enough ones with many stop words are text, very long ones with none are boilerplate. Short blocks, and long ones with few stop words, stay ambiguous; in the
+second pass they take the label of the nearest decided neighbours, a heading that of what follows it. Without a neighbour that is text, blocks
+are text together if a stop word stands in any of them or all are short, so what a page says in a language whose stop words the rules don't know is not text.
 
-Markup serves as a prior only. Elements whose tag, role or class says that they are what density can't tell from text
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) are boilerplate in the first pass, unless such an element holds the page's
-article or, on a page without one, most of its text. An `article` or `main` part lowers the density that its blocks need, keeps their neighbours
-to themselves, and is text unless boilerplate stands on both sides of an ambiguous block; beside it, other blocks are text only if most of the page's text is there.
+Markup weighs on the thresholds. Elements whose tag, role or class says that they are what density can't tell from text
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) need more stop words than a text can have, unless such an element holds the page's
+article or, on a page without one, most of its text. An `article` or `main` part lowers the density that its blocks need and keeps their neighbours
+to themselves; beside it, blocks need more, unless most of the page's text is there.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as far as it goes (an unclosed script, style or comment
-hides the rest); repeated rows each get their own result; null ids and urls are carried; an empty table gives an empty table;
+hides the rest); a very long page is read whole, by one task; between two equally near neighbours of different labels text wins, beside an article boilerplate; repeated rows each get their own result; null ids and urls are carried; an empty table gives an empty table;
 other columns are ignored.
 """
 
@@ -60,7 +60,8 @@ _BOILER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar header footer masthead "
     "cookie cookies consent gdpr notice notices newsletter signup disclaimer copyright".split()
 )
-_COMMENT_NAMES = frozenset("comment comments commentlist disqus respond".split())
+# Whole classes and ids of readers' comments; blog software also writes comments-open and the like on what holds the article.
+_COMMENT_NAMES = frozenset("comment comments comment-list comments-list commentlist comments-area comment-area comment-section comments-section comment-body comment-content comment-respond respond disqus disqus_thread".split())
 _OUTSIDE_MAIN_ONLY = frozenset(["header"])  # an article's own header holds its title
 # An attribute's value may hold a ">"; the possessive parts keep an unclosed quote from being tried again and again.
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""", re.S)
@@ -103,7 +104,7 @@ def _kind(tag: str, attributes: str, in_main: bool) -> str | None:
             return "never"
         if name in ("class", "id"):
             names = {w.lower() for w in _NAME.findall(value)}
-            if names & _COMMENT_NAMES:
+            if _COMMENT_NAMES.intersection(value.lower().split()):
                 return "never"
             if any(w in _BOILER_NAMES and not (in_main and w in _OUTSIDE_MAIN_ONLY) for w in names):
                 found = "name"
@@ -218,6 +219,11 @@ def weigh_parts(found: list[Block], parts: list[Part], around: list[int]) -> Non
             b.main = 0
 
 
+def stop_density(text: str, rules: BlockRules) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in rules.stop_words for w in words) / max(len(words), 1)
+
+
 def first_pass(found: list[Block], rules: BlockRules) -> None:
     """Label what its own features decide."""
     marked = sum(len(b.text) for b in found if b.main and not b.boiler)
@@ -226,48 +232,51 @@ def first_pass(found: list[Block], rules: BlockRules) -> None:
         n = len(b.text)
         if b.boiler or b.linked > rules.max_link_density * n:
             b.label = False
+        elif not b.main and marked >= beside and marked:
+            b.label = False if n >= rules.short else None
         elif n >= rules.short:
-            words = _WORD.findall(b.text.lower())
-            density = sum(w in rules.stop_words for w in words) / max(len(words), 1)
-            if b.main:
-                b.label = True if density >= rules.min_main_density else None
-            elif marked >= beside > 0 and marked:
-                b.label = False
-            else:
-                b.label = density >= (rules.min_stop_density / 2 if n >= rules.long else rules.min_stop_density)
+            least = rules.min_main_density if b.main else rules.min_stop_density / 2 if n >= rules.long else rules.min_stop_density
+            density = stop_density(b.text, rules)
+            b.label = True if density >= least else False if density == 0 and n >= rules.long and not b.main else None
 
 
-def second_pass(found: list[Block]) -> None:
+def second_pass(found: list[Block], rules: BlockRules) -> None:
     """What is still ambiguous takes the label of the nearest decided neighbours."""
     marked = any(b.main and not b.boiler for b in found)
-    # A part that markup says is boilerplate tells nothing of the text beside it in an article.
-    decided = [(i, b.label) for i, b in enumerate(found) if b.label is not None and not (b.boiler and b.main)]
+    # What markup says is boilerplate tells nothing of the text beside it; only on pages without any decided text it bounds the blocks.
+    decided = [(i, b.label) for i, b in enumerate(found) if b.label is not None and not b.boiler]
+    # Parts with a long block, in whose ambiguous blocks not one stop word stands.
+    open_ = [b for b in found if b.label is None]
+    failed = {b.main for b in open_ if len(b.text) >= rules.short} - {b.main for b in open_ if stop_density(b.text, rules) > 0}
     before, j = None, 0
+    labels = [b.label for b in found]
     for i, b in enumerate(found):
         while j < len(decided) and decided[j][0] <= i:
             before, j = decided[j], j + 1
         if b.label is not None:
             continue
         after = decided[j] if j < len(decided) else None
-        near = [(k, label) for k, label in filter(None, (before, after)) if not b.main or found[k].main == b.main]
-        if not near:
-            b.label = bool(b.main)
+        near = [(k, label) for k, label in filter(None, (before, after)) if found[k].main == b.main or not b.main]
+        if not any(label for _, label in near) and not (near and b.main):
+            # Nothing near is text: short blocks speak for themselves where nothing else does.
+            labels[i] = b.main not in failed and (bool(b.main) or not (marked or near or b.part))
         elif b.heading and not b.main:
-            b.label = bool(after and after[1])
+            labels[i] = bool(after and after[1])
         elif b.main:
-            b.label = any(label for _, label in near)  # out only between boilerplate
+            labels[i] = any(label for _, label in near)  # out only between boilerplate
         else:
             closest = min(abs(k - i) for k, _ in near)
-            labels = [label for k, label in near if abs(k - i) == closest]
-            b.label = all(labels) if marked else any(labels)
-        # `decided` was fixed before, so an inherited label isn't handed on.
+            nearest = [label for k, label in near if abs(k - i) == closest]
+            labels[i] = all(nearest) if marked else any(nearest)
+    for b, label in zip(found, labels, strict=True):  # an inherited label isn't handed on
+        b.label = label
 
 
 def main_text(html: str | None, rules: BlockRules) -> str:
     found, parts, around = blocks(html or "")
     weigh_parts(found, parts, around)
     first_pass(found, rules)
-    second_pass(found)
+    second_pass(found, rules)
     return "\n".join(b.text for b in found if b.label)
 
 

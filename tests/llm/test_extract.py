@@ -51,31 +51,52 @@ def test_both_passes_decide_inside_an_article():
     page = f"<article><h1>Head</h1><p>{LONG}</p><p>{FEW}</p><ul><li><a href=a>Other story</a></ul><p>see also</p><ul><li><a href=b>Third story</a></ul></article>"
     assert main_text(page, RULES).split("\n") == ["Head", LONG.strip(), FEW.strip()]  # the ambiguous paragraph has text before and links behind
     assert main_text(page.replace(f"<p>{FEW}</p><ul>", f"<ul><li><a href=c>x</a></ul><p>{FEW}</p><ul>"), RULES).split("\n") == ["Head", LONG.strip()]
-    assert main_text(f"<nav>x</nav><article><p>{FEW}</p><p>Tiny</p></article>", RULES).split("\n") == [FEW.strip(), "Tiny"]  # nothing decided: the article is text
+    # Nothing decided: blocks without a stop word are no text, one stop word in any of them is enough, as is being short.
+    assert main_text(f"<nav>x</nav><article><p>{FEW}</p><p>Tiny</p></article>", RULES) == ""
+    assert main_text(f"<nav>x</nav><article><p>{FEW}</p><p>The tiny</p></article>", RULES).split("\n") == [FEW.strip(), "The tiny"]
+    assert main_text("<nav>x</nav><article><h1>Head</h1><p>Tiny</p></article>", RULES).split("\n") == ["Head", "Tiny"]
 
 
-@given(st.lists(st.tuples(st.sampled_from([None, None, True, False]), st.booleans(), st.sampled_from([0, 0, 1, 2]), st.booleans()), max_size=12))
+def test_density_decides_every_block_of_an_article():
+    page = f"<article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>Tiny</p></article>"
+    assert len(main_text(page, RULES).split("\n")) == 4
+    assert main_text(page, BlockRules(stop_words=frozenset())) == ""
+    found, parts, around = blocks(page)
+    weigh_parts(found, parts, around)
+    first_pass(found, RULES)
+    assert [b.label for b in found] == [None, True, True, None]
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="comments-open">', '<div class="comment-list-page">', '<div class="post comments-closed">', '<div class="hentry comments-open"><div>'])
+def test_wrappers_that_only_tell_of_comments(wrapper):
+    for inner in (f"<article><p>{LONG}</p><p>Tiny</p></article>", f"<p>{LONG}</p><p>Tiny</p>"):
+        assert main_text(f"{wrapper}{inner}<ol class='comment-list'><li class='comment'><p>{LONG}</p></ol></div>", RULES).split("\n") == [LONG.strip(), "Tiny"]
+
+
+@given(st.lists(st.tuples(st.sampled_from([None, None, True, False]), st.booleans(), st.sampled_from([0, 0, 1, 2]), st.booleans(), st.sampled_from(["x", "the", FEW])), max_size=12))
 def test_second_pass_against_brute_force(shape):
-    found = [Block(str(i), 0, 0, main, heading, boiler=boiler and label is False, label=label) for i, (label, heading, main, boiler) in enumerate(shape)]
+    found = [Block(text, 0, 0, main, heading, boiler=boiler and label is False, label=label) for label, heading, main, boiler, text in shape]
     want = []
     marked = any(b.main and not b.boiler for b in found)
     for i, b in enumerate(found):
         if b.label is not None:
             want.append(b.label)
             continue
-        known = [k for k, x in enumerate(found) if x.label is not None and not (x.boiler and x.main)]
+        known = [k for k, x in enumerate(found) if x.label is not None and not x.boiler]
         sides = [[k for k in known if k < i][-1:], [k for k in known if k > i][:1]]
         near = [k for k in sum(sides, []) if not b.main or found[k].main == b.main]
         nearest = [found[k].label for k in near if abs(k - i) == min(abs(j - i) for j in near)]
-        if not near:
-            want.append(b.main > 0)
-        elif b.main:
-            want.append(any(found[k].label for k in near))
+        alike = [x.text for x in found if x.label is None and x.main == b.main]
+        alone = FEW not in alike or "the" in alike
+        if b.main:
+            want.append(any(found[k].label for k in near) if near else alone)
+        elif not any(found[k].label for k in near):
+            want.append(not near and not marked and alone)
         elif b.heading:
             want.append(bool(sides[1]) and found[sides[1][0]].label)
         else:
             want.append(all(nearest) if marked else any(nearest))
-    second_pass(found)
+    second_pass(found, RULES)
     assert [b.label for b in found] == want
 
 
