@@ -1,6 +1,7 @@
 """Names against registries: fuzzy resolution and search, agency and contractor scores, aliases.
 
-Candidates come from an equi-join on tokens, never from all pairs; a common token only brings the best `most` of its rows.
+Candidates come from an equi-join on tokens, never from all pairs; registry searches look at the best CANDIDATES rows of a token, as they are defined.
+Agencies and contractors are resolved in `matching`, without such a limit.
 """
 
 from __future__ import annotations
@@ -133,12 +134,13 @@ def canonical_agency(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
-def agency_score(left: Column, right: Column) -> Column:
-    """0 to 100: equal names, equal cores, a core inside the other name, else by the tokens in common (a repeated left token counts again)."""
-    a, b = comparable(left), comparable(right)
-    ca, cb = canonical_agency(a), canonical_agency(b)
-    long = lambda x: F.filter(F.split(x, " "), lambda t: F.length(t) >= 2)
-    ta, tb = long(F.when(ca != "", ca).otherwise(a)), long(F.when(cb != "", cb).otherwise(b))
+def agency_tokens(x: Column, core: Column) -> Column:
+    """The words of a comparable name's core, or of itself if it has none."""
+    return F.filter(F.split(F.when(core != "", core).otherwise(x), " "), lambda t: F.length(t) >= 2)
+
+
+def agency_score_of(a: Column, ca: Column, ta: Column, b: Column, cb: Column, tb: Column) -> Column:
+    """The score of two comparable names with their cores and tokens."""
     both = F.size(F.filter(ta, lambda t: F.array_contains(tb, t)))
     recall, precision = both / F.size(ta), both / F.size(tb)
     return (
@@ -148,13 +150,25 @@ def agency_score(left: Column, right: Column) -> Column:
     )
 
 
+def agency_score(left: Column, right: Column) -> Column:
+    """0 to 100: equal names, equal cores, a core inside the other name, else by the tokens in common (a repeated left token counts again)."""
+    a, b = comparable(left), comparable(right)
+    ca, cb = canonical_agency(a), canonical_agency(b)
+    return agency_score_of(a, ca, agency_tokens(a, ca), b, cb, agency_tokens(b, cb))
+
+
 # Legal forms in contractor names.
 _CONTRACTOR_LEGAL = "inc|incorporated|llc|ltd|limited|corp|corporation|company|co|holdings|group|lp|plc"
 
 
+def bare_contractor(x: Column) -> Column:
+    """A comparable name without legal forms."""
+    return F.trim(F.regexp_replace(F.regexp_replace(x, words(_CONTRACTOR_LEGAL), " "), r"\s+", " "))
+
+
 def contractor_score(names: Column, candidate: Column) -> Column:
     """The best of an entity's names (array) against a candidate: 1 equal, .96 equal without legal form, .88 contained, else .9 by tokens in common."""
-    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, words(_CONTRACTOR_LEGAL), " "), r"\s+", " "))
+    bare = bare_contractor
     tokens = lambda x: F.array_distinct(F.filter(F.split(bare(x), " "), lambda t: F.length(t) > 2))
     c = comparable(candidate)
 
@@ -169,28 +183,6 @@ def contractor_score(names: Column, candidate: Column) -> Column:
     return F.when(c == "", 0.0).otherwise(F.coalesce(F.array_max(F.transform(names, one)), F.lit(0.0)))
 
 
-def _by_words(left: DataFrame, right: DataFrame, left_words: Column, right_words: Column, most: int) -> DataFrame:
-    """Pairs of rows that share a word; a word brings at most `most` rows of the right side, which are ranked once, by length of name."""
-    best = first_rows(right.withColumn("_w", F.explode(F.array_distinct(right_words))), ["_w"], [F.length("candidate"), F.col("candidate_id")], n=most)
-    return left.withColumn("_w", F.explode(F.array_distinct(left_words))).join(best, "_w").drop("_w").dropDuplicates(["query_id", "candidate_id"])
-
-
-def resolve_agencies(queries: DataFrame, agencies: DataFrame, minimum: int = 82, most: int = CANDIDATES) -> DataFrame:
-    """The agency of the code list that a name stands for: the best score, at least `minimum`; the first by id of equals. `queries`: query_id, query; `agencies`: id, name."""
-    long = lambda x: F.filter(F.split(comparable(x), " "), lambda t: F.length(t) >= 3)
-    pairs = _by_words(queries.select("query_id", "query"), agencies.select(F.col("id").alias("candidate_id"), F.col("name").alias("candidate")), long(F.col("query")), long(F.col("candidate")), most)
-    scored = pairs.withColumn("score", agency_score(F.col("query"), F.col("candidate"))).where(F.col("score") >= minimum)
-    return first_rows(scored, ["query_id"], [F.col("score").desc(), F.col("candidate_id")]).select("query_id", "query", F.col("candidate_id").alias("id"), F.col("candidate").alias("name"), "score")
-
-
-def resolve_contractors(entities: DataFrame, candidates: DataFrame, minimum: float = 0.82, most: int = CANDIDATES) -> DataFrame:
-    """The recipient that an entity's names (array `names`) stand for: the best score, at least `minimum`; the first by id of equals."""
-    long = lambda x: F.filter(F.split(comparable(x), " "), lambda t: F.length(t) > 2)
-    pairs = _by_words(entities.select(F.col("id").alias("query_id"), "names"), candidates.select(F.col("id").alias("candidate_id"), F.col("name").alias("candidate")), F.flatten(F.transform("names", long)), long(F.col("candidate")), most)
-    scored = pairs.withColumn("score", contractor_score(F.col("names"), F.col("candidate"))).where(F.col("score") >= minimum)
-    return first_rows(scored, ["query_id"], [F.col("score").desc(), F.col("candidate_id")]).select(F.col("query_id").alias("entity_id"), F.col("candidate_id").alias("id"), F.col("candidate").alias("name"), "score")
-
-
 def registry_aliases(rows: DataFrame) -> Column:
     """Names that a matched registry row (name, government_type, state_code) goes by: of a county and of a municipality only, never its state's."""
     base = canonical_government(F.col("name"))

@@ -207,7 +207,7 @@ def government_pages(spark: SparkSession, d: str) -> DataFrame:
     return discovery.best_government_pages(rows)
 
 
-@query("""SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 180 WHEN 1 THEN 90 WHEN 2 THEN 65 ELSE -25 END AS score, c_nationkey % 4 <> 3 AND c_acctbal >= 0 AND (c_mktsegment = 'BUILDING' OR c_mktsegment = 'MACHINERY') AS due FROM customer""")
+@query("""SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 170 WHEN 1 THEN 90 WHEN 2 THEN 65 ELSE -25 END AS score, c_nationkey % 4 <> 3 AND c_acctbal >= 0 AND (c_mktsegment = 'BUILDING' OR c_mktsegment = 'MACHINERY') AS due FROM customer""")
 def association_boards(spark: SparkSession, d: str) -> DataFrame:
     c, k, s = L.table(spark, d, "customer"), F.col("c_nationkey") % 4, F.col("c_mktsegment")
     url = F.when(k == 0, "https://x.governmentjobs.com/careers/abc").when(k == 1, "https://league.org/jobs").when(k == 2, "https://league.org/x").otherwise("https://other.org/x")
@@ -215,8 +215,8 @@ def association_boards(spark: SparkSession, d: str) -> DataFrame:
     score = discovery.association_link_score(url, text, F.lit("https://www.league.org/"))
     entries = c.select("c_custkey", (F.col("c_acctbal") >= 0).alias("is_active"), F.lit("municipal_league").alias("entry_type"), F.when(k != 3, "https://league.org").alias("source_url"), F.when(s == "MACHINERY", F.lit("2023-01-01 00:00:00")).when(s != "BUILDING", F.lit("2024-01-20 00:00:00")).cast("timestamp").alias("checked_at"))
     due = discovery.associations_due(entries, _EVENTS_AT).select(F.col("c_custkey").alias("_k"))
-    # A customer of nation 0 of 4 has a hosted board (90), careers in its text (55) and a path (25); the host is the board's, not the league's (10).
-    return c.join(due, F.col("c_custkey") == F.col("_k"), "left").select("c_custkey", F.when(k == 0, score + 10).otherwise(score).alias("score"), F.col("_k").isNotNull().alias("due"))
+    # A customer of nation 0 of 4 has a hosted board (90), careers in its text (55) and a path (25).
+    return c.join(due, F.col("c_custkey") == F.col("_k"), "left").select("c_custkey", score.alias("score"), F.col("_k").isNotNull().alias("due"))
 
 
 @query(f"""WITH {L.ENTITIES}, {L.CHECKS} SELECT id FROM entities WHERE id NOT IN (SELECT entity_id FROM checks WHERE source = 'view' AND checked_at >= {EVENTS_AT} - INTERVAL 14 DAY)""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..operators import dedupe, lifecycle, registry, reliability, runs
+from ..operators import dedupe, lifecycle, matching, registry, reliability, runs
 from . import lens as L
 from .queries import _ASKED, _REG, SQL, WITH_JOBS, query
 
@@ -40,7 +40,35 @@ def agency_match(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_size") % 3
     asked = F.when(F.col("p_size") % 7 == 0, "Bureau of Something Else Entirely").when(k == 0, F.concat("p_name", F.lit(" International Center"))).when(k == 1, F.upper("p_name")).otherwise(F.concat(F.lit("U.S. Department of the "), "p_name", F.lit(" Office")))
     agencies = part.select(F.col("p_name").alias("id"), F.col("p_name").alias("name")).distinct()
-    return registry.resolve_agencies(part.select(F.col("p_partkey").alias("query_id"), asked.alias("query")), agencies).select(F.col("query_id").alias("p_partkey"), "id", F.col("score").cast("long").alias("score"))
+    return matching.resolve_agencies(part.select(F.col("p_partkey").alias("query_id"), asked.alias("query")), agencies).select(F.col("query_id").alias("p_partkey"), "id", F.col("score").cast("long").alias("score"))
+
+
+_COMPARABLE = "trim(regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _core(x: str) -> str:
+    for pattern in ("united states|u s|us", "department|dept|agency|administration|office|bureau|service|services|commission", "of|the|for|and"):
+        x = rf"regexp_replace({x}, '\b(?:{pattern})\b', ' ', 'g')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+_FORMS = f"SELECT *, list_filter(string_split(CASE WHEN core <> '' THEN core ELSE c END, ' '), lambda t: length(t) >= 2) AS toks FROM (SELECT *, {_core('c')} AS core FROM (SELECT *, {_COMPARABLE.format('n')} AS c FROM {{}}))"
+_AGENCIES = "SELECT p_partkey AS id, 'Federal ' || p_type || ' Service Center of ' || p_name || ' ' || p_brand AS n FROM part"
+_ASKS = """SELECT s_suppkey AS query_id, CASE s_suppkey % 4 WHEN 0 THEN p_brand || ' ' || p_name || ' Center, Federal ' || p_type || ' Operations' WHEN 1 THEN 'The ' || p_name || ' Bureau' WHEN 2 THEN 'Nothing like it ' || s_suppkey ELSE 'Federal Services Center' END AS query,
+CASE WHEN s_suppkey % 4 = 2 THEN [upper('u.s. federal ' || p_type || ' center & ' || p_name || ' office ' || p_brand), 'Center'] END AS aliases FROM supplier JOIN part ON p_partkey = s_suppkey"""
+
+
+@query(f"""WITH a AS ({_FORMS.format(f'({_AGENCIES})')}), q AS ({_ASKS}), m AS ({_FORMS.format('(SELECT DISTINCT query_id, unnest(list_concat([query], aliases)) AS n FROM q)')}),
+s AS (SELECT query_id, id, a.n AS name, len(list_filter(m.toks, lambda t: list_contains(a.toks, t))) AS o, len(m.toks) AS x, len(a.toks) AS y, CASE WHEN m.c = a.c THEN 100 WHEN m.core <> '' AND m.core = a.core THEN 97 WHEN length(m.core) >= 5 AND contains(' ' || a.c || ' ', ' ' || m.core || ' ') THEN 90 WHEN length(a.core) >= 5 AND contains(' ' || m.c || ' ', ' ' || a.core || ' ') THEN 88 END AS said FROM m, a WHERE m.c <> '' AND a.c <> ''),
+r AS (SELECT query_id, id, name, CAST(COALESCE(said, CASE WHEN x = 0 OR y = 0 THEN 0 WHEN o = x AND o >= 0.6 * y THEN 86 WHEN o >= 0.8 * x AND o >= 0.6 * y THEN 82 ELSE floor((o / x + o / y) / 2 * 80 + 0.5) END) AS BIGINT) AS score FROM s)
+SELECT query_id, id, score FROM r WHERE score >= 82 QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, length(name), id) = 1""")
+def agency_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Agencies of very common words, asked for by other orders, parts and aliases of their names."""
+    agencies = L.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Federal "), "p_type", F.lit(" Service Center of "), "p_name", F.lit(" "), "p_brand").alias("name"))
+    rows, k = L.table(spark, d, "supplier").join(L.table(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey")), F.col("s_suppkey") % 4
+    asked = F.when(k == 0, F.concat("p_brand", F.lit(" "), "p_name", F.lit(" Center, Federal "), "p_type", F.lit(" Operations"))).when(k == 1, F.concat(F.lit("The "), "p_name", F.lit(" Bureau"))).when(k == 2, F.concat(F.lit("Nothing like it "), F.col("s_suppkey").cast("string"))).otherwise("Federal Services Center")
+    aliases = F.when(k == 2, F.array(F.upper(F.concat(F.lit("u.s. federal "), "p_type", F.lit(" center & "), "p_name", F.lit(" office "), "p_brand")), F.lit("Center")))
+    return matching.resolve_agencies(rows.select(F.col("s_suppkey").alias("query_id"), asked.alias("query"), aliases.alias("aliases")), agencies).select("query_id", "id", F.col("score").cast("long").alias("score"))
 
 
 @query("""SELECT p_partkey, p_name AS id, CASE p_size % 3 WHEN 0 THEN 0.9e0 WHEN 1 THEN 1e0 ELSE 0.96e0 END AS score FROM part WHERE p_size % 7 <> 0""")
@@ -49,7 +77,7 @@ def contractor_match(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_size") % 3
     name = F.when(F.col("p_size") % 7 == 0, "Nobody Knows LLC").when(k == 0, F.concat("p_name", F.lit(" Systems Group"))).when(k == 1, F.initcap("p_name")).otherwise(F.concat("p_name", F.lit(", Inc.")))
     entities = part.select(F.col("p_partkey").alias("id"), F.array(F.lit("Zz"), name).alias("names"))
-    found = registry.resolve_contractors(entities, part.select(F.col("p_name").alias("id"), F.col("p_name").alias("name")).distinct())
+    found = matching.resolve_contractors(entities, part.select(F.col("p_name").alias("id"), F.col("p_name").alias("name")).distinct())
     return found.select(F.col("entity_id").alias("p_partkey"), "id", "score")
 
 

@@ -557,13 +557,6 @@ def registry_match(spark: SparkSession, d: str) -> DataFrame:
     return registry.resolve_registry(names, reg).select("query", "id", "name", "score")
 
 
-@query("SELECT s.s_suppkey, CAST(100 AS BIGINT) AS self_score, CAST(CASE WHEN n_name IS NULL THEN 0 ELSE 100 END AS BIGINT) AS nation_score FROM supplier s LEFT JOIN nation ON s_nationkey = n_nationkey")
-def agency_scores(spark: SparkSession, d: str) -> DataFrame:
-    s, n = L.table(spark, d, "supplier"), L.table(spark, d, "nation")
-    rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return rows.select("s_suppkey", registry.agency_score(F.col("s_name"), F.upper("s_name")).alias("self_score"), registry.agency_score(F.replace("n_name", F.lit("_"), F.lit(" ")), F.col("n_name")).alias("nation_score"))
-
-
 _TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(text || ' ' || source), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> ''))"
 
 
