@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .frames import first_rows
+from .frames import checkpointed, first_rows
 
 
 def first_wins(df: DataFrame, keys: list[str], seq: str = "_seq") -> DataFrame:
@@ -89,39 +93,81 @@ def collapse_lineages(checks: DataFrame, keys: list[str], lineage: Column, seq:
 STATUS_RANK = {"success": 4, "zero": 3, "error": 2}
 
 
+def _ends(ranks: list[int], jobs: list[int | None]) -> tuple[list[int], list[tuple[str, int | None, int, int]]]:
+    """What a run of checks does to whichever check is kept before it: (kind, number, place, end) for "start" (nothing was kept), "rank" (the first
+    check that ranks above the number) and "jobs" (the first with more jobs than any number below this one); the end is the check kept at last.
+    """
+    n = len(ranks)
+    end, above, larger = [0] * n, {1: n, 2: n, 3: n}, []
+    for i in range(n - 1, -1, -1):
+        found = jobs[i]
+        while larger and found is not None and jobs[larger[-1]] <= found:
+            larger.pop()
+        after = min(above.get(ranks[i], n), larger[-1] if larger and found is not None else n)
+        end[i] = end[after] if after < n else i
+        for r in range(1, ranks[i]):
+            above[r] = i
+        if found is not None:
+            larger.append(i)
+    out: list[tuple[str, int | None, int, int]] = [("start", None, 0, end[0])]
+    out += [("rank", r, i, end[i]) for r, i in above.items() if i < n]
+    # What is left on the stack are the records; those with one end and the same ranks behind them are one step.
+    steps: dict[tuple, tuple] = {}
+    for i in reversed(larger):
+        key = (end[i], sum(k < i for k in above.values()))
+        steps[key] = ("jobs", jobs[i], steps[key][2] if key in steps else i, end[i])
+    return end, out + list(steps.values())
+
+
 def fold_checks(checks: DataFrame, keys: tuple[str, ...] = ("entity_id", "source"), seq: str = "_seq") -> DataFrame:
     """The check kept per key when each later one replaces it if its status ranks higher or it found more jobs.
 
-    That relation isn't an order, so the result depends on arrival and can't be combined before the shuffle. A key's checks pass a task in
-    order, which holds the one that is kept, so memory doesn't grow with their number.
+    That relation isn't an order, so the result depends on arrival. But a run of checks can be summed up: the check that is kept before it matters
+    only by its rank and its jobs, so the run's effect is a check for each rank and for each step of jobs, a handful whatever its length. The
+    checks are dealt out by ranges of key and place, so one key goes through many tasks; runs of a key that reach the edge of a batch are summed
+    up, and their sums are applied in order. Other keys are whole in their batch. Ties of `seq` are in any order.
     """
     rest = [c for c in checks.columns if c not in (*keys, seq)]
     rows = checks.select(*keys, seq, *rest)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, key, rank, jobs = None, None, 0, None
-        done: list[pa.RecordBatch] = []
-        for batch in batches:
-            at = -1  # the row of this batch that is kept now
-            for i, (status, found, *own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("status", "jobs_found", *keys)), strict=True)):
-                ranked = STATUS_RANK.get(status, 1)
-                if own != key:
-                    if key is not None:
-                        done.append(batch.take(pa.array([at])) if at >= 0 else kept)
-                    key, at, rank, jobs = own, i, ranked, found
-                elif ranked > rank or (found is not None and jobs is not None and found > jobs):
-                    at, rank, jobs = i, ranked, found
-            if at >= 0:
-                kept = batch.take(pa.array([at]))  # a copy, which doesn't hold the batch
+    names, arrow = rows.columns, to_arrow_schema(rows.schema)
+    sums = T.StructType([*rows.schema, T.StructField("_part", rows.schema[seq].dataType), T.StructField("_run", T.LongType()), T.StructField("_kind", T.StringType()), T.StructField("_number", T.LongType()), T.StructField("_at", T.LongType())])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, batch in enumerate(batches, TaskContext.get().partitionId() << 32):
+            if not batch.num_rows:
+                continue
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            ranks, found = [STATUS_RANK.get(x, 1) for x in batch.column("status").to_pylist()], batch.column("jobs_found").to_pylist()
+            cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+            take, part, kind, number, place = [], [], [], [], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                end, effect = _ends(ranks[a:b], found[a:b])
+                for k, x, at, last in effect if a == 0 or b == len(own) else [("whole", None, 0, end[0])]:
+                    take.append(a + last), part.append(a), kind.append(k), number.append(x), place.append(at)
+            columns = [*batch.take(pa.array(take, pa.int64())).columns, batch.column(seq).take(pa.array(part, pa.int64())), pa.array([run] * len(take), pa.int64()), pa.array(kind), pa.array(number, pa.int64()), pa.array(place, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=sums.names)
+
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept, done = None, None, []
+        for (own, _), run in groupby((r for batch in batches for r in batch.to_pylist()), lambda r: (tuple(r[k] for k in keys), r["_run"])):
+            effect = list(run)
+            if own != key and kept:
+                done.append(kept)
+            if own != key:
+                key, kept = own, next(r for r in effect if r["_kind"] == "start")
+            else:
+                rank, jobs = STATUS_RANK.get(kept["status"], 1), kept["jobs_found"]
+                hits = [r for r in effect if (r["_kind"] == "rank" and r["_number"] == rank) or (r["_kind"] == "jobs" and jobs is not None and r["_number"] > jobs)]
+                kept = min(hits, key=lambda r: r["_at"], default=kept)
             if len(done) >= 1024:
-                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in done], schema=arrow)
                 done = []
-        if key is not None:
-            done.append(kept)
-        if done:
-            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        if kept:
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in [*done, kept]], schema=arrow)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, seq).mapInArrow(each, rows.schema)
+    found = checkpointed(rows.repartitionByRange(*keys, seq).sortWithinPartitions(*keys, seq).mapInArrow(summed, sums))
+    edges = found.where("_kind <> 'whole'").repartition(*keys).sortWithinPartitions(*keys, "_part", "_run", "_at")
+    return found.where("_kind = 'whole'").select(*names).unionByName(edges.mapInArrow(applied, rows.schema))
 
 
 def collapse_graph_sources(sources: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +95,47 @@ def test_new_this_week(spark, posted, new):
     assert df.select(metrics.new_this_week(F.col("t"), AS_OF)).first()[0] is new
 
 
+def plain_fold(order):
+    kept = None
+    for row in order:
+        if kept is None or dedupe.STATUS_RANK.get(row[0], 1) > dedupe.STATUS_RANK.get(kept[0], 1) or (row[1] is not None and kept[1] is not None and row[1] > kept[1]):
+            kept = row
+    return kept
+
+
+def test_a_run_is_summed_up_by_ranks_and_records():
+    rng = random.Random(8)
+    for _ in range(300):
+        run = [(rng.choice(["success", "zero", "error", "skipped", None]), rng.choice([None, *range(12)]), i) for i in range(rng.randint(1, 14))]
+        end, effect = dedupe._ends([dedupe.STATUS_RANK.get(x[0], 1) for x in run], [x[1] for x in run])
+        assert run[end[0]] == plain_fold(run)
+        for before in [(s, j, -1) for s in ("success", "zero", "error", "skipped") for j in (None, *range(13))]:
+            rank = dedupe.STATUS_RANK.get(before[0], 1)
+            hits = [e for e in effect if (e[0] == "rank" and e[1] == rank) or (e[0] == "jobs" and before[1] is not None and e[1] > before[1])]
+            got = run[min(hits, key=lambda e: e[2])[3]] if hits else before
+            assert got == plain_fold([before, *run])
+
+
+def test_fold_of_a_hot_key_goes_through_many_tasks(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(6000):
+        key = "hot" if rng.random() < 0.4 else rng.choice(["a", "b"]) + str(rng.randint(0, 900)) if rng.random() < 0.95 else None
+        rows.append((key, "s", i, rng.choice(["success", "zero", "error", "x", None]), rng.choice([None, rng.randint(0, 50), rng.randint(0, 5000)]), datetime(2024, 1, 1) + timedelta(hours=i)))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        df = spark.createDataFrame(rows, "entity_id string, source string, _seq long, status string, jobs_found long, checked_at timestamp").repartition(5)
+        got = {r.entity_id: (r.status, r.jobs_found, r._seq, r.checked_at) for r in dedupe.fold_checks(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    by_key: dict = {}
+    for k, _, i, st, n, at in rows:
+        by_key.setdefault(k, []).append((st, n, i, at))
+    assert got == {k: plain_fold(v) for k, v in by_key.items()}
+    assert dedupe.fold_checks(df.limit(0)).count() == 0
+
+
 def test_fold_depends_on_arrival(spark):
     def run(order):
         df = spark.createDataFrame([("e", "s", i, st, n) for i, (st, n) in enumerate(order)], "entity_id string, source string, _seq long, status string, jobs_found long")
