@@ -118,27 +118,3 @@ def seed_sources(entities: DataFrame, directory: DataFrame) -> DataFrame:
     more = directory.select("entity_id", F.lit("directory").alias("source_type"), F.lit("verified").alias("source_class"), F.concat(F.lit("directory:"), "directory_key").alias("lineage_root"), F.col("jobs_url").alias("source_url"), F.lit(None).cast("string").alias("ats_provider"), F.lit(None).cast("string").alias("board_id"), F.lit(False).alias("is_primary"))
     rows = own.unionByName(more).withColumn("source_key", fnv1a_base36(F.concat_ws("|", "source_type", "lineage_root", "source_url")))
     return first_rows(rows, ["entity_id", "source_key"], [F.col("is_primary").desc()])
-
-
-def crawl(start: DataFrame, links: DataFrame, keys: DataFrame, most_pages: int = 75, empty_stop: int = 3) -> DataFrame:
-    """Pages of a captured site reachable through pager links, wave by wave, for all sites at once: site, url, wave.
-
-    `start`: site, url; `links`: site, url, target (same origin); `keys`: site, url, key (jobs on the page). A site ends after so many waves without a
-    new job key, or at its number of pages. Each wave is one join of the last wave with the links; the loop runs over depth, not over rows.
-    """
-    seen = start.select("site", "url").distinct().withColumn("wave", F.lit(0))
-    stale = seen.select("site").distinct().withColumn("_idle", F.lit(0))
-    for wave in range(1, most_pages):
-        front = seen.where(F.col("wave") == wave - 1)
-        live = stale.where(F.col("_idle") < empty_stop).select("site")
-        found = front.join(live, "site", "left_semi").join(links, ["site", "url"]).select("site", F.col("target").alias("url")).distinct().join(seen, ["site", "url"], "left_anti")
-        room = seen.groupBy("site").agg(F.count(F.lit(1)).alias("_n"))
-        found = first_rows(found.join(room, "site").withColumn("_room", F.lit(most_pages) - F.col("_n")), ["site"], [F.col("url")], out="_k", n=most_pages).where("_room > 0").select("site", "url")
-        found = checkpointed(found.withColumn("wave", F.lit(wave)))
-        if not found.limit(1).count():
-            break
-        known = seen.join(keys, ["site", "url"]).select("site", "key").distinct()
-        fresh = found.join(keys, ["site", "url"]).select("site", "key").distinct().join(known, ["site", "key"], "left_anti").groupBy("site").agg(F.count(F.lit(1)).alias("_fresh"))
-        stale = checkpointed(stale.join(fresh, "site", "left").select("site", F.when(F.coalesce("_fresh", F.lit(0)) > 0, 0).otherwise(F.col("_idle") + 1).alias("_idle")))
-        seen = checkpointed(seen.unionByName(found))
-    return seen

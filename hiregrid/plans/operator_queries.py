@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..operators import dedupe, lifecycle, matching, registry, reliability, runs
+from ..operators import crawl, dedupe, lifecycle, matching, registry, reliability, runs
 from . import lens as L
 from .queries import _ASKED, _REG, SQL, WITH_JOBS, query
 
@@ -184,18 +184,45 @@ def federal_directories(spark: SparkSession, d: str) -> DataFrame:
     return runs.federal_directories(e, spark.createDataFrame(rows, "entry_key string, jobs_url string, match_patterns array<string>, is_active boolean")).select("entity_id", "entry_key")
 
 
-@query("""WITH RECURSIVE s AS (SELECT o_custkey AS site, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), m AS (SELECT site, max(n) AS last FROM s GROUP BY 1)
-SELECT site, CAST(n AS VARCHAR) AS url, CAST(n - 1 AS INTEGER) AS wave FROM (SELECT site, n, last FROM s JOIN m USING (site)) WHERE n <= 8 AND NOT (site % 3 = 0 AND n > 4)""")
+@query("""WITH s AS (SELECT o_custkey AS site, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), k AS (SELECT *, CASE WHEN n % 7 = 0 THEN NULL WHEN site % 3 = 0 THEN least(n, 3 + site % 5) ELSE n - n % 2 END AS key FROM s),
+f AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY site, key ORDER BY n) = 1 AS fresh FROM k), i AS (SELECT *, n - greatest(1, COALESCE(max(CASE WHEN fresh THEN n END) OVER (PARTITION BY site ORDER BY n), 1)) AS idle FROM f), e AS (SELECT *, min(CASE WHEN idle >= 3 THEN n END) OVER (PARTITION BY site) AS stop FROM i)
+SELECT site, CAST(n AS VARCHAR) AS url, CAST(n - 1 AS INTEGER) AS place, fresh OR n = 1 AS fresh FROM e WHERE n <= COALESCE(stop, n) AND n <= 12""")
 def site_crawl(spark: SparkSession, d: str) -> DataFrame:
-    """A site for each customer, a page for each order, each linked to the next; sites divisible by three repeat their jobs from the first page on."""
+    """A site for each customer, a page for each order, each with links to three pages behind it and to the next; some sites run out of new jobs in the middle of a wave."""
     from pyspark.sql import Window as W
 
+    n = F.col("n")
     o = L.table(spark, d, "orders").select(F.col("o_custkey").alias("site"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"))
-    url = F.col("n").cast("string").alias("url")
-    links = o.select("site", url, (F.col("n") + 1).cast("string").alias("target"))
-    links = links.join(o.select(F.col("site"), F.col("n").cast("string").alias("target")), ["site", "target"], "left_semi")
-    keys = o.select("site", url, F.when(F.col("site") % 3 == 0, F.lit(1)).otherwise(F.col("n")).alias("key"))
-    return runs.crawl(o.where("n = 1").select("site", url), links, keys, most_pages=8, empty_stop=3).select("site", "url", "wave")
+    url = n.cast("string").alias("url")
+    links = o.select("site", url, F.posexplode(F.array(n * 3 - 1, n * 3, n * 3 + 1, n)).alias("position", "target")).withColumn("target", F.col("target").cast("string"))
+    links = links.join(o.select("site", n.cast("string").alias("target")), ["site", "target"], "left_semi")
+    key = F.when(n % 7 != 0, F.when(F.col("site") % 3 == 0, F.least(n, 3 + F.col("site") % 5)).otherwise(n - n % 2))
+    return crawl.crawl(o.where("n = 1").select("site", url), links, o.select("site", url, key.alias("key")).where("key IS NOT NULL"), most_pages=12, empty_stop=3)
+
+
+@query("""WITH o AS (SELECT o_custkey AS chain, o_orderkey, row_number() OVER w AS n, count(*) OVER (PARTITION BY o_custkey) AS last FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+l AS (SELECT l_orderkey, count(*) AS n_rows FROM lineitem GROUP BY 1), p AS (SELECT o.*, COALESCE(n_rows, 0) AS n_rows FROM o LEFT JOIN l ON l_orderkey = o_orderkey),
+q AS (SELECT *, sum(n_rows) OVER (PARTITION BY chain ORDER BY n) AS offset_, CASE WHEN chain % 5 = 4 THEN sum(CASE WHEN n <= 3 THEN n_rows ELSE 0 END) OVER (PARTITION BY chain) END AS told, chain % 5 = 3 AND n = 3 AND n_rows > 0 AND max(CASE WHEN n = 1 THEN n_rows END) OVER (PARTITION BY chain) > 0 AS again FROM p WHERE n <= 20),
+s AS (SELECT *, min(CASE WHEN again OR n_rows = 0 OR offset_ >= told THEN n END) OVER (PARTITION BY chain) AS stop FROM q), r AS (SELECT * FROM s WHERE n <= COALESCE(stop, n)),
+u AS (SELECT chain, count(DISTINCT l_partkey) AS unique_ids FROM r JOIN lineitem ON l_orderkey = o_orderkey WHERE NOT again GROUP BY 1),
+g AS (SELECT chain, max(told) AS told, bool_or((n_rows = 0 OR COALESCE(offset_ >= told, false)) AND NOT again) AS exhausted, bool_or(again) AS repeated_page, count(*) FILTER (NOT again) AS n_pages, max(n) AS reached, max(last) AS size FROM r GROUP BY 1),
+h AS (SELECT *, COALESCE(unique_ids, 0) AS ids, NOT (exhausted OR repeated_page) AS ongoing FROM g LEFT JOIN u USING (chain))
+SELECT chain, COALESCE(exhausted AND NOT repeated_page AND ids >= COALESCE(told, ids), false) AS complete, CAST(COALESCE(told, CASE WHEN exhausted THEN ids END) AS BIGINT) AS official, ids AS unique_ids, n_pages, exhausted, repeated_page,
+ongoing AND reached = size AND chain % 5 = 1 AND size > 1 AS looped, ongoing AND reached = size AND chain % 5 = 2 AS broken, ongoing AND reached = 20 AS hit_page_cap FROM h""")
+def chain_audit(spark: SparkSession, d: str) -> DataFrame:
+    """A chain of pages for each customer, a page for each order: some lead back, some to a missing page, some repeat a page, some tell their total."""
+    from pyspark.sql import Window as W
+
+    c, n, own = F.col("chain"), F.col("n"), W.partitionBy("chain")
+    o = L.table(spark, d, "orders").select(F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("page"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"))
+    lines = L.table(spark, d, "lineitem")
+    o = o.join(lines.groupBy(F.col("l_orderkey").alias("page")).agg(F.count(F.lit(1)).alias("n_rows")), "page", "left")
+    second = F.max(F.when(n == 2, F.col("page"))).over(own)
+    end = F.when(c % 5 == 1, second).when(c % 5 == 2, F.lit(-1))
+    told = F.when((c % 5 == 4) & (n == 1), F.sum(F.when(n <= 3, F.coalesce("n_rows", F.lit(0))).otherwise(0)).over(own))
+    pages = o.select("chain", "page", F.coalesce(F.lead("page").over(own.orderBy("n")), end).alias("next"), (n == 1).alias("is_first"), F.when((c % 5 == 3) & (n == 3), "s1").otherwise(F.concat(F.lit("s"), n.cast("string"))).alias("signature"), "n_rows", told.alias("total"))
+    ids = o.select("chain", "page").join(lines.select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("id")), "page")
+    return crawl.audit_chains(pages, ids, page_size=1, most_pages=20)
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'view' THEN 4 WHEN 'click' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END AS rank, CASE WHEN value > 50 THEN 50.0e0 WHEN value < 10 THEN 10.0e0 ELSE value END AS clamped, lower(event_type) = 'view' AS yes FROM events""")

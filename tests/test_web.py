@@ -117,10 +117,3 @@ def test_checks_and_statuses(spark):
     e = spark.createDataFrame([(1, datetime(2024, 1, 2)), (2, datetime(2024, 1, 2)), (3, datetime(2024, 1, 2))], "id int, created_at timestamp")
     logs = spark.createDataFrame([(1, 1, "error", "a", 1, 0, 0, "x", datetime(2024, 1, 3)), (2, 1, "success", "b", 5, 2, 1, None, datetime(2024, 1, 4)), (3, 2, "success", "b", 5, 2, 1, None, datetime(2024, 1, 1))], "id int, entity_id int, status string, source string, jobs_found int, jobs_new int, jobs_closed int, error_message string, ran_at timestamp")
     assert {r.id: (r.status, r.jobs_found) for r in runs.ingest_status(e, logs).collect()} == {1: ("success", 5), 2: ("queued", 5), 3: ("queued", 0)}
-
-
-def test_crawl(spark):
-    links = [("s", f"p{i}", f"p{i + 1}") for i in range(8)] + [("s", "p1", "p0"), ("t", "q0", "q0")]
-    keys = [("s", "p0", "a"), ("s", "p1", "b"), ("s", "p2", "b"), ("s", "p3", "a"), ("s", "p4", "a"), ("s", "p5", "z")]
-    got = runs.crawl(spark.createDataFrame([("s", "p0"), ("t", "q0")], "site string, url string"), spark.createDataFrame(links, "site string, url string, target string"), spark.createDataFrame(keys, "site string, url string, key string"))
-    assert sorted((r.site, r.url, r.wave) for r in got.collect()) == [("s", f"p{i}", i) for i in range(5)] + [("t", "q0", 0)]
