@@ -32,6 +32,17 @@ def _point(lat: float, lng: float, note: Column | str) -> Column:
     return F.struct(F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), (F.lit(note) if isinstance(note, str) else note).alias("note"))
 
 
+def place_point(name: Column) -> Column:
+    """struct(lat, lng, note) of a place by its whole name, else of the first known place in it, else of its state alone; else null."""
+    states = F.create_map(*(x for state, lat, lng in STATE_POINTS for x in (F.lit(state), _point(lat, lng, "state fallback"))))
+    known = F.array(*(F.struct(F.lit(place).alias("name"), _point(lat, lng, "job location").alias("p")) for place, lat, lng in POINTS))
+
+    def of(place: Column) -> Column:
+        return F.coalesce(F.get(F.filter(known, lambda k: place.contains(k["name"])), F.lit(0))["p"], F.element_at(states, place))
+
+    return F.get(F.transform(F.array(_clean(name)), of), F.lit(0))
+
+
 def infer_point(jobs: DataFrame) -> Column:
     """struct(lat, lng, note) by: remote, city and state, the place, a place named inside it, the state, the country, the employer's seat; else null."""
     city, state, place, country = (_clean(column_or_null(jobs, c)) for c in ("city", "state", "location", "country"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..operators import crawl, dedupe, lifecycle, matching, registry, reliability, runs
+from ..operators import crawl, dedupe, lifecycle, matching, places, registry, reliability, runs
 from . import lens as L
 from .queries import _ASKED, _REG, SQL, WITH_JOBS, query
 
@@ -230,3 +230,21 @@ def severities(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("event_type")
     name = F.when(t == "view", "critical").when(t == "click", "high").when(t == "signup", "medium").otherwise("low")
     return L.table(spark, d, "events").select("event_id", reliability.severity_rank(name).alias("rank"), N.clamp(F.col("value"), 10, 50).alias("clamped"), N.truthy(F.when(t == "view", " YES ").otherwise("no")).alias("yes"))
+
+
+@query("""WITH k AS (SELECT s_suppkey, s_suppkey % 6 AS k, ['Reston', 'Dallas', 'Tampa', 'Nowhere'][s_suppkey % 4 + 1] AS c, ['VA', 'TX', 'FL', 'ZZ'][s_suppkey % 4 + 1] AS s FROM supplier),
+n AS (SELECT s_suppkey, list_filter(CASE k WHEN 0 THEN [c || ', ' || s || ', US', c || ', ' || s, c, 'US', s] WHEN 1 THEN ['Office ' || s_suppkey, c || ', ' || s] WHEN 2 THEN [c || ', ' || s] WHEN 3 THEN [c, 'kuwait'] WHEN 4 THEN [s, 'fort worth'] ELSE [] END, lambda x: x <> '') AS candidates FROM k)
+SELECT s_suppkey, array_to_string(candidates, '|') AS candidates, CASE WHEN k = 5 THEN NULL WHEN c <> 'Nowhere' AND k < 3 THEN c || ', ' || s || CASE WHEN k = 0 THEN ', US' ELSE '' END WHEN k = 3 THEN 'kuwait' WHEN k = 4 THEN CASE WHEN s <> 'ZZ' THEN s ELSE 'fort worth' END END AS point_name FROM n JOIN k USING (s_suppkey)""")
+def place_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers whose payloads tell their place in an object, under a key of places, in a list, by a URL, or not at all."""
+    s = L.table(spark, d, "supplier")
+    i, k = F.col("s_suppkey") % 4, F.col("s_suppkey") % 6
+    city, state = (F.get(F.array(*map(F.lit, x)), i) for x in (("Reston", "Dallas", "Tampa", "Nowhere"), ("VA", "TX", "FL", "ZZ")))
+    place = F.concat(city, F.lit(", "), state)
+    told = lambda *parts: F.to_json(F.struct(*parts))
+    raw = F.when(k == 0, told(F.struct(F.struct(city.alias("cityName"), F.lit("US").alias("countryCode"), state.alias("stateCode")).alias("where")).alias("meta")))
+    raw = raw.when(k == 1, told(F.struct(F.concat(F.lit("Office "), F.col("s_suppkey").cast("string")).alias("address"), F.struct(F.lit(1).alias("a"), F.array(F.lit("no place"), place).alias("job_location")).alias("b")).alias("data")))
+    raw = raw.when(k == 2, told(F.array(F.struct(F.array(place).alias("x_location"))).alias("locations"))).when(k == 3, told(F.struct(city.alias("formattedLocation")).alias("a"), F.lit("https://x.example.org/jobs/kuwait%2Fnurse").alias("url")))
+    raw = raw.when(k == 4, told(state.alias("region"), F.lit("https://x.example.org/Fort_Worth-TX").alias("posting_url"))).otherwise('{"deep": [1, {"x": null}], "text": "remote only in an unnamed text"}')
+    found = places.locate_by_candidates(s.select("s_suppkey", raw.alias("raw_data")))
+    return found.select("s_suppkey", F.array_join("candidates", "|").alias("candidates"), "point_name")
