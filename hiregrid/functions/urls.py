@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -175,35 +178,115 @@ MARKUP_SIGNALS = [
 ]
 
 
-def hosted_board(url: Column) -> Column:
-    """provider, board and confidence (struct) of the hosted job board that a URL leads to; null for other URLs."""
-    site = F.lower(F.regexp_extract(url, r"^(?i)https?://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    path = F.regexp_extract(url, r"^(?i)https?://[^/?#]+([^?#]*)", 1)
-    token = lambda k: F.get(F.filter(F.split(path, "/"), lambda x: x != ""), F.lit(k))
-    site_of = F.when(token(0).rlike("^[a-z]{2}-[A-Z]{2}$"), token(1)).otherwise(token(0))
-    board_at = {"label": F.split_part(site, F.lit("."), F.lit(1)), "path": token(0), "path2": token(1), "": F.lit(None).cast("string"), "site": F.concat_ws("/", F.regexp_extract(url, r"^(?i)(https?://[^/?#]+)", 1), site_of)}
-    out = F.lit(None).cast("struct<provider: string, board: string, confidence: string>")
-    for provider, pattern, board, confidence in reversed(HOSTED_BOARDS):
-        test = site.rlike(pattern)
-        if provider in _HOSTED_ALSO:
-            test &= (path if provider == "bamboohr" else url).rlike(f"(?i){_HOSTED_ALSO[provider]}")
-        ident = board_at[board] if board in board_at else F.nullif(F.regexp_extract(url, f"(?i){board}", 1), F.lit(""))
-        if provider in ("greenhouse", "lever", "ashby", "smartrecruiters"):  # without a board it is another page of theirs
-            test &= ident.isNotNull()
-        out = F.when(test, F.struct(F.lit(provider).alias("provider"), ident.alias("board"), F.lit(confidence).alias("confidence"))).otherwise(out)
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, as an array's only element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _literals(pattern: str) -> list[str]:
+    """The texts of which one stands in whatever a pattern of the tables matches."""
+    out = []
+    for part in re.sub(r"\(\?:jobs\|api\)\\.|^\^\[\^\.\]\+\\\.", "", pattern).split("|") if "(?:com|de" not in pattern and "(?:com|co" not in pattern else [pattern.split(r"\.(?:")[0]]:
+        out.append(part.replace("\\.", ".").replace(".*hcm", "").strip("$^"))
     return out
 
 
-def detect_ats(page_url: Column, links: Column | None = None, html: Column | None = None) -> Column:
-    """The provider of a career page: by its URL, else by the first of its links (array) that leads to a hosted board, else by signals in its markup."""
+#: A URL with none of these leads to no hosted board; those that stand in it choose the rules that are tried.
+_BOARD_SIGNS = {provider: ["greenhouse"] if provider == "greenhouse" else _literals(pattern) for provider, pattern, *_ in HOSTED_BOARDS}
+_MARKUP_SIGNS = {provider: _literals(pattern) for provider, pattern in MARKUP_SIGNALS}
+
+
+def _any_of(signs: dict[str, list[str]]) -> str:
+    # Longer ones first, for alternatives are tried in order.
+    return "|".join(re.escape(x) for x in sorted({x for own in signs.values() for x in own}, key=lambda x: (-len(x), x)))
+
+
+def _signed(found: Column, signs: list[str]) -> Column:
+    return F.array_contains(found, signs[0]) if len(signs) == 1 else F.arrays_overlap(found, F.array(*map(F.lit, signs)))
+
+
+def _first_of(tests: list[tuple[int, Column]]) -> Column:
+    out = F.lit(None).cast("int")
+    for k, test in reversed(tests):
+        out = F.when(test, k).otherwise(out)
+    return out
+
+
+def hosted_board(url: Column) -> Column:
+    """provider, board and confidence (struct) of the hosted job board that a URL leads to; null for other URLs. Escapes in the URL are decoded first."""
+    group = lambda x, pattern: F.nullif(F.regexp_extract(x, f"(?i){pattern}", 1), F.lit(""))
+
+    def parts(decoded: Column) -> Column:
+        site, path = F.lower(F.regexp_extract(decoded, r"^(?i)https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.regexp_extract(decoded, r"^(?i)https?://[^/?#]+([^?#]*)", 1)
+        signs = F.array_distinct(F.regexp_extract_all(F.lower(decoded), F.lit(f"({_any_of(_BOARD_SIGNS)})"), F.lit(1)))
+        return F.when(decoded.rlike(f"(?i){_any_of(_BOARD_SIGNS)}"), F.struct(decoded.alias("url"), site.alias("site"), path.alias("path"), signs.alias("signs"), F.filter(F.split(path, "/"), lambda x: x != "").alias("tokens")))
+
+    def board(u: Column) -> Column:
+        site, tokens, whole = u["site"], u["tokens"], u["url"]
+        token = lambda k: F.get(tokens, F.lit(k))
+        site_of = F.when(token(0).rlike("^[a-z]{2}-[A-Z]{2}$"), token(1)).otherwise(token(0))
+        named = F.coalesce(group(whole, r"(?:boards|job-boards)\.greenhouse\.io/(?:embed/job_board\?for=)?([^/?#&]+)"), group(whole, "[?&]for=([^&#]+).*greenhouse"), group(whole, HOSTED_BOARDS[0][2]))
+        where = {"label": F.split_part(site, F.lit("."), F.lit(1)), "path": token(0), "path2": token(1), "": F.lit(None).cast("string"), "site": F.concat_ws("/", F.regexp_extract(whole, r"^(?i)(https?://[^/?#]+)", 1), site_of)}
+        tests, idents = [], []
+        for k, (provider, pattern, at, _) in enumerate(HOSTED_BOARDS):
+            ident = named if provider == "greenhouse" else where[at] if at in where else group(whole, at)
+            # Those whose board is read from the whole URL are found by it; without a board it is another page of theirs.
+            test = ident.isNotNull() if provider in ("greenhouse", "lever", "ashby", "smartrecruiters") else site.rlike(pattern)
+            if provider in _HOSTED_ALSO:
+                test &= (u["path"] if provider == "bamboohr" else whole).rlike(f"(?i){_HOSTED_ALSO[provider]}")
+            tests.append((k, _signed(u["signs"], _BOARD_SIGNS[provider]) & test))
+            idents.append((k, at, ident))
+        said = lambda column: F.array(*(F.lit(row[column]) for row in HOSTED_BOARDS))
+
+        def chosen(k: Column) -> Column:
+            ident = F.lit(None).cast("string")
+            for at in where:
+                ident = F.when(k.isin([i for i, own, _ in idents if own == at]), where[at]).otherwise(ident)
+            for i, at, own in idents:
+                if at not in where:
+                    ident = F.when(k == i, own).otherwise(ident)
+            ident = F.trim(F.regexp_replace(F.regexp_replace(ident, r"(?i)^www\.", ""), "/$", ""))
+            return F.when(k.isNotNull(), F.struct(F.get(said(0), k).alias("provider"), ident.alias("board"), F.get(said(3), k).alias("confidence")))
+
+        return _once(_first_of(tests), chosen)
+
+    decoded = F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)
+    return _once(_once(decoded, parts), lambda u: F.when(u.isNotNull(), board(u)))
+
+
+def company_slug(name: Column) -> Column:
+    """A company's name run together, without legal forms; null if nothing is left."""
+    bare = F.regexp_replace(F.replace(F.lower(name), F.lit("&"), F.lit("and")), r"(?<![a-z0-9_])(?:inc\.?|llc|ltd\.?|corp\.?|corporation|company|co\.?|plc|holdings?|group|the)(?![a-z0-9_])", "")
+    return F.nullif(F.regexp_replace(bare, "[^a-z0-9]", ""), F.lit(""))
+
+
+#: Providers whose board is guessed from the company's name where only the markup tells of them.
+_GUESSED = ("greenhouse", "lever", "smartrecruiters", "ashby", "recruitee")
+
+
+def detect_ats(page_url: Column, links: Column | None = None, html: Column | None = None, company: Column | None = None) -> Column:
+    """The provider of a career page: by its URL, else by the first of its links (array) that leads to a hosted board, else by signals in its markup.
+
+    One pass over the markup finds all signals; of those found the first in order holds. Its board is the company's slug for providers of
+    which boards are named so, and the page's own first path for Workday.
+    """
     found = hosted_board(page_url)
     if links is not None:
         found = F.coalesce(found, F.get(F.filter(F.transform(links, hosted_board), lambda x: x.isNotNull()), F.lit(0)))
     if html is not None:
-        low, named = F.lower(html), F.lit(None).cast("string")
-        for provider, pattern in reversed(MARKUP_SIGNALS):
-            named = F.when(low.rlike(pattern), provider).otherwise(named)
-        found = F.coalesce(found, F.when(named.isNotNull(), F.struct(named.alias("provider"), F.lit(None).cast("string").alias("board"), F.lit("medium").alias("confidence"))))
+
+        def by_markup(low: Column) -> Column:
+            def chosen(signs: Column) -> Column:
+                tests = [(k, _signed(signs, _MARKUP_SIGNS[p]) & (low.rlike(pattern) if ".*" in pattern else F.lit(True))) for k, (p, pattern) in enumerate(MARKUP_SIGNALS)]
+                return _once(_first_of(tests), lambda k: F.get(F.array(*(F.lit(p) for p, _ in MARKUP_SIGNALS)), k))
+
+            return _once(F.array_distinct(F.regexp_extract_all(low, F.lit(f"({_any_of(_MARKUP_SIGNS)})"), F.lit(1))), chosen)
+
+        tokens = F.filter(F.split(F.regexp_extract(page_url, r"^(?i)https?://[^/?#]+([^?#]*)", 1), "/"), lambda x: x != "")
+        own = F.concat_ws("/", F.regexp_extract(page_url, r"^(?i)(https?://[^/?#]+)", 1), F.when(F.get(tokens, F.lit(0)).rlike("^[a-z]{2}-[A-Z]{2}$"), F.get(tokens, F.lit(1))).otherwise(F.get(tokens, F.lit(0))))
+        slug = F.lit(None).cast("string") if company is None else company_slug(company)
+        guess = lambda p: F.when(p == "workday", own).when(p.isin(*_GUESSED), slug)
+        found = F.coalesce(found, _once(_once(F.lower(html), by_markup), lambda p: F.when(p.isNotNull(), F.struct(p.alias("provider"), guess(p).alias("board"), F.lit("medium").alias("confidence")))))
     return found
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import non_negative, round_half_up
 from .dedupe import collapse_lineages, lineage_baseline, lineage_reliability
 from .frames import column_or_null, first_rows
+from .selection import exact_percentiles
 
 
 def _prefixed(source: Column, *prefixes: str) -> Column:
@@ -144,15 +145,12 @@ def pair_baselines(history: DataFrame, as_of: datetime, window_days: int = 30, m
     pairs = independent_pairs(daily, ["entity_id", "day"], lineage_baseline(column_or_null(daily, "lineage_root"), daily["source"]))
     a, b = F.col("jobs_a"), F.col("jobs_b")
     rows = pairs.select("source_a", "source_b", F.when(b > 0, a / b).alias("ratio"), (F.least(a, b) / F.greatest(a, b)).alias("symmetric"), F.abs(a - b).alias("delta"))
-    at = lambda c, p, name: round_half_up(F.percentile(F.col(c), F.lit(p)), 6).alias(name)
-    return (
-        rows.groupBy("source_a", "source_b")
-        .agg(
-            F.count(F.lit(1)).alias("sample_count"), at("ratio", 0.5, "median_ratio"), at("ratio", 0.1, "p10_ratio"), at("ratio", 0.9, "p90_ratio"), at("delta", 0.5, "median_abs_delta"),
-            at("symmetric", 0.5, "symmetric_median"), at("symmetric", 0.1, "symmetric_p10"), at("symmetric", 0.9, "symmetric_p90"),
-        )
-        .where(F.col("sample_count") >= min_samples)
-    )
+    wanted = {
+        "median_ratio": ("ratio", 0.5), "p10_ratio": ("ratio", 0.1), "p90_ratio": ("ratio", 0.9), "median_abs_delta": ("delta", 0.5), "symmetric_median": ("symmetric", 0.5),
+        "symmetric_p10": ("symmetric", 0.1), "symmetric_p90": ("symmetric", 0.9),
+    }
+    found = exact_percentiles(rows, ["source_a", "source_b"], wanted, count="sample_count").where(F.col("sample_count") >= min_samples)
+    return found.select("source_a", "source_b", "sample_count", *(round_half_up(F.col(name), 6).alias(name) for name in wanted))
 
 
 def source_fleet(latest: DataFrame) -> DataFrame:

@@ -167,15 +167,17 @@ _quoted = lambda x: "NULL" if x is None else f"'{x}'"
 
 
 @query(f"""WITH b(k, provider, board, confidence) AS (VALUES {", ".join(f"({k}, {_quoted(p)}, {_quoted(b)}, {_quoted(c)})" for k, (_, p, b, c) in enumerate(_BOARDS))})
-SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN 'bamboohr' ELSE provider END AS provider, CASE WHEN p_size % 3 = 2 THEN NULL ELSE board END AS board, CASE WHEN p_size % 3 = 2 THEN 'medium' ELSE confidence END AS confidence FROM part JOIN b ON k = p_partkey % {len(_BOARDS)}""")
+SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN CASE WHEN p_partkey % 2 = 0 THEN 'bamboohr' ELSE 'greenhouse' END WHEN p_size % 3 = 1 THEN COALESCE(provider, 'silkroad') ELSE provider END AS provider,
+CASE WHEN p_size % 3 < 2 THEN board WHEN p_partkey % 2 = 1 THEN replace(p_name, ' ', '') END AS board, CASE WHEN p_size % 3 = 2 OR (p_size % 3 = 1 AND provider IS NULL) THEN 'medium' ELSE confidence END AS confidence FROM part JOIN b ON k = p_partkey % {len(_BOARDS)}""")
 def ats_detection(spark: SparkSession, d: str) -> DataFrame:
-    """A third of the pages stand on the board's URL, a third link to it, a third only speak of a provider."""
+    """A third of the pages stand on the board's URL, a third link to it and then to another, a third only speak of a provider."""
     url = F.get(F.array(*(F.lit(u) for u, *_ in _BOARDS)), F.col("p_partkey") % len(_BOARDS))
     k, own = F.col("p_size") % 3, F.lit("https://www.example.org/jobs")
-    rows = L.table(spark, d, "part").select("p_partkey", F.when(k == 0, url).otherwise(own).alias("page"), F.when(k == 1, F.array(own, url, F.lit("https://acme.silkroad.com/"))).otherwise(F.array(own)).alias("links"), F.when(k == 2, "<script src='x.BambooHR.js'>").otherwise("").alias("html"), (k == 1).alias("linked"), url.alias("u"))
-    # A link that leads nowhere leaves the decision to the next; the twin lists what the first one gives.
-    found = U.detect_ats(F.col("page"), F.when(U.hosted_board(F.col("u")).isNotNull() | ~F.col("linked"), F.col("links")).otherwise(F.array(own)), F.col("html"))
-    return rows.select("p_partkey", found["provider"].alias("provider"), found["board"].alias("board"), found["confidence"].alias("confidence"))
+    markup = F.when(F.col("p_partkey") % 2 == 0, "<script src='x.BambooHR.js'>").otherwise("<div id='Greenhouse-app'> silkroad")
+    page, links = F.when(k == 0, url).otherwise(own), F.when(k == 1, F.array(own, url, F.lit("https://acme.silkroad.com/"))).otherwise(F.array(own))
+    found = U.detect_ats(page, links, F.when(k == 2, markup).otherwise(""), F.concat("p_name", F.lit(" Holdings, Inc.")))
+    rows = L.table(spark, d, "part").select("p_partkey", found.alias("found"))
+    return rows.select("p_partkey", F.col("found.provider").alias("provider"), F.col("found.board").alias("board"), F.col("found.confidence").alias("confidence"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN NULL ELSE 't' || p_partkey END AS tenant, CASE WHEN p_size % 3 = 2 THEN NULL ELSE 'Ext' || p_size END AS site, CASE p_size % 3 WHEN 0 THEN '/en-US' WHEN 1 THEN '' END AS language,

@@ -101,3 +101,28 @@ def test_fold_over_many_small_batches(spark):
         assert dedupe.fold_checks(df.limit(0)).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("https://boards.greenhouse.io/acme%2Fjobs", ("greenhouse", "acme", "high")), ("https://x.org/jobs?for=acme&via=greenhouse", ("greenhouse", "acme", "high")), ("https://jobs.lever.co/a%20b+c/1", ("lever", "a b+c", "high")),
+        ("https://x.icims.com/?ref=https://jobs.lever.co/acme", ("lever", "acme", "high")), ("https://x.org/%zz/icims.com", None), ("https://x.org/?u=acme.icims.com", None), ("https://www.example.org", None), (None, None), ("", None),
+    ],
+)
+def test_boards_behind_escapes_and_parameters(spark, url, want):
+    got = spark.createDataFrame([(url,)], "u string").select(U.hosted_board(F.col("u")).alias("b")).first().b
+    assert (tuple(got) if got else None) == want
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<a class=Greenhouse>", ("greenhouse", "acmeandsons")), ("icims and lever-jobs", ("lever", "acmeandsons")), ("x icims", ("icims", None)), ("oraclecloud then hcm", ("oracle", None)), ("oraclecloud alone, phenom", ("phenom", None)),
+        ("a workday page", ("workday", "https://x.org/Careers")), ("nothing", None), (None, None),
+    ],
+)
+def test_markup_gives_the_first_provider_and_its_board(spark, html, want):
+    df = spark.createDataFrame([("https://x.org/en-US/Careers/1", html, "The Acme & Sons Holdings, Inc.")], "u string, h string, c string")
+    got = df.select(U.detect_ats(F.col("u"), None, F.col("h"), F.col("c")).alias("b")).first().b
+    assert (tuple(got)[:2] if got else None) == want
