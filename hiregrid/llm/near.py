@@ -41,6 +41,8 @@ HELD_MOST = 1 << 16
 DENSE, DENSE_ITEMS = 16, 1 << 20
 #: Cost of a probe, a row that is shuffled and sorted, in comparisons of two fingerprints in numpy.
 PROBE_COST = 1500
+#: Costs that count as equal: so much of the least.
+NEARLY = 1.15
 PAIR, MANY, CLUSTER, HOT = range(4)
 
 
@@ -300,7 +302,9 @@ def near_index(nodes: DataFrame, n: int, radius: int) -> Pigeonhole:
     sample = np.sort(np.array([r["fp"] for r in nodes.where(F.pmod(F.xxhash64("id"), F.lit(deal)) == 0).select("fp").collect()], np.int64).view(np.uint64))
     # A probe is a row that is shuffled and sorted, a candidate a comparison in numpy.
     tried = [Pigeonhole(sample, n, radius, m, probe_cost=PROBE_COST) for m in range(4, radius + 2)]
-    return min(tried, key=lambda index: index.cost(sample[:: max(1, len(sample) // 512)]))
+    cost = [index.cost(sample[:: max(1, len(sample) // 512)]) for index in tried]
+    # Of nearly equal costs the one with most partitions, for its probes, which are rows on disk and in the network, are fewest.
+    return next(index for index, c in reversed(list(zip(tried, cost, strict=True))) if c <= NEARLY * min(cost))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", held_most: int = HELD_MOST, dense: int = DENSE) -> DataFrame:
