@@ -1,21 +1,23 @@
 """Line dedup with a log-template tree, in DataFrame operations alone.
 
-A line's path in the tree has a fixed depth: its number of tokens, its leading tokens, then STRETCHES stretches of the rest (single tokens
-in short lines). In a leaf, a stretch that stands in few lines is a variable field, any number of them in a line, and tokens with
-digits are variable everywhere (`<*>`). A line whose tokens are mostly constant has so one generalised template; besides, every line of
-any length is its own exact template. A template that recurs in at least `min_docs` different host documents is boilerplate, and lines
-under it are dropped from all documents. Generalised ones of
-few tokens need more hosts, for they also recur by chance.
+A line's path in the tree has a fixed depth: its number of tokens, then its leading tokens. The rest is cut into STRETCHES stretches
+(single tokens in short lines), and a line that shares none of them with other lines of its leaf has no template of its own kind: with
+fewer variable tokens than stretches, one of them is always constant. In the others every token is counted by its place. The line's
+support is the count that its required share of constant tokens reaches; tokens counted at least half as often are constant, all
+others variable fields, any number of them anywhere in a line, and tokens with digits are variable everywhere (`<*>`). A line whose
+tokens are mostly constant has so one generalised template; besides, every line of any length is its own exact template. A template
+that recurs in at least `min_docs` different host documents is boilerplate, and lines under it are dropped from all documents.
+Generalised ones of few tokens need more hosts, for they also recur by chance.
 
 Votes are counted by distinct texts, so copies of a text count once and a document's own repeats don't count. A text of which little is
 left without what it shares with others, by exact or generalised templates, is an edited copy, not a host: it doesn't vote. So groups of copied
 documents keep their text, and lose only what documents of other content have in common.
 
-Only keys are shuffled until the last join, which brings each text the keys of its lines that go; keys that occur once are left out
-before their shuffle by a filter of fixed size. Counts are combined before their shuffle, so a line in a third of all documents is a
+Only keys are shuffled until the last join, which brings each text the keys of its lines that go, and once each different long line that
+shares a stretch; keys that occur once are left out before their shuffle by a filter of fixed size. Counts are combined before their shuffle, so a line in a third of all documents is a
 counter, not a group.
 
-Defined cases: a null or empty text is returned as it is, as are lines of nothing but white space or variable fields; a document that
+Defined cases: very long texts and lines are taken whole, their tokens as rows of their own; a null or empty text is returned as it is, as are lines of nothing but white space or variable fields; a document that
 loses all lines keeps an empty text; repeated rows and ids are treated alike and all returned; an empty table gives an empty table;
 other columns are returned untouched, whatever their names.
 """
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import among, checkpointed, masks
 
 #: Stretches of a line behind its leading tokens.
-STRETCHES = 8
+STRETCHES = 12
 
 
 @dataclass(frozen=True)
@@ -86,14 +88,23 @@ def _before(line: Column, n: Column) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), n)
 
 
-def line_keys(docs: DataFrame, rules: LineRules) -> DataFrame:
-    """Per text and distinct normal line: _doc, total (words of the text), n (tokens), masked, line (its key), stretches (keys; null for an empty one)."""
+def _normal_lines(docs: DataFrame) -> DataFrame:
+    """_doc, total (words of the text) and l, per text and distinct normal line."""
     lines = docs.select("_doc", F.filter(F.array_distinct(_normal(F.split("_text", "\n"))), lambda x: F.trim(F.replace(x, F.lit("<*>"), F.lit(""))) != "").alias("ls"))
     total = F.aggregate("ls", F.lit(0), lambda acc, x: acc + _tokens(x))
     # Not `explode`, before which Spark would compute the array again to leave out empty ones.
-    lines = lines.withColumn("total", total).select("_doc", "total", F.explode_outer("ls").alias("l")).where("l IS NOT NULL").withColumn("n", _tokens(F.col("l")))
+    return lines.withColumn("total", total).select("_doc", "total", F.explode_outer("ls").alias("l")).where("l IS NOT NULL")
+
+
+def _leaf(rules: LineRules) -> Column:
+    return F.xxhash64("n", F.expr(f"substring_index(l, ' ', {rules.leading})"))
+
+
+def line_keys(docs: DataFrame, rules: LineRules) -> DataFrame:
+    """Per text and distinct normal line: _doc, total (words of the text), n (tokens), masked, line (its key), stretches (keys; null for an empty one)."""
+    lines = _normal_lines(docs).withColumn("n", _tokens(F.col("l")))
     masked = (F.octet_length("l") - F.octet_length(F.replace(F.col("l"), F.lit("<*>"), F.lit("")))) / 3
-    lines = lines.withColumns({"leaf": F.xxhash64("n", F.expr(f"substring_index(l, ' ', {rules.leading})")), "masked": masked.cast("int")})
+    lines = lines.withColumns({"leaf": _leaf(rules), "masked": masked.cast("int")})
 
     def stretch(j: Column) -> Column:
         end, size = _cut(rules, j + 1), _cut(rules, j + 1) - _cut(rules, j)
@@ -109,17 +120,46 @@ def _only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return among(rows, masks(ids, on), on).where("_among").drop("_among").join(ids, on, "left_semi")
 
 
-def templates(lines: DataFrame, rules: LineRules) -> DataFrame:
+def _often(keys: DataFrame, weight: Column, rules: LineRules) -> DataFrame:
+    """key and times of those that enough lines have."""
+    return checkpointed(keys.groupBy("key").agg(F.sum(weight).alias("times")).where(F.col("times") >= rules.min_docs))
+
+
+def _template(found: DataFrame, rules: LineRules) -> DataFrame:
+    """Of lines with n, masked and `found` (place, key and times of tokens that recur): template of those that are mostly constant."""
+    least = F.when(F.col("n") < rules.short, rules.min_constant_short).otherwise(rules.min_constant)
+    needed = F.greatest(F.ceil(least * F.col("n")) - rules.leading + F.col("masked"), F.lit(1)).cast("int")
+    found = found.withColumn("needed", needed).where(F.size("found") >= F.col("needed"))
+    found = found.withColumn("support", F.sort_array("found.times", asc=False)[F.col("needed") - 1])
+    constant = F.filter("found", lambda x: 2 * x["times"] >= F.col("support"))
+    return found.withColumn("template", F.xxhash64(F.transform(constant, lambda x: x["key"]))).drop("found", "needed", "support")
+
+
+def templates(lines: DataFrame, docs: DataFrame, rules: LineRules) -> DataFrame:
     """_doc, line, n, total and template of every line that has a generalised one."""
     keys = lines.where("stretches IS NOT NULL")
-    often = checkpointed(keys.select(F.explode("stretches").alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= rules.min_docs).select("key"))
-    size = _cut(rules, F.col("j") + 1) - _cut(rules, F.col("j"))
-    each = _only(keys.select("_doc", "line", "n", "total", "masked", F.posexplode("stretches").alias("j", "key")).where("key IS NOT NULL"), often, "key")
+    stretches = keys.select("_doc", "line", "n", "total", "masked", F.posexplode("stretches").alias("j", "key")).where("key IS NOT NULL")
+    often = _often(stretches, F.lit(1), rules)
+    single = F.col("n") <= rules.leading + STRETCHES
     # As a set, for copies of a text have the same lines.
-    found = each.groupBy("_doc", "line", "n", "total", "masked").agg(F.array_sort(F.collect_set(F.struct("j", "key", size.alias("size")))).alias("found"))
-    constant = F.aggregate("found.size", F.lit(0), lambda acc, x: acc + x)
-    least = F.when(F.col("n") < rules.short, rules.min_constant_short).otherwise(rules.min_constant)
-    return found.where(constant + rules.leading - F.col("masked") >= least * F.col("n")).select("_doc", "line", "n", "total", F.xxhash64("found.key").alias("template"))
+    tokens = lambda rows, *by: rows.groupBy(*by, "n", "masked").agg(F.array_sort(F.collect_set(F.struct("j", "key", "times"))).alias("found"))
+    counted = among(stretches.where(single), masks(often, "key"), "key").where("_among").drop("_among").join(often, "key")
+    short = _template(tokens(counted, "_doc", "line", "total"), rules).select("_doc", "line", "n", "total", "template")
+
+    # Different long lines that share a stretch, with the number of texts that have them and their own text.
+    shares = _only(stretches.where(~single), often, "key").select("_doc", "line").distinct()
+    shares = checkpointed(shares.groupBy("line").agg(F.count(F.lit(1)).alias("weight")))
+    again = _normal_lines(docs).withColumns({"n": _tokens(F.col("l")), "line": _exact(F.col("l"))}).where(~single).select("line", "n", "l")
+    again = among(again, masks(shares, "line"), "line").where("_among").select("line", "n", "l").dropDuplicates(["line"]).join(shares, "line")
+    split = F.posexplode(F.split("l", " ")).alias("j", "token")
+    again = again.withColumns({"leaf": _leaf(rules), "masked": ((F.octet_length("l") - F.octet_length(F.replace(F.col("l"), F.lit("<*>"), F.lit("")))) / 3).cast("int")})
+    again = again.select("line", "n", "masked", "weight", "leaf", split).where(F.col("j") >= rules.leading)
+    again = checkpointed(again.select("line", "n", "masked", "weight", "j", F.xxhash64("leaf", "j", "token").alias("key")))
+    constant = _often(again, F.col("weight"), rules)
+    counted = among(again, masks(constant, "key"), "key").where("_among").drop("_among").join(constant, "key")
+    long = checkpointed(_template(tokens(counted, "line"), rules).select("line", "template"))
+    own = among(lines.where(~single).select("_doc", "line", "n", "total"), masks(long, "line"), "line").where("_among").drop("_among")
+    return short.unionByName(own.join(long, "line"))
 
 
 def recurring_lines(docs: DataFrame, rules: LineRules) -> DataFrame:
@@ -129,7 +169,7 @@ def recurring_lines(docs: DataFrame, rules: LineRules) -> DataFrame:
     own = lines.select("_doc", "line", "n", "total")
     # Written first, so that each join's exchanges are its own and Spark can split the partition of a very common line.
     again = checkpointed(texts(own, "line").where("texts > 1").select("line"))
-    general = checkpointed(templates(lines, rules))
+    general = checkpointed(templates(lines, docs, rules))
     alike = checkpointed(texts(general, "template").where("texts > 1").select("template"))
     shared = [_only(own, again, "line").select("_doc", "line", "n", "total", F.col("line").alias("key"), F.lit(False).alias("general")), _only(general, alike, "template").select("_doc", "line", "n", "total", F.col("template").alias("key"), F.lit(True).alias("general"))]
     shared = checkpointed(reduce(DataFrame.unionByName, shared).distinct())

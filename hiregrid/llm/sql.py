@@ -53,11 +53,16 @@ copies AS (SELECT text, row_number() OVER () AS tid, COUNT(*) AS copies FROM doc
 raw AS (SELECT tid, copies, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM (SELECT tid, copies, string_split(text, chr(10)) AS ls FROM copies)),
 norm AS (SELECT tid, copies, raw, pos, regexp_replace(trim(regexp_replace(raw, '[ \t\r\x0B\f]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS l FROM raw),
 own AS (SELECT DISTINCT tid, copies, l, string_split(l, ' ') AS toks, len(string_split(l, ' ')) AS n FROM norm WHERE trim(replace(l, '<*>', '')) <> ''),
-parts AS (SELECT tid, copies, l, n, j, e - b AS size, list_filter(toks, lambda t: contains(t, '<*>')).len() AS masked, n || '|' || array_to_string(toks[1:{_LINES.leading}], ' ') || '|' || j || '|' || array_to_string(toks[b + 1:e], ' ') AS part
+parts AS (SELECT tid, copies, l, n || '|' || array_to_string(toks[1:{_LINES.leading}], ' ') || '|' || j || '|' || array_to_string(toks[b + 1:e], ' ') AS part
  FROM (SELECT *, {_CUT.format("j")} AS b, {_CUT.format("(j + 1)")} AS e FROM own, range({STRETCHES}) AS r(j) WHERE n > {_LINES.leading + 1}) WHERE e > b),
 often AS (SELECT part FROM parts GROUP BY part HAVING SUM(copies) >= {_LINES.min_docs}),
-general AS (SELECT tid, l, n, string_agg(part, chr(10) ORDER BY j) AS template FROM parts JOIN often USING (part) GROUP BY tid, l, n
- HAVING SUM(size) + {_LINES.leading} - MIN(masked) >= CASE WHEN n < {_LINES.short} THEN {_LINES.min_constant_short} ELSE {_LINES.min_constant} END * n),
+tokens AS (SELECT tid, copies, l, n, masked, j, n || '|' || lead || '|' || j || '|' || token AS token FROM (SELECT tid, copies, l, n, len(list_filter(toks, lambda t: contains(t, '<*>'))) AS masked, array_to_string(toks[1:{_LINES.leading}], ' ') AS lead,
+ unnest(toks) AS token, generate_subscripts(toks, 1) AS j FROM own SEMI JOIN (SELECT tid, l FROM parts SEMI JOIN often USING (part)) USING (tid, l)) WHERE j > {_LINES.leading}),
+times AS (SELECT token, SUM(copies) AS times FROM tokens GROUP BY 1 HAVING SUM(copies) >= {_LINES.min_docs}),
+counts AS (SELECT *, row_number() OVER (PARTITION BY tid, l ORDER BY times DESC) AS place,
+ greatest(CAST(ceil(CAST(CASE WHEN n < {_LINES.short} THEN {_LINES.min_constant_short} ELSE {_LINES.min_constant} END AS DOUBLE) * n) AS BIGINT) - {_LINES.leading} + masked, 1) AS needed FROM tokens JOIN times USING (token)),
+support AS (SELECT tid, l, times AS support FROM counts WHERE place = needed),
+general AS (SELECT tid, l, any_value(n) AS n, string_agg(token, chr(10) ORDER BY j) AS template FROM counts JOIN support USING (tid, l) WHERE 2 * times >= support GROUP BY 1, 2),
 keys AS (SELECT tid, l, n, '=' || l AS key, FALSE AS general FROM own UNION ALL SELECT tid, l, n, '*' || template, TRUE FROM general),
 alike AS (SELECT key FROM keys GROUP BY key HAVING COUNT(DISTINCT tid) > 1),
 shared AS (SELECT * FROM keys JOIN alike USING (key)),

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -33,12 +34,18 @@ def brute(rows):
     for _, t, *_ in rows:
         for x in lines.get(t, ()):
             often.update(p for p in parts(x) if len(x) > RULES.leading + 1)
+    shares = lambda x: any(often[p] >= RULES.min_docs for p in parts(x))
+    tokens = lambda x: [(len(x), x[:2], j, t) for j, t in enumerate(x)][RULES.leading :]
+    times = Counter()
+    for _, t, *_ in rows:
+        times.update(k for x in lines.get(t, ()) if shares(x) for k in tokens(x))
     general = {}
-    for x in set().union(*lines.values()) if lines else ():
-        kept = tuple(p for p in parts(x) if often[p] >= RULES.min_docs)
-        constant = sum(len(p[3]) for p in kept) + RULES.leading - sum("<*>" in t for t in x)
-        if kept and constant >= (RULES.min_constant_short if len(x) < RULES.short else RULES.min_constant) * len(x):
-            general[x] = ("general", kept)
+    for x in filter(shares, set().union(*lines.values()) if lines else ()):
+        needed = max(math.ceil((RULES.min_constant_short if len(x) < RULES.short else RULES.min_constant) * len(x)) - RULES.leading + sum("<*>" in t for t in x), 1)
+        found = [k for k in tokens(x) if times[k] >= RULES.min_docs]
+        if len(found) >= needed:
+            support = sorted((times[k] for k in found), reverse=True)[needed - 1]
+            general[x] = ("general", tuple(k for k in found if 2 * times[k] >= support))
     seen = Counter(k for own in lines.values() for k in {*own, *(general[x] for x in own if x in general)})
     keys = lambda x: {k for k in (x, general.get(x)) if k and seen[k] > 1}
     votes, size = Counter(), {}
@@ -116,3 +123,28 @@ def test_awkward_rows_and_columns(docs, clashing, empty, rows):
 def test_main_path_has_no_python(docs):
     plan = drop_recurring_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_variable_tokens_anywhere(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows, made = [], []
+    for size in (20, 32, 64, 120, 200):
+        for variable in range(1, 11):
+            if variable > 0.4 * size:
+                continue
+            line = [word() for _ in range(size)]
+            places = [2 + (size - 2) * (k + 1) // (variable + 1) - 1 for k in range(variable)]
+            names = [word() for _ in range(8)]
+            for i in range(40):
+                for k in places:
+                    # A few names in one field: each recurs, and yet is variable.
+                    line[k] = rng.choice(names) if k == places[0] else word()
+                made.append(" ".join(line))
+                own = "\n".join(" ".join(word() for _ in range(30)) for _ in range(3))
+                rows.append((len(rows), f"{own}\n{made[-1]}", 0))
+    got = drop_recurring_lines(spark.createDataFrame(rows, DOCS).repartition(4), count_col="n_dropped").collect()
+    assert len(got) == len(rows)
+    missed = [r.doc_id // 40 for r in got if made[r.doc_id] in r.text]
+    assert not missed
+    assert all(len(r.text.split("\n")) == 3 for r in got)
