@@ -13,8 +13,8 @@ Votes are counted by distinct texts, so copies of a text count once and a docume
 left without what it shares with others, by exact or generalised templates, is an edited copy, not a host: it doesn't vote. So groups of copied
 documents keep their text, and lose only what documents of other content have in common.
 
-Only keys are shuffled until the last join, which brings each text the keys of its lines that go, and once each different long line that
-shares a stretch; keys that occur once are left out before their shuffle by a filter of fixed size. Counts are combined before their shuffle, so a line in a third of all documents is a
+Only keys are shuffled until the last join, which brings each text the keys of its lines that go, and once each different line whose
+leaf enough lines have; keys that occur once are left out before their shuffle by a filter of fixed size. Counts are combined before their shuffle, so a line in a third of all documents is a
 counter, not a group.
 
 Defined cases: very long texts and lines are taken whole, their tokens as rows of their own; a null or empty text is returned as it is, as are lines of nothing but white space or variable fields; a document that
@@ -78,16 +78,6 @@ def _tokens(line: Column) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _cut(rules: LineRules, j: int | Column) -> Column:
-    """Tokens before the j-th stretch."""
-    return (F.lit(rules.leading) + F.floor((F.col("n") - rules.leading) * j / STRETCHES)).cast("int")
-
-
-def _before(line: Column, n: Column) -> Column:
-    """The first n tokens; with a negative number the last ones."""
-    return F.call_function("substring_index", line, F.lit(" "), n)
-
-
 def _normal_lines(docs: DataFrame) -> DataFrame:
     """_doc, total (words of the text) and l, per text and distinct normal line."""
     lines = docs.select("_doc", F.filter(F.array_distinct(_normal(F.split("_text", "\n"))), lambda x: F.trim(F.replace(x, F.lit("<*>"), F.lit(""))) != "").alias("ls"))
@@ -101,18 +91,16 @@ def _leaf(rules: LineRules) -> Column:
 
 
 def line_keys(docs: DataFrame, rules: LineRules) -> DataFrame:
-    """Per text and distinct normal line: _doc, total (words of the text), n (tokens), masked, line (its key), stretches (keys; null for an empty one)."""
+    """Per text and distinct normal line: _doc, total (words of the text), n (tokens), line (its key), leaf (null for a line that is all leading tokens)."""
     lines = _normal_lines(docs).withColumn("n", _tokens(F.col("l")))
-    masked = (F.octet_length("l") - F.octet_length(F.replace(F.col("l"), F.lit("<*>"), F.lit("")))) / 3
-    lines = lines.withColumns({"leaf": _leaf(rules), "masked": masked.cast("int")})
+    return lines.select("_doc", "total", "n", _exact(F.col("l")).alias("line"), F.when(F.col("n") > rules.leading + 1, _leaf(rules)).alias("leaf"))
 
-    def stretch(j: Column) -> Column:
-        end, size = _cut(rules, j + 1), _cut(rules, j + 1) - _cut(rules, j)
-        return F.when(size > 0, F.xxhash64("leaf", j, _before(_before(F.col("l"), end), -size)))
 
-    # One expression for all stretches: written out they make a method too long to be compiled.
-    keys = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), stretch)
-    return lines.select("_doc", "total", "n", "masked", _exact(F.col("l")).alias("line"), F.when(F.col("n") > rules.leading + 1, keys).alias("stretches"))
+def _stretches(rules: LineRules) -> Column:
+    """Keys of a line's stretches (of tokens, n and leaf); null for an empty one."""
+    starts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES)), lambda j: (F.lit(rules.leading + 1) + F.floor((F.col("n") - rules.leading) * j / STRETCHES)).cast("int"))
+    # As an array's only element, so that the places are computed once.
+    return F.flatten(F.transform(F.array(starts), lambda at: F.transform(F.slice(at, 1, STRETCHES), lambda start, j: F.when(F.get(at, j + 1) > start, F.xxhash64("leaf", j, F.slice("tokens", start, F.get(at, j + 1) - start))))))
 
 
 def _only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
@@ -137,29 +125,25 @@ def _template(found: DataFrame, rules: LineRules) -> DataFrame:
 
 def templates(lines: DataFrame, docs: DataFrame, rules: LineRules) -> DataFrame:
     """_doc, line, n, total and template of every line that has a generalised one."""
-    keys = lines.where("stretches IS NOT NULL")
-    stretches = keys.select("_doc", "line", "n", "total", "masked", F.posexplode("stretches").alias("j", "key")).where("key IS NOT NULL")
-    often = _often(stretches, F.lit(1), rules)
-    single = F.col("n") <= rules.leading + STRETCHES
-    # As a set, for copies of a text have the same lines.
-    tokens = lambda rows, *by: rows.groupBy(*by, "n", "masked").agg(F.array_sort(F.collect_set(F.struct("j", "key", "times"))).alias("found"))
-    counted = among(stretches.where(single), masks(often, "key"), "key").where("_among").drop("_among").join(often, "key")
-    short = _template(tokens(counted, "_doc", "line", "total"), rules).select("_doc", "line", "n", "total", "template")
-
-    # Different long lines that share a stretch, with the number of texts that have them and their own text.
-    shares = _only(stretches.where(~single), often, "key").select("_doc", "line").distinct()
-    shares = checkpointed(shares.groupBy("line").agg(F.count(F.lit(1)).alias("weight")))
-    again = _normal_lines(docs).withColumns({"n": _tokens(F.col("l")), "line": _exact(F.col("l"))}).where(~single).select("line", "n", "l")
-    again = among(again, masks(shares, "line"), "line").where("_among").select("line", "n", "l").dropDuplicates(["line"]).join(shares, "line")
-    split = F.posexplode(F.split("l", " ")).alias("j", "token")
-    again = again.withColumns({"leaf": _leaf(rules), "masked": ((F.octet_length("l") - F.octet_length(F.replace(F.col("l"), F.lit("<*>"), F.lit("")))) / 3).cast("int")})
-    again = again.select("line", "n", "masked", "weight", "leaf", split).where(F.col("j") >= rules.leading)
-    again = checkpointed(again.select("line", "n", "masked", "weight", "j", F.xxhash64("leaf", "j", "token").alias("key")))
-    constant = _often(again, F.col("weight"), rules)
-    counted = among(again, masks(constant, "key"), "key").where("_among").drop("_among").join(constant, "key")
-    long = checkpointed(_template(tokens(counted, "line"), rules).select("line", "template"))
-    own = among(lines.where(~single).select("_doc", "line", "n", "total"), masks(long, "line"), "line").where("_among").drop("_among")
-    return short.unionByName(own.join(long, "line"))
+    leaves = _often(lines.where("leaf IS NOT NULL").select(F.col("leaf").alias("key")), F.lit(1), rules)
+    # The different lines of leaves that enough lines have, with their own text and the number of texts that have them.
+    again = _normal_lines(docs).withColumn("n", _tokens(F.col("l"))).where(F.col("n") > rules.leading + 1).withColumn("leaf", _leaf(rules))
+    again = among(again, masks(leaves, "key"), "leaf").where("_among").withColumn("line", _exact(F.col("l")))
+    again = again.groupBy("line", "n", "leaf").agg(F.max("l").alias("l"), F.count(F.lit(1)).alias("weight"))
+    masked = (F.octet_length("l") - F.octet_length(F.replace(F.col("l"), F.lit("<*>"), F.lit("")))) / 3
+    again = checkpointed(again.select("line", "n", "leaf", "weight", masked.cast("int").alias("masked"), "l"))
+    split = again.withColumn("tokens", F.split("l", " "))
+
+    stretches = split.select("line", "weight", F.explode(_stretches(rules)).alias("key")).where("key IS NOT NULL")
+    shares = checkpointed(_only(stretches, _often(stretches, F.col("weight"), rules), "key").select("line").distinct())
+    tokens = _only(split, shares, "line").select("line", "n", "masked", "weight", "leaf", F.posexplode("tokens").alias("j", "token")).where(F.col("j") >= rules.leading)
+    tokens = checkpointed(tokens.select("line", "n", "masked", "weight", "j", F.xxhash64("leaf", "j", "token").alias("key")))
+    constant = _often(tokens, F.col("weight"), rules)
+    counted = among(tokens, masks(constant, "key"), "key").where("_among").drop("_among").join(constant, "key")
+    found = counted.groupBy("line", "n", "masked").agg(F.array_sort(F.collect_list(F.struct("j", "key", "times"))).alias("found"))
+    told = checkpointed(_template(found, rules).select("line", "template"))
+    own = among(lines.where("leaf IS NOT NULL").select("_doc", "line", "n", "total"), masks(told, "line"), "line").where("_among").drop("_among")
+    return own.join(told, "line")
 
 
 def recurring_lines(docs: DataFrame, rules: LineRules) -> DataFrame:
