@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import payloads, web
+from ..sources import adapters, payloads, web
 from . import lens as L
 from .queries import query
 
@@ -154,6 +154,19 @@ def feed_payload(spark: SparkSession, d: str) -> DataFrame:
     return _shown(payloads.feed(_captured(spark, d, body), "jobapi:parts"), *_COMMON_COLUMNS, "source", "country")
 
 
+@query(f"SELECT p_partkey, {_COMMON}, 'jobapi:a' || (p_partkey % 20) AS source, p_brand AS department, {_CITY} || ', ' || {_STATE} || ', US' AS location FROM part WHERE p_partkey % 20 <> 5")
+def adapter_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty adapters in one plan, one of them switched off; a third of them says where its rows are."""
+    known = [(f"a{k}", "api.example.org", "/search", f"jobapi:a{k}", "page.rows" if k % 3 == 1 else None, k != 5) for k in range(20)]
+    table = spark.createDataFrame(known, "adapter string, host string, path string, source string, results_path string, enabled boolean")
+    k = F.pmod("p_partkey", F.lit(20))
+    items = F.to_json(F.array(_s(job_id=_key(), job_title=_title(), job_city=_city(), job_state=_state(), job_apply_link=_url(), employer_name=F.col("p_brand"))))
+    other = F.to_json(F.array(_s(slug=_key(), position=_title(), location_city=_city(), region=_state(), link=_url(), company=F.col("p_brand"))))
+    body = F.when(k % 3 == 0, F.concat(F.lit('{"data":"none","response":{"jobs":'), other, F.lit("}}"))).when(k % 3 == 1, F.concat(F.lit('{"data":[],"page":{"rows":'), items, F.lit("}}"))).otherwise(items)
+    pages = _captured(spark, d, body, adapter=F.concat(F.lit("a"), k.cast("string")), entity_name=_key())
+    return _shown(adapters.adapter_jobs(pages, table), *_COMMON_COLUMNS, "source", "department", "location")
+
+
 @query(f"SELECT p_partkey, {_COMMON}, 'portal:county' AS source FROM part")
 def portal_payload(spark: SparkSession, d: str) -> DataFrame:
     body = F.to_json(_s(postings=F.array(_s(ref=_key(), name=_title(), location=_place(), url=_url()))))
