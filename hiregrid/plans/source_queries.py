@@ -237,9 +237,9 @@ def census_registry(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.registry import geographic_fips
 
     fields = F.create_map(F.lit("census_id_pid6"), F.lpad(_key(), 6, "0"), F.lit("unit_name"), F.when(F.col("p_size") != 13, _title()).otherwise(""), F.lit("type_code"), (F.col("p_size") % 4).cast("string"), F.lit("fips_state"), F.lit("6"), F.lit("state"), F.lit("ca"), F.lit("fips_county"), F.col("p_size").cast("string"), F.lit("fips_place"), F.col("p_size").cast("string"))
-    rows = web.census_governments(L.table(spark, d, "part").select(fields.alias("fields")), 2024)
+    rows = web.census_governments(L.table(spark, d, "part").select("p_partkey", fields.alias("fields")), 2024)
     fips = geographic_fips(F.col("government_type"), F.col("state_fips"), F.concat("county_fips"), F.col("place_fips"))
-    return rows.select(F.col("id").cast("long").alias("p_partkey"), "id", "name", "government_type", "state_fips", "state_code", fips.alias("fips"))
+    return rows.select("p_partkey", "id", "name", "government_type", "state_fips", "state_code", fips.alias("fips"))
 
 
 @query(f"""SELECT p_partkey, {_TITLE} AS title, CASE WHEN p_size % 4 = 0 THEN 'Remote' ELSE 'Town, ' || {_STATE} END AS location, CASE WHEN p_size % 4 = 0 THEN NULL ELSE {_STATE} END AS state, CASE WHEN p_size % 5 = 0 THEN 'DE' ELSE 'US' END AS country,

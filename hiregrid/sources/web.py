@@ -261,12 +261,13 @@ GOVERNMENT_TYPES = ("state", "county", "municipality", "township", "special_dist
 
 
 def census_governments(rows: DataFrame, source_year: int) -> DataFrame:
-    """Census rows (fields) as registry rows; codes keep their leading zeros. Rows without id or name go."""
+    """Census rows (fields) as registry rows, with whatever else the rows carry; codes keep their leading zeros. Rows without id or name go."""
     f = lambda *names: F.coalesce(*(F.nullif(F.trim(F.element_at("fields", n)), F.lit("")) for n in names))
     pad = lambda c, n: F.lpad(c, n, "0")
     code = f("type_code", "unit_type", "govt_type").try_cast("int")
     kind = F.get(F.array(*(F.lit(t) for t in GOVERNMENT_TYPES)), code)
     out = rows.select(
+        *(c for c in rows.columns if c != "fields"),
         f("census_id_pid6", "census_government_id", "gid", "id").alias("id"), f("unit_name", "name", "government_name").alias("name"), F.coalesce(kind, F.lower(f("unit_type", "government_type"))).alias("government_type"), pad(f("fips_state", "state_fips"), 2).alias("state_fips"),
         F.upper(f("state", "state_code")).alias("state_code"), pad(f("fips_county", "county_fips"), 3).alias("county_fips"), f("county_area_name", "county_name").alias("county_name"), pad(f("fips_place", "place_fips"), 5).alias("place_fips"), f("web_address", "website").alias("website"),
         F.lit(source_year).alias("source_year"), F.lit(True).alias("is_active"),
