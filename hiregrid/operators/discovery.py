@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import round_half_up
 from ..functions.text import comparable, contains_phrase, words
 from ..functions.urls import host
-from .frames import first_rows
+from ..functions.values import once
+from .frames import computed, first_rows
 from .registry import LOCAL
 
 
@@ -46,29 +47,37 @@ def board_slugs(name: Column, portal: Column) -> Column:
 
 def name_evidence(name: Column, text: Column) -> Column:
     """0 to 70: the whole name in a comparable text, its core, or up to 55 by its longer words."""
-    whole = comparable(name)
-    core = F.regexp_replace(whole, "^(?:the )?(?:state|city|county) of ", "")
-    core = _one_space(F.regexp_replace(F.regexp_replace(core, words("department|dept|agency|office|commission"), " "), words("of|the|for|and"), " "))
-    telling = F.filter(F.split(core, " "), lambda t: F.length(t) >= 4)
-    shared = F.size(F.filter(telling, lambda t: contains_phrase(text, t)))
-    return F.when((whole == "") | (text == ""), 0).when(contains_phrase(text, whole), 70).when((F.length(core) >= 4) & contains_phrase(text, core), 60).when(F.size(telling) == 0, 0).otherwise(round_half_up(shared / F.size(telling) * 55)).cast("int")
+
+    def known(whole: Column, text: Column) -> Column:
+        core = F.regexp_replace(whole, "^(?:the )?(?:state|city|county) of ", "")
+        core = _one_space(F.regexp_replace(F.regexp_replace(core, words("department|dept|agency|office|commission"), " "), words("of|the|for|and"), " "))
+        return once(core, lambda c: once(F.filter(F.split(c, " "), lambda t: F.length(t) >= 4), lambda telling: scored(whole, text, c, telling)))
+
+    def scored(whole: Column, text: Column, core: Column, telling: Column) -> Column:
+        shared = F.size(F.filter(telling, lambda t: contains_phrase(text, t)))
+        return F.when((whole == "") | (text == ""), 0).when(contains_phrase(text, whole), 70).when((F.length(core) >= 4) & contains_phrase(text, core), 60).when(F.size(telling) == 0, 0).otherwise(round_half_up(shared / F.size(telling) * 55)).cast("int")
+
+    return once(comparable(name), lambda whole: once(text, lambda t: known(whole, t)))
 
 
 def government_page_score(entity: Column, url: Column, name: Column, snippet: Column, summary: Column) -> Column:
     """How sure a search result is the government's own page of jobs: its name's evidence (40 at least) and the kind of host, at most 100; else null."""
     blank = lambda c: F.coalesce(c, F.lit(""))
     evidence = name_evidence(entity, comparable(F.concat_ws(" ", blank(name), blank(snippet), blank(summary), url)))
-    site, path = F.lower(host(url)), F.lower(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1))
+    return once(evidence, lambda e: once(F.struct(F.lower(host(url)).alias("site"), F.lower(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)).alias("path")), lambda at: _page_score(e, at["site"], at["path"], blank(name), blank(snippet))))
+
+
+def _page_score(evidence: Column, site: Column, path: Column, name: Column, snippet: Column) -> Column:
     board = site.rlike(r"(^|\.)governmentjobs\.com$") & path.rlike("^/careers/[^/]+")
     gov, hosted = site.endswith(".gov"), site.rlike("workday|icims|taleo|oraclecloud|jobvite|governmentjobs|neogov|dayforce|ultipro|ukg|adp|paylocity|applicantpro")
-    career = F.concat_ws(" ", path, blank(name)).rlike("(?i)career|jobs?|employment|opportunit|recruit")
-    score = evidence + F.when(board, 30).when(gov, 24).otherwise(20) + F.when(F.concat_ws(" ", blank(name), blank(snippet)).rlike("(?i)job opportunities|careers|employment|open positions"), 8).otherwise(0)
+    career = F.concat_ws(" ", path, name).rlike("(?i)career|jobs?|employment|opportunit|recruit")
+    score = evidence + F.when(board, 30).when(gov, 24).otherwise(20) + F.when(F.concat_ws(" ", name, snippet).rlike("(?i)job opportunities|careers|employment|open positions"), 8).otherwise(0)
     return F.when((evidence >= 40) & (board | ((gov | hosted) & career)), F.least(score, F.lit(100)))
 
 
 def best_government_pages(results: DataFrame, minimum: int = 75) -> DataFrame:
     """The best scored page of each entity, if it scores enough. `results`: entity_id, entity_name, url, name, snippet, summary."""
-    rows = results.withColumn("score", government_page_score(F.col("entity_name"), F.col("url"), F.col("name"), F.col("snippet"), F.col("summary"))).where(F.col("score") >= minimum)
+    rows = computed(results, score=government_page_score(F.col("entity_name"), F.col("url"), F.col("name"), F.col("snippet"), F.col("summary"))).where(F.col("score") >= minimum)
     return first_rows(rows, ["entity_id"], [F.col("score").desc(), F.col("url")]).select("entity_id", "url", "score")
 
 

@@ -201,7 +201,7 @@ def entity_aliases(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey AS entity_id, CASE WHEN p_size % 4 = 0 THEN 'https://www.governmentjobs.com/careers/x' ELSE 'https://x.gov/jobs' END AS url, CASE WHEN p_size % 4 = 0 THEN 100 WHEN p_size % 4 = 1 THEN 94 ELSE 92 END AS score FROM part WHERE p_size % 4 < 3""")
 def government_pages(spark: SparkSession, d: str) -> DataFrame:
     """Four results for each part: a third party's, the government's own page, a hosted board, another government's."""
-    part, k = L.table(spark, d, "part"), F.col("p_size") % 4
+    part, k = L.spread(L.table(spark, d, "part"), "p_partkey"), F.col("p_size") % 4
     said = F.when(k == 2, F.concat("p_name", F.lit(" careers"))).when(k == 3, F.lit("elsewhere careers")).otherwise(F.concat(F.lit("City of "), "p_name"))
     result = lambda url, name: F.struct(F.lit(url).alias("url"), name.alias("name"), F.lit("").alias("snippet"), F.lit(None).cast("string").alias("summary"))
     pages = F.array(result("https://x.com/jobs", said), result("https://x.gov/jobs", said), F.when(k == 0, result("https://www.governmentjobs.com/careers/x", said)), F.when(k < 3, result("https://y.gov/about", said)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.frames import computed
 from ..sources import adapters, payloads, web
 from . import lens as L
 from .queries import query
@@ -49,8 +50,8 @@ def _s(**fields: Column) -> Column:
 
 
 def _captured(spark: SparkSession, d: str, payload: Column, **more: Column) -> DataFrame:
-    """One captured page for each part."""
-    return L.table(spark, d, "part").select("p_partkey", payload.alias("payload"), *(c.alias(n) for n, c in more.items()))
+    """One captured page for each part. Parts are few bytes and in few pieces, pages are work: they are dealt out to all cores first."""
+    return computed(L.spread(L.table(spark, d, "part"), "p_partkey"), payload=payload, **more).select("p_partkey", "payload", *more)
 
 
 def _shown(jobs: DataFrame, *columns: str) -> DataFrame:
@@ -237,7 +238,7 @@ def census_registry(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.registry import geographic_fips
 
     fields = F.create_map(F.lit("census_id_pid6"), F.lpad(_key(), 6, "0"), F.lit("unit_name"), F.when(F.col("p_size") != 13, _title()).otherwise(""), F.lit("type_code"), (F.col("p_size") % 4).cast("string"), F.lit("fips_state"), F.lit("6"), F.lit("state"), F.lit("ca"), F.lit("fips_county"), F.col("p_size").cast("string"), F.lit("fips_place"), F.col("p_size").cast("string"))
-    rows = web.census_governments(L.table(spark, d, "part").select("p_partkey", fields.alias("fields")), 2024)
+    rows = web.census_governments(L.spread(L.table(spark, d, "part"), "p_partkey").select("p_partkey", fields.alias("fields")), 2024)
     fips = geographic_fips(F.col("government_type"), F.col("state_fips"), F.concat("county_fips"), F.col("place_fips"))
     return rows.select("p_partkey", "id", "name", "government_type", "state_fips", "state_code", fips.alias("fips"))
 

@@ -35,7 +35,8 @@ def _items(pages: DataFrame, *paths: str) -> DataFrame:
 
 
 def _finish(rows: DataFrame, columns: list[Column]) -> DataFrame:
-    return rows.select(*(c for c in rows.columns if c != "_item"), *columns)
+    # A generator's output is computed once; a filter on a field would otherwise find it again, and the fields that it is made of.
+    return rows.select(*(c for c in rows.columns if c != "_item"), F.inline(F.array(F.struct(*columns))))
 
 
 def greenhouse(pages: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import fnv1a_base36, lenient_time, pick, truthy
 from ..functions.text import anchors, city_part, comparable, contains_phrase, country_code, state_part, strip_markup, words
 from ..functions.urls import AUDIT, canonical, host
+from ..functions.values import filled
+from ..operators.frames import computed
 from ..operators.quality import clean_title, is_detail_url, is_generic_title
 from .payloads import _finish, _items, _job, feed, table_rows
 
@@ -39,8 +41,8 @@ def linked_jobs(pages: DataFrame) -> DataFrame:
     """Anchors of career pages (payload, page_url) that lead to one job and read like a title."""
     rows = pages.select(*(c for c in pages.columns if c != "payload"), F.posexplode(anchors(F.col("payload"))).alias("_seq", "_a"))
     title, url = clean_title(F.col("_a.text")), absolute(F.col("_a.href"), F.col("page_url"))
-    # A generator's output is computed once; the filter's many patterns would otherwise each hold the whole expression.
-    rows = rows.select(*(c for c in rows.columns if c != "_a"), F.inline(F.array(F.struct(title.alias("_title"), url.alias("_url"))))).where(F.length("_title").between(3, 180) & ~is_generic_title(F.col("_title")) & is_detail_url(F.col("_url")))
+    # The filter's many patterns would otherwise each hold the whole expression.
+    rows = computed(rows, _title=title, _url=url).drop("_a").where(F.length("_title").between(3, 180) & ~is_generic_title(F.col("_title")) & is_detail_url(F.col("_url")))
     place = F.nullif(F.regexp_extract("_title", r"([A-Z][A-Za-z .'-]+,\s*[A-Z]{2})(?![A-Za-z0-9_])", 1), F.lit(""))
     raw = F.to_json(F.struct(F.lit("strong_job_detail_link").alias("parser"), F.col("page_url").alias("listing_page_url")))
     return _finish(rows, _job("career_page", raw, title=F.col("_title"), location=place, city=city_part(place), state=state_part(place), apply_url=F.col("_url"))).drop("_title", "_url")
@@ -112,21 +114,21 @@ def search_results(pages: DataFrame, source: str = "web:langsearch", rows_at: tu
     url = F.regexp_replace(F.trim(pick(i, "url", "displayUrl", "link")), "#.*$", "")
     whole = strip_markup(pick(i, "name", "title"))
     text = F.concat_ws(" ", whole, strip_markup(pick(i, "snippet", "description")), strip_markup(pick(i, "summary", "text")))
-    rows = rows.withColumns({"_url": url, "_whole": whole, "_text": text}).where(F.col("_url").rlike("(?i)^https?://") & (F.col("_whole") != ""))
+    rows = computed(rows, _url=url, _whole=whole, _text=text).where(F.col("_url").rlike("(?i)^https?://") & (F.col("_whole") != ""))
     path, query = F.regexp_extract("_url", r"^https?://[^/?#]+([^?#]*)", 1), F.regexp_extract("_url", r"\?([^#]*)", 1)
     looks = path.rlike(f"(?i){_RESULT_PATHS}") | query.rlike(f"(?i){_RESULT_QUERY}") | F.col("_url").rlike(f"(?i){_RESULT_URLS}")
     rows = rows.where(looks & ~F.when(path == "", "/").otherwise(path).rlike(_GENERIC_PATH) & ~_is_generic_result(F.col("_whole")))
     employer = F.coalesce(F.trim("employer"), F.lit(""))
     title = F.regexp_replace(F.regexp_replace("_whole", _TITLED_BY, ""), F.concat(F.lit(r"(?i)\s*[|–—-]\s*(?:careers?|jobs?)?(?:\s+at)?\s*\Q"), employer, F.lit(r"\E.*$")), F.lit(""))
-    rows = rows.withColumn("_title", F.trim(F.regexp_replace(title, r"\s+", " "))).where(F.length("_title").between(3, 180) & ~_is_generic_result(F.col("_title")))
+    rows = computed(rows, _title=F.trim(F.regexp_replace(title, r"\s+", " "))).where(F.length("_title").between(3, 180) & ~_is_generic_result(F.col("_title")))
     remote = F.col("_text").rlike(words(_REMOTE))
-    city = F.nullif(F.trim(F.regexp_extract("_text", rf"(?<![A-Za-z0-9_])([A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*){{0,3}},\s*(?:{_STATE_CODES}))(?![A-Za-z0-9_])", 1)), F.lit(""))
-    labelled = F.nullif(F.trim(F.regexp_extract("_text", r"(?i)(?<![A-Za-z0-9_])(?:location|job location|work location)\s*[:\-–—]\s*([^|•.;]{2,80})", 1)), F.lit(""))
+    city = filled(F.trim(F.regexp_extract("_text", rf"(?<![A-Za-z0-9_])([A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*){{0,3}},\s*(?:{_STATE_CODES}))(?![A-Za-z0-9_])", 1)))
+    labelled = filled(F.trim(F.regexp_extract("_text", r"(?i)(?<![A-Za-z0-9_])(?:location|job location|work location)\s*[:\-–—]\s*([^|•.;]{2,80})", 1)))
     place = F.when(remote, "Remote").otherwise(F.coalesce(city, labelled))
+    rows = computed(rows, _place=place)
     said, country = F.concat_ws(" ", "_place", "_text"), F.lit("US")
     for names, code in reversed(_COUNTRY_NAMES):
         country = F.when(said.rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{names})(?![A-Za-z0-9_])"), code).otherwise(country)
-    rows = rows.withColumn("_place", place)
     key = F.concat(F.lit(source.rpartition(":")[2] + "-"), fnv1a_base36(F.concat_ws("|", F.col("employer"), F.col("_url"), F.col("_title"))))
     part = lambda k: F.when(F.col("_place") != "Remote", F.nullif(F.trim(F.split_part("_place", F.lit(","), F.lit(k))), F.lit("")))
     columns = _job(source, i, external_id=key, title=F.col("_title"), department=F.col("employer"), location=F.col("_place"), city=part(1), state=part(2), country=country, is_remote=remote, posted_at=lenient_time(pick(i, "datePublished", "published_date", "date")), apply_url=F.col("_url"))
@@ -189,24 +191,27 @@ def public_boards(pages: DataFrame) -> DataFrame:
     from ..operators.dedupe import first_wins
 
     rows, i = _items(pages, "data.webPages.value"), F.col("_item")
-    url, title = pick(i, "url", "displayUrl"), strip_markup(pick(i, "name"))
-    text = F.concat_ws(" ", title, strip_markup(F.concat_ws(" ", pick(i, "snippet"), pick(i, "summary"))))
+    rows = computed(rows, _url=pick(i, "url", "displayUrl"))
+    url = F.col("_url")
+    rows = computed(computed(rows, _board=board_of(url)).where("_board IS NOT NULL"), _title=strip_markup(pick(i, "name")))
+    text = F.concat_ws(" ", "_title", strip_markup(F.concat_ws(" ", pick(i, "snippet"), pick(i, "summary"))))
     names = F.concat(F.array("entity_name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    rows = rows.withColumns({"_board": board_of(url), "_text": text, "_title": title, "_names": F.filter(F.transform(names, comparable), lambda n: F.length(n) >= 4)}).where(F.col("_board").isNotNull())
+    rows = computed(rows, _text=text, _names=F.filter(F.transform(names, comparable), lambda n: F.length(n) >= 4))
+    rows = computed(rows, _said=comparable(F.col("_text")))
     bare = lambda n: F.trim(F.regexp_replace(F.regexp_replace(n, "^(?:city|county|state|town|village|borough) of ", ""), " (?:city|county)$", ""))
-    said = comparable(F.col("_text"))
+    said = F.col("_said")
     named = F.exists("_names", lambda n: contains_phrase(said, n) | ((F.length(bare(n)) >= 4) & contains_phrase(said, bare(n))))
     short = F.trim(F.regexp_replace("_title", rf"(?i)\s*[|–—-]\s*(?:{_BOARD_TITLES}).*$", ""))
     # The part behind a dash that begins with one of the entity's names goes too.
     for_names = F.aggregate(F.filter(names, lambda n: F.trim(n) != ""), short, lambda t, n: F.trim(F.regexp_replace(t, F.concat(F.lit(r"(?i)\s*[|–—-]\s*\Q"), F.trim(n), F.lit(r"\E.*$")), F.lit(""))))
-    labelled = F.nullif(F.trim(F.regexp_extract("_text", r"(?i)(?<![A-Za-z0-9_])(?:location|address)\s*[:\-–—]\s*([^|;]{2,90})", 1)), F.lit(""))
-    place = F.coalesce(labelled, F.nullif(F.regexp_extract("_text", rf"(?<![A-Za-z0-9_])([A-Z][A-Za-z.' -]{{1,48}},\s*(?:{_STATE_CODES}))(?![A-Za-z0-9_])", 1), F.lit("")))
-    rows = rows.where(named).withColumns({"_short": for_names, "_place": place}).where(F.length("_short").between(3, 180))
+    labelled = filled(F.trim(F.regexp_extract("_text", r"(?i)(?<![A-Za-z0-9_])(?:location|address)\s*[:\-–—]\s*([^|;]{2,90})", 1)))
+    place = F.coalesce(labelled, filled(F.regexp_extract("_text", rf"(?<![A-Za-z0-9_])([A-Z][A-Za-z.' -]{{1,48}},\s*(?:{_STATE_CODES}))(?![A-Za-z0-9_])", 1)))
+    rows = computed(rows.where(named), _short=for_names, _place=place).where(F.length("_short").between(3, 180))
     columns = _job(
         F.col("_board"), i, external_id=F.concat("_board", F.lit("-"), fnv1a_base36(url)), title=F.col("_short"), department=F.col("entity_name"), location=F.col("_place"), city=F.nullif(F.trim(F.split_part("_place", F.lit(","), F.lit(1))), F.lit("")),
         state=F.nullif(F.regexp_extract("_place", r",\s*([A-Z]{2})(?![A-Za-z0-9_])", 1), F.lit("")), country=F.lit("US"), is_remote=F.col("_text").rlike(r"(?i)(?<![A-Za-z0-9_])(?:remote|virtual|telework)(?![A-Za-z0-9_])"), posted_at=lenient_time(pick(i, "datePublished")), apply_url=url,
     )
-    out = _finish(rows, columns).drop("_board", "_text", "_title", "_names", "_short", "_place")
+    out = _finish(rows, columns).drop("_board", "_text", "_title", "_names", "_said", "_short", "_place", "_url")
     return first_wins(out.withColumn("_url", F.lower("apply_url")), [*(c for c in pages.columns if c not in ("payload", "aliases")), "_url"]).drop("_url")
 
 

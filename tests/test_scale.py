@@ -7,7 +7,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from hiregrid.functions import numbers
 from hiregrid.plans import registry
+from hiregrid.sources import payloads, web
 
 DATA = Path("/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
@@ -20,3 +22,34 @@ def test_census_keys_of_seven_digits(spark, tmp_path):
     got = registry.queries()["census_registry"](spark, str(tmp_path)).select("p_partkey", "id").collect()
     assert len(got) == 5
     assert all(r.p_partkey >= 1_234_000 and r.id == str(r.p_partkey)[:6] for r in got)
+
+
+def _parses(df) -> int:
+    """How often the optimised plan takes a value out of a JSON text."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("get_json_object(")
+
+
+def test_each_path_is_read_a_few_times(spark):
+    pages = spark.createDataFrame([(1, "{}", "Co", ["Co"])], "p int, payload string, employer string, aliases array<string>").withColumn("entity_name", F.col("employer"))
+    assert _parses(web.theirstack(pages)) <= 60
+    assert _parses(web.search_results(pages)) <= 30
+    assert _parses(web.public_boards(pages)) <= 20
+    assert _parses(payloads.usajobs(pages)) <= 60
+    assert _parses(payloads.feed(pages, "x")) <= 200
+
+
+@pytest.mark.parametrize("text", ["2024-01-05T10:00:00Z", "2024-01-05t10:00:00.123+02:00", "2024-01-05 10:00:00", "Fri, 5 Jan 2024 10:00:00 +0000", "5 Jan 2024 10:00:00 GMT", "2024-01-05", "+12024-01-05", "01/05/2024", "Jan 5, 2024", "2024-01", "10:00", "-", ""])
+def test_signs_of_times_skip_only_formats_that_fail(spark, text):
+    one = spark.createDataFrame([(text,)], "t string").select(F.regexp_replace(F.trim("t"), r"^[A-Za-z]{3,9},\s+", "").alias("t"))
+    for form, signs in numbers.TIME_FORMATS:
+        read = F.try_to_timestamp(F.col("t"), F.lit(form))
+        assert one.where(read.isNotNull() & ~F.col("t").rlike(f"(?s){signs}")).isEmpty()
+
+
+@needs_tables
+def test_pages_are_dealt_out(spark):
+    from hiregrid.plans import lens
+
+    part = lens.spread(lens.table(spark, str(DATA), "part"), "p_partkey")
+    assert part.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert len({r.k for r in part.select(F.spark_partition_id().alias("k")).distinct().collect()}) > 1
