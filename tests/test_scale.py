@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hiregrid.functions import numbers
+from hiregrid.operators import crawl
+from hiregrid.operators import registry as government
 from hiregrid.plans import registry
 from hiregrid.sources import payloads, web
 
@@ -53,3 +55,33 @@ def test_pages_are_dealt_out(spark):
     part = lens.spread(lens.table(spark, str(DATA), "part"), "p_partkey")
     assert part.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert len({r.k for r in part.select(F.spark_partition_id().alias("k")).distinct().collect()}) > 1
+
+
+def test_candidates_are_limited_before_the_join(spark):
+    """A token in more rows than a word, kind and state may bring gives the same first rows, and the plan limits each word's rows before any shuffle."""
+    rows = [(f"{k:03d}", f"Alpha{'x' * (k % 7)} Town {'abc'[k % 3] * (1 + k % 5)} County", None, ("county", "municipality", "township", "state")[k % 4], ("CA", "NV", None)[k % 3], True) for k in range(200)]
+    reg = spark.createDataFrame(rows, "id string, name string, canonical_name string, government_type string, state_code string, is_active boolean")
+    asked = spark.createDataFrame([("q1", "alpha town"), ("q2", "alphax, NV county")], "query_id string, query string")
+    q = asked.select("query_id", "query", F.lit("counties_and_cities").alias("_portal"), F.when(F.col("query").contains("NV"), "NV").alias("_only"), F.regexp_extract("query", "^[a-z]+", 0).alias("_token"))
+    found = government._candidates(q, reg.withColumn("canonical", F.lower("name")), 5)
+    for query, token, state in (("q1", "alpha", None), ("q2", "alphax", "NV")):
+        want = sorted((len(name), key) for key, name, _, kind, code, _ in rows if kind != "state" and (state is None or code == state) and any(token in w for w in name.lower().split()))[:5]
+        assert sorted((len(r.canonical), r.id) for r in found.where(F.col("query_id") == query).collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert any("_word" in line and "WindowGroupLimit" in line and "Partial" in line for line in plan.splitlines())
+
+
+def test_a_crawl_reads_its_links_once(spark, monkeypatch):
+    """Links and keys are worked out once, however many waves a crawl has."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    links = spark.createDataFrame([("s", str(k), str(k + 1), 0) for k in range(6)], "site string, url string, target string, position int").mapInArrow(counted, "site string, url string, target string, position int")
+    start = spark.createDataFrame([("s", "0")], "site string, url string")
+    keys = spark.createDataFrame([("s", str(k), k) for k in range(7)], "site string, url string, key int")
+    assert crawl.crawl(start, links, keys, most_pages=10).count() == 7
+    assert seen.value == 6
