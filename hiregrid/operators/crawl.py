@@ -26,7 +26,9 @@ def crawl(start: DataFrame, links: DataFrame, keys: DataFrame, most_pages: int =
     runs over depth, not over rows.
     """
     seen = checkpointed(start.where("url IS NOT NULL").groupBy("site").agg(F.min("url").alias("url")).withColumns({"place": F.lit(0), "fresh": F.lit(True), "wave": F.lit(0), "live": F.lit(True)}))
-    links = links.where("target IS NOT NULL").select("site", F.col("url").alias("_from"), F.col("target").alias("url"), "position")
+    # What the caller made links and keys of is worked out and dealt out once, not in every wave.
+    links = links.where("target IS NOT NULL").select("site", F.col("url").alias("_from"), F.col("target").alias("url"), "position").repartition("site", "_from").persist()
+    keys = keys.repartition("site", "url").persist()
     for wave in range(1, most_pages):
         front = seen.where((F.col("wave") == wave - 1) & F.col("live")).select("site", F.col("url").alias("_from"), "place")
         named = front.join(links, ["site", "_from"]).groupBy("site", "url").agg(F.min(F.struct("place", "position")).alias("_by"))
@@ -46,6 +48,8 @@ def crawl(start: DataFrame, links: DataFrame, keys: DataFrame, most_pages: int =
         # The page that ends the site is read; those behind it aren't.
         found = found.withColumn("_end", F.min(F.when(F.col("_idle") >= empty_stop, F.col("place"))).over(W.partitionBy("site"))).where(F.col("_end").isNull() | (F.col("place") <= F.col("_end")))
         seen = checkpointed(seen.unionByName(found.select("site", "url", "place", "fresh", F.lit(wave).alias("wave"), F.col("_end").isNull().alias("live"))))
+    links.unpersist()
+    keys.unpersist()
     return seen.select("site", "url", "place", "fresh")
 
 
@@ -59,12 +63,12 @@ def chain_places(pages: DataFrame, most_pages: int = 250) -> DataFrame:
     known = pages.select("chain", "page")
     reach = checkpointed(pages.where("is_first").groupBy("chain").agg(F.min("page").alias("page")).withColumn("place", F.lit(0)))
     jump = pages.where("next IS NOT NULL").select("chain", "page", F.col("next").alias("to")).join(known.withColumnRenamed("page", "to"), ["chain", "to"], "left_semi")
-    step = 1
+    step, size = 1, reach.count()
     while step < most_pages:
         more = reach.join(jump, ["chain", "page"]).select("chain", F.col("to").alias("page"), (F.col("place") + step).alias("place"))
-        before = reach.count()
         reach = checkpointed(reach.unionByName(more).groupBy("chain", "page").agg(F.min("place").alias("place")).where(F.col("place") < most_pages))
-        if reach.count() == before:
+        before, size = size, reach.count()
+        if size == before:
             break
         jump = checkpointed(jump.join(jump.select("chain", F.col("page").alias("to"), F.col("to").alias("_to")), ["chain", "to"]).select("chain", "page", F.col("_to").alias("to")))
         step *= 2
@@ -80,6 +84,7 @@ def audit_chains(pages: DataFrame, ids: DataFrame, page_size: int = 50, most_pag
     that was exhausted without repetition and has as many different ids. `looped`: the last page read leads to one before it; `broken`: to one that
     wasn't captured.
     """
+    pages = checkpointed(pages)
     facts = pages.groupBy("chain", "page").agg(F.min(F.struct("next", "signature", "n_rows", "total")).alias("_r")).select("chain", "page", "_r.signature", F.coalesce("_r.n_rows", F.lit(0)).alias("n_rows"), "_r.total")
     rows = chain_places(pages, most_pages).join(facts, ["chain", "page"])
     order = W.partitionBy("chain").orderBy("place")
