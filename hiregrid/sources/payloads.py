@@ -34,6 +34,23 @@ def _items(pages: DataFrame, *paths: str) -> DataFrame:
     return pages.select(*(c for c in pages.columns if c != "payload"), F.posexplode(arrays).alias("_seq", "_item")).where("_item is not null")
 
 
+def _read(rows: DataFrame, *keys: str, of: str = "_item", inside: str = "") -> tuple[DataFrame, Callable[..., Column]]:
+    """Rows with these keys of a JSON object (text, column `of`), read in one pass, and a function to the first of some keys that isn't null or blank.
+
+    Of a repeated key the last value holds. One half of a surrogate pair spoils the whole pass, so items with such escapes are read from `_item`
+    key by key; there the object stands at the path `inside`.
+    """
+    held = {k: f"{of}_{k}" for k in keys}
+    cut = [] if "_cut" in rows.columns else [F.coalesce(F.col("_item").rlike(r"(?i)\\ud[89a-f]"), F.lit(False)).alias("_cut")]
+    rows = rows.select("*", *cut, F.json_tuple(of, *keys).alias(*held.values()))
+
+    def at(*some: str) -> Column:
+        plain = F.coalesce(*(F.nullif(F.col(held[k]), F.lit("")) for k in some))
+        return F.when(F.col("_cut"), pick(F.col("_item"), *(inside + k for k in some))).otherwise(plain)
+
+    return rows, at
+
+
 def _finish(rows: DataFrame, columns: list[Column]) -> DataFrame:
     # A generator's output is computed once; a filter on a field would otherwise find it again, and the fields that it is made of.
     return rows.select(*(c for c in rows.columns if c != "_item"), F.inline(F.array(F.struct(*columns))))

@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fnv1a_base36, lenient_time, pick, truthy
-from ..functions.text import anchors, city_part, comparable, contains_phrase, country_code, state_part, strip_markup, words
+from ..functions.text import anchors, city_part, comparable, contains_phrase, country_code, one_space, state_part, strip_markup, words
 from ..functions.urls import AUDIT, canonical, host
-from ..functions.values import filled
+from ..functions.values import filled, once
 from ..operators.frames import computed
 from ..operators.quality import clean_title, is_detail_url, is_generic_title
-from .payloads import _finish, _items, _job, feed, table_rows
+from .payloads import _finish, _items, _job, _read, feed, table_rows
 
 
 # Codes of states that a place may end in.
@@ -97,11 +97,22 @@ _COUNTRY_NAMES = [
     ("united states|u\\.s\\.|usa", "US"), ("canada", "CA"), ("united kingdom|great britain|uk", "GB"), ("germany", "DE"), ("kuwait", "KW"), ("qatar", "QA"), ("bahrain", "BH"), ("iraq", "IQ"), ("poland", "PL"), ("australia", "AU"), ("japan", "JP"),
     ("south korea|korea", "KR"),
 ]
+#: Where a country's name may begin: their first letters, and no word that goes on.
+_COUNTRY_WORD = f"(?=[{''.join(sorted({n[0] for names, _ in _COUNTRY_NAMES for n in names.split('|')}))}])(?<![A-Za-z0-9_])"
 _REMOTE = "remote|work from home|wfh|virtual"
 
 
 def _is_generic_result(title: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), "[|:–—-]+", " "), r"\s+", " ")).rlike(_GENERIC_RESULT)
+    # Few titles begin like one; the others needn't be rewritten.
+    return title.rlike(r"(?i)^[\s|:–—-]*(?:career|job|search|open|employ|join|wor)") & one_space(F.regexp_replace(F.lower(title), "[|:–—-]+", " ")).rlike(_GENERIC_RESULT)
+
+
+def _named_country(said: Column) -> Column:
+    """The country that a text names, else US."""
+    out = F.lit("US")
+    for names, code in reversed(_COUNTRY_NAMES):
+        out = F.when(said.rlike(f"(?i){_COUNTRY_WORD}(?:{names})(?![A-Za-z0-9_])"), code).otherwise(out)
+    return F.when(said.rlike(f"(?i){_COUNTRY_WORD}(?:{'|'.join(names for names, _ in _COUNTRY_NAMES)})(?![A-Za-z0-9_])"), out).otherwise("US")
 
 
 def search_results(pages: DataFrame, source: str = "web:langsearch", rows_at: tuple[str, ...] = ("data.webPages.value", "webPages.value", "results", "data")) -> DataFrame:
@@ -110,29 +121,27 @@ def search_results(pages: DataFrame, source: str = "web:langsearch", rows_at: tu
     The title loses the name of the site and the part that names the employer; the place is Remote, a city with a state's code, or what is
     labelled a location; the country is named, else US.
     """
-    rows, i = _items(pages, *rows_at), F.col("_item")
-    url = F.regexp_replace(F.trim(pick(i, "url", "displayUrl", "link")), "#.*$", "")
-    whole = strip_markup(pick(i, "name", "title"))
-    text = F.concat_ws(" ", whole, strip_markup(pick(i, "snippet", "description")), strip_markup(pick(i, "summary", "text")))
-    rows = computed(rows, _url=url, _whole=whole, _text=text).where(F.col("_url").rlike("(?i)^https?://") & (F.col("_whole") != ""))
-    path, query = F.regexp_extract("_url", r"^https?://[^/?#]+([^?#]*)", 1), F.regexp_extract("_url", r"\?([^#]*)", 1)
-    looks = path.rlike(f"(?i){_RESULT_PATHS}") | query.rlike(f"(?i){_RESULT_QUERY}") | F.col("_url").rlike(f"(?i){_RESULT_URLS}")
+    rows, at = _read(_items(pages, *rows_at), "url", "displayUrl", "link", "name", "title", "snippet", "description", "summary", "text", "datePublished", "published_date", "date")
+    rows = computed(rows, _url=F.regexp_replace(F.trim(at("url", "displayUrl", "link")), "#.*$", "")).where(F.col("_url").rlike("(?i)^https?://"))
+    rows = computed(rows, _whole=strip_markup(at("name", "title")), _path=F.regexp_extract("_url", r"^https?://[^/?#]+([^?#]*)", 1)).where("_whole != ''")
+    path = F.col("_path")
+    looks = path.rlike(f"(?i){_RESULT_PATHS}") | F.regexp_extract("_url", r"\?([^#]*)", 1).rlike(f"(?i){_RESULT_QUERY}") | F.col("_url").rlike(f"(?i){_RESULT_URLS}")
     rows = rows.where(looks & ~F.when(path == "", "/").otherwise(path).rlike(_GENERIC_PATH) & ~_is_generic_result(F.col("_whole")))
     employer = F.coalesce(F.trim("employer"), F.lit(""))
     title = F.regexp_replace(F.regexp_replace("_whole", _TITLED_BY, ""), F.concat(F.lit(r"(?i)\s*[|–—-]\s*(?:careers?|jobs?)?(?:\s+at)?\s*\Q"), employer, F.lit(r"\E.*$")), F.lit(""))
-    rows = computed(rows, _title=F.trim(F.regexp_replace(title, r"\s+", " "))).where(F.length("_title").between(3, 180) & ~_is_generic_result(F.col("_title")))
-    remote = F.col("_text").rlike(words(_REMOTE))
-    city = filled(F.trim(F.regexp_extract("_text", rf"(?<![A-Za-z0-9_])([A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*){{0,3}},\s*(?:{_STATE_CODES}))(?![A-Za-z0-9_])", 1)))
-    labelled = filled(F.trim(F.regexp_extract("_text", r"(?i)(?<![A-Za-z0-9_])(?:location|job location|work location)\s*[:\-–—]\s*([^|•.;]{2,80})", 1)))
-    place = F.when(remote, "Remote").otherwise(F.coalesce(city, labelled))
-    rows = computed(rows, _place=place)
-    said, country = F.concat_ws(" ", "_place", "_text"), F.lit("US")
-    for names, code in reversed(_COUNTRY_NAMES):
-        country = F.when(said.rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{names})(?![A-Za-z0-9_])"), code).otherwise(country)
+    rows = computed(rows, _title=one_space(title)).where(F.length("_title").between(3, 180) & ~_is_generic_result(F.col("_title")))
+    rows = computed(rows, _text=F.concat_ws(" ", "_whole", strip_markup(at("snippet", "description")), strip_markup(at("summary", "text"))))
+    rows = computed(rows, _remote=F.col("_text").rlike(f"(?=[rwvRWV]){words(_REMOTE)}"))
+    # A look at the next letter is cheaper than one back, so it comes first.
+    city = filled(F.trim(F.regexp_extract("_text", rf"(?=[A-Z])(?<![A-Za-z0-9_])([A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*){{0,3}},\s*(?:{_STATE_CODES}))(?![A-Za-z0-9_])", 1)))
+    labelled = filled(F.trim(F.regexp_extract("_text", r"(?i)(?=[ljw])(?<![A-Za-z0-9_])(?:location|job location|work location)\s*[:\-–—]\s*([^|•.;]{2,80})", 1)))
+    rows = computed(rows, _place=F.when(F.col("_remote"), "Remote").otherwise(F.coalesce(city, labelled)))
+    country = once(F.concat_ws(" ", "_place", "_text"), _named_country)
     key = F.concat(F.lit(source.rpartition(":")[2] + "-"), fnv1a_base36(F.concat_ws("|", F.col("employer"), F.col("_url"), F.col("_title"))))
-    part = lambda k: F.when(F.col("_place") != "Remote", F.nullif(F.trim(F.split_part("_place", F.lit(","), F.lit(k))), F.lit("")))
-    columns = _job(source, i, external_id=key, title=F.col("_title"), department=F.col("employer"), location=F.col("_place"), city=part(1), state=part(2), country=country, is_remote=remote, posted_at=lenient_time(pick(i, "datePublished", "published_date", "date")), apply_url=F.col("_url"))
-    return _finish(rows, columns).drop("_url", "_whole", "_text", "_title", "_place")
+    part = lambda k: F.when(F.col("_place") != "Remote", filled(F.trim(F.split_part("_place", F.lit(","), F.lit(k)))))
+    columns = _job(source, F.col("_item"), external_id=key, title=F.col("_title"), department=F.col("employer"), location=F.col("_place"), city=part(1), state=part(2), country=country, is_remote=F.col("_remote"), posted_at=lenient_time(at("datePublished", "published_date", "date")), apply_url=F.col("_url"))
+    # No filter follows, so fields that nobody reads needn't be worked out.
+    return rows.select(*(c for c in pages.columns if c != "payload"), "_seq", *columns)
 
 
 def theirstack(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 import pytest
@@ -40,6 +41,29 @@ def test_each_path_is_read_a_few_times(spark):
     assert _parses(payloads.feed(pages, "x")) <= 200
 
 
+def test_a_search_result_is_read_in_one_pass(spark):
+    """Keys are read together, a surrogate that is cut in half costs its own text only, and fields that nobody reads aren't worked out."""
+    results = [{"url": "https://x.org/job/1234", "name": "Welder", "snippet": "in Austin, TX"}, {"url": "https://x.org/job/1235", "name": "Cook", "snippet": "cut \ud83d", "summary": "in Reno, NV"}]
+    pages = spark.createDataFrame([(json.dumps({"results": results}), "Co")], "payload string, employer string")
+    out = web.search_results(pages)
+    assert [(r.title, r.location, r.country) for r in out.orderBy("_seq").collect()] == [("Welder", "Austin, TX", "US"), ("Cook", "Reno, NV", "US")]
+    plan = out.select("title", "country")._jdf.queryExecution().optimizedPlan().toString()
+    assert "json_tuple" in plan and "16777619" not in plan  # the hash of the id
+    assert _parses(out.select("title", "location", "country")) <= 13  # of pages, and of items with surrogates
+
+
+@needs_tables
+def test_pages_are_dealt_out_before_executors_join(spark, monkeypatch):
+    from hiregrid.plans import lens
+
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        assert lens.spread(lens.table(spark, str(DATA), "part"), "p_partkey").rdd.getNumPartitions() == 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.mark.parametrize("text", ["2024-01-05T10:00:00Z", "2024-01-05t10:00:00.123+02:00", "2024-01-05 10:00:00", "Fri, 5 Jan 2024 10:00:00 +0000", "5 Jan 2024 10:00:00 GMT", "2024-01-05", "+12024-01-05", "01/05/2024", "Jan 5, 2024", "2024-01", "10:00", "-", ""])
 def test_signs_of_times_skip_only_formats_that_fail(spark, text):
     one = spark.createDataFrame([(text,)], "t string").select(F.regexp_replace(F.trim("t"), r"^[A-Za-z]{3,9},\s+", "").alias("t"))
