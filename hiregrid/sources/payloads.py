@@ -41,14 +41,11 @@ def _read(rows: DataFrame, *keys: str, of: str = "_item", inside: str = "") -> t
     key by key; there the object stands at the path `inside`.
     """
     held = {k: f"{of}_{k}" for k in keys}
-    cut = [] if "_cut" in rows.columns else [F.coalesce(F.col("_item").rlike(r"(?i)\\ud[89a-f]"), F.lit(False)).alias("_cut")]
-    rows = rows.select("*", *cut, F.json_tuple(of, *keys).alias(*held.values()))
-
-    def at(*some: str) -> Column:
-        plain = F.coalesce(*(F.nullif(F.col(held[k]), F.lit("")) for k in some))
-        return F.when(F.col("_cut"), pick(F.col("_item"), *(inside + k for k in some))).otherwise(plain)
-
-    return rows, at
+    cut = F.coalesce(F.col("_item").rlike(r"(?i)\\ud[89a-f]"), F.lit(False)).alias("_cut")
+    read = rows.select("*", cut, F.json_tuple(of, *keys).alias(*held.values()))
+    # Settled here, so that the item itself needn't be carried on for that.
+    read = read.select(*rows.columns, *(F.when(F.col("_cut"), F.get_json_object("_item", f"$.{inside}{k}")).otherwise(F.col(c)).alias(c) for k, c in held.items()))
+    return read, lambda *some: F.coalesce(*(F.nullif(F.col(held[k]), F.lit("")) for k in some))
 
 
 def _finish(rows: DataFrame, columns: list[Column]) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.numbers import fnv1a_base36, lenient_time, pick, truthy
 from ..functions.text import anchors, city_part, comparable, contains_phrase, country_code, one_space, state_part, strip_markup, words
 from ..functions.urls import AUDIT, canonical, host
 from ..functions.values import filled, once
-from ..operators.frames import computed
+from ..operators.frames import computed, first_rows
 from ..operators.quality import clean_title, is_detail_url, is_generic_title
 from .payloads import _finish, _items, _job, _read, feed, table_rows
 
@@ -186,42 +186,44 @@ _BOARD_TITLES = "ICMA|Careers in Government|NACo"
 
 def board_of(url: Column) -> Column:
     """The public-sector board whose posting a URL is, by host and path with query; null for others."""
-    site = F.regexp_replace(F.lower(host(url)), r"^www\.", "")
-    path = F.regexp_extract(url, r"^https?://[^/?#]+([^#]*)", 1)
-    label = F.lit(None).cast("string")
-    for name, (domain, pattern) in PUBLIC_BOARDS.items():
-        label = F.when(((site == domain) | site.endswith("." + domain)) & path.rlike(f"(?i){pattern}"), name).otherwise(label)
-    return label
+
+    def label(u: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, (domain, pattern) in PUBLIC_BOARDS.items():
+            out = F.when(((u["site"] == domain) | u["site"].endswith("." + domain)) & u["path"].rlike(f"(?i){pattern}"), name).otherwise(out)
+        return out
+
+    return once(F.struct(F.regexp_replace(host(url), r"^www\.", "").alias("site"), F.regexp_extract(url, r"^https?://[^/?#]+([^#]*)", 1).alias("path")), label)
 
 
 def public_boards(pages: DataFrame) -> DataFrame:
     """Search results (payload, with entity_name and aliases of the entity searched for) that are postings of public-sector boards and name the
     entity, or it without its kind of government, as a phrase; each URL once."""
-    from ..operators.dedupe import first_wins
-
-    rows, i = _items(pages, "data.webPages.value"), F.col("_item")
-    rows = computed(rows, _url=pick(i, "url", "displayUrl"))
-    url = F.col("_url")
-    rows = computed(computed(rows, _board=board_of(url)).where("_board IS NOT NULL"), _title=strip_markup(pick(i, "name")))
-    text = F.concat_ws(" ", "_title", strip_markup(F.concat_ws(" ", pick(i, "snippet"), pick(i, "summary"))))
     names = F.concat(F.array("entity_name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    rows = computed(rows, _text=text, _names=F.filter(F.transform(names, comparable), lambda n: F.length(n) >= 4))
-    rows = computed(rows, _said=comparable(F.col("_text")))
     bare = lambda n: F.trim(F.regexp_replace(F.regexp_replace(n, "^(?:city|county|state|town|village|borough) of ", ""), " (?:city|county)$", ""))
-    said = F.col("_said")
-    named = F.exists("_names", lambda n: contains_phrase(said, n) | ((F.length(bare(n)) >= 4) & contains_phrase(said, bare(n))))
+    # Names are a page's, so they are made comparable before its results are taken apart; without their kind of government they are phrases too.
+    phrases = once(F.filter(F.transform(names, comparable), lambda n: F.length(n) >= 4), lambda some: F.array_union(some, F.filter(F.transform(some, bare), lambda n: F.length(n) >= 4)))
+    rows, at = _read(_items(computed(pages, _phrases=phrases), "data.webPages.value"), "url", "displayUrl", "name", "snippet", "summary", "datePublished")
+    rows, url = rows.withColumn("_url", at("url", "displayUrl")), F.col("_url")
+    rows = computed(computed(rows, _board=board_of(url)).where("_board IS NOT NULL"), _title=strip_markup(at("name")))
+    rows = computed(rows, _text=F.concat_ws(" ", "_title", strip_markup(F.concat_ws(" ", at("snippet"), at("summary")))))
+    rows = computed(rows, _said=comparable(F.col("_text")))
+    named = F.exists("_phrases", lambda n: contains_phrase(F.col("_said"), n))
     short = F.trim(F.regexp_replace("_title", rf"(?i)\s*[|–—-]\s*(?:{_BOARD_TITLES}).*$", ""))
     # The part behind a dash that begins with one of the entity's names goes too.
-    for_names = F.aggregate(F.filter(names, lambda n: F.trim(n) != ""), short, lambda t, n: F.trim(F.regexp_replace(t, F.concat(F.lit(r"(?i)\s*[|–—-]\s*\Q"), F.trim(n), F.lit(r"\E.*$")), F.lit(""))))
-    labelled = filled(F.trim(F.regexp_extract("_text", r"(?i)(?<![A-Za-z0-9_])(?:location|address)\s*[:\-–—]\s*([^|;]{2,90})", 1)))
-    place = F.coalesce(labelled, filled(F.regexp_extract("_text", rf"(?<![A-Za-z0-9_])([A-Z][A-Za-z.' -]{{1,48}},\s*(?:{_STATE_CODES}))(?![A-Za-z0-9_])", 1)))
+    cut = lambda t, n: F.trim(F.regexp_replace(t, F.concat(F.lit(r"(?i)\s*[|–—-]\s*\Q"), F.trim(n), F.lit(r"\E.*$")), F.lit("")))
+    for_names = F.aggregate(F.filter(names, lambda n: F.trim(n) != ""), short, lambda t, n: F.when(t.rlike("[|–—-]"), cut(t, n)).otherwise(t))
+    labelled = filled(F.trim(F.regexp_extract("_text", r"(?i)(?=[la])(?<![A-Za-z0-9_])(?:location|address)\s*[:\-–—]\s*([^|;]{2,90})", 1)))
+    place = F.coalesce(labelled, filled(F.regexp_extract("_text", rf"(?=[A-Z])(?<![A-Za-z0-9_])([A-Z][A-Za-z.' -]{{1,48}},\s*(?:{_STATE_CODES}))(?![A-Za-z0-9_])", 1)))
     rows = computed(rows.where(named), _short=for_names, _place=place).where(F.length("_short").between(3, 180))
+    # Each URL's first result is chosen before its fields are worked out; a window carries the columns that are read and no others.
+    carried = [c for c in pages.columns if c not in ("payload", "aliases")]
+    rows = first_rows(rows.withColumn("_same", F.lower(url)), [*carried, "_same"], [F.col("_seq")])
     columns = _job(
-        F.col("_board"), i, external_id=F.concat("_board", F.lit("-"), fnv1a_base36(url)), title=F.col("_short"), department=F.col("entity_name"), location=F.col("_place"), city=F.nullif(F.trim(F.split_part("_place", F.lit(","), F.lit(1))), F.lit("")),
-        state=F.nullif(F.regexp_extract("_place", r",\s*([A-Z]{2})(?![A-Za-z0-9_])", 1), F.lit("")), country=F.lit("US"), is_remote=F.col("_text").rlike(r"(?i)(?<![A-Za-z0-9_])(?:remote|virtual|telework)(?![A-Za-z0-9_])"), posted_at=lenient_time(pick(i, "datePublished")), apply_url=url,
+        F.col("_board"), F.col("_item"), external_id=F.concat("_board", F.lit("-"), fnv1a_base36(url)), title=F.col("_short"), department=F.col("entity_name"), location=F.col("_place"), city=filled(F.trim(F.split_part("_place", F.lit(","), F.lit(1)))),
+        state=filled(F.regexp_extract("_place", r",\s*([A-Z]{2})(?![A-Za-z0-9_])", 1)), country=F.lit("US"), is_remote=F.col("_text").rlike(r"(?i)(?=[rvt])(?<![A-Za-z0-9_])(?:remote|virtual|telework)(?![A-Za-z0-9_])"), posted_at=lenient_time(at("datePublished")), apply_url=url,
     )
-    out = _finish(rows, columns).drop("_board", "_text", "_title", "_names", "_said", "_short", "_place", "_url")
-    return first_wins(out.withColumn("_url", F.lower("apply_url")), [*(c for c in pages.columns if c not in ("payload", "aliases")), "_url"]).drop("_url")
+    return rows.select(*carried, "aliases", "_seq", *columns)
 
 
 #: Feeds of portals by level of government; each is a generic feed under its own name.

@@ -52,6 +52,15 @@ def test_a_search_result_is_read_in_one_pass(spark):
     assert _parses(out.select("title", "location", "country")) <= 13  # of pages, and of items with surrogates
 
 
+def test_a_board_result_is_chosen_before_its_fields(spark):
+    found = [{"url": "https://www.naco.org/jobs/1", "name": "Clerk - Fresno County jobs", "snippet": "Fresno is hiring"}, {"url": "https://WWW.naco.org/jobs/1", "name": "Clerk again", "snippet": "Fresno County"}]
+    pages = spark.createDataFrame([(json.dumps({"data": {"webPages": {"value": found}}}), "County of Fresno", ["Fresno County"])], "payload string, entity_name string, aliases array<string>")
+    out = web.public_boards(pages)
+    assert [(r.title, r.apply_url, r.aliases, r._seq) for r in out.collect()] == [("Clerk", "https://www.naco.org/jobs/1", ["Fresno County"], 0)]
+    plan = out.select("title", "state")._jdf.queryExecution().optimizedPlan().toString()
+    assert "16777619" not in plan and "min_by" not in plan  # neither the hash of the id nor whole rows
+
+
 @needs_tables
 def test_pages_are_dealt_out_before_executors_join(spark, monkeypatch):
     from hiregrid.plans import lens
