@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite, lenient_time, pick, relative_date, truthy
 from ..functions.text import city_part, country_code, state_part, strip_markup, xml_blocks, xml_tag
+from ..operators.frames import computed, first_rows
 
 FIELDS = ("external_id", "source", "title", "department", "location", "city", "state", "country", "lat", "lng", "is_remote", "posted_at", "apply_url", "raw_data")
 
@@ -111,10 +112,17 @@ def workable(pages: DataFrame) -> DataFrame:
 
 
 def usajobs(pages: DataFrame) -> DataFrame:
-    rows, i = _items(pages, "SearchResult.SearchResultItems"), F.col("_item")
-    d = "MatchedObjectDescriptor"
-    place = pick(i, f"{d}.PositionLocationDisplay", f"{d}.PositionLocation[0].LocationName")
-    return _finish(rows, _job("usajobs", i, external_id=pick(i, "MatchedObjectId", f"{d}.PositionID"), title=pick(i, f"{d}.PositionTitle"), department=pick(i, f"{d}.DepartmentName", f"{d}.OrganizationName"), location=place, city=city_part(pick(i, f"{d}.PositionLocation[0].CityName")), state=pick(i, f"{d}.PositionLocation[0].CountrySubDivisionCode"), country=country_code(pick(i, f"{d}.PositionLocation[0].CountryCode")), lat=finite(pick(i, f"{d}.PositionLocation[0].Latitude")), lng=finite(pick(i, f"{d}.PositionLocation[0].Longitude")), posted_at=lenient_time(pick(i, f"{d}.PublicationStartDate")), apply_url=pick(i, f"{d}.PositionURI", f"{d}.ApplyURI[0]"))).dropDuplicates([*(c for c in pages.columns if c != "payload"), "external_id"])
+    """The same item on two pages is one job: the first of each id is chosen before its fields are worked out."""
+    d, carried = "MatchedObjectDescriptor", [c for c in pages.columns if c != "payload"]
+    rows, at = _read(_items(pages, "SearchResult.SearchResultItems"), "MatchedObjectId")
+    rows = first_rows(computed(rows, _id=F.coalesce(at("MatchedObjectId"), pick(F.col("_item"), f"{d}.PositionID"))), [*carried, "_id"], [F.col("_seq")])
+    # Under a wildcard a text keeps its quotes, so one that holds JSON isn't taken for an object.
+    part = lambda text, path: F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), f"$[*].{path}")
+    rows, at = _read(computed(rows, _job=part(F.col("_item"), d)), "PositionTitle", "DepartmentName", "OrganizationName", "PositionLocationDisplay", "PublicationStartDate", "PositionURI", of="_job", inside=f"{d}.")
+    rows, here = _read(computed(rows, _at=part(F.col("_job"), "PositionLocation[0]")), "LocationName", "CityName", "CountrySubDivisionCode", "CountryCode", "Latitude", "Longitude", of="_at", inside=f"{d}.PositionLocation[0].")
+    place = F.coalesce(at("PositionLocationDisplay"), here("LocationName"))
+    columns = _job("usajobs", F.col("_item"), external_id=F.col("_id"), title=at("PositionTitle"), department=at("DepartmentName", "OrganizationName"), location=place, city=city_part(here("CityName")), state=here("CountrySubDivisionCode"), country=country_code(here("CountryCode")), lat=finite(here("Latitude")), lng=finite(here("Longitude")), posted_at=lenient_time(at("PublicationStartDate")), apply_url=F.coalesce(at("PositionURI"), pick(F.col("_item"), f"{d}.ApplyURI[0]")))
+    return rows.select(*carried, "_seq", *columns)
 
 
 def nlx(pages: DataFrame) -> DataFrame:

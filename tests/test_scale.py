@@ -61,6 +61,17 @@ def test_a_board_result_is_chosen_before_its_fields(spark):
     assert "16777619" not in plan and "min_by" not in plan  # neither the hash of the id nor whole rows
 
 
+def test_a_federal_job_is_chosen_before_its_fields(spark):
+    """The first item of an id holds, each object is read in one pass, and a text that holds JSON is no object."""
+    described = {"PositionTitle": "Nurse", "PositionLocation": [{"CityName": "Reno, Nevada", "Latitude": "39.5"}], "ApplyURI": ["https://x.org/1"], "DepartmentName": "cut \ud83d"}
+    items = [{"MatchedObjectId": "1", "MatchedObjectDescriptor": described}, {"MatchedObjectId": "1", "MatchedObjectDescriptor": {"PositionTitle": "again"}}, {"MatchedObjectId": "2", "MatchedObjectDescriptor": json.dumps(described)}, {"MatchedObjectDescriptor": {"PositionID": "3", "PositionLocation": ['{"CityName": "X"}']}}]
+    out = payloads.usajobs(spark.createDataFrame([(json.dumps({"SearchResult": {"SearchResultItems": items}}),)], "payload string"))
+    got = [(r.external_id, r.title, r.city, r.lat, r.apply_url, r._seq) for r in out.orderBy("external_id").collect()]
+    assert got == [("1", "Nurse", "Reno", 39.5, "https://x.org/1", 0), ("2", None, None, None, None, 2), ("3", None, None, None, None, 3)]
+    plan = out.select("external_id", "title", "lat")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json_tuple(") >= 3 and plan.index("json_tuple(") < plan.index("row_number") and "Aggregate" not in plan
+
+
 @needs_tables
 def test_pages_are_dealt_out_before_executors_join(spark, monkeypatch):
     from hiregrid.plans import lens
