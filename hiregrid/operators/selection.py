@@ -1,7 +1,8 @@
 """Exact percentiles by distributed selection: no group's values come together in one buffer but a bounded number of them.
 
 Equal values are counted first. A sketch of the distinct values cuts each group into ranges, whose counts tell which range holds each rank asked
-for; only the values of those ranges are ordered, each range by itself. The sketch decides where the cuts lie, not the result. Where all groups together
+for; only the values of those ranges are ordered, each range by itself. The sketch decides where the cuts lie, not the result. It depends on the order in
+which its parts arrive, so it is drawn once and kept: ranges and the ranks before them have to come from the same cuts. Where all groups together
 have no more distinct values than BUFFERED, their counts go through Spark's own percentile, whose buffers then are bounded by it; results are the same.
 """
 
@@ -33,8 +34,8 @@ def exact_percentiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[
         of = lambda c, p: F.percentile(F.when(F.col("c") == c, F.col("v")), F.lit(float(p)), F.col("n"))
         return counts.groupBy("k").agg(all_, *(of(c, p).alias(name) for name, (c, p) in wanted.items())).select("k.*", count, *wanted)
     whole, counts = counts.groupBy("k").agg(all_), counts.where("c <> ''")
-    # Cuts among distinct values: ranges hold about as many of those, however often one occurs.
-    cuts = counts.groupBy("k", "c").agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 4 * ranges).alias("cuts"), F.sum("n").alias("total"))
+    # Cuts among distinct values: ranges hold about as many of those, however often one occurs. Drawn again, they would lie elsewhere.
+    cuts = checkpointed(counts.groupBy("k", "c").agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 4 * ranges).alias("cuts"), F.sum("n").alias("total")))
     dealt = counts.join(cuts, ["k", "c"]).select("k", "c", "v", "n", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("range"))
     # At most `ranges` rows of a key and column.
     sizes = dealt.groupBy("k", "c", "range").agg(F.sum("n").alias("size"))

@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from hiregrid.operators.selection import exact_percentiles
 
 SHARES = {"low": ("x", 0.1), "mid": ("x", 0.5), "high": ("x", 0.9), "least": ("x", 0.0), "most": ("y", 1.0)}
@@ -38,3 +40,18 @@ def test_equal_sorted_lists(spark, ranges, buffered):
             want = plain([row[1 if c == "x" else 2] for row in rows if row[0] == k], p)
             assert (r[name] is None) == (want is None) and (want is None or r[name] == pytest.approx(want, rel=1e-12, abs=1e-12))
     assert exact_percentiles(df.limit(0), ["k"], SHARES).count() == 0
+
+
+def test_sketches_that_differ_each_time(spark, monkeypatch):
+    """On executors the parts of a sketch arrive in any order, so another evaluation cuts elsewhere: here every evaluation moves all cuts."""
+
+    def moved(cuts):
+        by = random.SystemRandom().uniform(-200, 200)
+        return [c + by for c in cuts]
+
+    sketch, elsewhere = F.percentile_approx, F.udf(moved, "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: elsewhere(sketch(*a)))
+    df = spark.range(4000).select((F.col("id") % 4).alias("k"), (F.col("id") * 1.0).alias("x"), F.col("id").alias("y")).repartition(6)
+    for r in exact_percentiles(df, ["k"], SHARES, ranges=16, buffered=0).collect():
+        for name, (_, p) in SHARES.items():
+            assert r[name] == pytest.approx(plain(range(r.k, 4000, 4), p), rel=1e-12)
